@@ -9,10 +9,21 @@ SPEC = LinkSpec("c", "l", "ord")
 MATRIX = [("A", "B", 2), ("A", "C", 1), ("B", "A", 2), ("B", "B", 2), ("B", "C", 1), ("C", "A", 1), ("C", "B", 1)]
 
 
+def tallied(df, spec=SPEC):
+    tally = links.tally(df, spec)
+    known = links.entities(tally)
+    return tally, links.pairs(tally, known), known
+
+
 @pytest.fixture
 def base(spark):
-    df = link_frame(spark)
-    return links.pairs(df, SPEC), links.entities(df, SPEC)
+    return tallied(link_frame(spark))[1:]
+
+
+@pytest.fixture
+def ends(spark):
+    tally, _, known = tallied(link_frame(spark))
+    return tally, known
 
 
 def test_entities_in_order_of_appearance(spark, base):
@@ -47,23 +58,24 @@ def test_arcs_when_gaps_fill_the_circle(base):
 
 def test_arcs_without_links(spark):
     df = frame(spark, [(0, "A", []), (1, "B", [])], "ord int, c string, l array<string>")
-    got = rows(links.arcs(links.pairs(df, SPEC), links.entities(df, SPEC)), "entity", "start", "end")
+    got = rows(links.arcs(*tallied(df)[1:]), "entity", "start", "end")
     assert got == [("A", 0.0, 0.0), ("B", 0.05, 0.05)]
 
 
-def test_chords_once_per_pair(base):
-    got = rows(links.chords(*base), "source", "target", "value")
+def test_chords_once_per_pair(ends):
+    got = rows(links.chords(*ends), "source", "target", "value")
     assert got == [("A", "B", 2), ("A", "C", 1), ("B", "B", 2), ("B", "C", 1)]
 
 
 def test_chord_source_is_the_entity_seen_first(spark):
     df = frame(spark, [(0, "Z", ["A"]), (1, "A", [])], "ord int, c string, l array<string>")
-    got = links.chords(links.pairs(df, SPEC), links.entities(df, SPEC))
+    tally, _, known = tallied(df)
+    got = links.chords(tally, known)
     assert rows(got, "source", "target", "value") == [("Z", "A", 1)]
 
 
-def test_subarcs_largest_first(base):
-    got = rows(links.subarcs(links.chords(*base)), "source", "target", "value", "position", "offset")
+def test_subarcs_largest_first(ends):
+    got = rows(links.subarcs(links.chords(*ends)), "source", "target", "value", "position", "offset")
     assert got == [
         ("A", "B", 2, 0, 0), ("A", "C", 1, 1, 2),
         ("B", "A", 2, 0, 0), ("B", "B", 2, 1, 2), ("B", "C", 1, 2, 4),
@@ -71,11 +83,11 @@ def test_subarcs_largest_first(base):
     ]
 
 
-def test_ribbon_ends_lie_on_their_arcs(base):
+def test_ribbon_ends_lie_on_their_arcs(base, ends):
     arcs = links.arcs(*base)
     at = {r["entity"]: r for r in arcs.collect()}
     scale = at["A"]["scale"]
-    got = {(r["source"], r["target"]): r for r in links.ribbons(links.chords(*base), arcs).collect()}
+    got = {(r["source"], r["target"]): r for r in links.ribbons(links.chords(*ends), arcs).collect()}
     assert set(got) == {("A", "B"), ("A", "C"), ("B", "B"), ("B", "C")}
     assert got["A", "C"]["source_start"] == pytest.approx(at["A"]["start"] + 2 * scale)
     assert got["A", "C"]["target_start"] == pytest.approx(at["C"]["start"])
@@ -83,21 +95,21 @@ def test_ribbon_ends_lie_on_their_arcs(base):
     assert got["B", "C"]["target_end"] == pytest.approx(at["C"]["end"])
 
 
-def test_touching(base):
-    got = links.touching(links.chords(*base), "A")
+def test_touching(ends):
+    got = links.touching(links.chords(*ends), "A")
     assert rows(got, "source", "target") == [("A", "B"), ("A", "C")]
 
 
 def test_missing_entities_are_left_out(spark):
     data = [(0, None, ["A"]), (1, "A", ["A", None])]
     df = frame(spark, data, "ord int, c string, l array<string>")
-    assert rows(links.entities(df, SPEC), "entity") == [("A",)]
-    assert rows(links.matrix(links.pairs(df, SPEC)), "source", "target", "value") == [("A", "A", 2)]
+    assert rows(tallied(df)[2], "entity") == [("A",)]
+    assert rows(links.matrix(tallied(df)[1]), "source", "target", "value") == [("A", "A", 2)]
 
 
 def test_keys_of_different_number_types_compare(spark):
     df = frame(spark, [(0, 1, [2, 1]), (1, 2, [7])], "ord int, c int, l array<bigint>")
-    assert rows(links.matrix(links.pairs(df, SPEC)), "source", "target", "value") == [(1, 1, 2), (1, 2, 1), (2, 1, 1)]
+    assert rows(links.matrix(tallied(df)[1]), "source", "target", "value") == [(1, 1, 2), (1, 2, 1), (2, 1, 1)]
 
 
 def test_bindings_are_checked(spark):
@@ -109,4 +121,4 @@ def test_bindings_are_checked(spark):
 
 def test_row_placement_does_not_matter(spark):
     df = link_frame(spark).repartition(3).sortWithinPartitions("ord", ascending=False)
-    assert rows(links.matrix(links.pairs(df, SPEC)), "source", "target", "value") == MATRIX
+    assert rows(links.matrix(tallied(df)[1]), "source", "target", "value") == MATRIX

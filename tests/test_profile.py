@@ -29,7 +29,8 @@ def test_sample_file_end_to_end(sample):
     assert got == [("category", "string", False), ("connections", "array", False), ("hierarchy", "object", False),
                    ("networkNodes", "array", False), ("value", "number", True)]
     spec = LinkSpec("category", "connections", "row_order")
-    assert rows(links.matrix(links.pairs(sample, spec)), "source", "target", "value") == [("A", "B", 2), ("B", "A", 2)]
+    tally = links.tally(sample, spec)
+    assert rows(links.matrix(links.pairs(tally, links.entities(tally))), "source", "target", "value") == [("A", "B", 2), ("B", "A", 2)]
     spec = GraphSpec("category", "connections", "value", "row_order")
     assert rows(graph.nodes(sample, spec), "id", "size") == [("A", 30.0), ("B", 10.0)]
     assert rows(graph.links(sample, spec), "source", "target") == [("A", "B"), ("B", "A")]

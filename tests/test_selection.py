@@ -18,8 +18,8 @@ def laid(spark):
 
 @pytest.fixture(scope="module")
 def chords(spark):
-    spec, df = LinkSpec("c", "l", "ord"), link_frame(spark)
-    return staged(links.chords(links.pairs(df, spec), links.entities(df, spec)))
+    tally = links.tally(link_frame(spark), LinkSpec("c", "l", "ord"))
+    return staged(links.chords(tally, links.entities(tally)))
 
 
 def picked(spark, *values):
@@ -44,7 +44,7 @@ def test_series(spark):
 
 
 def test_entities_and_chords(spark, chords):
-    known = links.entities(link_frame(spark), LinkSpec("c", "l", "ord"))
+    known = links.entities(links.tally(link_frame(spark), LinkSpec("c", "l", "ord")))
     assert lit(selection.flag_entities(known, picked(spark, "A")), "entity") == [("A",)]
     assert lit(selection.flag_links(chords, picked(spark, "A")), "source", "target") == [("A", "B"), ("A", "C")]
     assert len(lit(selection.flag_links(chords, picked(spark)), "source")) == 4
@@ -80,7 +80,7 @@ def test_first_node_with_a_name_is_the_first_of_its_ring(spark):
     data = [(0, "Q", "n", 1.0), (1, "P", "k", 1.0), (2, "Q", "k", 1.0), (3, "R", "P", 1.0), (4, "R", "Q", 1.0)]
     spec = HierarchySpec(["l1", "l2"], "v", "ord")
     df = frame(spark, data, "ord int, l1 string, l2 string, v double")
-    laid = hierarchy.layout(hierarchy.tree(hierarchy.leaves(df, spec), 2), 2)
+    laid = staged(hierarchy.layout(hierarchy.tree(hierarchy.leaves(df, spec), 2), 2))
     got = selection.flag_tree(laid, picked(spark, "k")).selectExpr("array_join(path, '/') p", "lit")
     assert lit(got, "p") == [("P",), ("P/k",), ("Q",), ("Q/k",), ("R/Q",)]
 
@@ -100,7 +100,7 @@ def test_large_key_tables_are_not_broadcast_by_hand(spark, monkeypatch, chords):
 
 def test_key_dictionary(spark, laid):
     bars = series.rows(series_frame(spark), SeriesSpec("c", "v", "ord"))
-    known = links.entities(link_frame(spark), LinkSpec("c", "l", "ord"))
+    known = links.entities(links.tally(link_frame(spark), LinkSpec("c", "l", "ord")))
     nodes = graph.nodes(graph_frame(spark), GraphSpec("id", "l", "v", "ord"))
     got = rows(selection.key_dictionary(bars, known, nodes, laid, groups=4), "index", "key", "group")
     # tree names ring by ring: A, B, (null), then x, y, A, z, w, x

@@ -102,19 +102,19 @@ def layout(nodes: DataFrame, depth: int, top: int = 0) -> DataFrame:
     Siblings follow one another in order of first appearance, inside their parent's angle.
     Children of a node of value 0 have no width. A node of negative value is drawn as the
     middle of its (backward) interval. `top` is the depth of the node drawn as the centre.
-    `place` orders the nodes of one depth as they are laid out.
+    `place` orders the nodes of one depth as they are laid out. `nodes` is read once per
+    level: pass a staged frame.
     """
-    held = staged(nodes)
-    root = held.where("depth = 0").select(F.sum("value").cast("double")).scalar()
+    root = nodes.where("depth = 0").select(F.sum("value").cast("double")).scalar()
     turn = F.coalesce(F.try_divide(F.lit(2 * math.pi), root), F.lit(0.0))
     siblings = staged(
-        sum_before(held.where("depth > 0"), "first_seen", {"offset": F.col("value")}, by=["parent"])
+        sum_before(nodes.where("depth > 0"), "first_seen", {"offset": F.col("value")}, by=["parent"])
     )
-    ord_type = T.ArrayType(held.schema["first_seen"].dataType)
+    ord_type = T.ArrayType(nodes.schema["first_seen"].dataType)
     spread_value, spread_offset = F.col("value").cast("double"), F.col("offset").cast("double")
     start = F.col("base") + spread_offset * F.col("scale")
-    located = held.where("depth = 0").select(
-        *held.columns,
+    located = nodes.where("depth = 0").select(
+        *nodes.columns,
         F.lit(0.0).alias("raw0"),
         F.lit(2 * math.pi).alias("raw1"),
         turn.alias("scale"),
@@ -130,7 +130,7 @@ def layout(nodes: DataFrame, depth: int, top: int = 0) -> DataFrame:
             F.col("place").alias("above_place"),
         )
         located = lookup(children, above, {"parent": "above"}, "inner", ["path"]).select(
-            *held.columns,
+            *nodes.columns,
             start.alias("raw0"),
             (start + spread_value * F.col("scale")).alias("raw1"),
             "scale",
@@ -145,7 +145,7 @@ def layout(nodes: DataFrame, depth: int, top: int = 0) -> DataFrame:
     backward, middle = F.col("raw1") < F.col("raw0"), (F.col("raw0") + F.col("raw1")) / 2
     ring_count = F.lit(float(depth - top + 1))
     return everything.where(F.col("depth") >= top).select(
-        *held.columns,
+        *nodes.columns,
         F.when(backward, middle).otherwise(F.col("raw0")).alias("x0"),
         F.when(backward, middle).otherwise(F.col("raw1")).alias("x1"),
         ((F.col("depth") - top) / ring_count).alias("y0"),
@@ -181,5 +181,5 @@ def subtree(df: DataFrame, spec: HierarchySpec, prefix: Sequence[object]) -> Dat
     depth = len(spec.levels)
     if not 0 < len(prefix) <= depth:
         raise ValueError(f"prefix: one to {depth} names are needed")
-    nodes = tree(leaves(below(df, spec, prefix), spec), depth)
+    nodes = staged(tree(leaves(below(df, spec, prefix), spec), depth))
     return layout(nodes, depth, top=len(prefix))

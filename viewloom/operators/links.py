@@ -17,46 +17,61 @@ from viewloom.plans.specs import BindingError, LinkSpec
 PAD = 0.05  # radians left free between two entities' arcs
 
 
-def entities(df: DataFrame, spec: LinkSpec) -> DataFrame:
-    """Each entity once, with the order of its first row. Missing entities are left out."""
-    key = F.col(spec.entity).cast(spec.check(df))
+def tally(df: DataFrame, spec: LinkSpec) -> DataFrame:
+    """All that the link view needs of the records, in one pass: a reduced, staged table.
+
+    One row per unordered pair (a, b): the number of links in either direction (a link of
+    an entity to itself counts twice), and the order at which each end was first the
+    entity of a row, NULL if it never was. An entity without links has a row with itself
+    and value 0. Missing entities and missing targets are left out.
+    """
+    common = spec.check(df)
+    linked = df.select(
+        F.col(spec.entity).cast(common).alias("source"),
+        order_key(spec.order).alias("ord"),
+        F.explode_outer(spec.connections).alias("target"),
+    ).select("source", "ord", F.col("target").cast(common).alias("target"))
+    low, high = F.least("source", "target"), F.greatest("source", "target")
+    weight = F.when(F.col("target").isNull(), 0).when(F.col("source") == F.col("target"), 2).otherwise(1)
+    return staged(
+        linked.where("source is not null")
+        .groupBy(low.alias("a"), high.alias("b"))
+        .agg(
+            F.sum(weight).alias("value"),
+            F.min(F.when(F.col("source") == low, F.col("ord"))).alias("a_seen"),
+            F.min(F.when(F.col("source") == high, F.col("ord"))).alias("b_seen"),
+        )
+    )
+
+
+def entities(tallied: DataFrame) -> DataFrame:
+    """Each entity once, with the order of its first row."""
+    ends = F.array(
+        F.struct(F.col("a").alias("entity"), F.col("a_seen").alias("seen")),
+        F.struct(F.col("b").alias("entity"), F.col("b_seen").alias("seen")),
+    )
     return (
-        df.select(key.alias("entity"), order_key(spec.order).alias("ord"))
-        .where("entity is not null")
-        .groupBy("entity")
-        .agg(F.min("ord").alias("first_seen"))
+        tallied.select(F.explode(ends).alias("end"))
+        .where("end.seen is not null")
+        .groupBy(F.col("end.entity").alias("entity"))
+        .agg(F.min("end.seen").alias("first_seen"))
     )
 
 
 def indexed(known: DataFrame) -> DataFrame:
     """Entities numbered from 0 by first appearance."""
-    return numbered(staged(known), "first_seen").select("entity", "index")
+    return numbered(known, "first_seen").select("entity", "index")
 
 
-def pairs(df: DataFrame, spec: LinkSpec, known: DataFrame | None = None) -> DataFrame:
+def pairs(tallied: DataFrame, known: DataFrame) -> DataFrame:
     """Link counts per unordered pair (a, b) whose two ends are both entities.
 
-    A link is counted in either direction; one from an entity to itself counts twice.
-    Counting comes first, so the join that drops unknown ends sees each pair once. One
-    end of a pair is always the entity of some row, so only the other has to be checked.
+    One end of a pair always is the entity of some row, so only the other is looked up;
+    counting came first, so that join sees each pair once.
     """
-    common = spec.check(df)
-    known = entities(df, spec) if known is None else known
-    linked = df.select(
-        F.col(spec.entity).cast(common).alias("source"), F.explode(spec.connections).alias("target")
-    ).select("source", F.col("target").cast(common).alias("target"))
-    low, high = F.least("source", "target"), F.greatest("source", "target")
-    counted = (
-        linked.where("source is not null and target is not null")
-        .groupBy(low.alias("a"), high.alias("b"))
-        .agg(
-            F.sum(F.when(F.col("source") == F.col("target"), 2).otherwise(1)).alias("value"),
-            F.max(F.col("source") == low).alias("a_known"),
-        )
-    )
-    unsure = F.when(F.col("a_known"), F.col("b")).otherwise(F.col("a"))
-    checked = staged(counted.withColumn("unsure", unsure))
-    kept = lookup(checked, known.select("entity"), {"unsure": "entity"}, "left_semi", ["a", "b"])
+    unsure = F.when(F.col("a_seen").isNotNull(), F.col("b")).otherwise(F.col("a"))
+    linked = tallied.where("value > 0").withColumn("unsure", unsure)
+    kept = lookup(linked, known.select("entity"), {"unsure": "entity"}, "left_semi", ["a", "b"])
     return kept.select("a", "b", "value")
 
 
@@ -132,10 +147,11 @@ def arcs(paired: DataFrame, known: DataFrame, pad: float = PAD) -> DataFrame:
     )
 
 
-def chords(paired: DataFrame, known: DataFrame) -> DataFrame:
-    """One (source, target, value) per pair; the source is the entity seen first."""
+def chords(tallied: DataFrame, known: DataFrame) -> DataFrame:
+    """One (source, target, value) per pair of entities; the source is the one seen first."""
+    linked = tallied.where("value > 0").select("a", "b", "value")
     seen = known.select("entity", "first_seen")
-    one = lookup(paired, seen.withColumnRenamed("first_seen", "a_seen"), {"a": "entity"}, "inner", ["b"])
+    one = lookup(linked, seen.withColumnRenamed("first_seen", "a_seen"), {"a": "entity"}, "inner", ["b"])
     both = lookup(one, seen.withColumnRenamed("first_seen", "b_seen"), {"b": "entity"}, "inner", ["a"])
     forward = F.col("a_seen") <= F.col("b_seen")
 

@@ -43,9 +43,9 @@ def toggle(selected: DataFrame, clicked: DataFrame) -> DataFrame:
 
 
 def _usable(selected: DataFrame) -> tuple[DataFrame, int]:
-    """Distinct non-null keys, and their number up to one more than may be broadcast."""
+    """Distinct non-null keys, and their number."""
     distinct = selected.select("key").where("key is not null").distinct()
-    return distinct, distinct.limit(BROADCAST_KEYS + 1).count()
+    return distinct, distinct.count()
 
 
 def _marked(

@@ -113,7 +113,7 @@ def sum_before(
     marks = [f"_g{i}" for i in range(len(by))]
     before = (Window.unboundedPreceding, -1)
     hot = hot_keys(df, by, marks) if by else None
-    if hot is None and (by or df.limit(FLOOR + 1).count() <= FLOOR):
+    if hot is None and (by or df.count() <= FLOOR):
         rows = Window.partitionBy(*by).orderBy(order).rowsBetween(*before)
         return df.select(
             "*", *[F.coalesce(F.sum(c).over(rows), F.lit(0)).alias(name) for name, c in sums.items()]

@@ -52,13 +52,17 @@ class Dashboard:
 
     # links between entities
 
+    @cached_property
+    def link_tally(self) -> DataFrame:
+        return links.tally(self.df, self._spec("links"))
+
     @cached_property
     def entities(self) -> DataFrame:
-        return staged(links.entities(self.df, self._spec("links")))
+        return staged(links.entities(self.link_tally))
 
     @cached_property
     def link_pairs(self) -> DataFrame:
-        return staged(links.pairs(self.df, self._spec("links"), self.entities))
+        return links.pairs(self.link_tally, self.entities)
 
     def link_matrix(self) -> DataFrame:
         return links.matrix(self.link_pairs)
@@ -67,10 +71,10 @@ class Dashboard:
         return links.arcs(self.link_pairs, self.entities)
 
     def chords(self) -> DataFrame:
-        return links.chords(self.link_pairs, self.entities)
+        return links.chords(self.link_tally, self.entities)
 
     def ribbons(self) -> DataFrame:
-        return links.ribbons(staged(self.chords()), self.arcs())
+        return links.ribbons(self.chords(), self.arcs())
 
     # node/link graph
 
