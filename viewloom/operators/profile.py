@@ -26,6 +26,8 @@ def kind_of(dtype: T.DataType) -> tuple[str, bool]:
         return "array", False
     if isinstance(dtype, (T.MapType, T.StructType)):
         return "object", is_numeric_object(dtype)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return "timestamp", False
     return dtype.typeName(), False
 
 

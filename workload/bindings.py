@@ -53,8 +53,8 @@ def trade(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    """A record per page: the targets of its links, the first of which names the page."""
-    targets = F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)
+    """A record per page: the targets of its links in lower case; the first names the page."""
+    targets = F.regexp_extract_all(F.lower("html"), F.lit('href="/([^"]*)"'), 1)
     return table(spark, folder, "pages").select(
         "page_id",
         F.get(targets, F.lit(0)).alias("node"),

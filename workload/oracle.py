@@ -1 +1,478 @@
+"""The registered queries as DuckDB SQL on the same tables, written independently of the
+operators: window functions and self-joins over the whole tables."""
+
+from __future__ import annotations
+
 ORACLE: dict[str, str] = {}
+
+
+def sql(name: str, body: str, *ctes: str) -> None:
+    head = "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" if ctes else ""
+    ORACLE[name] = head + body.strip()
+
+
+# series
+
+PART = "s AS (SELECT p_partkey AS ord, p_brand AS category, p_retailprice AS value FROM part)"
+EVENT = "s AS (SELECT event_id AS ord, event_type AS category, value FROM events)"
+BANDS = """
+cat AS (SELECT category, min(ord) AS first_seen FROM s GROUP BY category),
+bands AS (
+  SELECT category, row_number() OVER (ORDER BY first_seen) - 1 AS index,
+         2 * pi() / ((SELECT count(*) FROM cat) + 0.1::DOUBLE) AS step
+  FROM cat)
+"""
+LENGTH = "sign(value / mx) * sqrt(abs(value / mx))"
+TOP = "top AS (SELECT max(value) AS mx FROM s)"
+
+sql("series_values", "SELECT * FROM s", PART)
+sql(
+    "series_map_sum",
+    """
+SELECT event_id AS ord, event_type AS category,
+       coalesce((SELECT sum(CAST(json_extract(props, '$."' || k || '"') AS DOUBLE))
+                 FROM unnest(json_keys(props)) AS t(k)), 0) AS value
+FROM events
+""",
+)
+sql("series_max", "SELECT max(value) AS largest FROM s", PART)
+sql("series_categories", "SELECT category, min(ord) AS first_seen FROM s GROUP BY category", PART)
+sql(
+    "series_bands",
+    """
+SELECT category, index, round(step * (index + 0.1::DOUBLE), 9) AS start_angle,
+       round(step * (1 - 0.1::DOUBLE), 9) AS width
+FROM bands
+""",
+    PART,
+    BANDS,
+)
+sql("series_lengths", f"SELECT ord, category, value, round({LENGTH}, 9) AS length FROM s, top", PART, TOP)
+sql("series_overlay", "SELECT category, max(value) AS value, count(*) AS n_rows FROM s GROUP BY category", PART)
+sql(
+    "series_bars",
+    f"""
+SELECT ord, s.category, value, round({LENGTH}, 9) AS length,
+       round(step * (index + 0.1::DOUBLE), 9) AS start_angle,
+       round(step * (index + 0.1::DOUBLE) + step * (1 - 0.1::DOUBLE), 9) AS end_angle
+FROM s JOIN bands USING (category), top
+""",
+    EVENT,
+    BANDS,
+    TOP,
+)
+
+# links between entities
+
+TRADE = """
+rec AS (
+  SELECT l_orderkey AS ord, cn.n_name AS entity, sn.n_name AS target
+  FROM lineitem
+  JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey
+  JOIN nation cn ON c_nationkey = cn.n_nationkey
+  JOIN supplier ON l_suppkey = s_suppkey
+  JOIN nation sn ON s_nationkey = sn.n_nationkey),
+ent AS (SELECT entity, min(ord) AS first_seen FROM rec GROUP BY entity),
+kept AS (SELECT entity AS source, target FROM rec WHERE target IN (SELECT entity FROM ent)),
+cells AS (
+  SELECT source, target, count(*) AS value
+  FROM (SELECT source, target FROM kept UNION ALL SELECT target, source FROM kept)
+  GROUP BY source, target)
+"""
+TOTALS = """
+totals AS (
+  SELECT entity, first_seen, CAST(coalesce(sum(value), 0) AS BIGINT) AS total
+  FROM ent LEFT JOIN cells ON source = entity GROUP BY entity, first_seen)
+"""
+ARCS = """
+scale AS (SELECT greatest(0, 2 * pi() - 0.05::DOUBLE * count(*)) / sum(total) AS k FROM totals),
+arcs AS (
+  SELECT entity, first_seen, total, k, row_number() OVER w - 1 AS index,
+         coalesce(CAST(sum(total) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) * k
+         + (row_number() OVER w - 1) * 0.05::DOUBLE AS start_angle
+  FROM totals, scale WINDOW w AS (ORDER BY first_seen))
+"""
+CHORDS = """
+chords AS (
+  SELECT source, target, value
+  FROM cells JOIN ent es ON es.entity = source JOIN ent et ON et.entity = target
+  WHERE es.first_seen <= et.first_seen)
+"""
+SUBARCS = """
+sub AS (
+  SELECT source, target, value, row_number() OVER w - 1 AS position,
+         coalesce(CAST(sum(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS "offset"
+  FROM cells JOIN ent ON entity = target
+  WINDOW w AS (PARTITION BY source ORDER BY value DESC, first_seen))
+"""
+
+sql("link_entities", "SELECT entity, row_number() OVER (ORDER BY first_seen) - 1 AS index FROM ent", TRADE)
+sql("link_matrix", "SELECT * FROM cells", TRADE)
+sql(
+    "link_dense",
+    "SELECT entity AS source, "
+    + ", ".join(
+        f"CAST(coalesce(sum(CASE WHEN target = 'NATION_{i}' THEN value END), 0) AS BIGINT) AS \"NATION_{i}\""
+        for i in range(25)
+    )
+    + " FROM ent LEFT JOIN cells ON source = entity GROUP BY entity",
+    TRADE,
+)
+sql(
+    "link_totals",
+    "SELECT entity, total, round(total / (SELECT sum(total) FROM totals)::DOUBLE, 9) AS share FROM totals",
+    TRADE,
+    TOTALS,
+)
+sql(
+    "link_arcs",
+    """
+SELECT entity, index, total,
+       CASE WHEN length(entity) > 15 THEN substring(entity, 1, 15) || '...' ELSE entity END AS label,
+       round(start_angle, 9) AS start_angle, round(start_angle + total * k, 9) AS end_angle
+FROM arcs
+""",
+    TRADE,
+    TOTALS,
+    ARCS,
+)
+sql("link_pairs", "SELECT * FROM chords", TRADE, CHORDS)
+sql("link_subarcs", "SELECT * FROM sub", TRADE, SUBARCS)
+sql(
+    "link_ribbons",
+    """
+SELECT c.source, c.target, c.value,
+       round(a.start_angle + s."offset" * a.k, 9) AS source_start,
+       round(a.start_angle + s."offset" * a.k + s.value * a.k, 9) AS source_end,
+       round(b.start_angle + t."offset" * b.k, 9) AS target_start,
+       round(b.start_angle + t."offset" * b.k + t.value * b.k, 9) AS target_end
+FROM chords c
+JOIN sub s ON s.source = c.source AND s.target = c.target
+JOIN sub t ON t.source = c.target AND t.target = c.source
+JOIN arcs a ON a.entity = c.source
+JOIN arcs b ON b.entity = c.target
+""",
+    TRADE,
+    TOTALS,
+    ARCS,
+    CHORDS,
+    SUBARCS,
+)
+sql("link_incident", "SELECT * FROM chords WHERE source = 'NATION_3' OR target = 'NATION_3'", TRADE, CHORDS)
+
+# node/link graph
+
+PAGES = """
+rec AS (
+  SELECT page_id AS ord, regexp_extract_all(lower(html), 'href="/([^"]*)"', 1) AS links, length(html)::DOUBLE AS strength
+  FROM pages),
+g AS (SELECT ord, links[1] AS node, links, coalesce(strength, 0) AS v FROM rec),
+span AS (SELECT min(v) AS lo, max(v) AS hi FROM g),
+nodes AS (
+  SELECT node AS id, v AS value, ord AS first_seen,
+         CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0.5 END AS norm
+  FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ord) AS rn FROM g), span WHERE rn = 1),
+ends AS (
+  SELECT ord, node AS source, unnest(links) AS target,
+         CAST(generate_subscripts(links, 1) - 1 AS INTEGER) AS pos FROM g),
+found AS (
+  SELECT ord, pos, source, target, 1 AS value FROM ends
+  WHERE source <> '' AND target <> '' AND target IN (SELECT node FROM g)),
+near AS (
+  SELECT ord, pos, source AS node, target AS neighbour FROM found
+  UNION ALL SELECT ord, pos, target, source FROM found WHERE source <> target)
+"""
+SUPPLY = """
+g AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_suppkey AS node,
+         coalesce(l_extendedprice, 0) AS v FROM lineitem),
+span AS (SELECT min(v) AS lo, max(v) AS hi FROM g)
+"""
+
+sql("graph_nodes", "SELECT id, value, round(norm, 9) AS norm, round(10 + norm * 20, 9) AS size FROM nodes", PAGES)
+sql("graph_links", "SELECT * FROM found", PAGES)
+sql(
+    "graph_nodes_numeric",
+    """
+SELECT node AS id, v AS value, round(norm, 9) AS norm, round(10 + norm * 20, 9) AS size
+FROM (
+  SELECT node, v, (v - lo) / (hi - lo) AS norm,
+         row_number() OVER (PARTITION BY node ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn
+  FROM g, span)
+WHERE rn = 1
+""",
+    SUPPLY,
+)
+sql(
+    "graph_links_numeric",
+    """
+SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, 0 AS pos, node AS source, l_partkey AS target, 1 AS value
+FROM g WHERE node <> 0 AND l_partkey <> 0 AND l_partkey IN (SELECT node FROM g)
+""",
+    SUPPLY,
+)
+sql("graph_neighbors", "SELECT * FROM near", PAGES)
+sql(
+    "graph_neighbor_text",
+    """
+SELECT id, coalesce(part, 0) AS part, format('{:,}', value::BIGINT) AS strength, coalesce(text, 'None') AS text
+FROM nodes LEFT JOIN (
+  SELECT node, part, string_agg(neighbour, ', ' ORDER BY rn) AS text
+  FROM (SELECT *, (rn - 1) // 100 AS part
+        FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ord, pos) AS rn FROM near))
+  GROUP BY node, part) ON node = id
+""",
+    PAGES,
+)
+sql("graph_incident", "SELECT * FROM found WHERE source = 'la' OR target = 'la'", PAGES)
+sql(
+    "graph_drawn",
+    """
+SELECT id, count(source) AS n_links FROM nodes LEFT JOIN found ON source = id
+WHERE EXISTS (SELECT 1 FROM found) GROUP BY id
+""",
+    PAGES,
+)
+
+# hierarchy
+
+TREE = """
+rec AS (
+  SELECT c_custkey AS ord, r_name AS l1, n_name AS l2, c_mktsegment AS l3,
+         coalesce(CAST(c_acctbal AS DECIMAL(18, 2)), 0) AS v
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+leaves AS (
+  SELECT l1, l2, l3, first_seen, v AS value
+  FROM (SELECT *, min(ord) OVER p AS first_seen,
+               row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY ord DESC) AS back
+        FROM rec WINDOW p AS (PARTITION BY l1, l2, l3))
+  WHERE back = 1)
+"""
+NODES = """
+n1 AS (SELECT l1, sum(value)::DOUBLE AS value, min(first_seen) AS f FROM leaves GROUP BY ALL),
+n2 AS (SELECT l1, l2, sum(value)::DOUBLE AS value, min(first_seen) AS f FROM leaves GROUP BY ALL),
+n3 AS (SELECT l1, l2, l3, value::DOUBLE AS value, first_seen AS f FROM leaves),
+nodes AS (
+  SELECT l1, NULL AS l2, NULL AS l3, l1 AS name, 1 AS depth, value, f AS f1, NULL AS f2, NULL AS f3 FROM n1
+  UNION ALL
+  SELECT n2.l1, n2.l2, NULL, n2.l2, 2, n2.value, n1.f, n2.f, NULL FROM n2 JOIN n1 USING (l1)
+  UNION ALL
+  SELECT n3.l1, n3.l2, n3.l3, n3.l3, 3, n3.value, n1.f, n2.f, n3.f FROM n3 JOIN n2 USING (l1, l2) JOIN n1 USING (l1))
+"""
+
+
+def partition_sql(where: str, top: int) -> tuple[str, str]:
+    """Sibling offsets per ring, added up from the top; backward intervals become their middle."""
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    leaves = f"picked AS (SELECT * FROM leaves WHERE {where})"
+    ctes = f"""
+{leaves},
+k AS (SELECT 2 * pi() / sum(value)::DOUBLE AS k FROM picked),
+p1 AS (SELECT l1, sum(value) AS value, min(first_seen) AS f FROM picked GROUP BY ALL),
+p2 AS (SELECT l1, l2, sum(value) AS value, min(first_seen) AS f FROM picked GROUP BY ALL),
+o1 AS (SELECT l1, value, coalesce(sum(value) OVER (ORDER BY f {before}), 0)::DOUBLE AS off FROM p1),
+o2 AS (SELECT l1, l2, value, coalesce(sum(value) OVER (PARTITION BY l1 ORDER BY f {before}), 0)::DOUBLE AS off FROM p2),
+o3 AS (SELECT l1, l2, l3, value,
+              coalesce(sum(value) OVER (PARTITION BY l1, l2 ORDER BY first_seen {before}), 0)::DOUBLE AS off FROM picked),
+a1 AS (SELECT l1 AS path, l1, value::DOUBLE AS value, 1 AS depth, off * k AS r0 FROM o1, k),
+a2 AS (SELECT l1 || '/' || l2 AS path, l1, l2, o2.value::DOUBLE AS value, 2 AS depth, r0 + off * k AS r0
+       FROM o2 JOIN a1 USING (l1), k),
+a3 AS (SELECT l1 || '/' || l2 || '/' || l3 AS path, o3.value::DOUBLE AS value, 3 AS depth, r0 + off * k AS r0
+       FROM o3 JOIN a2 USING (l1, l2), k),
+raw AS (
+  SELECT path, depth, value, r0, r0 + value * k AS r1
+  FROM (SELECT path, depth, value, r0 FROM a1 UNION ALL SELECT path, depth, value, r0 FROM a2
+        UNION ALL SELECT path, depth, value, r0 FROM a3), k)
+"""
+    rings = 4 - top
+    body = f"""
+SELECT path, depth, round(value, 9) AS value,
+       round(CASE WHEN r1 < r0 THEN (r0 + r1) / 2 ELSE r0 END, 9) AS x0,
+       round(CASE WHEN r1 < r0 THEN (r0 + r1) / 2 ELSE r1 END, 9) AS x1,
+       round((depth - {top}) / {rings}::DOUBLE, 9) AS y0, round((depth - {top} + 1) / {rings}::DOUBLE, 9) AS y1
+FROM raw
+"""
+    return ctes, body
+
+
+sql("tree_leaves", "SELECT concat_ws('/', l1, l2, l3) AS path, value::DOUBLE AS value, first_seen FROM leaves", TREE)
+sql(
+    "tree_rollup",
+    """
+SELECT concat_ws('/', l1, l2, l3) AS path, 3 - bit_count(grouping(l1, l2, l3)::INTEGER)::INTEGER AS depth,
+       CASE WHEN grouping(l1) = 1 THEN 'root' WHEN grouping(l2) = 1 THEN l1 WHEN grouping(l3) = 1 THEN l2 ELSE l3 END AS name,
+       CASE WHEN grouping(l1) = 1 THEN NULL WHEN grouping(l2) = 1 THEN '' WHEN grouping(l3) = 1 THEN l1
+            ELSE l1 || '/' || l2 END AS parent,
+       sum(value)::DOUBLE AS value, min(first_seen) AS first_seen,
+       CASE WHEN grouping(l1) = 1 THEN count(DISTINCT l1) WHEN grouping(l2) = 1 THEN count(DISTINCT l2)
+            WHEN grouping(l3) = 1 THEN count(DISTINCT l3) ELSE 0 END AS n_children,
+       grouping(l3) = 0 AS is_leaf
+FROM leaves GROUP BY ROLLUP (l1, l2, l3)
+""",
+    TREE,
+)
+_ctes, _body = partition_sql("true", 0)
+sql("tree_partition", _body, TREE, _ctes)
+sql(
+    "tree_labels",
+    "SELECT concat_ws(' > ', 'root', l1, l2, l3) AS label, value FROM nodes",
+    TREE,
+    NODES,
+)
+_ctes, _body = partition_sql("l1 = 'EUROPE'", 1)
+sql("tree_subtree", _body, TREE, _ctes)
+sql(
+    "tree_ancestors",
+    """
+SELECT concat_ws('/', l1, l2, l3) AS path, step,
+       CASE step WHEN 0 THEN '' WHEN 1 THEN l1 WHEN 2 THEN l1 || '/' || l2 ELSE concat_ws('/', l1, l2, l3) END AS ancestor,
+       CASE step WHEN 0 THEN 'root' WHEN 1 THEN l1 WHEN 2 THEN l2 ELSE l3 END AS name
+FROM (SELECT l1, l2, l3, depth FROM nodes UNION ALL SELECT NULL, NULL, NULL, 0)
+JOIN (VALUES (0), (1), (2), (3)) AS t(step) ON step <= depth
+""",
+    TREE,
+    NODES,
+)
+
+# shared selection
+
+sql("select_series", "SELECT *, category IN ('Brand#7', 'Brand#9') AS lit FROM s", PART)
+sql("select_entities", "SELECT *, entity IN ('NATION_3', 'NATION_11') AS lit FROM ent", TRADE)
+sql(
+    "select_chords",
+    """
+SELECT *, source IN ('NATION_3', 'NATION_11') OR target IN ('NATION_3', 'NATION_11') AS lit FROM chords
+""",
+    TRADE,
+    CHORDS,
+)
+sql("select_nodes", "SELECT id, value, id IN ('la', 'the') AS lit FROM nodes", PAGES)
+sql("select_links", "SELECT *, source IN ('la', 'the') OR target IN ('la', 'the') AS lit FROM found", PAGES)
+sql(
+    "select_tree",
+    """
+, sel AS (SELECT * FROM nodes WHERE name IN ('BUILDING', 'NATION_7')),
+first AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY depth, f1, f2, f3) AS rn FROM sel) WHERE rn = 1),
+names AS (SELECT l1 AS n FROM first UNION SELECT l2 FROM first UNION SELECT l3 FROM first)
+SELECT concat_ws('/', l1, l2, l3) AS path, name,
+       name IN (SELECT n FROM names WHERE n IS NOT NULL)
+       OR EXISTS (SELECT 1 FROM sel WHERE sel.l1 = nodes.l1 AND (nodes.l2 IS NULL OR sel.l2 = nodes.l2)
+                  AND (nodes.l3 IS NULL OR sel.l3 = nodes.l3)) AS lit
+FROM nodes
+""",
+    TREE,
+    NODES,
+)
+sql("select_empty", "SELECT *, true AS lit FROM chords", TRADE, CHORDS)
+sql(
+    "select_toggle",
+    """
+SELECT coalesce(was, clicked) AS key
+FROM (SELECT DISTINCT n_name AS was FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000)
+FULL JOIN (SELECT DISTINCT n_name AS clicked FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000)
+  ON was = clicked
+WHERE was IS NULL OR clicked IS NULL
+""",
+)
+sql(
+    "select_remove",
+    """
+SELECT * FROM s
+WHERE category IN (SELECT category FROM s WHERE value < 1000 OR value > 1090) AND category <> 'Brand#7'
+""",
+    PART,
+)
+sql(
+    "key_dictionary",
+    """
+SELECT key, index, index % 10 AS "group"
+FROM (SELECT key, row_number() OVER (ORDER BY view, depth, f1, f2, f3) - 1 AS index
+      FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY view, depth, f1, f2, f3) AS rn FROM listed)
+      WHERE rn = 1)
+""",
+    PART,
+    TRADE,
+    PAGES.replace("rec AS", "page_rec AS").replace("FROM rec", "FROM page_rec").replace("nodes AS", "page_nodes AS"),
+    TREE.replace("rec AS", "cust_rec AS").replace("FROM rec", "FROM cust_rec"),
+    NODES,
+    """
+listed AS (
+  SELECT category AS key, 0 AS view, 0 AS depth, ord AS f1, NULL AS f2, NULL AS f3 FROM s
+  UNION ALL SELECT entity, 1, 0, first_seen, NULL, NULL FROM ent
+  UNION ALL SELECT id, 2, 0, first_seen, NULL, NULL FROM page_nodes WHERE id IS NOT NULL
+  UNION ALL SELECT name, 3, depth, f1, f2, f3 FROM nodes)
+""",
+)
+ORACLE["select_tree"] = ORACLE["select_tree"].replace("\n, sel AS", ", sel AS")
+
+# sources, profile, roles
+
+FIELDS = """
+fields AS (
+  SELECT * FROM (VALUES
+    ('ts', 'timestamp', false, 0), ('user_id', 'number', true, 1), ('event_type', 'string', false, 2),
+    ('value', 'number', true, 3), ('props', 'string', false, 4), ('entries', 'object', true, 5)
+  ) AS t(key, kind, is_numeric, position)),
+present AS (
+  SELECT 'ts' AS key, min(event_id) FILTER (ts IS NOT NULL) AS first_seen, count(*) FILTER (ts IS NULL) AS n_missing FROM events
+  UNION ALL SELECT 'user_id', min(event_id) FILTER (user_id IS NOT NULL), count(*) FILTER (user_id IS NULL) FROM events
+  UNION ALL SELECT 'event_type', min(event_id) FILTER (event_type IS NOT NULL), count(*) FILTER (event_type IS NULL) FROM events
+  UNION ALL SELECT 'value', min(event_id) FILTER (value IS NOT NULL), count(*) FILTER (value IS NULL) FROM events
+  UNION ALL SELECT 'props', min(event_id) FILTER (props IS NOT NULL), count(*) FILTER (props IS NULL) FROM events
+  UNION ALL SELECT 'entries', min(event_id) FILTER (props IS NOT NULL), count(*) FILTER (props IS NULL) FROM events)
+"""
+sql("ingest_lines", "SELECT event_id, event_type, value FROM events")
+sql(
+    "ingest_variants",
+    """
+SELECT key, kind, is_numeric, first_seen
+FROM present JOIN (
+  SELECT key, kind, is_numeric FROM fields UNION ALL SELECT 'event_id', 'number', true) USING (key)
+WHERE key IN ('event_type', 'value', 'entries') AND first_seen IS NOT NULL
+UNION ALL SELECT 'event_id', 'number', true, min(event_id) FROM events
+""",
+    FIELDS,
+)
+sql(
+    "profile_typed",
+    """
+SELECT key, kind, is_numeric, first_seen, position, n_missing
+FROM present JOIN fields USING (key) WHERE first_seen IS NOT NULL
+""",
+    FIELDS,
+)
+sql(
+    "profile_variant",
+    """
+SELECT key, CASE WHEN type IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') THEN 'number' WHEN type = 'VARCHAR' THEN 'string'
+                 ELSE lower(type) END AS kind,
+       type IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') AS is_numeric, event_id AS first_seen, 0 AS position
+FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY event_id) AS rn
+      FROM (SELECT event_id, key, json_type(props, '$."' || key || '"') AS type
+            FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events))
+      WHERE type <> 'NULL')
+WHERE rn = 1
+""",
+)
+sql(
+    "roles",
+    """
+SELECT view, part, key AS field, agg, CASE WHEN agg = 'entry_sum' THEN 'Sum of ' || key ELSE key END AS label,
+       any_field = false OR kind NOT IN ('array', 'object') AS bindable
+FROM fields JOIN present USING (key) JOIN (VALUES
+  ('series', 'category', 'value', true), ('links', 'entity', 'value', true), ('graph', 'node', 'value', true),
+  ('series', 'value', 'value', false), ('series', 'value', 'entry_sum', false), ('graph', 'strength', 'value', false),
+  ('hierarchy', 'level', 'value', false), ('hierarchy', 'size', 'value', false),
+  ('links', 'connections', 'value', false), ('graph', 'links', 'value', false)
+) AS o(view, part, agg, any_field)
+  ON any_field
+  OR (part = 'level' AND kind NOT IN ('array', 'object'))
+  OR (part IN ('connections', 'links') AND kind = 'array')
+  OR (agg = 'entry_sum' AND kind = 'object' AND is_numeric)
+  OR (part IN ('value', 'strength', 'size') AND agg = 'value' AND kind <> 'object' AND is_numeric)
+WHERE first_seen IS NOT NULL
+""",
+    FIELDS,
+)

@@ -250,13 +250,13 @@ def select_chords(spark, folder):
 @query
 def select_nodes(spark, folder):
     nodes = b.graph_board(spark, folder).nodes.select("id", "value")
-    return selection.flag_nodes(nodes, selection.keys(spark, [NODE, "The"]))
+    return selection.flag_nodes(nodes, selection.keys(spark, [NODE, "the"]))
 
 
 @query
 def select_links(spark, folder):
     found = b.graph_board(spark, folder).graph_links
-    return selection.flag_links(found, selection.keys(spark, [NODE, "The"]), ["ord", "pos"])
+    return selection.flag_links(found, selection.keys(spark, [NODE, "the"]), ["ord", "pos"])
 
 
 @query
