@@ -99,7 +99,7 @@ def test_large_key_tables_are_not_broadcast_by_hand(spark, monkeypatch, chords):
 
 
 def test_key_dictionary(spark, laid):
-    bars = series.rows(series_frame(spark), SeriesSpec("c", "v", "ord"))
+    bars = series.summary(series.rows(series_frame(spark), SeriesSpec("c", "v", "ord")))
     known = links.entities(links.tally(link_frame(spark), LinkSpec("c", "l", "ord")))
     nodes = graph.nodes(graph_frame(spark), GraphSpec("id", "l", "v", "ord"))
     got = rows(selection.key_dictionary(bars, known, nodes, laid, groups=4), "index", "key", "group")

@@ -10,6 +10,11 @@ from viewloom.plans.specs import BindingError
 SPEC = SeriesSpec("c", "v", "ord")
 
 
+def board(df):
+    rows_ = series.rows(df, SPEC)
+    return rows_, series.summary(rows_)
+
+
 def test_rows_are_not_grouped(spark):
     got = series.rows(series_frame(spark), SPEC)
     assert rows(got, "ord", "category", "value") == [(0, "A", 4.0), (1, "B", 16.0), (2, "A", 9.0), (3, "C", None)]
@@ -29,18 +34,18 @@ def test_entry_sum_of_structs(spark):
 
 def test_largest_passes_over_nan(spark):
     df = frame(spark, [(0, "A", float("nan")), (1, "B", 3.0)], "ord int, c string, v double")
-    assert rows(series.largest(series.rows(df, SPEC)), "largest") == [(3.0,)]
+    assert rows(series.largest(board(df)[1]), "largest") == [(3.0,)]
 
 
 def test_bands(spark):
-    got = rows(series.bands(series.rows(series_frame(spark), SPEC)), "category", "index", "start", "width")
+    got = rows(series.bands(board(series_frame(spark))[1]), "category", "index", "start", "width")
     assert [(c, i, round(s, 4), round(w, 4)) for c, i, s, w in got] == [
         ("A", 0, 0.2027, 1.8242), ("B", 1, 2.2295, 1.8242), ("C", 2, 4.2564, 1.8242),
     ]
 
 
 def test_lengths_are_true_to_area(spark):
-    got = series.lengths(series.rows(series_frame(spark), SPEC))
+    got = series.lengths(*board(series_frame(spark)))
     assert rows(got, "ord", "length") == [(0, 0.5), (1, 1.0), (2, 0.75), (3, None)]
 
 
@@ -56,18 +61,20 @@ def test_lengths_are_true_to_area(spark):
 )
 def test_length_edges(spark, values, expected):
     df = frame(spark, [(i, "A", v) for i, v in enumerate(values)], "ord int, c string, v double")
-    got = [v for _, v in rows(series.lengths(series.rows(df, SPEC)), "ord", "length")]
+    got = [v for _, v in rows(series.lengths(*board(df)), "ord", "length")]
     assert got == pytest.approx(expected)
 
 
 def test_overlay_shows_the_longest(spark):
-    got = series.overlay(series.rows(series_frame(spark), SPEC))
-    assert rows(got, "category", "value", "n_rows") == [("A", 9.0, 2), ("B", 16.0, 1), ("C", None, 1)]
+    got = series.overlay(board(series_frame(spark))[1])
+    assert rows(got, "category", "value", "n_rows", "length") == [
+        ("A", 9.0, 2, 0.75), ("B", 16.0, 1, 1.0), ("C", None, 1, None),
+    ]
 
 
 def test_bars_one_per_row_and_null_category_has_a_band(spark):
     df = frame(spark, [(0, None, 4.0), (1, "B", 16.0), (2, None, 1.0)], "ord int, c string, v double")
-    got = rows(series.bars(series.rows(df, SPEC)), "ord", "category", "length", "start")
+    got = rows(series.bars(*board(df)), "ord", "category", "length", "start")
     step = 2 * math.pi / 2.1
     assert got == [(0, None, 0.5, pytest.approx(0.1 * step)), (1, "B", 1.0, pytest.approx(1.1 * step)),
                    (2, None, 0.25, pytest.approx(0.1 * step))]

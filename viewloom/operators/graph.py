@@ -46,11 +46,13 @@ def nodes(df: DataFrame, spec: GraphSpec) -> DataFrame:
     )
 
 
-def links(df: DataFrame, spec: GraphSpec, drop_falsy: bool = True) -> DataFrame:
+def links(
+    df: DataFrame, spec: GraphSpec, node_rows: DataFrame | None = None, drop_falsy: bool = True
+) -> DataFrame:
     """Directed links (ord, pos, source, target, value 1) between known nodes, repeats kept.
 
     By default a link with a falsy end (0, empty text, false, NaN) is dropped, as its node
-    is not. Falsy ends go before the join.
+    is not. Falsy ends go before the join. `node_rows` are the known nodes, if at hand.
     """
     common = spec.check(df)
     listed = df.select(
@@ -60,8 +62,9 @@ def links(df: DataFrame, spec: GraphSpec, drop_falsy: bool = True) -> DataFrame:
     ).select("ord", "pos", "source", F.col("target").cast(common).alias("target"))
     if drop_falsy:
         listed = listed.where(~falsy(F.col("source"), common) & ~falsy(F.col("target"), common))
-    ids = df.select(F.col(spec.node).cast(common).alias("id")).distinct()
-    known = lookup(listed, ids, {"target": "id"}, "left_semi", ["ord", "pos"])
+    if node_rows is None:
+        node_rows = df.select(F.col(spec.node).cast(common).alias("id")).distinct()
+    known = lookup(listed, node_rows.select("id"), {"target": "id"}, "left_semi", ["ord", "pos"])
     return known.withColumn("value", F.lit(1))
 
 
@@ -103,7 +106,10 @@ def neighbour_text(node_rows: DataFrame, link_rows: DataFrame, part_size: int =
         alone.select("id", F.lit(0).cast("bigint").alias("part"), F.lit("None").alias("text"))
     )
     shown = node_rows.select("id", number_text(F.col("value")).alias("strength"))
-    return lookup(texts, shown, {"id": "id"}, "inner", ["part"]).select("id", "part", "strength", "text")
+    links_per_node = near.groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    counts = links_per_node.select("id", F.ceil(F.col("n") / part_size).alias("n_rows"))
+    named = lookup(texts, shown, {"id": "id"}, "inner", ["part"], counts=counts)
+    return named.select("id", "part", "strength", "text")
 
 
 def incident(link_rows: DataFrame, node: object) -> DataFrame:

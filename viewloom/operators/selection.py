@@ -135,7 +135,7 @@ def flag_tree(laid_out: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def key_dictionary(
-    series: DataFrame | None = None,
+    categories: DataFrame | None = None,
     known: DataFrame | None = None,
     node_rows: DataFrame | None = None,
     laid_out: DataFrame | None = None,
@@ -143,14 +143,14 @@ def key_dictionary(
 ) -> DataFrame:
     """One stable number per key over all views, in the order the views show them.
 
-    `group` repeats after `groups` keys, for callers that have so many marks to give.
-    All views must be ordered by columns of one type.
+    Takes the reduced tables: `series.summary`, `links.entities`, `graph.nodes` and
+    `hierarchy.layout`. `group` repeats after `groups` keys, for callers that have so many
+    marks to give. All views must be ordered by columns of one type.
     """
     parts = []
-    flat = [(series, "category", "ord"), (known, "entity", "first_seen"), (node_rows, "id", "first_seen")]
-    for view, (frame, key, seen) in enumerate(flat):
+    for view, (frame, key) in enumerate([(categories, "category"), (known, "entity"), (node_rows, "id")]):
         if frame is not None:
-            parts.append((frame, F.col(key), F.lit(view), F.lit(0), F.array(F.col(seen))))
+            parts.append((frame, F.col(key), F.lit(view), F.lit(0), F.array("first_seen")))
     if laid_out is not None:
         nodes = laid_out.where("depth > 0")
         parts.append((nodes, F.col("name"), F.lit(3), F.col("depth"), F.col("place")))

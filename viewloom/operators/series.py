@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from viewloom.functions.columns import area_true, entry_sum, measure, order_key, type_of, without_nan
 from viewloom.operators.skew import lookup, numbered
@@ -26,26 +26,32 @@ def rows(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     )
 
 
-def _largest(series: DataFrame) -> Column:
-    return F.max(without_nan(F.col("value"), type_of(series, "value")))
+def summary(series: DataFrame) -> DataFrame:
+    """Each category once: order of its first row, greatest value, number of rows.
 
-
-def largest(series: DataFrame) -> DataFrame:
-    """The greatest value of all rows, NaN left out."""
-    return series.agg(_largest(series).alias("largest"))
+    One pass over the rows, staged; the rest of the view is laid out from it. The greatest
+    value is also what is seen of a band when its bars lie over one another.
+    """
+    value = without_nan(F.col("value"), type_of(series, "value"))
+    return staged(
+        series.groupBy("category").agg(
+            F.min("ord").alias("first_seen"),
+            F.max(value).alias("value"),
+            F.count(F.lit(1)).alias("n_rows"),
+        )
+    )
 
 
-def categories(series: DataFrame) -> DataFrame:
-    """Each category once, with the order of its first row."""
-    return series.groupBy("category").agg(F.min("ord").alias("first_seen"))
+def largest(summed: DataFrame) -> DataFrame:
+    """The greatest value of all rows, NaN left out."""
+    return summed.agg(F.max("value").alias("largest"))
 
 
-def bands(series: DataFrame) -> DataFrame:
+def bands(summed: DataFrame) -> DataFrame:
     """Where each category's band starts on the circle, and how wide it is, in radians."""
-    distinct = staged(categories(series))
-    count = distinct.agg(F.count(F.lit(1))).scalar()
+    count = summed.agg(F.count(F.lit(1))).scalar()
     step = F.lit(2 * math.pi) / (count + PADDING)
-    return numbered(distinct, "first_seen").select(
+    return numbered(summed, "first_seen").select(
         "category",
         "index",
         (step * (F.col("index") + PADDING)).alias("start"),
@@ -53,27 +59,20 @@ def bands(series: DataFrame) -> DataFrame:
     )
 
 
-def lengths(series: DataFrame) -> DataFrame:
+def lengths(series: DataFrame, summed: DataFrame) -> DataFrame:
     """Bar length as a share of the radius, such that areas compare."""
     value = without_nan(F.col("value"), type_of(series, "value"))
-    return series.withColumn("length", area_true(value, largest(series).scalar()))
+    return series.withColumn("length", area_true(value, largest(summed).scalar()))
 
 
-def overlay(series: DataFrame) -> DataFrame:
-    """What is seen of each band when its bars lie over one another: the longest bar."""
-    return series.groupBy("category").agg(
-        _largest(series).alias("value"), F.count(F.lit(1)).alias("n_rows")
-    )
+def overlay(summed: DataFrame) -> DataFrame:
+    """The visible bar of each category: the longest of its bars."""
+    return lengths(summed, summed).select("category", "value", "n_rows", "length")
 
 
-def bars(series: DataFrame) -> DataFrame:
+def bars(series: DataFrame, summed: DataFrame) -> DataFrame:
     """Every row's bar: start and end angle, and length."""
-    placed = lookup(lengths(series), bands(series), {"category": "category"}, "inner", ["ord"])
-    return placed.select(
-        "ord",
-        "category",
-        "value",
-        "length",
-        F.col("start"),
-        (F.col("start") + F.col("width")).alias("end"),
-    )
+    measured = lengths(series, summed)
+    placed = lookup(measured, bands(summed), {"category": "category"}, "inner", ["ord"], counts=summed)
+    end = F.col("start") + F.col("width")
+    return placed.select("ord", "category", "value", "length", "start", end.alias("end"))

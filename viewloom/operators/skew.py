@@ -17,20 +17,26 @@ SLICES = 512  # a key with more than one SLICES-th of the rows is hot ...
 FLOOR = 100_000  # ... if it also has more rows than this; so many rows suit one task
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame | None:
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], names: Sequence[str], counts: DataFrame | None = None
+) -> DataFrame | None:
     """The hot keys under new names, each with the number of slots to deal it over.
 
     None if there are none. At most SLICES - 1 keys can be hot, so the largest
     SLICES - 1 counts hold them all, and the table is small enough for any broadcast.
+    `counts`, one row per key with `n_rows`, saves a pass where the counts are known.
     """
-    counts = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
-        F.count(F.lit(1)).alias("_rows")
+    if counts is None:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = counts.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("n_rows").alias("_rows")
     )
     largest = counts.where(F.col("_rows") > FLOOR).orderBy(F.desc("_rows")).limit(SLICES - 1)
     candidates = largest.collect()
     if not candidates:
         return None
-    per_slot = max(FLOOR, df.count() // SLICES)
+    total = counts.agg(F.sum("_rows")).first()[0]
+    per_slot = max(FLOOR, total // SLICES)
     hot = [(*row[:-1], -(-row["_rows"] // per_slot)) for row in candidates if row["_rows"] > per_slot]
     if not hot:
         return None
@@ -43,7 +49,12 @@ def _same(left: Sequence[str], right: Sequence[str]) -> Column:
 
 
 def lookup(
-    left: DataFrame, right: DataFrame, on: Mapping[str, str], how: str, spread: Sequence[str]
+    left: DataFrame,
+    right: DataFrame,
+    on: Mapping[str, str],
+    how: str,
+    spread: Sequence[str],
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join each left row to the right row with the same key (at most one per key).
 
@@ -51,13 +62,14 @@ def lookup(
     over its slots by a hash of the `spread` columns, and the right row of that key is
     repeated once per slot: fewer than 2 x SLICES added rows. No hint is given on the
     join itself: Spark broadcasts the right side if its measured size allows, else shuffles.
+    `counts` may give the left rows per key, as `n_rows`, where they are known already.
     """
     left_keys = list(on)
     hot_names, right_names = [f"_h{i}" for i in range(len(on))], [f"_r{i}" for i in range(len(on))]
     added = [c for c in right.columns if c not in on.values()]
     shown = [*left.columns, *([] if how == "left_semi" else added)]
     keyed = right.select(*[F.col(k).alias(r) for k, r in zip(on.values(), right_names)], *added)
-    hot = hot_keys(left, left_keys, hot_names)
+    hot = hot_keys(left, left_keys, hot_names, counts)
     if hot is None:
         return left.join(keyed, _same(left_keys, right_names), how).select(*shown)
 

@@ -44,11 +44,18 @@ class Dashboard:
     def series_rows(self) -> DataFrame:
         return series.rows(self.df, self._spec("series"))
 
+    @cached_property
+    def categories(self) -> DataFrame:
+        return series.summary(self.series_rows)
+
+    def bands(self) -> DataFrame:
+        return series.bands(self.categories)
+
     def bars(self) -> DataFrame:
-        return series.bars(self.series_rows)
+        return series.bars(self.series_rows, self.categories)
 
     def visible_bars(self) -> DataFrame:
-        return series.overlay(self.series_rows)
+        return series.overlay(self.categories)
 
     # links between entities
 
@@ -84,7 +91,7 @@ class Dashboard:
 
     @cached_property
     def graph_links(self) -> DataFrame:
-        return graph.links(self.df, self._spec("graph"))
+        return graph.links(self.df, self._spec("graph"), self.nodes)
 
     def neighbours(self) -> DataFrame:
         return graph.neighbours(self.graph_links)
@@ -127,7 +134,7 @@ class Dashboard:
         """One number per key over all bound views."""
         bound = self.specs
         return selection.key_dictionary(
-            self.series_rows if bound["series"] is not None else None,
+            self.categories if bound["series"] is not None else None,
             self.entities if bound["links"] is not None else None,
             self.nodes if bound["graph"] is not None else None,
             self.laid_out_tree if bound["hierarchy"] is not None else None,

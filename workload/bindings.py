@@ -85,6 +85,10 @@ def series_board(spark: SparkSession, folder: str) -> Dashboard:
     return Dashboard(parts(spark, folder), series=SERIES)
 
 
+def event_board(spark: SparkSession, folder: str) -> Dashboard:
+    return Dashboard(events(spark, folder), series=EVENT_SERIES)
+
+
 def link_board(spark: SparkSession, folder: str) -> Dashboard:
     return Dashboard(trade(spark, folder), links=LINKS)
 

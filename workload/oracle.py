@@ -48,7 +48,15 @@ FROM bands
     BANDS,
 )
 sql("series_lengths", f"SELECT ord, category, value, round({LENGTH}, 9) AS length FROM s, top", PART, TOP)
-sql("series_overlay", "SELECT category, max(value) AS value, count(*) AS n_rows FROM s GROUP BY category", PART)
+sql(
+    "series_overlay",
+    f"""
+SELECT category, value, n_rows, round({LENGTH}, 9) AS length
+FROM (SELECT category, max(value) AS value, count(*) AS n_rows FROM s GROUP BY category), top
+""",
+    PART,
+    TOP,
+)
 sql(
     "series_bars",
     f"""

@@ -48,34 +48,36 @@ def series_map_sum(spark, folder):
 
 @query
 def series_max(spark, folder):
-    return series.largest(series.rows(b.parts(spark, folder), b.SERIES))
+    return series.largest(b.series_board(spark, folder).categories)
 
 
 @query
 def series_categories(spark, folder):
-    return series.categories(series.rows(b.parts(spark, folder), b.SERIES))
+    return b.series_board(spark, folder).categories.select("category", "first_seen")
 
 
 @query
 def series_bands(spark, folder):
-    bands = series.bands(series.rows(b.parts(spark, folder), b.SERIES))
+    bands = b.series_board(spark, folder).bands()
     return bands.select("category", "index", r9("start", "start_angle"), r9("width"))
 
 
 @query
 def series_lengths(spark, folder):
-    rows = series.lengths(series.rows(b.parts(spark, folder), b.SERIES))
+    board = b.series_board(spark, folder)
+    rows = series.lengths(board.series_rows, board.categories)
     return rows.select("ord", "category", "value", r9("length"))
 
 
 @query
 def series_overlay(spark, folder):
-    return series.overlay(series.rows(b.parts(spark, folder), b.SERIES))
+    bars = b.series_board(spark, folder).visible_bars()
+    return bars.select("category", "value", "n_rows", r9("length"))
 
 
 @query
 def series_bars(spark, folder):
-    bars = series.bars(series.rows(b.events(spark, folder), b.EVENT_SERIES))
+    bars = b.event_board(spark, folder).bars()
     return bars.select(
         "ord", "category", "value", r9("length"), r9("start", "start_angle"), r9("end", "end_angle")
     )
@@ -297,7 +299,7 @@ def select_remove(spark, folder):
 def key_dictionary(spark, folder):
     trade = b.link_board(spark, folder)
     return selection.key_dictionary(
-        b.series_board(spark, folder).series_rows,
+        b.series_board(spark, folder).categories,
         trade.entities,
         b.graph_board(spark, folder).nodes,
         b.tree_board(spark, folder).laid_out_tree,
