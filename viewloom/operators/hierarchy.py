@@ -107,9 +107,10 @@ def layout(nodes: DataFrame, depth: int, top: int = 0) -> DataFrame:
     """
     root = nodes.where("depth = 0").select(F.sum("value").cast("double")).scalar()
     turn = F.coalesce(F.try_divide(F.lit(2 * math.pi), root), F.lit(0.0))
-    siblings = staged(
-        sum_before(nodes.where("depth > 0"), "first_seen", {"offset": F.col("value")}, by=["parent"])
-    )
+    parents = nodes.select(F.col("path").alias("parent"), "depth", F.col("n_children").alias("n_rows"))
+    below_root = nodes.where("depth > 0")
+    offset = {"offset": F.col("value")}
+    siblings = staged(sum_before(below_root, "first_seen", offset, by=["parent"], counts=parents))
     ord_type = T.ArrayType(nodes.schema["first_seen"].dataType)
     spread_value, spread_offset = F.col("value").cast("double"), F.col("offset").cast("double")
     start = F.col("base") + spread_offset * F.col("scale")
@@ -129,7 +130,8 @@ def layout(nodes: DataFrame, depth: int, top: int = 0) -> DataFrame:
             F.when(F.col("value") == 0, F.lit(0.0)).otherwise(F.col("scale")).alias("scale"),
             F.col("place").alias("above_place"),
         )
-        located = lookup(children, above, {"parent": "above"}, "inner", ["path"]).select(
+        counts = parents.where(F.col("depth") == level - 1)
+        located = lookup(children, above, {"parent": "above"}, "inner", ["path"], counts=counts).select(
             *nodes.columns,
             start.alias("raw0"),
             (start + spread_value * F.col("scale")).alias("raw1"),

@@ -126,9 +126,10 @@ def flag_tree(laid_out: DataFrame, selected: DataFrame) -> DataFrame:
     first = named.groupBy("name").agg(F.min_by("path", F.struct("depth", "place")).alias("path"))
     names = first.select(F.explode(F.concat(F.array(F.lit(ROOT)), "path")).alias("_lit_name")).distinct()
 
-    by_path = lookup(
-        nodes, paths.withColumn("_p", F.lit(True)), {"path": "_lit_path"}, "left", ["path"]
-    )
+    # a path occurs once on either side, a name may occur in any number of nodes
+    by_path = nodes.join(
+        paths.withColumn("_p", F.lit(True)), F.col("path") == F.col("_lit_path"), "left"
+    ).drop("_lit_path")
     by_name = lookup(by_path, names.withColumn("_n", F.lit(True)), {"name": "_lit_name"}, "left", ["path"])
     lit = F.coalesce("_p", "_n", F.lit(False))
     return by_name.select(*nodes.columns, lit.alias("lit"))

@@ -110,7 +110,11 @@ def _slice_of(order: str, cuts: str) -> Column:
 
 
 def sum_before(
-    df: DataFrame, order: str, sums: Mapping[str, Column], by: Sequence[str] = ()
+    df: DataFrame,
+    order: str,
+    sums: Mapping[str, Column],
+    by: Sequence[str] = (),
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per name in `sums`, the sum over the rows that come earlier in the same group.
 
@@ -119,12 +123,12 @@ def sum_before(
     slices: each has its own running sum, to which the total of the slices before it is
     added. Fewer than SLICES groups are cut, each into at most SLICES slices, so the table
     of slice totals is bounded and is broadcast. `df` is read several times: pass a staged
-    frame.
+    frame. `counts` may give the rows per group, as `n_rows`, where they are known already.
     """
     by = list(by)
     marks = [f"_g{i}" for i in range(len(by))]
     before = (Window.unboundedPreceding, -1)
-    hot = hot_keys(df, by, marks) if by else None
+    hot = hot_keys(df, by, marks, counts) if by else None
     if hot is None and (by or df.count() <= FLOOR):
         rows = Window.partitionBy(*by).orderBy(order).rowsBetween(*before)
         return df.select(

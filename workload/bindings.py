@@ -33,33 +33,30 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 def trade(spark: SparkSession, folder: str) -> DataFrame:
     """A record per line item: the customer's nation, and the nation it is supplied from."""
     nation = table(spark, folder, "nation")
-    buyers = (
-        table(spark, folder, "customer")
+    orders = (
+        table(spark, folder, "orders")
+        .join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("c_custkey", F.col("n_name").alias("customer_nation"))
-    )
-    sellers = (
-        table(spark, folder, "supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", F.array("n_name").alias("supplier_nations"))
+        .select("o_orderkey", F.col("n_name").alias("customer_nation"))
     )
-    orders = table(spark, folder, "orders").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-    return (
+    items = (
         table(spark, folder, "lineitem")
-        .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .select("l_orderkey", "customer_nation", "supplier_nations")
+        .join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .select("l_orderkey", F.array("n_name").alias("supplier_nations"))
     )
+    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """A record per page: the targets of its links in lower case; the first names the page."""
     targets = F.regexp_extract_all(F.lower("html"), F.lit('href="/([^"]*)"'), 1)
-    return table(spark, folder, "pages").select(
-        "page_id",
-        F.get(targets, F.lit(0)).alias("node"),
-        targets.alias("links"),
-        F.length("html").alias("strength"),
+    # explode a list of one list: filters on the targets then stay above, so that each
+    # page is searched once and not once per use
+    return (
+        table(spark, folder, "pages")
+        .select("page_id", F.length("html").alias("strength"), F.explode(F.array(targets)).alias("links"))
+        .select("page_id", F.get("links", F.lit(0)).alias("node"), "links", "strength")
     )
 
 
