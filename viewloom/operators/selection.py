@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from viewloom.functions.columns import shared_type, type_of
@@ -19,7 +20,8 @@ BROADCAST_KEYS = 100_000  # a key table of up to this many rows is broadcast, a
 
 
 def keys(spark: SparkSession, values: Iterable[object], key_type: str = "string") -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], f"key {key_type}")
+    """A key table of the given values, held by the JVM as a local relation."""
+    return spark.createDataFrame(pa.table({"key": list(values)})).select(F.col("key").cast(key_type))
 
 
 def add(selected: DataFrame, more: DataFrame) -> DataFrame:

@@ -3,23 +3,25 @@ cannot be split, and Spark reads it with one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROW_ORDER = "row_order"
 BAD_RECORD = "_corrupt_record"
 
 
-def _with_row_order(df: DataFrame) -> DataFrame:
-    """Add the row's place: file, block of the file, and rising number within the block.
+def row_order(file: str, block: str) -> Column:
+    """A row's place: file, block of the file, and rising number within the block.
 
     The number depends on how files are dealt to tasks, but within a block it always
     rises with the row, so the order is that of the files whatever the partitioning.
     """
-    place = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
+    return F.struct(
+        F.col(file).alias("file"), F.col(block).alias("block"), F.monotonically_increasing_id().alias("row")
     )
+
+
+def _with_row_order(df: DataFrame) -> DataFrame:
+    place = row_order("_metadata.file_path", "_metadata.file_block_start")
     return df.select("*", place.alias(ROW_ORDER))
 
 

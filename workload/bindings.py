@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from viewloom import Dashboard, GraphSpec, HierarchySpec, LinkSpec, Measure, SeriesSpec
 
@@ -17,8 +17,15 @@ SUPPLY = GraphSpec(
 TREE = HierarchySpec(["r_name", "n_name", "c_mktsegment"], "balance", "c_custkey")
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One of the tables. Its footers are read for the schema once, not once per query."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def parts(spark: SparkSession, folder: str) -> DataFrame:
