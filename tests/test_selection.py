@@ -91,8 +91,8 @@ def test_keys_of_another_kind_never_match(spark):
     assert lit(selection.flag_series(bars, selection.keys(spark, [2], "bigint")), "ord") == [(2,)]
 
 
-def test_large_key_tables_are_not_broadcast_by_hand(spark, monkeypatch, chords):
-    monkeypatch.setattr(selection, "BROADCAST_KEYS", 0)
+def test_large_key_tables_are_not_broadcast(spark, monkeypatch, chords):
+    monkeypatch.setattr(skew, "SMALL", 0)
     monkeypatch.setattr(skew, "FLOOR", 0)
     monkeypatch.setattr(skew, "SLICES", 4)
     assert lit(selection.flag_links(chords, picked(spark, "A")), "source", "target") == [("A", "B"), ("A", "C")]

@@ -13,6 +13,7 @@ from viewloom.operators.skew import hot_keys, lookup, numbered, sum_before
 def low_floor(monkeypatch):
     monkeypatch.setattr(skew, "FLOOR", 3)
     monkeypatch.setattr(skew, "SLICES", 8)
+    monkeypatch.setattr(skew, "SMALL", 0)
 
 
 def skewed(n=600, seed=3):
@@ -33,7 +34,9 @@ def test_no_hot_keys_below_the_floor(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
-def test_lookup_with_a_hot_key(spark, low_floor, how):
+@pytest.mark.parametrize("small", [0, 100])
+def test_lookup_with_a_hot_key(spark, low_floor, monkeypatch, how, small):
+    monkeypatch.setattr(skew, "SMALL", small)
     data = skewed() + [(1000 + i, None, 0) for i in range(300)]
     left = frame(spark, data, "o int, k string, v int")
     known = [("hot", 1), ("k1", 2), ("k2", 3), (None, 4), ("unused", 5)]

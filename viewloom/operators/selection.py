@@ -16,8 +16,6 @@ from viewloom.operators.hierarchy import ROOT
 from viewloom.operators.skew import lookup, numbered
 from viewloom.operators.staging import staged
 
-BROADCAST_KEYS = 100_000  # a key table of up to this many rows is broadcast, a larger one is not
-
 
 def keys(spark: SparkSession, values: Iterable[object], key_type: str = "string") -> DataFrame:
     """A key table of the given values, held by the JVM as a local relation."""
@@ -58,10 +56,7 @@ def _marked(
         return frame.withColumn(mark, F.lit(False))
     typed = distinct.select(F.col("key").cast(common).alias("_key"), F.lit(True).alias("_found"))
     keyed = frame.withColumn("_value", F.col(column).cast(common))
-    if count <= BROADCAST_KEYS:
-        joined = keyed.join(F.broadcast(typed), F.col("_value") == F.col("_key"), "left")
-    else:
-        joined = lookup(keyed, typed, {"_value": "_key"}, "left", spread)
+    joined = lookup(keyed, typed, {"_value": "_key"}, "left", spread, right_rows=count)
     return joined.select(*frame.columns, F.coalesce("_found", F.lit(False)).alias(mark))
 
 

@@ -1,9 +1,10 @@
 """Joins and running sums whose largest task stays small however the keys are spread.
 
-Each first counts its keys. Counting combines on the map side, so it is cheap even for a
-key that holds a third of all rows, and it reads the key columns only. Most often no key
-is hot and the plain join or window is planned. Otherwise the hot keys, fewer than SLICES
-of them whatever the data, are dealt over several tasks.
+Sizes are looked at before anything is planned. A small table is broadcast to the rows
+that look it up, which then stay where they are. Otherwise the keys are counted; counting
+combines on the map side, so it is cheap even for a key that holds a third of all rows,
+and it reads the key columns only. Most often no key is hot and the plain join or window
+is planned. Hot keys, fewer than SLICES of them whatever the data, are dealt over tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SLICES = 512  # a key with more than one SLICES-th of the rows is hot ...
 FLOOR = 100_000  # ... if it also has more rows than this; so many rows suit one task
+SMALL = 100_000  # a looked-up table of up to this many rows is broadcast
 
 
 def hot_keys(
@@ -55,20 +57,24 @@ def lookup(
     how: str,
     spread: Sequence[str],
     counts: DataFrame | None = None,
+    right_rows: int | None = None,
 ) -> DataFrame:
     """Join each left row to the right row with the same key (at most one per key).
 
-    Keys compare null-safely. `how` is inner, left or left_semi. A hot left key is dealt
-    over its slots by a hash of the `spread` columns, and the right row of that key is
-    repeated once per slot: fewer than 2 x SLICES added rows. No hint is given on the
-    join itself: Spark broadcasts the right side if its measured size allows, else shuffles.
-    `counts` may give the left rows per key, as `n_rows`, where they are known already.
+    Keys compare null-safely. `how` is inner, left or left_semi. The right side is counted
+    (pass a staged frame, or its number of rows) and broadcast if SMALL. A larger one is
+    joined by shuffle: a hot left key is dealt over its slots by a hash of the `spread`
+    columns, and the right row of that key is repeated once per slot, fewer than
+    2 x SLICES added rows. `counts` may give the left rows per key, as `n_rows`, where
+    they are known already.
     """
     left_keys = list(on)
     hot_names, right_names = [f"_h{i}" for i in range(len(on))], [f"_r{i}" for i in range(len(on))]
     added = [c for c in right.columns if c not in on.values()]
     shown = [*left.columns, *([] if how == "left_semi" else added)]
     keyed = right.select(*[F.col(k).alias(r) for k, r in zip(on.values(), right_names)], *added)
+    if (right.count() if right_rows is None else right_rows) <= SMALL:
+        return left.join(F.broadcast(keyed), _same(left_keys, right_names), how).select(*shown)
     hot = hot_keys(left, left_keys, hot_names, counts)
     if hot is None:
         return left.join(keyed, _same(left_keys, right_names), how).select(*shown)
