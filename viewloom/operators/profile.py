@@ -67,26 +67,17 @@ def typed_profile(df: DataFrame, order_by: Sequence[str], fields: Sequence[str]
     )
 
 
-def _coded_kind(value: Column) -> Column:
+def _coded_kind(value: Column, schema: Column) -> Column:
     """Kind as twice its place in KINDS, plus one if numeric; a fixed-width code keeps the
-    first-kind aggregate a hash aggregate. NULL for a null value."""
-    schema = F.schema_of_variant(value)
-    numeric_entries = F.coalesce(
-        F.forall(
-            F.map_values(F.try_variant_get(value, "$", "map<string,variant>")),
-            lambda entry: F.schema_of_variant(entry).rlike(NUMBER_SCHEMA),
-        ),
-        F.lit(False),
-    )
+    first-kind aggregate a hash aggregate. Not for null values."""
+    entries = F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
+    all_numbers = F.forall(entries, lambda entry: F.schema_of_variant(entry).rlike(NUMBER_SCHEMA))
     return (
         F.when(schema.rlike(NUMBER_SCHEMA), F.lit(2 * KINDS.index("number") + 1))
         .when(schema == "BOOLEAN", F.lit(2 * KINDS.index("boolean")))
         .when(schema.startswith("ARRAY"), F.lit(2 * KINDS.index("array")))
-        .when(
-            schema.startswith("OBJECT"),
-            F.lit(2 * KINDS.index("object")) + F.when(numeric_entries, 1).otherwise(0),
-        )
-        .when(schema != "VOID", F.lit(2 * KINDS.index("string")))
+        .when(schema.startswith("OBJECT"), F.lit(2 * KINDS.index("object")) + F.when(all_numbers, 1).otherwise(0))
+        .otherwise(F.lit(2 * KINDS.index("string")))
     )
 
 
@@ -99,9 +90,12 @@ def variant_profile(df: DataFrame, record: str, order_by: Sequence[str]) -> Data
     # only objects have fields; any other record adds none, as does an empty object
     fields = F.map_entries(F.try_variant_get(F.col(record), "$", "map<string,variant>"))
     entries = df.select(order_key(order_by).alias("ord"), F.explode(fields).alias("entry"))
-    coded = entries.select(
-        "ord", F.col("entry.key").alias("key"), _coded_kind(F.col("entry.value")).alias("code")
-    ).where("code is not null")
+    # the schema text is a column of its own, and no filter depends on it, so that it is
+    # made once per value
+    told = entries.where(~F.is_variant_null("entry.value")).select(
+        "ord", "entry.key", "entry.value", F.schema_of_variant("entry.value").alias("schema")
+    )
+    coded = told.select("ord", "key", _coded_kind(F.col("value"), F.col("schema")).alias("code"))
     first = coded.groupBy("key").agg(F.min_by("code", "ord").alias("code"), F.min("ord").alias("first_seen"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     return first.select(
