@@ -72,7 +72,7 @@ def test_links(case):
             before += cells[name, other]
     got = {e: (s, t) for e, s, t in rows(board.arcs(), "entity", "start", "end")}
     assert set(got) == set(arcs) and all(got[e] == pytest.approx(arcs[e]) for e in arcs)
-    sub = links.subarcs(board.chords())
+    sub = board.subarcs()
     assert {(a, b): o for a, b, o in rows(sub, "source", "target", "offset")} == offsets
     for r in board.ribbons().collect():
         assert place[r["source"]] <= place[r["target"]]

@@ -109,7 +109,8 @@ def dense(paired: DataFrame, known: DataFrame, most: int = 1000) -> DataFrame:
 def totals(paired: DataFrame, known: DataFrame) -> DataFrame:
     """Each entity's sum of links, and its share of all; 0 for an entity without links."""
     sums = matrix(paired).groupBy(F.col("source").alias("entity")).agg(F.sum("value").alias("links"))
-    everything = sums.agg(F.sum("links")).scalar()
+    both_ends = F.when(F.col("a") == F.col("b"), F.col("value")).otherwise(F.col("value") * 2)
+    everything = paired.agg(F.sum(both_ends)).scalar()
     total = F.coalesce(F.col("links"), F.lit(0))
     return known.join(sums, "entity", "left").select(
         "entity",
@@ -151,8 +152,12 @@ def chords(tallied: DataFrame, known: DataFrame) -> DataFrame:
     """One (source, target, value) per pair of entities; the source is the one seen first."""
     linked = tallied.where("value > 0").select("a", "b", "value")
     seen = known.select("entity", "first_seen")
-    one = lookup(linked, seen.withColumnRenamed("first_seen", "a_seen"), {"a": "entity"}, "inner", ["b"])
-    both = lookup(one, seen.withColumnRenamed("first_seen", "b_seen"), {"b": "entity"}, "inner", ["a"])
+    seen_a, seen_b = (seen.withColumnRenamed("first_seen", name) for name in ("a_seen", "b_seen"))
+    n, n_rows = known.count(), F.count(F.lit(1)).alias("n_rows")
+    one = lookup(linked, seen_a, {"a": "entity"}, "inner", ["b"], right_rows=n)
+    # counted before the first join, which drops rows but adds none
+    per_b = linked.groupBy("b").agg(n_rows)
+    both = lookup(one, seen_b, {"b": "entity"}, "inner", ["a"], counts=per_b, right_rows=n)
     forward = F.col("a_seen") <= F.col("b_seen")
 
     def pick(yes: str, no: str) -> Column:
@@ -186,9 +191,13 @@ def subarcs(ribboned: DataFrame) -> DataFrame:
 
 
 def ribbons(ribboned: DataFrame, arced: DataFrame) -> DataFrame:
-    """Both ends of each chord as angles: the parts from `subarcs` on the arcs from `arcs`."""
+    """Both ends of each chord as angles: the parts from `subarcs` on the arcs from `arcs`.
+
+    `ribboned` are the `chords`; pass them staged.
+    """
+    parts = _both_ways(ribboned, "source", "target").groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
     base = arced.select("entity", F.col("start").alias("arc_start"), "scale", F.col("index").alias("at"))
-    ends = lookup(subarcs(ribboned), base, {"source": "entity"}, "inner", ["target"])
+    ends = lookup(subarcs(ribboned), base, {"source": "entity"}, "inner", ["target"], counts=parts)
     start = F.col("arc_start") + F.col("offset") * F.col("scale")
     end = F.struct(
         F.col("at"),

@@ -69,7 +69,7 @@ class Dashboard:
 
     @cached_property
     def link_pairs(self) -> DataFrame:
-        return links.pairs(self.link_tally, self.entities)
+        return staged(links.pairs(self.link_tally, self.entities))
 
     def link_matrix(self) -> DataFrame:
         return links.matrix(self.link_pairs)
@@ -77,11 +77,15 @@ class Dashboard:
     def arcs(self) -> DataFrame:
         return links.arcs(self.link_pairs, self.entities)
 
+    @cached_property
     def chords(self) -> DataFrame:
-        return links.chords(self.link_tally, self.entities)
+        return staged(links.chords(self.link_tally, self.entities))
+
+    def subarcs(self) -> DataFrame:
+        return links.subarcs(self.chords)
 
     def ribbons(self) -> DataFrame:
-        return links.ribbons(self.chords(), self.arcs())
+        return links.ribbons(self.chords, self.arcs())
 
     # node/link graph
 
@@ -122,7 +126,7 @@ class Dashboard:
             views["series"] = selection.flag_series(self.series_rows, selected)
         if self.specs["links"] is not None:
             views["entities"] = selection.flag_entities(self.entities, selected)
-            views["chords"] = selection.flag_links(self.chords(), selected)
+            views["chords"] = selection.flag_links(self.chords, selected)
         if self.specs["graph"] is not None:
             views["nodes"] = selection.flag_nodes(self.nodes, selected)
             views["links"] = selection.flag_links(self.graph_links, selected, ["ord", "pos"])

@@ -117,12 +117,12 @@ def link_arcs(spark, folder):
 
 @query
 def link_pairs(spark, folder):
-    return b.link_board(spark, folder).chords().select("source", "target", "value")
+    return b.link_board(spark, folder).chords.select("source", "target", "value")
 
 
 @query
 def link_subarcs(spark, folder):
-    return links.subarcs(b.link_board(spark, folder).chords())
+    return b.link_board(spark, folder).subarcs()
 
 
 @query
@@ -133,7 +133,7 @@ def link_ribbons(spark, folder):
 
 @query
 def link_incident(spark, folder):
-    chords = b.link_board(spark, folder).chords().select("source", "target", "value")
+    chords = b.link_board(spark, folder).chords.select("source", "target", "value")
     return links.touching(chords, ENTITY)
 
 
@@ -245,7 +245,7 @@ def select_entities(spark, folder):
 
 @query
 def select_chords(spark, folder):
-    chords = b.link_board(spark, folder).chords().select("source", "target", "value")
+    chords = b.link_board(spark, folder).chords.select("source", "target", "value")
     return selection.flag_links(chords, selection.keys(spark, [ENTITY, "NATION_11"]))
 
 
@@ -270,7 +270,7 @@ def select_tree(spark, folder):
 
 @query
 def select_empty(spark, folder):
-    chords = b.link_board(spark, folder).chords().select("source", "target", "value")
+    chords = b.link_board(spark, folder).chords.select("source", "target", "value")
     return selection.flag_links(chords, selection.keys(spark, []))
 
 
