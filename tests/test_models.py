@@ -8,7 +8,7 @@ import pytest
 
 from tests.frames import frame, rows
 from viewloom import Dashboard, GraphSpec, HierarchySpec, LinkSpec, SeriesSpec
-from viewloom.operators import links, selection, skew
+from viewloom.operators import selection, skew
 
 SCHEMA = "ord bigint, c string, v double, l array<string>, l1 string, l2 string, l3 string"
 NAMES = ["a", "b", "c", "d", "e", "f", ""]
@@ -27,12 +27,17 @@ def records(seed, n=90):
     return out
 
 
-@pytest.fixture(params=[(1, False), (2, True)], ids=["plain", "dealt"])
-def case(request, spark, monkeypatch):
+@pytest.fixture(scope="module", params=[(1, False), (2, True)], ids=["plain", "dealt"])
+def case(request, spark):
     seed, dealt = request.param
-    if dealt:
-        for name, value in (("SMALL", 0), ("FLOOR", 3), ("SLICES", 8)):
-            monkeypatch.setattr(skew, name, value)
+    with pytest.MonkeyPatch.context() as patch:
+        if dealt:
+            for name, value in (("SMALL", 0), ("FLOOR", 3), ("SLICES", 8)):
+                patch.setattr(skew, name, value)
+        yield board_of(spark, seed)
+
+
+def board_of(spark, seed):
     data = records(seed)
     shuffled = random.Random(seed).sample(data, len(data))
     board = Dashboard(
