@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +14,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="viewloom-")
         context.setCheckpointDir(folder)
@@ -28,3 +29,19 @@ def staged(df: DataFrame) -> DataFrame:
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and go on from that table.
+
+    Unlike a checkpoint the table keeps its columns apart and knows its size: later reads
+    take only the columns and rows they need, and Spark can choose joins by size. The files
+    go when the session's file system closes.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
