@@ -1,20 +1,26 @@
 """SimHash near-dedup with bit-sliced comparison.
 
+Close fingerprints (`near_duplicates`), exactly:
+
 1. Every text gets a 64-bit fingerprint; equal fingerprints become one row at once.
 2. Fingerprints that differ in at most `RADIUS` = 2 bits agree in at least 6 of 8 bytes, so
    they share a bucket for at least one of the 28 choices of two bytes to leave out. A bucket
    holds distinct fingerprints that agree in 48 bits: 65,536 at the very most, for any data.
-3. Inside buckets the fingerprints are stored as bit planes (plane b holds bit b of all). One
-   pass of carry-save counters over the planes gives the distances of all rows to their
-   neighbour `lag` rows on, 64 rows to a word; words in which every row has passed the radius
-   are abandoned.
+3. Inside buckets the distances are counted on bit planes (bitslice).
 4. A linked pair is emitted in one bucket only. A fingerprint has at most 2,080 others within
    two bits, so links grow with the distinct fingerprints and not with their square.
 5. Links are joined to classes by distributed connected components.
+
+Similar texts (`similar`): texts that share a given part of their shingles are about ten of 64
+bits apart, where two bits find little. So these use 256 bits, the radius that belongs to the
+similarity, and buckets of agreeing bits drawn at random, as many as find a pair at the
+threshold with probability RECALL; each bucket emits the closest pairs that connect it, fewer
+than it has rows. The shingles of emitted pairs are then compared exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
+from viewloom.llm.bitslice import close_pairs, nearest_forest
 from viewloom.llm.common import raw_words
 from viewloom.llm.components import components
 from viewloom.operators.skew import lookup
@@ -33,6 +40,9 @@ RADIUS = 2
 BANDS = 8
 LEFT_OUT = list(combinations(range(BANDS), RADIUS))
 SEED = 42
+#: For similar texts: bits, how surely a pair at the threshold shares a bucket, rows aimed at in
+#: a bucket, and rows from which a bucket is split.
+WIDE, RECALL, BUCKET_ROWS, CROWD = 256, 0.99, 128, 4096
 
 
 def _mask(left_out: tuple[int, ...]) -> int:
@@ -41,38 +51,62 @@ def _mask(left_out: tuple[int, ...]) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-def _fingerprint(raw: bytes | None, size: int) -> int:
-    votes, total, tail = np.zeros(64, np.int64), 0, []
-    words: list[bytes] = []
+def _shingles(raw: bytes | None, size: int) -> Iterator[list[bytes]]:
+    """The shingles of a text, in lists of bounded size; fewer words make one, no words none."""
+    tail: list[bytes] = []
+    total = 0
     for words in raw_words((raw or b"").lower()):
         words = tail + words
         if len(words) >= size:
-            shingles = map(b" ".join, zip(*(words[i:] for i in range(size))))
-            hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64)
+            yield list(map(b" ".join, zip(*(words[i:] for i in range(size)))))
+            total += 1
+        tail = words[len(words) - size + 1 :] if len(words) >= size else words
+    if not total and tail:
+        yield [b" ".join(tail)]
+
+
+def _hashes(shingles: list[bytes], seed: int = SEED) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(s, seed) for s in shingles], np.uint64)
+
+
+def _fingerprint(raw: bytes | None, size: int, bits: int = 64) -> np.ndarray:
+    """`bits` // 64 words; a bit is 1 if it is set in over half of the shingles' hashes."""
+    votes, total = np.zeros((bits // 64, 64), np.int64), 0
+    for shingles in _shingles(raw, size):
+        for word in range(bits // 64):
+            hashes = _hashes(shingles, SEED + word)
             for at in range(0, len(hashes), 1 << 16):
                 some = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
-                votes += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            total += len(hashes)
-        tail = words[len(words) - size + 1 :] if len(words) >= size else words
-    if not total:
-        return xxhash.xxh64_intdigest(b" ".join(tail), SEED) if tail else 0
-    return int(np.packbits(votes * 2 > total, bitorder="little").view(np.uint64)[0])
+                votes[word] += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += len(shingles)
+    return np.packbits(votes * 2 > total, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _fingerprinted(rows: DataFrame, size: int) -> DataFrame:
-    """Replace the first column, a text, by its fingerprint `fp`; the others stay."""
+def _fingerprinted(rows: DataFrame, size: int, bits: int = 64) -> DataFrame:
+    """Replace the first column, a text, by its fingerprint `fp`: a long, or bytes if it is wider."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_fingerprint(raw, size) for raw in batch.column(0).to_pylist()]
-            fps = pa.array(np.array(found, np.uint64).view(np.int64))
+            found = [_fingerprint(raw, size, bits) for raw in batch.column(0).to_pylist()]
+            if bits == 64:
+                fps = pa.array(np.array(found, np.uint64).view(np.int64).ravel())
+            else:
+                fps = pa.array([x.tobytes() for x in found], pa.binary())
             yield pa.RecordBatch.from_arrays([fps, *batch.columns[1:]], ["fp", *batch.schema.names[1:]])
 
     text, *others = rows.columns
-    schema = StructType([StructField("fp", LongType()), *[rows.schema[c] for c in others]])
+    kind = F.lit(0).cast("long") if bits == 64 else F.lit(b"")
+    schema = StructType([rows.select(kind.alias("fp")).schema["fp"], *[rows.schema[c] for c in others]])
+    schema = StructType([StructField(f.name, f.dataType) for f in schema])
     return rows.withColumn(text, F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
+def _prints(docs: DataFrame, id_column: str, text_column: str, size: int, bits: int) -> DataFrame:
+    rows = docs.select(F.col(text_column).alias("_text"), F.col(id_column).alias("_id"))
+    return _fingerprinted(rows, size, bits).select(F.col("_id").alias(id_column), "fp")
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5) -> DataFrame:
     """Per row `id_column` and `fp`, the 64-bit fingerprint as a long.
 
@@ -80,63 +114,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     by spaces and counts as often as it occurs. Fewer words make one shingle; no word (null or
     empty text) gives 0.
     """
-    rows = docs.select(F.col(text_column).alias("_text"), F.col(id_column).alias("_id"))
-    return _fingerprinted(rows, size).select(F.col("_id").alias(id_column), "fp")
-
-
-def _planes(fps: np.ndarray) -> np.ndarray:
-    """64 bit vectors; word w of plane b holds bit b of the rows 64 w to 64 w + 63."""
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    padded = np.zeros((64, (len(fps) // 64 + 1) * 64), np.uint8)
-    padded[:, : len(fps)] = bits.T
-    return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
-
-
-def _shifted(words: np.ndarray, at: np.ndarray, lag: int) -> np.ndarray:
-    """The chosen words of a bit vector moved down by `lag` rows."""
-    skip, bits = divmod(lag, 64)
-    low = words[at + skip] >> np.uint64(bits)
-    return low | (words[at + skip + 1] << np.uint64(64 - bits)) if bits else low
-
-
-def close_pairs(fps: np.ndarray, bucket: np.ndarray, bands: tuple[int, ...], radius: int = RADIUS):
-    """Positions (i, j) of rows of one bucket that differ in at most `radius` bits of `bands`.
-
-    `fps` are uint64, `bucket` is sorted. The counter of each row has k bits and starts at
-    2**k - 1 - radius, so a carry out of the top bit tells that the distance passed the radius.
-    """
-    n, k = len(fps), radius.bit_length()
-    start = (1 << k) - 1 - radius
-    lags = int(np.unique(bucket, return_counts=True)[1].max(initial=1))
-    planes = _planes(fps)[[8 * band + bit for band in bands for bit in range(8)]]
-    planes = np.concatenate([planes, np.zeros((len(planes), lags // 64 + 2), np.uint64)], axis=1)
-    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
-    left, right = [], []
-    for lag in range(1, lags):
-        same = np.zeros((n // 64 + 1) * 64, np.uint8)
-        same[: n - lag] = bucket[lag:] == bucket[: n - lag]
-        alive = np.packbits(same, bitorder="little").view(np.uint64)
-        at = np.flatnonzero(alive)
-        if not len(at):
-            break
-        alive = alive[at]
-        counter = [np.full(len(at), ones if start >> bit & 1 else 0, np.uint64) for bit in range(k)]
-        for plane in planes:
-            carry = plane[at] ^ _shifted(plane, at, lag)
-            for bit in range(k):
-                counter[bit], carry = counter[bit] ^ carry, counter[bit] & carry
-            alive = alive & ~carry
-            if not alive.all():
-                go = np.flatnonzero(alive)
-                at, alive, counter = at[go], alive[go], [c[go] for c in counter]
-                if not len(at):
-                    break
-        hits = np.flatnonzero(np.unpackbits(alive.view(np.uint8), bitorder="little"))
-        rows = at[hits // 64] * 64 + hits % 64 if len(hits) else np.zeros(0, np.int64)
-        left.append(rows)
-        right.append(rows + lag)
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(left or none).astype(np.int64), np.concatenate(right or none).astype(np.int64)
+    return _prints(docs, id_column, text_column, size, 64)
 
 
 def _owner() -> np.ndarray:
@@ -148,29 +126,39 @@ def _owner() -> np.ndarray:
     return owner
 
 
+def _ends(new: np.ndarray) -> np.ndarray:
+    """Where the bucket of each row ends, from marks at each bucket's first row."""
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(new))
+    return np.repeat(ends, ends - starts)
+
+
+def _shared(new: np.ndarray) -> np.ndarray:
+    """Rows of buckets that have another row."""
+    last = np.append(new[1:], True)
+    return ~(new & last)
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of rows that come sorted by (choice, bucket); a bucket may span batches."""
     owner = _owner()
     masks = np.array([_mask(x) for x in LEFT_OUT], np.int64).view(np.uint64)
 
-    def compare(choice: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def compare(choice: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         keys = fps & masks[choice]
         new = np.ones(len(fps), bool)
         new[1:] = (choice[1:] != choice[:-1]) | (keys[1:] != keys[:-1])
-        bucket = np.cumsum(new)
-        shared = np.bincount(bucket, minlength=1)[bucket] > 1
-        choice, fps, bucket = choice[shared], fps[shared], bucket[shared]
-        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        shared = _shared(new)
+        choice, fps, new = choice[shared], fps[shared], new[shared]
         for one in np.unique(choice):
             rows = choice == one
             part = fps[rows]
-            i, j = close_pairs(part, bucket[rows], LEFT_OUT[one])
-            unequal = (part[i] ^ part[j]).view(np.uint8).reshape(-1, 8) != 0
-            own = owner[np.packbits(unequal, axis=1, bitorder="little").ravel()] == one if len(i) else np.zeros(0, bool)
-            a.append(part[i][own])
-            b.append(part[j][own])
-        pair = [pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)]
-        return pa.RecordBatch.from_arrays(pair, ["a", "b"])
+            bits = [8 * band + bit for band in LEFT_OUT[one] for bit in range(8)]
+            for i, j in close_pairs(part[:, None], _ends(new[rows]), RADIUS, bits):
+                unequal = (part[i] ^ part[j]).view(np.uint8).reshape(-1, 8) != 0
+                own = owner[np.packbits(unequal, axis=1, bitorder="little").ravel()] == one
+                pair = [pa.array(part[x][own].view(np.int64)) for x in (i, j)]
+                yield pa.RecordBatch.from_arrays(pair, ["a", "b"])
 
     held_choice, held_fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     for batch in batches:
@@ -181,9 +169,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = fps & masks[choice]
         last = (choice == choice[-1]) & (keys == keys[-1])
         cut = len(fps) - int(np.argmin(last[::-1])) if not last.all() else 0
-        yield compare(choice[:cut], fps[:cut])
+        yield from compare(choice[:cut], fps[:cut])
         held_choice, held_fps = choice[cut:], fps[cut:]
-    yield compare(held_choice, held_fps)
+    yield from compare(held_choice, held_fps)
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -196,6 +184,19 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "a long, b long")
 
 
+def _classed(prints: DataFrame, distinct: DataFrame, pairs: DataFrame, id_column: str) -> DataFrame:
+    """The rows of `prints` with component_id, the least id of the class, and its root."""
+    roots = components(pairs)
+    classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    least = classes.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
+    named = stored(classes.join(least, F.col("of") == F.col("root")).select("fp", "component_id", "root"))
+    return lookup(prints, named, {"fp": "fp"}, "inner", spread=[id_column], counts=distinct.select("fp", "n_rows"))
+
+
+def _distinct(prints: DataFrame, id_column: str) -> DataFrame:
+    return stored(prints.groupBy("fp").agg(F.min(id_column).alias("least"), F.count("*").alias("n_rows")))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5) -> DataFrame:
     """Per row: id, `fingerprint` (16 hex digits) and `component_id`, the least id of its class.
 
@@ -205,30 +206,182 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Repeated rows stay repeated. Other columns of `docs` are not looked at.
     """
     prints = stored(fingerprints(docs, id_column, text_column, size))
-    distinct = stored(prints.groupBy("fp").agg(F.min(id_column).alias("least"), F.count("*").alias("n_rows")))
-    roots = components(links(distinct))
-    classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    least = classes.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
-    named = stored(classes.join(least, F.col("of") == F.col("root")).select("fp", "component_id", "root"))
-    found = lookup(prints, named, {"fp": "fp"}, "inner", spread=[id_column], counts=distinct.select("fp", "n_rows"))
+    distinct = _distinct(prints, id_column)
+    found = _classed(prints, distinct, links(distinct), id_column)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return found.select(id_column, digits, "component_id", "root")
+    return found.select(id_column, digits, "component_id")
+
+
+def disagreement(similarity: float) -> float:
+    """The part of the bits in which two texts of that Jaccard similarity are expected to differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radius_for(similarity: float) -> int:
+    """Expected distance at the similarity, and two and a half standard deviations."""
+    q = disagreement(similarity)
+    return int(WIDE * q + 2.5 * math.sqrt(WIDE * q * (1 - q)))
 
 
-def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5) -> DataFrame:
-    """The rows of `docs` with the least id of their class, all columns kept.
+def keys_for(similarity: float, rows: int) -> list[np.ndarray]:
+    """The bits of each key: as many as make buckets of about BUCKET_ROWS, and so many keys that
+    a pair at the similarity shares one with probability RECALL."""
+    width = min(63, max(8, math.ceil(math.log2(max(rows, 1) / BUCKET_ROWS))))
+    found = (1 - disagreement(similarity)) ** width
+    random = np.random.default_rng(SEED)
+    count = math.ceil(math.log(1 - RECALL) / math.log(1 - found))
+    return [random.permutation(WIDE)[: width + 32] for _ in range(count)]
+
+
+def _keyed(distinct: DataFrame, keys: list[np.ndarray]) -> DataFrame:
+    """A row per fingerprint and key: choice, key (its bits), more (32 further bits), fp."""
+    width = len(keys[0]) - 32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = np.int64(1) << np.arange(width, dtype=np.int64)
+        further = np.int64(1) << np.arange(32, dtype=np.int64)
+        for batch in batches:
+            column = batch.column(0)
+            if not len(column):
+                continue
+            flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+            bits = np.unpackbits(flat, axis=1, bitorder="little").astype(np.int64)
+            for choice, some in enumerate(keys):
+                columns = [
+                    pa.array(np.full(len(column), choice, np.int32)), pa.array(bits[:, some[:width]] @ powers),
+                    pa.array(bits[:, some[width:]] @ further), column,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["choice", "key", "more", "fp"])
+
+    return distinct.select("fp").mapInArrow(run, "choice int, key long, more long, fp binary")
+
+
+def _forests(radius: int):
+    """Connecting pairs per bucket of rows sorted by (choice, key, part).
+
+    A bucket of more than CROWD rows is compared in overlapping blocks of its order, in which
+    rows that agree in more leading bits are neighbours; so memory and time a row are bounded.
+    """
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        marks = [rows.column(c).to_numpy() for c in ("choice", "key", "part")]
+        new = np.ones(len(fps), bool)
+        new[1:] = np.any([m[1:] != m[:-1] for m in marks], axis=0)
+        shared = _shared(new)
+        fps, new = fps[shared], new[shared]
+        i, j = nearest_forest(fps, _ends(new), radius) if len(fps) else (np.zeros(0, int), np.zeros(0, int))
+        pair = [pa.array([f.tobytes() for f in fps[x]], pa.binary()) for x in (i, j)]
+        return pa.RecordBatch.from_arrays(pair, ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            while held.num_rows > 2 * CROWD:
+                last = np.all([m == m[-1] for m in map(np.asarray, (held.column(c) for c in ("choice", "key", "part")))], axis=0)
+                begun = 0 if last.all() else held.num_rows - int(np.argmin(last[::-1]))
+                yield compare(held.slice(0, begun or 2 * CROWD))
+                held = held.slice(begun or CROWD)
+        if held is not None and held.num_rows:
+            yield compare(held)
+
+    return run
+
+
+def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of the distinct wide fingerprints `fp` within the radius of the similarity.
+
+    Enough to connect all close pairs that share a bucket; a pair may come more than once.
+    Buckets of more than CROWD rows, as a large group of near copies makes, are dealt over
+    tasks by 32 further bits.
+    """
+    keyed = _keyed(distinct, keys_for(similarity, distinct.count()))
+    crowded = stored(
+        keyed.groupBy(F.col("choice").alias("c"), F.col("key").alias("k")).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > CROWD)
+    )
+    counts = crowded.select(F.col("c").alias("choice"), F.col("k").alias("key"), "n_rows")
+    marked = lookup(keyed, crowded, {"choice": "c", "key": "k"}, "left", spread=["fp"], counts=counts)
+    part = F.when(F.col("n_rows").isNotNull(), F.col("more")).otherwise(0).alias("part")
+    rows = marked.select("choice", "key", part, "fp")
+    dealt = rows.repartition("choice", "key", "part").sortWithinPartitions("choice", "key", "part", "fp")
+    return dealt.mapInArrow(_forests(radius_for(similarity)), "a binary, b binary")
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Per text its wide fingerprint and its distinct shingles, as sorted hashes of 32 bits."""
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        prints = [_fingerprint(raw, size, WIDE).tobytes() for raw in texts]
+        sets = []
+        for raw in texts:
+            hashes = [np.unique(_hashes(s).astype(np.uint32)) for s in _shingles(raw, size)]
+            sets.append(np.unique(np.concatenate([*hashes, np.zeros(0, np.uint32)])).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(sets, pa.binary())], ["fp", "shingles"])
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+                if left is None or right is None:
+                    keep.append(True)
+                    continue
+                a, b = np.frombuffer(left, np.uint32), np.frombuffer(right, np.uint32)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
+def similar(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """Per row: id, `fp` (its wide fingerprint), `component_id`, the least id of its class, and `root`.
+
+    Texts whose distinct shingles have at least the given Jaccard similarity are linked, as far
+    as their fingerprints share a bucket (see RECALL); a class is all that can be reached. Every
+    link is checked on the shingles, unless a text has no id in any row. Texts without a word
+    are alike. Null ids, repeated rows and other columns as in `near_duplicates`.
+    """
+    prints = stored(_prints(docs, id_column, text_column, size, WIDE))
+    distinct = _distinct(prints, id_column)
+    pairs = candidates(distinct, similarity)
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).groupBy("end").agg(F.count("*").alias("n_rows"))
+    ends = stored(ends)
+    asked = distinct.join(ends, F.col("fp") == F.col("end"), "left_semi").select(F.col("least").alias("_least"))
+    rows = docs.select(F.col(text_column).cast("binary").alias("_text"), F.col(id_column).alias("_id"))
+    texts = rows.join(asked, F.col("_id") == F.col("_least"), "left_semi").select("_text")
+    sets = texts.mapInArrow(lambda batches: _sets(batches, size), "fp binary, shingles binary")
+    sets = stored(sets.groupBy("fp").agg(F.min("shingles").alias("shingles")))
+    left = sets.select(F.col("fp").alias("fa"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("fp").alias("fb"), F.col("shingles").alias("sb"))
+    with_left = lookup(pairs, left, {"a": "fa"}, "left", spread=["b"])
+    with_both = lookup(with_left, right, {"b": "fb"}, "left", spread=["a"])
+    checked = with_both.mapInArrow(_alike(similarity), "a binary, b binary")
+    return _classed(prints, distinct, checked, id_column)
+
+
+def representatives(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """Of each class of `similar` texts the row of `docs` with the least id, all columns kept.
 
     Of rows repeated with the class's id the one whose columns hash lowest stays. A class
     without any id keeps the row whose columns hash lowest.
     """
-    classes = near_duplicates(docs, id_column, text_column, size)
-    kept = classes.where(F.col(id_column) == F.col("component_id")).select("component_id").distinct()
+    classes = stored(similar(docs, id_column, text_column, size, similarity).select(F.col(id_column).alias("_of"), "fp", "component_id", "root"))
+    kept = classes.where(F.col("_of") == F.col("component_id")).select("component_id").distinct()
     rows = docs.select(F.col(text_column).alias("_text"), F.col(id_column).alias("_id"), F.struct("*").alias("_row"))
     first = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("_row"))) == 1
     named = rows.join(kept, F.col("_id") == F.col("component_id"), "left_semi").withColumn("_first", first)
 
-    without = classes.where("component_id IS NULL").select(F.conv("fingerprint", 16, -10).cast("long").alias("print"), "root").distinct()
-    nameless = _fingerprinted(rows.where("_id IS NULL"), size).join(without, F.col("fp") == F.col("print"))
+    without = classes.where("component_id IS NULL").select(F.col("fp").alias("_print"), "root").distinct()
+    nameless = _fingerprinted(rows.where("_id IS NULL"), size, WIDE).join(without, F.col("fp") == F.col("_print"))
     first = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("_row"))) == 1
     nameless = nameless.withColumn("_first", first)
     return named.where("_first").select("_row").union(nameless.where("_first").select("_row")).select("_row.*")
