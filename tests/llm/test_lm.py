@@ -82,5 +82,5 @@ def test_nothing_to_learn_from(spark):
     counts = neural_lm.count(empty.select("text"))
     model = neural_lm.train(empty.select("text"), counts)
     got = neural_lm.score(documents(spark, ["a b", None]), counts, model).collect()
-    assert all(r.base_score == 0 and r.score == 0 and r.n_known == 0 for r in got) and len(got) == 2
+    assert all(abs(r.base_score) < 1e-9 and abs(r.score) < 1e-5 and r.n_known == 0 for r in got) and len(got) == 2
     assert neural_lm.score(empty, counts, model).count() == 0

@@ -33,7 +33,9 @@ END = b""  # counted as a word; no word is empty
 ALPHA = 0.1
 CLASSES, WIDTH, CONTEXT = 511, 16, 2
 LONGEST = 64  # longer words are not made classes, so the model's size is bounded
-NOISE, NOISE_WEIGHT, BATCH, RATE, ROUNDS, SEED = 64, 10.0, 2048, 0.1, 2, 11
+NOISE, NOISE_WEIGHT, BATCH, RATE, ROUNDS, SEED = 64, 10.0, 512, 0.05, 2, 11
+LEAST_STEPS = 200  # a block of few triples is gone through again
+SHARES = 200_000  # a triple's count is cut into parts of at most this share of all tokens
 TRIPLES_BYTES = 32 << 20
 
 
@@ -164,7 +166,7 @@ class Trainer:
         self.log_noise = np.log(noise)
         self.cumulated = np.cumsum(noise)
         self.random = np.random.default_rng(seed)
-        self.squares = [np.full(x.shape, 0.1, np.float32) for x in (self.m.context, self.m.output, self.m.bias, self.m.position)]
+        self.squares = [np.full(x.shape, 1e-8, np.float32) for x in (self.m.context, self.m.output, self.m.bias, self.m.position)]
 
     def _step(self, k: int, rows, grad: np.ndarray) -> None:
         x = (self.m.context, self.m.output, self.m.bias, self.m.position)[k]
@@ -180,12 +182,18 @@ class Trainer:
         self.squares[k][distinct] += total * total
         x[distinct] += RATE * total / np.sqrt(self.squares[k][distinct])
 
-    def train(self, contexts: np.ndarray, targets: np.ndarray, weights: np.ndarray) -> None:
-        order = self.random.permutation(len(targets))
-        contexts, targets = contexts[order], targets[order]
-        weights = (weights[order] / weights.mean()).astype(np.float32)
-        for at in range(0, len(targets), BATCH):
-            self._batch(contexts[at : at + BATCH], targets[at : at + BATCH], weights[at : at + BATCH])
+    def train(self, contexts: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> None:
+        """Go through triples with their counts; a frequent triple is dealt over many batches."""
+        share = max(1, -(-int(counts.sum()) // SHARES))
+        parts = -(-counts // share)
+        rows = np.repeat(np.arange(len(targets)), parts)
+        weights = (counts / parts).astype(np.float32)
+        weights /= weights[rows].mean()
+        for _ in range(max(1, LEAST_STEPS * BATCH // max(BATCH, len(rows)))):
+            order = self.random.permutation(rows)
+            for at in range(0, len(order), BATCH):
+                some = order[at : at + BATCH]
+                self._batch(contexts[some], targets[some], weights[some])
 
     def _batch(self, contexts: np.ndarray, targets: np.ndarray, weights: np.ndarray) -> None:
         m = self.m
@@ -235,7 +243,7 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
                 triples = (context[:, 0] * rows + context[:, 1]) * rows + flat
                 distinct, n = np.unique(triples, return_counts=True)
                 pairs = distinct // rows
-                trainer.train(np.stack([pairs // rows, pairs % rows], axis=1), distinct % rows, n.astype(np.float64))
+                trainer.train(np.stack([pairs // rows, pairs % rows], axis=1), distinct % rows, n)
 
             for batch in batches:
                 for raw in batch.column(0).to_pylist():
