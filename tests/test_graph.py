@@ -1,3 +1,6 @@
+from collections import Counter
+from decimal import Decimal
+
 import pytest
 
 from tests.frames import frame, graph_frame, rows
@@ -84,3 +87,33 @@ def test_bindings_are_checked(spark):
     for bad in (GraphSpec("l", "l", "v", "ord"), GraphSpec("id", "v", "v", "ord"), GraphSpec("id", "l", "id", "ord")):
         with pytest.raises(BindingError):
             bad.check(df)
+
+
+def test_a_null_node_has_its_links_and_its_text_once(spark):
+    data = [(0, None, 1.0, [None, "a"]), (1, "a", 2.0, ["b"])]
+    df = frame(spark, data, "ord int, id string, v double, l array<string>")
+    spec = GraphSpec("id", "l", "v", "ord")
+    nodes, links = graph.nodes(df, spec), graph.links(df, spec, drop_falsy=False)
+    assert rows(links, "source", "target") == [(None, None), (None, "a")]
+    near = Counter((r["node"], r["neighbour"]) for r in graph.neighbours(links).collect())
+    assert near == {(None, None): 1, (None, "a"): 1, ("a", None): 1}
+    got = {r["id"]: r["text"] for r in graph.neighbour_text(nodes, links).collect()}
+    assert graph.neighbour_text(nodes, links).count() == 2 and got[None] == ", a" and got["a"] == ""
+
+
+def test_long_decimal_ids_stay_apart(spark):
+    ids = [9007199254740993, 9007199254740992]
+    df = frame(spark, [(i, n, 1.0, [Decimal(n)]) for i, n in enumerate(ids)], "ord int, id bigint, v double, l array<decimal(20,0)>")
+    spec = GraphSpec("id", "l", "v", "ord")
+    assert graph.nodes(df, spec).count() == 2
+    assert rows(graph.links(df, spec), "source", "target") == [(Decimal(n), Decimal(n)) for n in sorted(ids)]
+    wide = frame(spark, [], "ord int, id bigint, v double, l array<decimal(38,30)>")
+    with pytest.raises(BindingError):
+        spec.check(wide)
+
+
+@pytest.mark.parametrize("value, shown", [(0.0625, "0.063"), (0.0624, "0.062"), (-2.5005, "-2.501"), (1234567.0, "1,234,567"), (12.5, "12.5")])
+def test_number_text_rounds_halves_up(spark, value, shown):
+    df = frame(spark, [(0, "a", value, ["a"])], "ord int, id string, v double, l array<string>")
+    spec = GraphSpec("id", "l", "v", "ord")
+    assert rows(graph.neighbour_text(graph.nodes(df, spec), graph.links(df, spec)), "strength") == [(shown,)]

@@ -5,7 +5,7 @@ import pytest
 from tests.frames import frame, rows, tree_frame
 from viewloom import HierarchySpec
 from viewloom.operators import hierarchy
-from viewloom.operators.staging import staged
+from viewloom.operators.staging import stored
 from viewloom.plans.specs import BindingError
 
 SPEC = HierarchySpec(["l1", "l2"], "v", "ord")
@@ -13,7 +13,7 @@ ROOT, A, B, NONE = (), ("A",), ("B",), (None,)
 
 
 def nodes(df, spec=SPEC):
-    return staged(hierarchy.tree(hierarchy.leaves(df, spec), len(spec.levels)))
+    return stored(hierarchy.tree(hierarchy.leaves(df, spec), len(spec.levels)))
 
 
 def by_path(df, *columns):

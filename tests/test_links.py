@@ -34,11 +34,8 @@ def test_matrix_is_mirrored_and_self_links_count_twice(base):
     assert rows(links.matrix(base[0]), "source", "target", "value") == MATRIX
 
 
-def test_dense_has_all_cells_and_a_bound(base):
-    got = {r["source"]: [r[c] for c in "ABCD"] for r in links.dense(*base).collect()}
-    assert got == {"A": [0, 2, 1, 0], "B": [2, 2, 1, 0], "C": [1, 1, 0, 0], "D": [0, 0, 0, 0]}
-    with pytest.raises(BindingError):
-        links.dense(*base, most=3)
+def test_entities_straight_from_the_records(spark, base):
+    assert rows(links.first_rows(link_frame(spark), SPEC), "entity", "first_seen") == rows(base[1], "entity", "first_seen")
 
 
 def test_totals_and_shares(base):

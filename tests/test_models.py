@@ -32,7 +32,7 @@ def case(request, spark):
     seed, dealt = request.param
     with pytest.MonkeyPatch.context() as patch:
         if dealt:
-            for name, value in (("SMALL", 0), ("FLOOR", 3), ("SLICES", 8)):
+            for name, value in (("SMALL_ROWS", 0), ("ROWS_PER_TASK", 10)):
                 patch.setattr(skew, name, value)
         yield board_of(spark, seed)
 

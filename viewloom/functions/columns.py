@@ -18,15 +18,30 @@ def type_of(df: DataFrame, field: str) -> T.DataType:
     return df.select(F.col(field)).schema.fields[0].dataType
 
 
-def order_key(order_by: Sequence[str]) -> Column:
+# Decimal digits that hold any value of a whole-number type, and one for NULL.
+ORDER_DIGITS = {T.BooleanType: 1, T.ByteType: 4, T.ShortType: 6, T.IntegerType: 10, T.DateType: 10, T.LongType: 20}
+WIDEST = 38  # digits of the largest decimal
+
+
+def order_key(df: DataFrame, order_by: Sequence[str]) -> Column:
     """One comparable column for the row order.
 
-    A single column is kept as it is: a fixed-width order column keeps `min_by` and
-    `max_by` in hash aggregates, while a struct makes Spark sort the rows first.
+    A single column is kept as it is. Several whole-number, date or true/false columns are
+    packed into one decimal as long as their digits fit, so that `min`, `min_by` and `max_by`
+    stay hash aggregates. Others become a struct, for which Spark sorts the rows first.
     """
     if len(order_by) == 1:
         return F.col(order_by[0])
-    return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_by)])
+    digits = [ORDER_DIGITS.get(type(type_of(df, c))) for c in order_by]
+    if None in digits or sum(digits) > WIDEST:
+        return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_by)])
+    wide, packed = T.DecimalType(WIDEST, 0), F.lit(0).cast(T.DecimalType(WIDEST, 0))
+    for name, size in zip(order_by, digits):
+        value = F.unix_date(name) if isinstance(type_of(df, name), T.DateType) else F.col(name)
+        lowest = -(1 << 63) if size == 20 else -(1 << 31) if size == 10 else -(10 ** (size - 1)) // 2
+        place = F.coalesce(value.cast("bigint").cast(wide) - F.lit(str(lowest)).cast(wide) + 1, F.lit(0))
+        packed = (packed * F.lit(str(10**size)).cast(wide) + place).cast(wide)
+    return packed
 
 
 def without_nan(value: Column, dtype: T.DataType) -> Column:
@@ -105,8 +120,29 @@ def short_label(text: Column, limit: int = 15) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """Digits in groups of three, up to three decimals."""
-    return F.call_function("format_number", value.cast("double"), F.lit("#,##0.###"))
+    """Digits in groups of three, up to three decimals; halves round away from zero."""
+    return F.call_function("format_number", F.round(value.cast("double"), 3), F.lit("#,##0.###"))
+
+
+def kind_name(dtype: T.DataType) -> str:
+    """Kind of a key; keys of different kinds are never equal."""
+    if isinstance(dtype, T.StringType):
+        return "text"
+    return "number" if isinstance(dtype, T.NumericType) else dtype.typeName()
+
+
+def key_text(value: Column, dtype: T.DataType) -> Column:
+    """A key as text, such that keys of one kind are equal if and only if their texts are.
+
+    Whole numbers are printed alike in all number types: 2020, not 2020.0.
+    """
+    shown = value.cast("string")
+    if isinstance(dtype, FLOATING):
+        whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+        return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("double").cast("string"))
+    if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
+        return F.regexp_replace(shown, r"\.?0+$", "")
+    return shown
 
 
 def path_text(path: Column) -> Column:
@@ -115,12 +151,21 @@ def path_text(path: Column) -> Column:
 
 
 def shared_type(left: T.DataType, right: T.DataType) -> T.DataType | None:
-    """Type in which two key columns compare, or None where they can never be equal."""
+    """Type in which two key columns compare exactly, or None where they can never be equal.
+
+    Decimals and whole numbers compare as a decimal that holds both; None if none is wide
+    enough. Numbers compare as doubles only if one of them is floating.
+    """
     if left == right:
         return left
     if isinstance(left, T.StringType) and isinstance(right, T.StringType):
         return T.StringType()
-    if isinstance(left, T.NumericType) and isinstance(right, T.NumericType):
-        whole = isinstance(left, T.IntegralType) and isinstance(right, T.IntegralType)
-        return T.LongType() if whole else T.DoubleType()
-    return None
+    if not (isinstance(left, T.NumericType) and isinstance(right, T.NumericType)):
+        return None
+    if isinstance(left, FLOATING) or isinstance(right, FLOATING):
+        return T.DoubleType()
+    if isinstance(left, T.IntegralType) and isinstance(right, T.IntegralType):
+        return T.LongType()
+    whole, scale = zip(*[(t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (19, 0) for t in (left, right)])
+    precision = max(whole) + max(scale)
+    return T.DecimalType(precision, max(scale)) if precision <= WIDEST else None

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from viewloom.functions.columns import falsy, measure, number_text, or_zero, order_key
 from viewloom.operators.links import touching
 from viewloom.operators.skew import lookup, sum_before
-from viewloom.operators.staging import staged
+from viewloom.operators.staging import stored
 from viewloom.plans.specs import GraphSpec
+from viewloom.sources.records import in_order
 
 
 def nodes(df: DataFrame, spec: GraphSpec) -> DataFrame:
@@ -18,12 +19,13 @@ def nodes(df: DataFrame, spec: GraphSpec) -> DataFrame:
     the input is read once. A flat range puts every node half way.
     """
     common = spec.check(df)
+    df = in_order(df, spec.order)
     value, dtype = measure(df, spec.strength)
-    reduced = staged(
+    reduced = stored(
         df.select(
             F.col(spec.node).cast(common).alias("id"),
             or_zero(value, dtype).alias("value"),
-            order_key(spec.order).alias("ord"),
+            order_key(df, spec.order).alias("ord"),
         )
         .groupBy("id")
         .agg(
@@ -55,8 +57,9 @@ def links(
     is not. Falsy ends go before the join. `node_rows` are the known nodes, if at hand.
     """
     common = spec.check(df)
+    df = in_order(df, spec.order)
     listed = df.select(
-        order_key(spec.order).alias("ord"),
+        order_key(df, spec.order).alias("ord"),
         F.col(spec.node).cast(common).alias("source"),
         F.posexplode(spec.links).alias("pos", "target"),
     ).select("ord", "pos", "source", F.col("target").cast(common).alias("target"))
@@ -79,7 +82,7 @@ def neighbours(link_rows: DataFrame) -> DataFrame:
     """(node, neighbour) per link end, in either direction; a self-link gives the node once."""
     out = F.struct(F.col("source").alias("node"), F.col("target").alias("neighbour"))
     back = F.struct(F.col("target").alias("node"), F.col("source").alias("neighbour"))
-    ends = F.when(F.col("source") == F.col("target"), F.array(out)).otherwise(F.array(out, back))
+    ends = F.when(F.col("source").eqNullSafe(F.col("target")), F.array(out)).otherwise(F.array(out, back))
     return link_rows.select("ord", "pos", F.explode(ends).alias("end")).select("ord", "pos", "end.*")
 
 
@@ -90,7 +93,7 @@ def neighbour_text(node_rows: DataFrame, link_rows: DataFrame, part_size: int =
     task to hold all of its links. Most nodes have part 0 only; read in order and joined
     with ", ", the parts are the whole text.
     """
-    near = staged(
+    near = stored(
         neighbours(link_rows).select("node", "neighbour", F.struct("ord", "pos").alias("place"))
     )
     counted = sum_before(near, "place", {"rank": F.lit(1)}, by=["node"])
@@ -101,7 +104,8 @@ def neighbour_text(node_rows: DataFrame, link_rows: DataFrame, part_size: int =
         .agg(F.sort_array(F.collect_list(named)).alias("names"))
         .select("id", "part", F.array_join(F.col("names.name"), ", ", "").alias("text"))
     )
-    alone = node_rows.select("id").join(parts.where("part = 0"), "id", "left_anti")
+    linked = parts.where("part = 0").select(F.col("id").alias("_linked"))
+    alone = node_rows.select("id").join(linked, F.col("id").eqNullSafe(F.col("_linked")), "left_anti")
     texts = parts.unionByName(
         alone.select("id", F.lit(0).cast("bigint").alias("part"), F.lit("None").alias("text"))
     )

@@ -1,7 +1,8 @@
 """Hierarchy over chosen levels: leaves, rollup, layout, labels, drill-down.
 
 A node is named by its path, an array with one text per level. Arrays compare with NULL
-elements as equal, so a missing name is a node of its own and joins like any other.
+elements as equal, so a missing name is a node of its own and joins like any other. Beside
+it stand the kinds of the names (text, number, ...), one per level: 1 and "1" are two names.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from viewloom.functions.columns import coerced_measure, or_zero, order_key, path_text
+from viewloom.functions.columns import coerced_measure, key_text, kind_name, or_zero, order_key, path_text, type_of
 from viewloom.operators.skew import lookup, sum_before
-from viewloom.operators.staging import staged
+from viewloom.operators.staging import stored
 from viewloom.plans.specs import HierarchySpec
+from viewloom.sources.records import in_order
 
 ROOT = "root"
 
@@ -22,27 +24,36 @@ ROOT = "root"
 def leaves(df: DataFrame, spec: HierarchySpec) -> DataFrame:
     """One (path, value, first_seen) per path; of several rows the last one gives the value."""
     spec.check(df)
+    df = in_order(df, spec.order)
     value, dtype = coerced_measure(df, spec.value)
     names = [f"l{i}" for i in range(len(spec.levels))]
     grouped = (
         df.select(
             *[F.col(level).alias(n) for level, n in zip(spec.levels, names)],
             or_zero(value, dtype).alias("value"),
-            order_key(spec.order).alias("ord"),
+            order_key(df, spec.order).alias("ord"),
         )
         .groupBy(*names)
         .agg(F.max_by("value", "ord").alias("value"), F.min("ord").alias("first_seen"))
     )
-    path = F.array(*[F.col(n).cast("string") for n in names])
+    types = [type_of(df, level) for level in spec.levels]
+    path = F.array(*[key_text(F.col(n), t) for n, t in zip(names, types)])
     return grouped.select(path.alias("path"), "value", "first_seen")
 
 
-def tree(leaf_rows: DataFrame, depth: int) -> DataFrame:
+def kinds(df: DataFrame, spec: HierarchySpec) -> list[str]:
+    """The kind of the names on each level, from the schema."""
+    return [kind_name(type_of(df, level)) for level in spec.levels]
+
+
+def tree(leaf_rows: DataFrame, depth: int, level_kinds: Sequence[str] | None = None) -> DataFrame:
     """Every node with its value rolled up from the leaves, the root (empty path) included.
 
     Children are counted by letting each node add one to its parent in the same grouping,
-    so no node ever meets its children in one place.
+    so no node ever meets its children in one place. `level_kinds` are those of `kinds`; by
+    default all names are text.
     """
+    told = F.array(*[F.lit(k) for k in level_kinds or ["text"] * depth])
     names = [f"l{i}" for i in range(depth)]
     rolled = (
         leaf_rows.select(
@@ -81,6 +92,7 @@ def tree(leaf_rows: DataFrame, depth: int) -> DataFrame:
     name = F.when(size > 0, F.get("path", size - 1)).otherwise(F.lit(ROOT))
     return whole.select(
         "path",
+        F.slice(told, F.lit(1), size).alias("kinds"),
         size.alias("depth"),
         name.alias("name"),
         parent.alias("parent"),
@@ -102,48 +114,56 @@ def layout(nodes: DataFrame, depth: int, top: int = 0) -> DataFrame:
     Siblings follow one another in order of first appearance, inside their parent's angle.
     Children of a node of value 0 have no width. A node of negative value is drawn as the
     middle of its (backward) interval. `top` is the depth of the node drawn as the centre.
-    `place` orders the nodes of one depth as they are laid out. `nodes` is read once per
-    level: pass a staged frame.
+    `place` orders the nodes of one depth as they are laid out.
+
+    Offsets among siblings are summed first; a node starts where the offsets of its path
+    add up to. So all levels take one join, of nodes with the nodes on their paths, and one
+    grouping. `nodes` is read several times: pass a stored frame.
     """
     root = nodes.where("depth = 0").select(F.sum("value").cast("double")).scalar()
     turn = F.coalesce(F.try_divide(F.lit(2 * math.pi), root), F.lit(0.0))
-    parents = nodes.select(F.col("path").alias("parent"), "depth", F.col("n_children").alias("n_rows"))
-    below_root = nodes.where("depth > 0")
-    offset = {"offset": F.col("value")}
-    siblings = staged(sum_before(below_root, "first_seen", offset, by=["parent"], counts=parents))
-    ord_type = T.ArrayType(nodes.schema["first_seen"].dataType)
-    spread_value, spread_offset = F.col("value").cast("double"), F.col("offset").cast("double")
-    start = F.col("base") + spread_offset * F.col("scale")
-    located = nodes.where("depth = 0").select(
-        *nodes.columns,
-        F.lit(0.0).alias("raw0"),
-        F.lit(2 * math.pi).alias("raw1"),
-        turn.alias("scale"),
-        F.array().cast(ord_type).alias("place"),
-    )
-    rings = [located]
-    for level in range(1, depth + 1):
-        children = siblings.where(F.col("depth") == level)
-        above = located.select(
+    parents = nodes.select(F.col("path").alias("parent"), F.col("n_children").alias("n_rows"))
+    below_root = nodes.where("depth > 0").select("path", "parent", "value", "first_seen")
+    siblings = stored(
+        sum_before(below_root, "first_seen", {"offset": F.col("value")}, by=["parent"], counts=parents).select(
             F.col("path").alias("above"),
-            F.col("raw0").alias("base"),
-            F.when(F.col("value") == 0, F.lit(0.0)).otherwise(F.col("scale")).alias("scale"),
-            F.col("place").alias("above_place"),
-        )
-        counts = parents.where(F.col("depth") == level - 1)
-        located = lookup(children, above, {"parent": "above"}, "inner", ["path"], counts=counts).select(
-            *nodes.columns,
-            start.alias("raw0"),
-            (start + spread_value * F.col("scale")).alias("raw1"),
-            "scale",
-            F.concat("above_place", F.array("first_seen")).alias("place"),
+            F.col("offset").cast("double").alias("offset"),
+            F.col("value").cast("double").alias("size"),
+            F.col("first_seen").alias("seen"),
         )
-        if level < depth:
-            located = staged(located)
-        rings.append(located)
-    everything = rings[0]
-    for ring in rings[1:]:
-        everything = everything.unionByName(ring)
+    )
+    steps = nodes.where("depth > 0").select("path", F.explode(F.sequence(F.lit(1), "depth")).alias("step"))
+    steps = steps.withColumn("prefix", F.slice("path", F.lit(1), F.col("step")))
+    met = lookup(steps, siblings, {"prefix": "above"}, "inner")
+    along = F.sort_array(F.collect_list(F.struct("step", "offset", "size", "seen"))).alias("along")
+    paths = met.groupBy("path").agg(along)
+
+    # from the root down: where the node starts, and what an angle is worth there
+    begun = F.struct(F.lit(0.0).alias("at"), F.lit(1.0).alias("worth"), F.lit(1.0).alias("below"))
+    walked = F.aggregate(
+        "along",
+        begun,
+        lambda now, node: F.struct(
+            (now["at"] + node["offset"] * now["below"] * F.col("turn")).alias("at"),
+            now["below"].alias("worth"),
+            F.when(node["size"] == 0, F.lit(0.0)).otherwise(now["below"]).alias("below"),
+        ),
+    )
+    places = paths.withColumn("turn", turn).select(
+        F.col("path").alias("of"),
+        walked.alias("walked"),
+        F.col("turn"),
+        F.transform("along", lambda node: node["seen"]).alias("place"),
+    )
+    no_place = F.array().cast(T.ArrayType(nodes.schema["first_seen"].dataType))
+    top_node = nodes.where("depth = 0").select(
+        *nodes.columns, F.lit(0.0).alias("raw0"), F.lit(2 * math.pi).alias("raw1"), no_place.alias("place")
+    )
+    start, width = F.col("walked.at"), F.col("value").cast("double") * F.col("walked.worth") * F.col("turn")
+    placed = nodes.where("depth > 0").join(places, F.col("path") == F.col("of")).select(
+        *nodes.columns, start.alias("raw0"), (start + width).alias("raw1"), "place"
+    )
+    everything = top_node.unionByName(placed)
     backward, middle = F.col("raw1") < F.col("raw0"), (F.col("raw0") + F.col("raw1")) / 2
     ring_count = F.lit(float(depth - top + 1))
     return everything.where(F.col("depth") >= top).select(
@@ -179,9 +199,14 @@ def below(df: DataFrame, spec: HierarchySpec, prefix: Sequence[object]) -> DataF
 
 
 def subtree(df: DataFrame, spec: HierarchySpec, prefix: Sequence[object]) -> DataFrame:
-    """Drill-down: the node at `prefix` as centre and all below it, laid out anew."""
+    """Drill-down: the node at `prefix` as centre and all below it, laid out anew.
+
+    Records that were read with `numbered=False` get their order after the filter, which so
+    reaches their scan too.
+    """
     depth = len(spec.levels)
     if not 0 < len(prefix) <= depth:
         raise ValueError(f"prefix: one to {depth} names are needed")
-    nodes = staged(tree(leaves(below(df, spec, prefix), spec), depth))
+    kept = below(df, spec, prefix)
+    nodes = stored(tree(leaves(kept, spec), depth, kinds(kept, spec)))
     return layout(nodes, depth, top=len(prefix))

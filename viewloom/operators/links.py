@@ -10,15 +10,16 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from viewloom.functions.columns import order_key, short_label
-from viewloom.operators.skew import lookup, numbered, sum_before
-from viewloom.operators.staging import staged
-from viewloom.plans.specs import BindingError, LinkSpec
+from viewloom.operators.skew import is_small, lookup, numbered, sum_before
+from viewloom.operators.staging import stored
+from viewloom.plans.specs import LinkSpec
+from viewloom.sources.records import in_order
 
 PAD = 0.05  # radians left free between two entities' arcs
 
 
 def tally(df: DataFrame, spec: LinkSpec) -> DataFrame:
-    """All that the link view needs of the records, in one pass: a reduced, staged table.
+    """All that the link view needs of the records, in one pass: a reduced, stored table.
 
     One row per unordered pair (a, b): the number of links in either direction (a link of
     an entity to itself counts twice), and the order at which each end was first the
@@ -26,14 +27,15 @@ def tally(df: DataFrame, spec: LinkSpec) -> DataFrame:
     and value 0. Missing entities and missing targets are left out.
     """
     common = spec.check(df)
+    df = in_order(df, spec.order)
     linked = df.select(
         F.col(spec.entity).cast(common).alias("source"),
-        order_key(spec.order).alias("ord"),
+        order_key(df, spec.order).alias("ord"),
         F.explode_outer(spec.connections).alias("target"),
     ).select("source", "ord", F.col("target").cast(common).alias("target"))
     low, high = F.least("source", "target"), F.greatest("source", "target")
     weight = F.when(F.col("target").isNull(), 0).when(F.col("source") == F.col("target"), 2).otherwise(1)
-    return staged(
+    return stored(
         linked.where("source is not null")
         .groupBy(low.alias("a"), high.alias("b"))
         .agg(
@@ -44,6 +46,14 @@ def tally(df: DataFrame, spec: LinkSpec) -> DataFrame:
     )
 
 
+def first_rows(df: DataFrame, spec: LinkSpec) -> DataFrame:
+    """As `entities`, straight from the records: for when no links are asked for."""
+    common = spec.check(df)
+    df = in_order(df, spec.order)
+    named = df.select(F.col(spec.entity).cast(common).alias("entity"), order_key(df, spec.order).alias("ord"))
+    return named.where("entity is not null").groupBy("entity").agg(F.min("ord").alias("first_seen"))
+
+
 def entities(tallied: DataFrame) -> DataFrame:
     """Each entity once, with the order of its first row."""
     ends = F.array(
@@ -92,20 +102,6 @@ def matrix(paired: DataFrame) -> DataFrame:
     return _both_ways(paired, "a", "b")
 
 
-def dense(paired: DataFrame, known: DataFrame, most: int = 1000) -> DataFrame:
-    """The matrix with a column per entity, zeros included, for at most `most` entities.
-
-    More entities than that is an error, never a cut: use `matrix`, which has no bound.
-    """
-    names = known.orderBy("first_seen").select("entity").limit(most + 1).collect()
-    if len(names) > most:
-        raise BindingError(f"more than {most} entities: the dense form is not for this many")
-    columns = [r["entity"] for r in names]
-    cells = matrix(paired).groupBy("source").pivot("target", columns).agg(F.sum("value"))
-    filled = known.select(F.col("entity").alias("source")).join(cells, "source", "left")
-    return filled.na.fill(0)
-
-
 def totals(paired: DataFrame, known: DataFrame) -> DataFrame:
     """Each entity's sum of links, and its share of all; 0 for an entity without links."""
     sums = matrix(paired).groupBy(F.col("source").alias("entity")).agg(F.sum("value").alias("links"))
@@ -125,7 +121,7 @@ def arcs(paired: DataFrame, known: DataFrame, pad: float = PAD) -> DataFrame:
 
     Where the gaps alone would fill the circle, arcs have no length and gaps share it.
     """
-    summed = staged(totals(paired, known))
+    summed = stored(totals(paired, known))
     placed = sum_before(summed, "first_seen", {"index": F.lit(1), "before": F.col("total")})
     size = summed.agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("links"))
     n, links = size.select("n").scalar(), size.select("links").scalar()
@@ -153,11 +149,11 @@ def chords(tallied: DataFrame, known: DataFrame) -> DataFrame:
     linked = tallied.where("value > 0").select("a", "b", "value")
     seen = known.select("entity", "first_seen")
     seen_a, seen_b = (seen.withColumnRenamed("first_seen", name) for name in ("a_seen", "b_seen"))
-    n, n_rows = known.count(), F.count(F.lit(1)).alias("n_rows")
-    one = lookup(linked, seen_a, {"a": "entity"}, "inner", ["b"], right_rows=n)
+    small, n_rows = is_small(seen), F.count(F.lit(1)).alias("n_rows")
+    one = lookup(linked, seen_a, {"a": "entity"}, "inner", ["b"], small=small)
     # counted before the first join, which drops rows but adds none
     per_b = linked.groupBy("b").agg(n_rows)
-    both = lookup(one, seen_b, {"b": "entity"}, "inner", ["a"], counts=per_b, right_rows=n)
+    both = lookup(one, seen_b, {"b": "entity"}, "inner", ["a"], counts=per_b, small=small)
     forward = F.col("a_seen") <= F.col("b_seen")
 
     def pick(yes: str, no: str) -> Column:
@@ -178,7 +174,7 @@ def subarcs(ribboned: DataFrame) -> DataFrame:
     Equal counts come in the order in which the targets were first seen.
     """
     ends = _both_ways(ribboned, "source", "target", ("source_seen", "target_seen"))
-    ranked = staged(
+    ranked = stored(
         ends.select(
             "source",
             "target",
@@ -193,30 +189,42 @@ def subarcs(ribboned: DataFrame) -> DataFrame:
 def ribbons(ribboned: DataFrame, arced: DataFrame) -> DataFrame:
     """Both ends of each chord as angles: the parts from `subarcs` on the arcs from `arcs`.
 
-    `ribboned` are the `chords`; pass them staged.
+    `ribboned` are the `chords`; pass them stored.
     """
     parts = _both_ways(ribboned, "source", "target").groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
     base = arced.select("entity", F.col("start").alias("arc_start"), "scale", F.col("index").alias("at"))
     ends = lookup(subarcs(ribboned), base, {"source": "entity"}, "inner", ["target"], counts=parts)
     start = F.col("arc_start") + F.col("offset") * F.col("scale")
-    end = F.struct(
-        F.col("at"),
-        F.col("source").alias("entity"),
+    cut = ends.select(
+        F.least("source", "target").alias("a"),
+        F.greatest("source", "target").alias("b"),
+        "source",
+        "value",
+        "at",
         start.alias("start"),
         (start + F.col("value") * F.col("scale")).alias("end"),
     )
-    pair = [F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "value"]
-    both = ends.select(*pair, end.alias("end")).groupBy("a", "b", "value").agg(
-        F.min("end").alias("first"), F.max("end").alias("second")
-    )
+    # each pair has a row from either end (one if both are the same entity); the ends' numbers
+    # and angles are of fixed width, so this stays a hash aggregate
+    sides = [
+        F.max(F.when(F.col("source") == F.col(side), F.col(c))).alias(f"{side}_{c}")
+        for side in ("a", "b")
+        for c in ("at", "start", "end")
+    ]
+    both = cut.groupBy("a", "b", "value").agg(*sides)
+    forward = F.col("a_at") <= F.col("b_at")
+
+    def pick(yes: str, no: str, name: str) -> Column:
+        return F.when(forward, F.col(yes)).otherwise(F.col(no)).alias(name)
+
     return both.select(
-        F.col("first.entity").alias("source"),
-        F.col("second.entity").alias("target"),
+        pick("a", "b", "source"),
+        pick("b", "a", "target"),
         "value",
-        F.col("first.start").alias("source_start"),
-        F.col("first.end").alias("source_end"),
-        F.col("second.start").alias("target_start"),
-        F.col("second.end").alias("target_end"),
+        pick("a_start", "b_start", "source_start"),
+        pick("a_end", "b_end", "source_end"),
+        pick("b_start", "a_start", "target_start"),
+        pick("b_end", "a_end", "target_end"),
     )
 
 

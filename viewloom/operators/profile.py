@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from viewloom.functions.columns import order_key
 from viewloom.plans.specs import is_numeric_object
+from viewloom.sources.records import ROW_ORDER
 
 # Kinds of values, and the schema text by which a variant value of each kind starts.
 KINDS = ("string", "number", "boolean", "array", "object")
@@ -35,10 +36,11 @@ def typed_profile(df: DataFrame, order_by: Sequence[str], fields: Sequence[str]
     """Profile of typed columns: (key, kind, is_numeric, first_seen, position, n_missing).
 
     Kinds come from the schema; one aggregate over the rows finds where each field is
-    first present. A field that is never present is not listed.
+    first present. A field that is never present is not listed. All fields of the data are
+    profiled, the order columns too; only the reader's own `row_order` is left out.
     """
-    names = list(fields) if fields is not None else [c for c in df.columns if c not in order_by]
-    place = order_key(order_by)
+    names = list(fields) if fields is not None else [c for c in df.columns if c != ROW_ORDER]
+    place = order_key(df, order_by)
     found = []
     for i, name in enumerate(names):
         column = F.col(f"`{name}`")
@@ -89,7 +91,7 @@ def variant_profile(df: DataFrame, record: str, order_by: Sequence[str]) -> Data
     """
     # only objects have fields; any other record adds none, as does an empty object
     fields = F.map_entries(F.try_variant_get(F.col(record), "$", "map<string,variant>"))
-    entries = df.select(order_key(order_by).alias("ord"), F.explode(fields).alias("entry"))
+    entries = df.select(order_key(df, order_by).alias("ord"), F.explode(fields).alias("entry"))
     # the schema text is a column of its own, and no filter depends on it, so that it is
     # made once per value
     told = entries.where(~F.is_variant_null("entry.value")).select(

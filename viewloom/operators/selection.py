@@ -1,20 +1,22 @@
 """One shared set of selected keys, and what it lights up in each view.
 
-An empty selection lights everything.
+An empty selection lights everything. Keys are equal if they are equal in kind and in value:
+the number 2020 lights the number 2020, in whichever number type, and never the text "2020".
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from viewloom.functions.columns import shared_type, type_of
+from viewloom.functions.columns import key_text, kind_name, shared_type, type_of
 from viewloom.operators.hierarchy import ROOT
-from viewloom.operators.skew import lookup, numbered
-from viewloom.operators.staging import staged
+from viewloom.operators.skew import is_small, lookup, numbered
+from viewloom.operators.staging import stored
 
 
 def keys(spark: SparkSession, values: Iterable[object], key_type: str = "string") -> DataFrame:
@@ -42,92 +44,116 @@ def toggle(selected: DataFrame, clicked: DataFrame) -> DataFrame:
     return sides.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("key")
 
 
-def _usable(selected: DataFrame) -> tuple[DataFrame, int]:
-    """Distinct non-null keys, and their number."""
-    distinct = selected.select("key").where("key is not null").distinct()
-    return distinct, distinct.count()
+@dataclass(frozen=True)
+class Picked:
+    """The distinct keys of a selection, stored, measured once and shared by all views."""
 
+    table: DataFrame
+    empty: bool
+    small: bool
 
-def _marked(
-    frame: DataFrame, column: str, distinct: DataFrame, count: int, mark: str, spread: Sequence[str]
-) -> DataFrame:
-    common = shared_type(type_of(frame, column), type_of(distinct, "key"))
+    @property
+    def dtype(self) -> T.DataType:
+        return self.table.schema["key"].dataType
+
+
+def picked(selected: DataFrame | Picked) -> Picked:
+    """Store and measure the keys of a selection, for use by several flags."""
+    if isinstance(selected, Picked):
+        return selected
+    table = stored(selected.select("key").where("key is not null").distinct())
+    return Picked(table, table.isEmpty(), is_small(table))
+
+
+def _marked(frame: DataFrame, column: str, keys: Picked, mark: str, spread: Sequence[str] | None) -> DataFrame:
+    common = shared_type(type_of(frame, column), keys.dtype)
     if common is None:  # values of different kinds are never equal
         return frame.withColumn(mark, F.lit(False))
-    typed = distinct.select(F.col("key").cast(common).alias("_key"), F.lit(True).alias("_found"))
+    # a key that the shared type cannot hold equals none of the column's values
+    typed = keys.table.select(F.col("key").try_cast(common).alias("_key")).where("_key is not null").distinct()
+    typed = typed.withColumn("_found", F.lit(True))
     keyed = frame.withColumn("_value", F.col(column).cast(common))
-    joined = lookup(keyed, typed, {"_value": "_key"}, "left", spread, right_rows=count)
+    joined = lookup(keyed, typed, {"_value": "_key"}, "left", spread, small=keys.small)
     return joined.select(*frame.columns, F.coalesce("_found", F.lit(False)).alias(mark))
 
 
 def flag(
-    frame: DataFrame, columns: Sequence[str], selected: DataFrame, spread: Sequence[str] | None = None
+    frame: DataFrame, columns: Sequence[str], selected: DataFrame | Picked, spread: Sequence[str] | None = None
 ) -> DataFrame:
     """Add `lit`: any of the columns holds a selected key, or nothing is selected.
 
-    `spread` names columns that tell rows of one key apart; by default the key columns.
+    `spread` names columns that tell rows of one key apart; by default the whole row does.
     """
-    distinct, count = _usable(selected)
-    if count == 0:
+    keys = picked(selected)
+    if keys.empty:
         return frame.withColumn("lit", F.lit(True))
     marked, marks = frame, []
     for i, column in enumerate(columns):
         marks.append(f"_m{i}")
-        marked = _marked(marked, column, distinct, count, marks[-1], spread or list(columns))
+        marked = _marked(marked, column, keys, marks[-1], spread)
     lit = reduce(lambda a, b: a | b, [F.col(m) for m in marks])
     return marked.select(*frame.columns, lit.alias("lit"))
 
 
 def only(
-    frame: DataFrame, columns: Sequence[str], selected: DataFrame, spread: Sequence[str] | None = None
+    frame: DataFrame, columns: Sequence[str], selected: DataFrame | Picked, spread: Sequence[str] | None = None
 ) -> DataFrame:
     """The lit rows alone."""
     return flag(frame, columns, selected, spread).where("lit").drop("lit")
 
 
-def flag_series(series: DataFrame, selected: DataFrame) -> DataFrame:
+def flag_series(series: DataFrame, selected: DataFrame | Picked) -> DataFrame:
     return flag(series, ["category"], selected, ["ord"])
 
 
-def flag_entities(known: DataFrame, selected: DataFrame) -> DataFrame:
+def flag_entities(known: DataFrame, selected: DataFrame | Picked) -> DataFrame:
     return flag(known, ["entity"], selected)
 
 
-def flag_links(linked: DataFrame, selected: DataFrame, spread: Sequence[str] | None = None) -> DataFrame:
+def flag_links(linked: DataFrame, selected: DataFrame | Picked, spread: Sequence[str] | None = None) -> DataFrame:
     """Chords and graph links: lit if either end is selected."""
     return flag(linked, ["source", "target"], selected, spread)
 
 
-def flag_nodes(node_rows: DataFrame, selected: DataFrame) -> DataFrame:
+def flag_nodes(node_rows: DataFrame, selected: DataFrame | Picked) -> DataFrame:
     return flag(node_rows, ["id"], selected)
 
 
-def flag_tree(laid_out: DataFrame, selected: DataFrame) -> DataFrame:
+def flag_tree(laid_out: DataFrame, selected: DataFrame | Picked) -> DataFrame:
     """Light tree nodes, given `hierarchy.layout`.
 
     Lit are the nodes with a selected name and all their ancestors; and every node that
     shares its name with an ancestor (or the node itself) of the first node, top ring
-    first, that carries a selected name.
+    first, that carries a selected name. Names are equal if they are in kind and value.
     """
-    distinct, count = _usable(selected)
+    keys = picked(selected)
     nodes = laid_out.where("depth > 0")
-    if count == 0:
+    if keys.empty:
         return nodes.withColumn("lit", F.lit(True))
-    named = staged(
-        _marked(
-            laid_out.select("path", "depth", "name", "place"), "name", distinct, count, "_hit", ["path"]
-        ).where("_hit")
-    )
+    kind = F.element_at("kinds", -1)
+    wanted = keys.table.select(key_text(F.col("key"), keys.dtype).alias("_key")).distinct()
+    named = stored(
+        lookup(
+            nodes.where(kind == kind_name(keys.dtype)).select("path", "kinds", "depth", "name", "place"),
+            wanted, {"name": "_key"}, "left_semi", ["path"], small=keys.small,
+        )
+    )
     upward = named.select(F.explode(F.sequence(F.lit(0), "depth")).alias("k"), "path")
     paths = upward.select(F.slice("path", F.lit(1), F.col("k")).alias("_lit_path")).distinct()
-    first = named.groupBy("name").agg(F.min_by("path", F.struct("depth", "place")).alias("path"))
-    names = first.select(F.explode(F.concat(F.array(F.lit(ROOT)), "path")).alias("_lit_name")).distinct()
+    way = F.struct("path", "kinds")
+    first = named.groupBy("name").agg(F.min_by(way, F.struct("depth", "place")).alias("way"))
+    root = F.array(F.struct(F.lit(ROOT).alias("path"), F.lit("text").alias("kinds")))
+    steps = F.explode(F.concat(root, F.arrays_zip("way.path", "way.kinds"))).alias("step")
+    names = first.select(steps).select(F.col("step.path").alias("_lit_name"), F.col("step.kinds").alias("_lit_kind")).distinct()
 
     # a path occurs once on either side, a name may occur in any number of nodes
     by_path = nodes.join(
         paths.withColumn("_p", F.lit(True)), F.col("path") == F.col("_lit_path"), "left"
     ).drop("_lit_path")
-    by_name = lookup(by_path, names.withColumn("_n", F.lit(True)), {"name": "_lit_name"}, "left", ["path"])
+    told = by_path.withColumn("_kind", kind)
+    by_name = lookup(
+        told, names.withColumn("_n", F.lit(True)), {"name": "_lit_name", "_kind": "_lit_kind"}, "left", ["path"]
+    )
     lit = F.coalesce("_p", "_n", F.lit(False))
     return by_name.select(*nodes.columns, lit.alias("lit"))
 
@@ -142,23 +168,29 @@ def key_dictionary(
     """One stable number per key over all views, in the order the views show them.
 
     Takes the reduced tables: `series.summary`, `links.entities`, `graph.nodes` and
-    `hierarchy.layout`. `group` repeats after `groups` keys, for callers that have so many
-    marks to give. All views must be ordered by columns of one type.
+    `hierarchy.layout`. Keys are told apart by kind and value: the number 1 and the text "1"
+    are two keys. `group` repeats after `groups` keys, for callers that have so many marks to
+    give. Views come in this order, each in its own; they may be ordered by different types.
     """
-    parts = []
-    for view, (frame, key) in enumerate([(categories, "category"), (known, "entity"), (node_rows, "id")]):
+    views = []
+    for frame, key in [(categories, "category"), (known, "entity"), (node_rows, "id")]:
         if frame is not None:
-            parts.append((frame, F.col(key), F.lit(view), F.lit(0), F.array("first_seen")))
+            dtype = type_of(frame, key)
+            views.append((frame, key_text(F.col(key), dtype), F.lit(kind_name(dtype)), [F.col("first_seen")]))
     if laid_out is not None:
         nodes = laid_out.where("depth > 0")
-        parts.append((nodes, F.col("name"), F.lit(3), F.col("depth"), F.col("place")))
-    listed = [
-        frame.select(
-            key.cast("string").alias("key"),
-            F.struct(view.alias("view"), depth.alias("depth"), place.alias("place")).alias("seen"),
-        )
-        for frame, key, view, depth, place in parts
-    ]
+        views.append((nodes, F.col("name"), F.element_at("kinds", -1), [F.col("depth"), F.col("place")]))
+    # each view's order has its own places in the sort key, which are empty in the others
+    types = [[frame.select(c).schema.fields[0].dataType for c in order] for frame, _, _, order in views]
+    listed = []
+    for view, (frame, key, kind, order) in enumerate(views):
+        places = [
+            (order[i] if view == other else F.lit(None).cast(dtype)).alias(f"o{other}_{i}")
+            for other, of_view in enumerate(types)
+            for i, dtype in enumerate(of_view)
+        ]
+        seen = F.struct(F.lit(view).alias("view"), *places)
+        listed.append(frame.select(key.alias("key"), kind.alias("kind"), seen.alias("seen")))
     union = reduce(DataFrame.unionByName, listed)
-    distinct = staged(union.where("key is not null").groupBy("key").agg(F.min("seen").alias("seen")))
-    return numbered(distinct, "seen").select("key", "index", (F.col("index") % groups).alias("group"))
+    distinct = stored(union.where("key is not null").groupBy("key", "kind").agg(F.min("seen").alias("seen")))
+    return numbered(distinct, "seen").select("key", "kind", "index", (F.col("index") % groups).alias("group"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from viewloom.functions.columns import area_true, entry_sum, measure, order_key, type_of, without_nan
 from viewloom.operators.skew import lookup, numbered
-from viewloom.operators.staging import staged
+from viewloom.operators.staging import stored
 from viewloom.plans.specs import SeriesSpec
+from viewloom.sources.records import in_order
 
 PADDING = 0.1  # share of a step left free between bands
 
@@ -17,23 +18,24 @@ PADDING = 0.1  # share of a step left free between bands
 def rows(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """One (ord, category, value) per record. Nothing is grouped; a missing value stays missing."""
     spec.check(df)
+    df = in_order(df, spec.order)
     if spec.measure.agg == "entry_sum":
         value = entry_sum(df, spec.measure.field)
     else:
         value, _ = measure(df, spec.measure.field)
     return df.select(
-        order_key(spec.order).alias("ord"), F.col(spec.category).alias("category"), value.alias("value")
+        order_key(df, spec.order).alias("ord"), F.col(spec.category).alias("category"), value.alias("value")
     )
 
 
 def summary(series: DataFrame) -> DataFrame:
     """Each category once: order of its first row, greatest value, number of rows.
 
-    One pass over the rows, staged; the rest of the view is laid out from it. The greatest
+    One pass over the rows, stored; the rest of the view is laid out from it. The greatest
     value is also what is seen of a band when its bars lie over one another.
     """
     value = without_nan(F.col("value"), type_of(series, "value"))
-    return staged(
+    return stored(
         series.groupBy("category").agg(
             F.min("ord").alias("first_seen"),
             F.max(value).alias("value"),

@@ -1,4 +1,4 @@
-"""Reduced tables that several passes read are written once, to reliable storage."""
+"""Reduced tables that several passes read are written once, to the session's shared folder."""
 
 from __future__ import annotations
 
@@ -21,14 +21,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Compute `df` once and go on from the stored copy.
-
-    Later passes then read the reduced rows instead of scanning the input again, and a
-    lost executor costs a re-read only.
-    """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes with the session."""
+    folder = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path)  # what is there can be marked to go
+    files.deleteOnExit(path)
+    return f"{folder}/data"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -39,9 +40,6 @@ def stored(df: DataFrame) -> DataFrame:
     go when the session's file system closes.
     """
     spark = df.sparkSession
-    folder = f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stored")
     df.write.parquet(folder)
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(folder)

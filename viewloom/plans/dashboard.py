@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from viewloom.operators import graph, hierarchy, links, selection, series
-from viewloom.operators.staging import staged
+from viewloom.operators.staging import stored
 from viewloom.plans.specs import GraphSpec, HierarchySpec, LinkSpec, SeriesSpec
 
 
@@ -15,7 +15,7 @@ class Dashboard:
     """The bound views of a frame. Every spec is checked against the schema on creation.
 
     Reduced tables that several views build on (entities, link pairs, tree) are computed
-    once per dashboard and kept on reliable storage; nothing else is kept.
+    once per dashboard and stored in the session's shared folder; nothing else is kept.
     """
 
     def __init__(
@@ -65,21 +65,26 @@ class Dashboard:
 
     @cached_property
     def entities(self) -> DataFrame:
-        return staged(links.entities(self.link_tally))
+        if "link_tally" in self.__dict__:  # else the records alone tell, without their links
+            return stored(links.entities(self.link_tally))
+        return stored(links.first_rows(self.df, self._spec("links")))
 
     @cached_property
     def link_pairs(self) -> DataFrame:
-        return staged(links.pairs(self.link_tally, self.entities))
+        tallied = self.link_tally
+        return stored(links.pairs(tallied, self.entities))
 
     def link_matrix(self) -> DataFrame:
         return links.matrix(self.link_pairs)
 
     def arcs(self) -> DataFrame:
-        return links.arcs(self.link_pairs, self.entities)
+        paired = self.link_pairs
+        return links.arcs(paired, self.entities)
 
     @cached_property
     def chords(self) -> DataFrame:
-        return staged(links.chords(self.link_tally, self.entities))
+        tallied = self.link_tally
+        return stored(links.chords(tallied, self.entities))
 
     def subarcs(self) -> DataFrame:
         return links.subarcs(self.chords)
@@ -105,7 +110,8 @@ class Dashboard:
     @cached_property
     def tree(self) -> DataFrame:
         spec = self._spec("hierarchy")
-        return staged(hierarchy.tree(hierarchy.leaves(self.df, spec), len(spec.levels)))
+        kinds = hierarchy.kinds(self.df, spec)
+        return stored(hierarchy.tree(hierarchy.leaves(self.df, spec), len(spec.levels), kinds))
 
     def slices(self) -> DataFrame:
         return hierarchy.slices(self.laid_out_tree)
@@ -120,13 +126,13 @@ class Dashboard:
     # shared selection
 
     def select(self, selected: DataFrame) -> dict[str, DataFrame]:
-        """Every bound view with a `lit` column for one set of keys."""
-        views = {}
+        """Every bound view with a `lit` column for one set of keys, which is looked at once."""
+        views, selected = {}, selection.picked(selected)
         if self.specs["series"] is not None:
             views["series"] = selection.flag_series(self.series_rows, selected)
         if self.specs["links"] is not None:
-            views["entities"] = selection.flag_entities(self.entities, selected)
             views["chords"] = selection.flag_links(self.chords, selected)
+            views["entities"] = selection.flag_entities(self.entities, selected)
         if self.specs["graph"] is not None:
             views["nodes"] = selection.flag_nodes(self.nodes, selected)
             views["links"] = selection.flag_links(self.graph_links, selected, ["ord", "pos"])

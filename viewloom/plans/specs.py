@@ -152,3 +152,39 @@ class HierarchySpec:
         for level in self.levels:
             require_plain(df, level, "level")
         require_number(df, self.value, "size", text=True)
+
+
+def accepted(df: DataFrame) -> list[tuple[str, str, str, str, bool]]:
+    """(view, part, agg, field, accepted) for each field and each part it might be bound to.
+
+    Told by the checks themselves, from the schema alone. A list is accepted for links if it
+    holds plain values, whatever the entity or node it is paired with.
+    """
+
+    def holds_plain(field: str) -> None:
+        dtype = type_of(df, field)
+        if not isinstance(dtype, T.ArrayType) or isinstance(dtype.elementType, COMPLEX):
+            raise BindingError(f"{field!r} is {dtype.simpleString()}, an array of plain values is needed")
+
+    checks = [
+        ("series", "category", "value", lambda f: require_plain(df, f, "category")),
+        ("series", "value", "value", lambda f: Measure(f).check(df, "value")),
+        ("series", "value", "entry_sum", lambda f: Measure(f, "entry_sum").check(df, "value")),
+        ("links", "entity", "value", lambda f: require_plain(df, f, "entity")),
+        ("links", "connections", "value", holds_plain),
+        ("graph", "node", "value", lambda f: require_plain(df, f, "node")),
+        ("graph", "links", "value", holds_plain),
+        ("graph", "strength", "value", lambda f: require_number(df, f, "strength")),
+        ("hierarchy", "level", "value", lambda f: require_plain(df, f, "level")),
+        ("hierarchy", "size", "value", lambda f: require_number(df, f, "size", text=True)),
+    ]
+    told = []
+    for view, part, agg, check in checks:
+        for field in df.columns:
+            try:
+                check(field)
+            except BindingError:
+                told.append((view, part, agg, field, False))
+            else:
+                told.append((view, part, agg, field, True))
+    return told

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from viewloom.sources.records import ROW_ORDER, row_order
+from viewloom.sources.records import ROW_ORDER, packed_order
 
 
 def watch_folder(
@@ -36,12 +36,12 @@ def watch_folder(
         .option("mode", "FAILFAST")
         .option("maxFilesPerTrigger", 1)
         .json(folder)
-        .select("*", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_place"))
+        .select("*", F.col("_metadata.file_block_start").alias("_block"))
     )
 
     def one_file(batch: DataFrame, number: int) -> None:
-        placed = batch.withColumn(ROW_ORDER, row_order("_place.file_path", "_place.file_block_start"))
-        derive(placed.drop("_place"), number)
+        placed = batch.withColumn(ROW_ORDER, packed_order(F.lit(0), F.col("_block")))
+        derive(placed.drop("_block"), number)
 
     writer = arriving.writeStream.foreachBatch(one_file).option("checkpointLocation", progress)
     return (writer.trigger(availableNow=True) if once else writer).start()

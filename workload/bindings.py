@@ -9,11 +9,16 @@ from viewloom import Dashboard, GraphSpec, HierarchySpec, LinkSpec, Measure, Ser
 SERIES = SeriesSpec("p_brand", "p_retailprice", "p_partkey")
 EVENT_SERIES = SeriesSpec("event_type", "value", "event_id")
 ENTRY_SERIES = SeriesSpec("event_type", Measure("entries", "entry_sum"), "event_id")
-LINKS = LinkSpec("customer_nation", "supplier_nations", "l_orderkey")
+LINKS = LinkSpec("customer_nation", "supplier_nations", "o_orderkey")
+LONG_LINKS = LinkSpec("long_name", "long_names", "o_orderkey")
 PAGES = GraphSpec("node", "links", "strength", "page_id")
-SUPPLY = GraphSpec(
-    "l_suppkey", "parts", "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-)
+PAGE_LINKS = LinkSpec("node", "links", "page_id")
+SUPPLY = GraphSpec("supplier", "others", "o_totalprice", "o_orderkey")
+OPEN_SUPPLY = GraphSpec("supplier", "others", "open_price", "o_orderkey")
+YEARS = SeriesSpec("year", "o_totalprice", "o_orderkey")
+YEAR_TREE = HierarchySpec(["year", "o_orderpriority", "customer_nation"], "o_totalprice", "o_orderkey")
+YEAR_TEXT_TREE = HierarchySpec(["year_text", "o_orderpriority"], "cents", "o_orderkey")
+TEXT_TREE = HierarchySpec(["r_name", "n_name", "c_mktsegment"], "balance_text", "c_custkey")
 TREE = HierarchySpec(["r_name", "n_name", "c_mktsegment"], "balance", "c_custkey")
 
 
@@ -37,39 +42,60 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").withColumn("entries", entries)
 
 
-def trade(spark: SparkSession, folder: str) -> DataFrame:
-    """A record per line item: the customer's nation, and the nation it is supplied from."""
+def orders(spark: SparkSession, folder: str) -> DataFrame:
+    """A record per order: its customer's nation, and who supplies it from where, as lists.
+
+    The first supplier of an order is its node, the others are the node's links. An order
+    has few line items, so the lists are short.
+    """
     nation = table(spark, folder, "nation")
-    orders = (
-        table(spark, folder, "orders")
-        .join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("o_orderkey", F.col("n_name").alias("customer_nation"))
-    )
     items = (
         table(spark, folder, "lineitem")
         .join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("l_orderkey", F.array("n_name").alias("supplier_nations"))
+        .groupBy("l_orderkey")
+        .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "n_name"))).alias("items"))
+    )
+    suppliers = F.col("items.l_suppkey")
+    return (
+        table(spark, folder, "orders")
+        .join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        .select(
+            "o_orderkey",
+            F.col("n_name").alias("customer_nation"),
+            F.col("items.n_name").alias("supplier_nations"),
+            F.get(suppliers, F.lit(0)).alias("supplier"),
+            F.slice(suppliers, F.lit(2), F.greatest(F.size(suppliers), F.lit(1))).alias("others"),
+            "o_totalprice",
+            F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).alias("open_price"),
+            F.round(F.col("o_totalprice") * 100).cast("decimal(18,0)").alias("cents"),
+            F.year("o_orderdate").alias("year"),
+            F.year("o_orderdate").cast("string").alias("year_text"),
+            "o_orderpriority",
+        )
+    )
+
+
+def long_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders' nations under names of more than fifteen letters."""
+    longer = lambda name: F.concat(F.lit("The customers of "), name)
+    return orders(spark, folder).withColumns(
+        {"long_name": longer(F.col("customer_nation")), "long_names": F.transform("supplier_nations", longer)}
     )
-    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    """A record per page: the targets of its links in lower case; the first names the page."""
+    """A record per page: its first link, in lower case, names the page; the others are its links."""
     targets = F.regexp_extract_all(F.lower("html"), F.lit('href="/([^"]*)"'), 1)
     # explode a list of one list: filters on the targets then stay above, so that each
     # page is searched once and not once per use
-    return (
-        table(spark, folder, "pages")
-        .select("page_id", F.length("html").alias("strength"), F.explode(F.array(targets)).alias("links"))
-        .select("page_id", F.get("links", F.lit(0)).alias("node"), "links", "strength")
+    found = table(spark, folder, "pages").select(
+        "page_id", F.length("html").alias("strength"), F.explode(F.array(targets)).alias("targets")
     )
-
-
-def supply(spark: SparkSession, folder: str) -> DataFrame:
-    """A record per line item with whole-number nodes, 0 among them."""
-    return table(spark, folder, "lineitem").withColumn("parts", F.array("l_partkey"))
+    others = F.slice("targets", F.lit(2), F.greatest(F.size("targets"), F.lit(1)))
+    return found.select("page_id", F.get("targets", F.lit(0)).alias("node"), others.alias("links"), "strength")
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,7 +107,11 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "customer")
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .withColumn("balance", F.col("c_acctbal").cast("decimal(18,2)"))
-        .select("c_custkey", "r_name", "n_name", "c_mktsegment", "balance")
+        .withColumn(
+            "balance_text",
+            F.when(F.col("c_custkey") % 7 == 0, "n/a").otherwise(F.concat(F.lit(" "), F.floor("c_acctbal").cast("string"))),
+        )
+        .select("c_custkey", "r_name", "n_name", "c_mktsegment", "balance", "balance_text")
     )
 
 
@@ -94,7 +124,7 @@ def event_board(spark: SparkSession, folder: str) -> Dashboard:
 
 
 def link_board(spark: SparkSession, folder: str) -> Dashboard:
-    return Dashboard(trade(spark, folder), links=LINKS)
+    return Dashboard(orders(spark, folder), links=LINKS)
 
 
 def graph_board(spark: SparkSession, folder: str) -> Dashboard:
@@ -102,8 +132,21 @@ def graph_board(spark: SparkSession, folder: str) -> Dashboard:
 
 
 def supply_board(spark: SparkSession, folder: str) -> Dashboard:
-    return Dashboard(supply(spark, folder), graph=SUPPLY)
+    return Dashboard(orders(spark, folder), graph=SUPPLY)
 
 
 def tree_board(spark: SparkSession, folder: str) -> Dashboard:
     return Dashboard(customers(spark, folder), hierarchy=TREE)
+
+
+def page_link_board(spark: SparkSession, folder: str) -> Dashboard:
+    return Dashboard(pages(spark, folder), links=PAGE_LINKS)
+
+
+def order_board(spark: SparkSession, folder: str) -> Dashboard:
+    """All four views of the orders, with numbers for categories, nodes and a level."""
+    return Dashboard(orders(spark, folder), series=YEARS, links=LINKS, graph=SUPPLY, hierarchy=YEAR_TREE)
+
+
+def text_board(spark: SparkSession, folder: str) -> Dashboard:
+    return Dashboard(customers(spark, folder), hierarchy=TEXT_TREE)

@@ -72,15 +72,18 @@ FROM s JOIN bands USING (category), top
 
 # links between entities
 
-TRADE = """
-rec AS (
-  SELECT l_orderkey AS ord, cn.n_name AS entity, sn.n_name AS target
-  FROM lineitem
-  JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey
-  JOIN nation cn ON c_nationkey = cn.n_nationkey
-  JOIN supplier ON l_suppkey = s_suppkey
-  JOIN nation sn ON s_nationkey = sn.n_nationkey),
+ORDERS = """
+items AS (
+  SELECT l_orderkey, list(l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey, n_name) AS suppliers,
+         list(n_name ORDER BY l_linenumber, l_partkey, l_suppkey, n_name) AS nations
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY l_orderkey),
+deals AS (
+  SELECT o_orderkey AS ord, n_name AS nation, nations, suppliers[1] AS supplier, suppliers[2:] AS others, o_totalprice,
+         o_orderstatus, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  LEFT JOIN items ON l_orderkey = o_orderkey)
+"""
+CELLS = """
 ent AS (SELECT entity, min(ord) AS first_seen FROM rec GROUP BY entity),
 kept AS (SELECT entity AS source, target FROM rec WHERE target IN (SELECT entity FROM ent)),
 cells AS (
@@ -88,6 +91,11 @@ cells AS (
   FROM (SELECT source, target FROM kept UNION ALL SELECT target, source FROM kept)
   GROUP BY source, target)
 """
+TRADE = f"""
+{ORDERS.strip()},
+rec AS (SELECT ord, nation AS entity, unnest(CASE WHEN nations IS NULL THEN [NULL] ELSE nations END) AS target FROM deals),
+{CELLS.strip()}
+"""
 TOTALS = """
 totals AS (
   SELECT entity, first_seen, CAST(coalesce(sum(value), 0) AS BIGINT) AS total
@@ -118,14 +126,24 @@ sub AS (
 sql("link_entities", "SELECT entity, row_number() OVER (ORDER BY first_seen) - 1 AS index FROM ent", TRADE)
 sql("link_matrix", "SELECT * FROM cells", TRADE)
 sql(
-    "link_dense",
-    "SELECT entity AS source, "
-    + ", ".join(
-        f"CAST(coalesce(sum(CASE WHEN target = 'NATION_{i}' THEN value END), 0) AS BIGINT) AS \"NATION_{i}\""
-        for i in range(25)
-    )
-    + " FROM ent LEFT JOIN cells ON source = entity GROUP BY entity",
+    "link_pages",
+    "SELECT * FROM cells",
+    """
+paged AS (SELECT page_id AS ord, regexp_extract_all(lower(html), 'href="/([^"]*)"', 1) AS found FROM pages),
+rec AS (SELECT ord, found[1] AS entity, unnest(CASE WHEN len(found) < 2 THEN [NULL] ELSE found[2:] END) AS target
+        FROM paged WHERE found[1] IS NOT NULL)
+""",
+    CELLS,
+)
+sql(
+    "link_labels",
+    """
+SELECT 'The customers of ' || entity AS entity, row_number() OVER (ORDER BY first_seen) - 1 AS index, total,
+       'The customers o...' AS label
+FROM totals
+""",
     TRADE,
+    TOTALS,
 )
 sql(
     "link_totals",
@@ -175,7 +193,7 @@ PAGES = """
 rec AS (
   SELECT page_id AS ord, regexp_extract_all(lower(html), 'href="/([^"]*)"', 1) AS links, length(html)::DOUBLE AS strength
   FROM pages),
-g AS (SELECT ord, links[1] AS node, links, coalesce(strength, 0) AS v FROM rec),
+g AS (SELECT ord, links[1] AS node, links[2:] AS links, coalesce(strength, 0) AS v FROM rec),
 span AS (SELECT min(v) AS lo, max(v) AS hi FROM g),
 nodes AS (
   SELECT node AS id, v AS value, ord AS first_seen,
@@ -191,40 +209,37 @@ near AS (
   SELECT ord, pos, source AS node, target AS neighbour FROM found
   UNION ALL SELECT ord, pos, target, source FROM found WHERE source <> target)
 """
-SUPPLY = """
-g AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_suppkey AS node,
-         coalesce(l_extendedprice, 0) AS v FROM lineitem),
-span AS (SELECT min(v) AS lo, max(v) AS hi FROM g)
+SUPPLY = f"""
+{ORDERS.strip()},
+g AS (SELECT ord, supplier AS node, others AS links, coalesce(o_totalprice, 0) AS v,
+             CASE WHEN o_orderstatus <> 'F' THEN o_totalprice ELSE 0 END AS open_v FROM deals),
+nodes AS (
+  SELECT node AS id, v, open_v FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ord) AS rn FROM g) WHERE rn = 1),
+ends AS (
+  SELECT ord, node AS source, unnest(links) AS target,
+         CAST(generate_subscripts(links, 1) - 1 AS INTEGER) AS pos FROM g),
+found AS (
+  SELECT ord, pos, source, target, 1 AS value FROM ends
+  WHERE source <> 0 AND target <> 0 AND target IN (SELECT node FROM g))
 """
 
+
+def scaled(value: str) -> str:
+    norm = f"({value} - (SELECT min({value}) FROM g)) / (SELECT max({value}) - min({value}) FROM g)"
+    return f"SELECT id, {value} AS value, round({norm}, 9) AS norm, round(10 + {norm} * 20, 9) AS size FROM nodes"
+
+
 sql("graph_nodes", "SELECT id, value, round(norm, 9) AS norm, round(10 + norm * 20, 9) AS size FROM nodes", PAGES)
 sql("graph_links", "SELECT * FROM found", PAGES)
-sql(
-    "graph_nodes_numeric",
-    """
-SELECT node AS id, v AS value, round(norm, 9) AS norm, round(10 + norm * 20, 9) AS size
-FROM (
-  SELECT node, v, (v - lo) / (hi - lo) AS norm,
-         row_number() OVER (PARTITION BY node ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn
-  FROM g, span)
-WHERE rn = 1
-""",
-    SUPPLY,
-)
-sql(
-    "graph_links_numeric",
-    """
-SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, 0 AS pos, node AS source, l_partkey AS target, 1 AS value
-FROM g WHERE node <> 0 AND l_partkey <> 0 AND l_partkey IN (SELECT node FROM g)
-""",
-    SUPPLY,
-)
+sql("graph_nodes_numeric", scaled("v"), SUPPLY)
+sql("graph_nodes_missing", scaled("open_v"), SUPPLY)
+sql("graph_links_numeric", "SELECT * FROM found", SUPPLY)
 sql("graph_neighbors", "SELECT * FROM near", PAGES)
 sql(
     "graph_neighbor_text",
     """
-SELECT id, coalesce(part, 0) AS part, format('{:,}', value::BIGINT) AS strength, coalesce(text, 'None') AS text
+SELECT id, coalesce(part, 0) AS part, rtrim(rtrim(format('{:,}', floor(round(value / 16, 3))::BIGINT)
+           || substring(printf('%.3f', round(value / 16, 3) - floor(round(value / 16, 3))), 2), '0'), '.') AS strength, coalesce(text, 'None') AS text
 FROM nodes LEFT JOIN (
   SELECT node, part, string_agg(neighbour, ', ' ORDER BY rn) AS text
   FROM (SELECT *, (rn - 1) // 100 AS part
@@ -343,6 +358,41 @@ JOIN (VALUES (0), (1), (2), (3)) AS t(step) ON step <= depth
     NODES,
 )
 
+sql(
+    "tree_text",
+    """
+SELECT concat_ws('/', l1, l2, l3) AS path, 3 - bit_count(grouping(l1, l2, l3)::INTEGER)::INTEGER AS depth,
+       sum(value)::DOUBLE AS value
+FROM (
+  SELECT l1, l2, l3, CASE WHEN ord % 7 = 0 THEN 0 ELSE floor(bal) END AS value
+  FROM (SELECT rec.*, c_acctbal AS bal, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY ord DESC) AS back
+        FROM rec JOIN customer ON ord = c_custkey)
+  WHERE back = 1)
+GROUP BY ROLLUP (l1, l2, l3)
+""",
+    TREE,
+)
+sql(
+    "tree_year",
+    """
+SELECT '1995' || CASE WHEN p IS NULL THEN '' ELSE '/' || p END AS path, CASE WHEN p IS NULL THEN 1 ELSE 2 END AS depth,
+       value::DOUBLE AS value,
+       CASE WHEN p IS NULL THEN 0 ELSE round(2 * pi() * coalesce(before, 0)::DOUBLE / whole, 9) END AS x0,
+       CASE WHEN p IS NULL THEN round(2 * pi(), 9) ELSE round(2 * pi() * coalesce(before, 0)::DOUBLE / whole + 2 * pi() * value::DOUBLE / whole, 9) END AS x1
+FROM (
+  SELECT p, value, sum(value) OVER (ORDER BY first_seen ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+         (SELECT sum(value) FROM last)::DOUBLE AS whole
+  FROM last
+  UNION ALL SELECT NULL, (SELECT sum(value) FROM last), 0, 1)
+""",
+    ORDERS,
+    """
+last AS (
+  SELECT o_orderpriority AS p, min(ord) AS first_seen, arg_max(round(o_totalprice * 100)::DECIMAL(18, 0), ord) AS value
+  FROM deals WHERE year = 1995 GROUP BY ALL)
+""",
+)
+
 # shared selection
 
 sql("select_series", "SELECT *, category IN ('Brand#7', 'Brand#9') AS lit FROM s", PART)
@@ -392,54 +442,92 @@ WHERE category IN (SELECT category FROM s WHERE value < 1000 OR value > 1090) AN
 """,
     PART,
 )
+sql("select_clear", "SELECT *, true AS lit FROM s", PART)
+YEAR_NODES = """
+paths AS (SELECT year AS l1, o_orderpriority AS l2, nation AS l3, min(ord) AS f FROM deals GROUP BY ALL),
+y1 AS (SELECT l1, min(f) AS f FROM paths GROUP BY ALL),
+y2 AS (SELECT l1, l2, min(f) AS f FROM paths GROUP BY ALL),
+years AS (
+  SELECT l1, NULL AS l2, NULL AS l3, NULL AS name, 1 AS depth, f AS f1, NULL AS f2, NULL AS f3 FROM y1
+  UNION ALL SELECT l1, y2.l2, NULL, y2.l2, 2, y1.f, y2.f, NULL FROM y2 JOIN y1 USING (l1)
+  UNION ALL SELECT l1, l2, paths.l3, paths.l3, 3, y1.f, y2.f, paths.f FROM paths JOIN y2 USING (l1, l2) JOIN y1 USING (l1))
+"""
+sql(
+    "select_all_views",
+    """
+SELECT 'numbers' AS chosen, 'series' AS view, ord::VARCHAR AS item FROM deals WHERE year IN (1995, 3, 7)
+UNION ALL SELECT 'numbers', 'nodes', node::VARCHAR FROM (SELECT DISTINCT node FROM g) WHERE node IN (1995, 3, 7)
+UNION ALL SELECT 'numbers', 'links', ord || '/' || pos FROM found WHERE source IN (1995, 3, 7) OR target IN (1995, 3, 7)
+UNION ALL SELECT 'numbers', 'tree', l1::VARCHAR FROM years WHERE depth = 1 AND l1 IN (1995, 3, 7)
+UNION ALL SELECT 'texts', 'entities', entity FROM ent WHERE entity = 'NATION_3'
+UNION ALL SELECT 'texts', 'chords', source || '/' || target FROM chords WHERE source = 'NATION_3' OR target = 'NATION_3'
+UNION ALL SELECT 'texts', 'tree', concat_ws('/', l1::VARCHAR, l2, l3)
+FROM years
+WHERE name IN (SELECT n FROM names) OR (depth = 1 AND l1 IN (SELECT l1 FROM first))
+   OR EXISTS (SELECT 1 FROM sel WHERE sel.l1 = years.l1 AND (years.l2 IS NULL OR sel.l2 = years.l2)
+              AND (years.l3 IS NULL OR sel.l3 = years.l3))
+""",
+    TRADE,
+    CHORDS,
+    SUPPLY.replace(ORDERS.strip() + ",", ""),
+    YEAR_NODES,
+    """
+sel AS (SELECT * FROM years WHERE name IN ('NATION_3', '1-URGENT', '1995')),
+first AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY depth, f1, f2, f3) AS rn FROM sel) WHERE rn = 1),
+names AS (SELECT l2 AS n FROM first WHERE l2 IS NOT NULL UNION SELECT l3 FROM first WHERE l3 IS NOT NULL)
+""",
+)
 sql(
     "key_dictionary",
     """
-SELECT key, index, index % 10 AS "group"
-FROM (SELECT key, row_number() OVER (ORDER BY view, depth, f1, f2, f3) - 1 AS index
-      FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY view, depth, f1, f2, f3) AS rn FROM listed)
+SELECT key, kind, index, index % 10 AS "group"
+FROM (SELECT key, kind, row_number() OVER (ORDER BY view, depth, f1, f2) - 1 AS index
+      FROM (SELECT *, row_number() OVER (PARTITION BY key, kind ORDER BY view, depth, f1, f2) AS rn FROM listed)
       WHERE rn = 1)
 """,
-    PART,
     TRADE,
-    PAGES.replace("rec AS", "page_rec AS").replace("FROM rec", "FROM page_rec").replace("nodes AS", "page_nodes AS"),
-    TREE.replace("rec AS", "cust_rec AS").replace("FROM rec", "FROM cust_rec"),
-    NODES,
+    YEAR_NODES,
     """
 listed AS (
-  SELECT category AS key, 0 AS view, 0 AS depth, ord AS f1, NULL AS f2, NULL AS f3 FROM s
-  UNION ALL SELECT entity, 1, 0, first_seen, NULL, NULL FROM ent
-  UNION ALL SELECT id, 2, 0, first_seen, NULL, NULL FROM page_nodes WHERE id IS NOT NULL
-  UNION ALL SELECT name, 3, depth, f1, f2, f3 FROM nodes)
+  SELECT year::VARCHAR AS key, 'number' AS kind, 0 AS view, 0 AS depth, ord AS f1, NULL AS f2 FROM deals
+  UNION ALL SELECT entity, 'text', 1, 0, first_seen, NULL FROM ent
+  UNION ALL SELECT supplier::VARCHAR, 'number', 2, 0, ord, NULL FROM deals WHERE supplier IS NOT NULL
+  UNION ALL SELECT l1::VARCHAR, 'text', 3, 1, f1, NULL FROM years WHERE depth = 1
+  UNION ALL SELECT l2, 'text', 3, 2, f1, f2 FROM years WHERE depth = 2)
 """,
 )
 ORACLE["select_tree"] = ORACLE["select_tree"].replace("\n, sel AS", ", sel AS")
 
 # sources, profile, roles
 
-FIELDS = """
-fields AS (
-  SELECT * FROM (VALUES
-    ('ts', 'timestamp', false, 0), ('user_id', 'number', true, 1), ('event_type', 'string', false, 2),
-    ('value', 'number', true, 3), ('props', 'string', false, 4), ('entries', 'object', true, 5)
-  ) AS t(key, kind, is_numeric, position)),
+KINDS = [
+    ("event_id", "number"), ("ts", "timestamp"), ("user_id", "number"), ("event_type", "string"), ("value", "number"),
+    ("props", "string"), ("entries", "object"), ("tags", "array"),
+]
+FIELDS = f"""
+fields(key, kind, is_numeric, position) AS (
+  VALUES {", ".join(f"('{k}', '{kind}', {kind in ('number', 'object')}, {i})" for i, (k, kind) in enumerate(KINDS))}),
+seen AS (SELECT *, props AS entries, [event_type] AS tags FROM events),
 present AS (
-  SELECT 'ts' AS key, min(event_id) FILTER (ts IS NOT NULL) AS first_seen, count(*) FILTER (ts IS NULL) AS n_missing FROM events
-  UNION ALL SELECT 'user_id', min(event_id) FILTER (user_id IS NOT NULL), count(*) FILTER (user_id IS NULL) FROM events
-  UNION ALL SELECT 'event_type', min(event_id) FILTER (event_type IS NOT NULL), count(*) FILTER (event_type IS NULL) FROM events
-  UNION ALL SELECT 'value', min(event_id) FILTER (value IS NOT NULL), count(*) FILTER (value IS NULL) FROM events
-  UNION ALL SELECT 'props', min(event_id) FILTER (props IS NOT NULL), count(*) FILTER (props IS NULL) FROM events
-  UNION ALL SELECT 'entries', min(event_id) FILTER (props IS NOT NULL), count(*) FILTER (props IS NULL) FROM events)
+  {" UNION ALL ".join(f"SELECT '{k}' AS key, min(event_id) FILTER ({k} IS NOT NULL) AS first_seen, count(*) FILTER ({k} IS NULL) AS n_missing FROM seen" for k, _ in KINDS)})
 """
-sql("ingest_lines", "SELECT event_id, event_type, value FROM events")
+sql("ingest_lines", "SELECT * FROM events")
+sql("ingest_arrays", "SELECT * FROM conversations")
+sql(
+    "ingest_bad",
+    """
+SELECT event_id, event_id % 10 = 0 AS bad, CASE WHEN event_id % 10 <> 0 THEN ts END AS ts,
+       CASE WHEN event_id % 10 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 10 <> 0 THEN event_type END AS event_type,
+       CASE WHEN event_id % 10 <> 0 THEN value END AS value, CASE WHEN event_id % 10 <> 0 THEN props END AS props
+FROM events
+""",
+)
 sql(
     "ingest_variants",
     """
-SELECT key, kind, is_numeric, first_seen
-FROM present JOIN (
-  SELECT key, kind, is_numeric FROM fields UNION ALL SELECT 'event_id', 'number', true) USING (key)
-WHERE key IN ('event_type', 'value', 'entries') AND first_seen IS NOT NULL
-UNION ALL SELECT 'event_id', 'number', true, min(event_id) FROM events
+SELECT key, CASE WHEN key = 'ts' THEN 'string' ELSE kind END AS kind, is_numeric, first_seen
+FROM present JOIN fields USING (key) WHERE key <> 'tags' AND first_seen IS NOT NULL
 """,
     FIELDS,
 )
@@ -447,7 +535,22 @@ sql(
     "profile_typed",
     """
 SELECT key, kind, is_numeric, first_seen, position, n_missing
-FROM present JOIN fields USING (key) WHERE first_seen IS NOT NULL
+FROM present JOIN fields USING (key) WHERE key <> 'tags' AND first_seen IS NOT NULL
+""",
+    FIELDS,
+)
+sql(
+    "bindings",
+    """
+SELECT view, part, agg, key AS field, first_seen,
+       CASE need WHEN 'plain' THEN kind NOT IN ('array', 'object') WHEN 'number' THEN kind = 'number' WHEN 'list' THEN kind = 'array'
+                 WHEN 'object' THEN kind = 'object' WHEN 'size' THEN kind IN ('number', 'string') END AS accepted
+FROM fields JOIN present USING (key), (VALUES
+  ('series', 'category', 'value', 'plain'), ('series', 'value', 'value', 'number'), ('series', 'value', 'entry_sum', 'object'),
+  ('links', 'entity', 'value', 'plain'), ('links', 'connections', 'value', 'list'), ('graph', 'node', 'value', 'plain'),
+  ('graph', 'links', 'value', 'list'), ('graph', 'strength', 'value', 'number'), ('hierarchy', 'level', 'value', 'plain'),
+  ('hierarchy', 'size', 'value', 'size')) AS o(view, part, agg, need)
+WHERE first_seen IS NOT NULL
 """,
     FIELDS,
 )
@@ -480,7 +583,7 @@ FROM fields JOIN present USING (key) JOIN (VALUES
   OR (part IN ('connections', 'links') AND kind = 'array')
   OR (agg = 'entry_sum' AND kind = 'object' AND is_numeric)
   OR (part IN ('value', 'strength', 'size') AND agg = 'value' AND kind <> 'object' AND is_numeric)
-WHERE first_seen IS NOT NULL
+WHERE first_seen IS NOT NULL AND key <> 'tags'
 """,
     FIELDS,
 )

@@ -3,20 +3,23 @@ digits, money is summed as decimals; both only so that results compare with othe
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from viewloom import Dashboard
 from viewloom.operators import graph, hierarchy, links, profile, selection, series
-from viewloom.operators.staging import checkpoint_folder
-from viewloom.sources.records import parse_variants, read_records, read_variants
+from viewloom.operators.staging import scratch
+from viewloom.plans import specs
+from viewloom.sources.records import BAD_RECORD, parse_variants, read_records, read_variants
 from workload import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 ENTITY, NODE, BRAND = "NATION_3", "la", "Brand#7"
+YEAR, YEAR_TEXT = 1995, "1995"
 
 
 def query(function: Query) -> Query:
@@ -97,9 +100,16 @@ def link_matrix(spark, folder):
 
 
 @query
-def link_dense(spark, folder):
-    board = b.link_board(spark, folder)
-    return links.dense(board.link_pairs, board.entities)
+def link_pages(spark, folder):
+    """Links among pages: lists of several targets, most of which name no page."""
+    return b.page_link_board(spark, folder).link_matrix()
+
+
+@query
+def link_labels(spark, folder):
+    """Arcs of names that are too long to be printed whole."""
+    arcs = Dashboard(b.long_names(spark, folder), links=b.LONG_LINKS).arcs()
+    return arcs.select("entity", "index", "total", "label")
 
 
 @query
@@ -157,10 +167,14 @@ def graph_nodes_numeric(spark, folder):
 
 @query
 def graph_links_numeric(spark, folder):
-    found = b.supply_board(spark, folder).graph_links
-    return found.select("ord.*", "pos", "source", "target", "value").withColumnsRenamed(
-        {"o0": "l_orderkey", "o1": "l_linenumber", "o2": "l_partkey", "o3": "l_extendedprice"}
-    )
+    return b.supply_board(spark, folder).graph_links
+
+
+@query
+def graph_nodes_missing(spark, folder):
+    """Orders that are done have no strength: it counts 0, for the scale as well."""
+    nodes = graph.nodes(b.orders(spark, folder), b.OPEN_SUPPLY)
+    return nodes.select("id", "value", r9("norm"), r9("size"))
 
 
 @query
@@ -170,8 +184,10 @@ def graph_neighbors(spark, folder):
 
 @query
 def graph_neighbor_text(spark, folder):
+    """Strengths with a fraction: the pages' lengths in sixteenths of a thousand."""
     board = b.graph_board(spark, folder)
-    return graph.neighbour_text(board.nodes, board.graph_links, part_size=100)
+    nodes = board.nodes.withColumn("value", F.col("value") / 16)
+    return graph.neighbour_text(nodes, board.graph_links, part_size=100)
 
 
 @query
@@ -228,6 +244,20 @@ def tree_ancestors(spark, folder):
     return chain.select(text(), "step", text("ancestor", "ancestor"), "name")
 
 
+@query
+def tree_text(spark, folder):
+    """Sizes that come as text, some of which is no number."""
+    tree = b.text_board(spark, folder).tree
+    return tree.select(text(), "depth", r9("value"))
+
+
+@query
+def tree_year(spark, folder):
+    """Drill-down to a level of numbers."""
+    below = Dashboard(b.orders(spark, folder), hierarchy=b.YEAR_TEXT_TREE).drill([YEAR_TEXT])
+    return below.select(text(), "depth", r9("value"), r9("x0"), r9("x1"))
+
+
 # shared selection
 
 
@@ -295,39 +325,105 @@ def select_remove(spark, folder):
     return selection.only(rows, ["category"], keys, ["ord"])
 
 
+@query
+def select_clear(spark, folder):
+    rows = series.rows(b.parts(spark, folder), b.SERIES)
+    return selection.flag_series(rows, selection.clear(selection.keys(spark, [BRAND])))
+
+
+def _lit(chosen: str, views: dict[str, DataFrame]) -> DataFrame:
+    """What is lit in each view, as text."""
+    items = {
+        "series": F.col("ord").cast("string"),
+        "entities": F.col("entity"),
+        "chords": F.concat_ws("/", "source", "target"),
+        "nodes": F.col("id").cast("string"),
+        "links": F.concat_ws("/", F.col("ord").cast("string"), F.col("pos").cast("string")),
+        "tree": F.array_join("path", "/"),
+    }
+    lit = [
+        views[view].where("lit").select(F.lit(chosen).alias("chosen"), F.lit(view).alias("view"), item.alias("item"))
+        for view, item in items.items()
+    ]
+    return reduce(DataFrame.unionByName, lit)
+
+
+@query
+def select_all_views(spark, folder):
+    """One selection of numbers and one of texts, each over all views of one dashboard."""
+    board = b.order_board(spark, folder)
+    numbers = board.select(selection.keys(spark, [YEAR, 3, 7], "bigint"))
+    texts = board.select(selection.keys(spark, [ENTITY, "1-URGENT", YEAR_TEXT]))
+    return _lit("numbers", numbers).unionByName(_lit("texts", texts))
+
+
 @query
 def key_dictionary(spark, folder):
-    trade = b.link_board(spark, folder)
-    return selection.key_dictionary(
-        b.series_board(spark, folder).categories,
-        trade.entities,
-        b.graph_board(spark, folder).nodes,
-        b.tree_board(spark, folder).laid_out_tree,
-    )
+    """Years as numbers in the series, as text in the tree: each is a key of its own."""
+    records = b.orders(spark, folder)
+    board = Dashboard(records, series=b.YEARS, links=b.LINKS, graph=b.SUPPLY, hierarchy=b.YEAR_TEXT_TREE)
+    return board.key_dictionary()
 
 
 # sources, profile, roles
 
 
+EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+
+
+def _written(records: DataFrame, name: str) -> str:
+    """A folder in the session's shared folder with the records as JSON Lines, or their one text column."""
+    path = scratch(records.sparkSession, name)
+    if records.columns == ["line"]:
+        records.write.text(path)
+    else:
+        records.write.json(path)
+    return path
+
+
+def _events(spark, folder) -> DataFrame:
+    """The events with their times as text, which JSON would cut to milliseconds."""
+    return b.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("string"))
+
+
 @query
 def ingest_lines(spark, folder):
     """The events written as JSON Lines and read back as records."""
-    path = f"{checkpoint_folder(spark)}/events-{uuid.uuid4().hex}"
-    b.table(spark, folder, "events").select("event_id", "event_type", "value").write.json(path)
-    schema = "event_id bigint, event_type string, value double"
-    return read_records(spark, path, lines=True, schema=schema).select("event_id", "event_type", "value")
+    path = _written(_events(spark, folder), "events")
+    return read_records(spark, path, lines=True, schema=EVENTS).drop("row_order")
+
+
+@query
+def ingest_arrays(spark, folder):
+    """The conversations as one JSON array per line, of up to fifty turns each."""
+    turns = b.table(spark, folder, "conversations")
+    part = F.floor(F.col("turn") / 50).alias("part")
+    lists = turns.groupBy("conv_id", part).agg(F.collect_list(F.struct("*")).alias("turns"))
+    path = _written(lists.select(F.to_json("turns").alias("line")), "conversations")
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    return read_records(spark, path, lines=True, schema=schema).drop("row_order")
+
+
+@query
+def ingest_bad(spark, folder):
+    """The events as JSON Lines, every tenth cut short: it is set aside as text."""
+    line = F.to_json(F.struct("*"))
+    cut = F.when(F.col("event_id") % 10 == 0, F.substring(line, F.lit(1), F.length(line) - 3)).otherwise(line)
+    path = _written(_events(spark, folder).select(cut.alias("line")), "bad")
+    found = read_records(spark, path, lines=True, schema=EVENTS, keep_bad=True)
+    told = F.regexp_extract(BAD_RECORD, r'"event_id":(\d+)', 1).cast("bigint")
+    bad = F.col(BAD_RECORD).isNotNull()
+    values = [F.when(~bad, F.col(c)).alias(c) for c in ("ts", "user_id", "event_type", "value", "props")]
+    return found.select(F.when(bad, told).otherwise(F.col("event_id")).alias("event_id"), bad.alias("bad"), *values)
 
 
 @query
 def ingest_variants(spark, folder):
-    """The same without a schema: fields and kinds found in the written records."""
-    path = f"{checkpoint_folder(spark)}/events-{uuid.uuid4().hex}"
-    b.events(spark, folder).select("event_id", "event_type", "value", "entries").write.json(path)
-    records = read_variants(spark, path, lines=True).withColumn(
-        "event_id", F.variant_get("record", "$.event_id", "bigint")
-    )
-    found = profile.variant_profile(records, "record", ["event_id"])
-    return found.select("key", "kind", "is_numeric", "first_seen")
+    """The events without a schema: fields and kinds found in the written records."""
+    records = b.events(spark, folder).withColumn("ts", F.col("ts").cast("string"))
+    found = read_variants(spark, _written(records, "events"), lines=True)
+    found = found.withColumn("event_id", F.variant_get("record", "$.event_id", "bigint"))
+    return profile.variant_profile(found, "record", ["event_id"]).select("key", "kind", "is_numeric", "first_seen")
 
 
 @query
@@ -345,3 +441,12 @@ def profile_variant(spark, folder):
 def roles(spark, folder):
     found = profile.typed_profile(b.events(spark, folder), ["event_id"])
     return profile.roles(found).select("view", "part", "field", "agg", "label", "bindable")
+
+
+@query
+def bindings(spark, folder):
+    """Which field of the events, a list among them, is accepted for which part."""
+    events = b.events(spark, folder).withColumn("tags", F.array("event_type"))
+    present = profile.typed_profile(events, ["event_id"]).select("key", "first_seen")
+    told = spark.createDataFrame(specs.accepted(events), "view string, part string, agg string, field string, accepted boolean")
+    return told.join(present, F.col("field") == F.col("key")).select("view", "part", "agg", "field", "accepted", "first_seen")
