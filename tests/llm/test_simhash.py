@@ -1,5 +1,7 @@
 """SimHash against all pairs."""
 
+from functools import cache
+
 import numpy as np
 import pytest
 import xxhash
@@ -18,13 +20,12 @@ def fingerprint(text, size):
 
 def classes(keys, linked):
     least = {k: k for k in keys}
-    changed = True
-    while changed:
-        changed = False
-        for a in keys:
-            for b in keys:
-                if least[a] > least[b] and linked(a, b):
-                    least[a], changed = least[b], True
+    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if linked(a, b)]
+    before = None
+    while least != before:
+        before = dict(least)
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
     return least
 
 
@@ -87,9 +88,15 @@ def test_long_text_in_parts(monkeypatch):
     assert int(simhash._fingerprint(text.encode(), 5)[0]) == whole
 
 
+@cache
+def shingles(text):
+    words = text.lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
 def jaccard(a, b):
-    s = [{tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b)]
-    return len(s[0] & s[1]) / len(s[0] | s[1])
+    both = len(shingles(a) & shingles(b))
+    return both / (len(shingles(a)) + len(shingles(b)) - both)
 
 
 def edited(text, seed, part):

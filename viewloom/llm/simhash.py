@@ -41,8 +41,12 @@ BANDS = 8
 LEFT_OUT = list(combinations(range(BANDS), RADIUS))
 SEED = 42
 #: For similar texts: bits, how surely a pair at the threshold shares a bucket, rows aimed at in
-#: a bucket, and rows from which a bucket is split.
-WIDE, RECALL, BUCKET_ROWS, CROWD = 256, 0.99, 128, 4096
+#: a bucket, and rows from which a bucket is split. Larger buckets need fewer keys: bit slicing
+#: compares 64 pairs at once, while each key shuffles every fingerprint.
+WIDE, RECALL, BUCKET_ROWS, CROWD = 256, 0.99, 512, 4096
+#: A pair at the threshold may differ in so many standard deviations more bits than expected:
+#: buckets are laid out to find it there, and the radius lets it pass.
+FOUND_AT, RADIUS_AT = 1.5, 2.5
 
 
 def _mask(left_out: tuple[int, ...]) -> int:
@@ -217,17 +221,21 @@ def disagreement(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def radius_for(similarity: float) -> int:
-    """Expected distance at the similarity, and two and a half standard deviations."""
+def _differing(similarity: float, deviations: float) -> float:
+    """The part of the bits, so many standard deviations above what is expected."""
     q = disagreement(similarity)
-    return int(WIDE * q + 2.5 * math.sqrt(WIDE * q * (1 - q)))
+    return q + deviations * math.sqrt(q * (1 - q) / WIDE)
+
+
+def radius_for(similarity: float) -> int:
+    return int(WIDE * _differing(similarity, RADIUS_AT))
 
 
 def keys_for(similarity: float, rows: int) -> list[np.ndarray]:
     """The bits of each key: as many as make buckets of about BUCKET_ROWS, and so many keys that
     a pair at the similarity shares one with probability RECALL."""
     width = min(63, max(8, math.ceil(math.log2(max(rows, 1) / BUCKET_ROWS))))
-    found = (1 - disagreement(similarity)) ** width
+    found = (1 - _differing(similarity, FOUND_AT)) ** width
     random = np.random.default_rng(SEED)
     count = math.ceil(math.log(1 - RECALL) / math.log(1 - found))
     return [random.permutation(WIDE)[: width + 32] for _ in range(count)]
