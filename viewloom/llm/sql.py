@@ -60,7 +60,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words
 FROM ruled
 """
 
-_ADDRESS = r"""lower(regexp_extract({0}, '^(.*?)://', 1, 's')) || '://' || lower(regexp_extract({0}, '://([^/?#]*)', 1))
+_ADDRESS = r"""translate(regexp_extract({0}, '^(.*?)://', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' || translate(regexp_extract({0}, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
     || CASE WHEN regexp_extract({0}, '://[^/?#]*([^#]*)', 1) LIKE '/%' THEN '' ELSE '/' END || regexp_extract({0}, '://[^/?#]*([^#]*)', 1)"""
 
 ORACLE["op7_url_filter"] = rf"""
@@ -69,7 +69,7 @@ WITH RECURSIVE rules(verdict, host, path) AS (
 ),
 parts AS (
     SELECT page_id, url, html,
-        CASE WHEN contains(url, '://') THEN lower(regexp_extract(url, '://([^/?#]*)', 1)) ELSE '' END AS host,
+        CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
         CASE WHEN contains(url, '://') THEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
     FROM pages
 ),
@@ -89,7 +89,7 @@ found AS (
 targets AS (
     SELECT url, CASE WHEN contains(target, '://') THEN target
         WHEN target LIKE '//%' THEN regexp_extract(url, '^(.*?)://', 1) || ':' || target
-        WHEN target LIKE '/%' THEN regexp_extract(url, '^(.*?)://', 1) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || target END AS target
+        WHEN target LIKE '/%' THEN regexp_extract(url, '^(.*?)://', 1) || '://' || translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || target END AS target
     FROM found
 ),
 edges AS (
@@ -99,7 +99,7 @@ both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
 asked AS (
     SELECT DISTINCT url AS target, host, path FROM parts
-    UNION SELECT a, lower(regexp_extract(a, '://([^/?#]*)', 1)), regexp_extract(a, '://[^/?#]*([^?#]*)', 1) FROM both_ways
+    UNION SELECT a, translate(regexp_extract(a, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), regexp_extract(a, '://[^/?#]*([^?#]*)', 1) FROM both_ways
 ),
 ruled AS (
     SELECT target, rules.host || rules.path AS rule, verdict
