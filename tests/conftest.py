@@ -15,6 +15,8 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "3")
         .config("spark.default.parallelism", "3")
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1 -XX:+UseSerialGC")  # short jobs
+        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
