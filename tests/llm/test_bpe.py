@@ -14,6 +14,7 @@ TEXTS = AWKWARD + ["don't  stop\n\n  I'LL we'll''s 123abc 4²５", "日本語 
 @pytest.mark.parametrize("block", [200, 1 << 25])
 def test_same_as_tokenizer(spark, monkeypatch, block):
     monkeypatch.setattr(bpe, "BLOCK_BYTES", block)
+    monkeypatch.setattr(bpe, "PART_WORDS", block // 20)
     docs = documents(spark, TEXTS * 2).repartition(3, "doc_id").withColumns({"tokens": F.lit(1), "block": F.lit(0), "_row": F.lit(0)})
     vocabulary = Vocabulary()
     encoding = vocabulary.encoding()

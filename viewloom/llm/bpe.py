@@ -24,6 +24,7 @@ from viewloom.llm.word_blocks import (
 )
 
 LONG_TEXT = 1 << 20
+PART_WORDS = 1 << 19
 
 
 def pre_tokens(text: str | None, pattern) -> Iterator[list[str]]:
@@ -97,12 +98,17 @@ def _reassemble(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
     at = np.empty(len(places), np.int64)
     at[places] = np.arange(len(places))  # where the answer for a place lies
     numbers = unsqueeze(row["numbers"], np.uint32)
-    tokens, taken = gather(flat, sizes, at[numbers])
-    words = unsqueeze(row["sizes"], np.uint32).astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(taken)])[np.concatenate([[0], np.cumsum(words)])]
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.astype(np.int32)))
+    ends = np.cumsum(unsqueeze(row["sizes"], np.uint32).astype(np.int64))
+    lists, first = [], 0
+    while first < len(ends):  # some texts at a time: positions take many times the room of ids
+        begin = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, begin + PART_WORDS, side="right")))
+        tokens, taken = gather(flat, sizes, at[numbers[begin : ends[last - 1]]])
+        sums = np.concatenate([[0], np.cumsum(taken)])[np.concatenate([[0], ends[first:last] - begin])]
+        lists.append(pa.ListArray.from_arrays(pa.array(sums, pa.int32()), pa.array(tokens.astype(np.int32))))
+        first = last
     ids = texts.column("ids").combine_chunks().filter(pa.compute.less(texts.column("bucket"), 0).combine_chunks())
-    return pa.table([ids.flatten(), lists], names=["id", "tokens"])
+    return pa.table([ids.flatten(), pa.chunked_array(lists, pa.list_(pa.int32()))], names=["id", "tokens"])
 
 
 def encode(

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def squeeze(values: np.ndarray) -> bytes:
