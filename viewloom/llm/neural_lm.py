@@ -36,7 +36,7 @@ LONGEST = 64  # longer words are not made classes, so the model's size is bounde
 NOISE, NOISE_WEIGHT, BATCH, RATE, ROUNDS, SEED = 64, 10.0, 512, 0.05, 2, 11
 LEAST_STEPS = 200  # a block of few triples is gone through again
 SHARES = 200_000  # a triple's count is cut into parts of at most this share of all tokens
-TRIPLES_BYTES = 32 << 20
+TRIPLES_BYTES = 16 << 20
 
 
 @dataclass
