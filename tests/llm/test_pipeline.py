@@ -8,6 +8,7 @@ from tests.llm.test_crf import junk
 from tests.llm.test_simhash import edited, jaccard
 from viewloom.llm import secret_scan, workload
 from viewloom.llm.vocabulary import Vocabulary
+from viewloom.operators.staging import stored
 
 
 def corpus():
@@ -20,26 +21,39 @@ def corpus():
     return good, bad, exact, near, secret
 
 
+NAMELESS = prose(950, 90, 3000) + "."
+
+
 def write(spark, folder):
+    """Besides the corpus: rows without an id, of which two are alike, and one without a text."""
     texts = [t for part in corpus() for t in part]
-    documents(spark, texts).write.parquet(f"{folder}/documents.parquet")
+    more = spark.createDataFrame([(None, None, None, None, None), (None, NAMELESS, None, None, 1), (None, NAMELESS, "en", None, 1)], SCHEMA)
+    documents(spark, texts).union(more).write.parquet(f"{folder}/documents.parquet")
     labels = [(i, int(not 60 <= i < 90), 0) for i in range(90)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return texts
 
 
-def test_stages(spark, tmp_path):
+def test_stages(spark, tmp_path, monkeypatch):
     texts = write(spark, tmp_path)
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    columns = docs.columns
-    seen = {}
-    for name, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
-        docs = spark.read.parquet(f"{tmp_path}/{name}")
-        assert name == "packing" or docs.columns == columns
-        seen[name] = {r.doc_id for r in docs.select("doc_id").collect()}
-    everything = set(range(len(texts)))
-    assert seen["quality"] == everything - set(range(60, 90))
+    shown = {}
+
+    def watched(name, stage):
+        def run(spark, docs, sf_dir):
+            out = stage(spark, docs, sf_dir)
+            shown[name] = stored(out)
+            return shown[name]
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(*stage) for stage in corpus_pipeline.STAGES])
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    columns = spark.read.parquet(f"{tmp_path}/documents.parquet").columns
+    assert all(df.columns == columns for name, df in shown.items() if name != "packing")
+    rows = {name: df.collect() for name, df in shown.items()}
+    assert sorted(map(tuple, packed.collect()), key=repr) == sorted(map(tuple, rows["packing"]), key=repr)
+    seen = {name: {r.doc_id for r in found} - {None} for name, found in rows.items()}
+    assert seen["quality"] == set(range(len(texts))) - set(range(60, 90))
     least = {}
     for i in sorted(seen["quality"]):
         least.setdefault(texts[i], i)
@@ -47,31 +61,22 @@ def test_stages(spark, tmp_path):
     copies = {b for b in seen["exact"] for a in seen["exact"] if a < b and jaccard(texts[a], texts[b]) >= 0.8}
     assert len(copies) == 10 and seen["near"] == seen["exact"] - copies
     assert seen["secrets"] == seen["near"] == seen["packing"]
-    clean = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/secrets").collect()}
-    assert "0123456789abcdef" not in clean[max(clean)].text and clean[max(clean)].n_chars == len(clean[max(clean)].text)
-    assert all(clean[i].text == texts[i] for i in clean if i != max(clean))
+    nameless = {name: [r.text for r in found if r.doc_id is None] for name, found in rows.items() if name != "packing"}
+    assert nameless["quality"].count(NAMELESS) == 2
+    assert all(nameless[name].count(NAMELESS) == 1 for name in ("exact", "near", "secrets"))
+    clean = {r.doc_id: r for r in rows["secrets"] if r.doc_id is not None}
+    last = max(clean)
+    assert "0123456789abcdef" not in clean[last].text and clean[last].n_chars == len(clean[last].text)
+    assert all(clean[i].text == texts[i] for i in clean if i != last)
     encoding = Vocabulary().encoding()
-    sizes = {r.doc_id: r.n for r in docs.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
-    assert sizes == {i: len(encoding.encode_ordinary(r.text)) + 1 for i, r in clean.items()}
-
-
-def test_run_is_the_stages(spark, tmp_path):
-    write(spark, tmp_path)
-    got = corpus_pipeline.run(spark, str(tmp_path))
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, str(tmp_path))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
-
-
-def test_empty_and_nulls(spark, tmp_path):
-    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/a/documents.parquet")
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
-    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
-    write(spark, f"{tmp_path}/b")
-    extra = spark.createDataFrame([(None, None, None, None, None), (None, prose(77, 90) + ".", None, None, None), (5000, None, "en", None, 3)], SCHEMA)
-    extra.write.mode("append").parquet(f"{tmp_path}/b/documents.parquet")
-    assert corpus_pipeline.run(spark, f"{tmp_path}/b").where("doc_id IS NULL").count() >= 1
+    sizes = {r.doc_id: r.n for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert all(sizes[i] == len(encoding.encode_ordinary(r.text)) + 1 for i, r in clean.items())
+
+
+def test_empty(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_queries_cover_the_operators():
