@@ -192,8 +192,12 @@ def _classed(prints: DataFrame, distinct: DataFrame, pairs: DataFrame, id_column
     """The rows of `prints` with component_id, the least id of the class, and its root."""
     roots = components(pairs)
     classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    least = classes.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
-    named = stored(classes.join(least, F.col("of") == F.col("root")).select("fp", "component_id", "root"))
+    least = stored(
+        classes.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"), F.count("*").alias("n_rows"))
+    )
+    members = least.select(F.col("of").alias("root"), "n_rows")
+    ids = least.select("of", "component_id")
+    named = stored(lookup(classes.select("fp", "root"), ids, {"root": "of"}, "inner", spread=["fp"], counts=members))
     return lookup(prints, named, {"fp": "fp"}, "inner", spread=[id_column], counts=distinct.select("fp", "n_rows"))
 
 

@@ -148,8 +148,9 @@ def judge(
     ends = roots.select(F.col("node").alias("_url"), "root")  # also addresses that are no page
     ends = ends.join(_ruled(ends.select("_url", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path")), rules), "_url")
     said = placed.join(own, "_url").select("root", "allow").union(ends.select("root", "allow"))
-    decided = said.groupBy(F.col("root").alias("of")).agg(F.max("allow").alias("class_allow"))
-    aliased = placed.join(decided, F.col("root") == F.col("of")).select(F.col("_url").alias("_alias"), "class_allow")
+    decided = stored(said.groupBy(F.col("root").alias("of")).agg(F.max("allow").alias("class_allow")))
+    aliased = lookup(placed, decided, {"root": "of"}, "inner", spread=["_url"])
+    aliased = aliased.select(F.col("_url").alias("_alias"), "class_allow")
     judged = stored(
         urls.select("_url").join(own, "_url", "left").join(aliased, F.col("_url") == F.col("_alias"), "left").select(
             F.col("_url").alias("_key"), "rule", F.coalesce("allow", "class_allow").alias("_allow"),
