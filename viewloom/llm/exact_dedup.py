@@ -84,10 +84,13 @@ def survivors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """
     rows = _rows(docs, id_column, text_column, digest, F.struct("*").alias("_row"))
     classes, key = _classes(rows.drop("_row"), keep)
-    match = F.col("_id").eqNullSafe(F.col("keep_id"))
-    for k in key:
-        match = match & (F.col(k) == F.col(f"_of{k}"))
-    kept = classes.select(F.col("keep_id"), *[F.col(k).alias(f"_of{k}") for k in key])
-    alike = Window.partitionBy("_id", *key).orderBy(F.xxhash64("_row"))
-    chosen = rows.join(kept, match, "inner").withColumn("_n", F.row_number().over(alike)).where("_n = 1")
-    return chosen.select("_row.*")
+    # plain equalities that hold for null ids as well: the window then needs no shuffle of its own
+    none = F.lit("0").cast(docs.schema[id_column].dataType)
+    same = {"_null": F.isnull("_id"), "_key": F.coalesce("_id", none)}
+    kept = classes.select(
+        F.isnull("keep_id").alias("_null"), F.coalesce("keep_id", none).alias("_key"), *key
+    )
+    together = ["_null", "_key", *key]
+    alike = Window.partitionBy(*together).orderBy(F.xxhash64("_row"))
+    chosen = rows.withColumns(same).join(kept, together, "inner").withColumn("_n", F.row_number().over(alike))
+    return chosen.where("_n = 1").select("_row.*")
