@@ -125,6 +125,34 @@ def test_similar_finds_copies_and_leaves_others(spark, monkeypatch):
     assert len(linked) > 180 and all(got[i].component_id == i for i in range(3, 120, 4))
 
 
+def test_links_that_other_close_pairs_stand_in_for(spark, monkeypatch):
+    """A forest first - second - third, of which both pairs fail the check, does not hide that the first and third are alike."""
+    base = prose(40, 200)
+    texts = [base, edited(base, 1, 0.05), edited(base, 2, 0.01)]
+
+    def chained(distinct, similarity):
+        fps = [r.fp for r in distinct.orderBy("least").collect()]
+        return spark.createDataFrame(list(zip(fps, fps[1:])), "a binary, b binary")
+
+    monkeypatch.setattr(simhash, "candidates", chained)
+    assert jaccard(texts[0], texts[2]) >= 0.8 > max(jaccard(texts[0], texts[1]), jaccard(texts[1], texts[2]))
+    assert [r.component_id for _, r in sorted(similar_classes(spark, texts).items())] == [0, 1, 0]
+
+
+def test_the_rest_is_compared(spark, monkeypatch):
+    """Close pairs that all fail, in a chain, say only which texts to compare."""
+    monkeypatch.setattr(simhash, "SLICE_ROWS", 3)
+    sets = [np.arange(100), np.arange(40, 140), np.arange(5, 105), np.arange(45, 145), np.arange(300, 400), np.arange(8, 108)]
+    names = [bytes([65 + k]) for k in range(len(sets))]
+    rows = [(n, x.astype(np.uint32).tobytes()) for n, x in zip(names, sets)]
+    shingles = spark.createDataFrame([(n, bytearray(x)) for n, x in rows], "fp binary, shingles binary")
+    pairs = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in zip(names, names[1:])], "a binary, b binary")
+    out = simhash._rest(pairs, pairs.limit(0), shingles, 0.8).collect()
+    found = {frozenset((bytes(r.a), bytes(r.b))) for r in out}
+    linked = classes(names, lambda a, b: frozenset((a, b)) in found)
+    assert linked == {b"A": b"A", b"B": b"B", b"C": b"A", b"D": b"B", b"E": b"E", b"F": b"A"}
+
+
 def test_representatives(spark):
     base = prose(9, 100)
     texts = [(4, base), (2, edited(base, 1, 0.01)), (3, base), (3, base), (7, prose(10, 100)), (None, prose(11, 50)),

@@ -15,7 +15,9 @@ Similar texts (`similar`): texts that share a given part of their shingles are a
 bits apart, where two bits find little. So these use 256 bits, the radius that belongs to the
 similarity, and buckets of agreeing bits drawn at random, as many as find a pair at the
 threshold with probability RECALL; each bucket emits the closest pairs that connect it, fewer
-than it has rows. The shingles of emitted pairs are then compared exactly.
+than it has rows. The shingles of emitted pairs are then compared exactly. Where that leaves texts
+apart that close pairs connect, all pairs between their parts are compared on their shingles (`_rest`),
+so no pair is lost because another one was emitted in its place.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ WIDE, RECALL, BUCKET_ROWS, CROWD = 256, 0.99, 512, 4096
 #: A pair at the threshold may differ in so many standard deviations more bits than expected:
 #: buckets are laid out to find it there, and the radius lets it pass.
 FOUND_AT, RADIUS_AT = 1.5, 2.5
+#: Texts whose shingles are compared with each other come in slices of about so many rows and bytes.
+SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
 
 
 def _mask(left_out: tuple[int, ...]) -> int:
@@ -338,9 +342,6 @@ def _alike(similarity: float):
         for batch in batches:
             keep = []
             for left, right in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                if left is None or right is None:
-                    keep.append(True)
-                    continue
                 a, b = np.frombuffer(left, np.uint32), np.frombuffer(right, np.uint32)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both >= similarity * (len(a) + len(b) - both))
@@ -349,6 +350,82 @@ def _alike(similarity: float):
     return run
 
 
+def _compared(similarity: float):
+    """Links between rows of different roots in one tile, enough to connect what the tile's links connect.
+
+    Rows of one slice (side 0) meet each other, rows of two slices (sides 0 and 1) those of the other side.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint32) for x in rows.column("shingles").to_pylist()]
+        order = np.argsort([len(x) for x in sets], kind="stable")
+        sets = [sets[k] for k in order]
+        sizes = np.array([len(x) for x in sets])
+        side = rows.column("side").to_numpy()[order]
+        nodes = [rows.column("node")[int(k)].as_py() for k in order]
+        names = {x: k for k, x in enumerate(set(rows.column("root").to_pylist()))}
+        root = np.array([names[x] for x in rows.column("root").to_pylist()])[order]
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        starts = np.cumsum(sizes) - sizes
+        marked = np.zeros(int(flat.max(initial=0)) + 1, bool)
+        two, found = side.any(), []
+        for i in np.flatnonzero(sizes):
+            # a larger text is no more than 1 / similarity times as large
+            mates = np.arange(i + 1, np.searchsorted(sizes, sizes[i] / similarity + 1, "right"))
+            mates = mates[root[mates] != root[i]]
+            mates = mates[side[mates] != side[i]] if two else mates
+            if not len(mates):
+                continue
+            own = flat[starts[i] : starts[i] + sizes[i]]
+            marked[own] = True
+            hits = marked[np.concatenate([flat[starts[j] : starts[j] + sizes[j]] for j in mates])]
+            both = np.add.reduceat(hits, np.cumsum(sizes[mates]) - sizes[mates], dtype=np.int64)
+            marked[own] = False
+            mates = mates[both >= similarity * (sizes[i] + sizes[mates] - both)]
+            mates = mates[np.unique(root[mates], return_index=True)[1]]
+            found += [(nodes[i], nodes[j]) for j in mates]
+            root[np.isin(root, root[mates])] = root[i]
+        return pa.table([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _rest(pairs: DataFrame, checked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that `checked` lacks among the texts that `pairs` connect: all pairs are compared.
+
+    A block is what `pairs` connect; texts that `checked` connects need no more links. In a block the
+    largest part is set against all others, and these against each other, in tiles of two slices.
+    """
+    blocks = components(pairs).select("node", F.col("root").alias("block"))
+    roots = components(checked).select(F.col("node").alias("of"), F.col("root").alias("to"))
+    members = blocks.join(roots, F.col("node") == F.col("of"), "left")
+    members = stored(members.select("node", "block", F.coalesce("to", "node").alias("root")))
+    parts = members.groupBy("block", "root").agg(F.count("*").alias("n"))
+    parts = parts.groupBy(F.col("block").alias("of")).agg(
+        F.max_by("root", F.struct("n", "root")).alias("home"), F.sum("n").alias("n_rows"), F.count("*").alias("n_parts")
+    )
+    # both of a block of two have been compared
+    left_open = stored(parts.where("n_parts > 1 AND n_rows > 2").drop("n_parts"))
+    counts = left_open.select(F.col("of").alias("block"), "n_rows")
+    rows = lookup(members, left_open.select("of", "home"), {"block": "of"}, "inner", spread=["node"], counts=counts)
+    rows = rows.join(sets, F.col("node") == F.col("fp")).select("node", "block", "root", (F.col("root") == F.col("home")).alias("main"), "shingles")
+    rows = stored(rows)
+    slices = F.ceil(F.greatest(F.lit(1), F.count("*") / SLICE_ROWS, F.sum(F.length("shingles")) / SLICE_BYTES)).cast("int")
+    slices = rows.groupBy("block", "main").agg(slices.alias("n"), F.count("*").alias("n_rows"))
+    n = lambda main: F.coalesce(F.max(F.when(F.col("main") == F.lit(main), F.col("n"))), F.lit(1))
+    slices = stored(slices.groupBy(F.col("block").alias("of")).agg(n(False).alias("others"), n(True).alias("mains"), F.sum("n_rows").alias("n_rows")))
+    counts = slices.select(F.col("of").alias("block"), "n_rows")
+    rows = lookup(rows, slices.drop("n_rows"), {"block": "of"}, "inner", spread=["node"], counts=counts)
+    others, mains = F.col("others"), F.col("mains")
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("main"), mains).otherwise(others)).cast("int")
+    rows = rows.withColumn("at", F.when(F.col("main"), others + at).otherwise(at))
+    met = F.sequence(F.lit(0), F.when(F.col("main"), others).otherwise(others + mains) - 1)
+    rows = rows.select("node", "block", "root", "shingles", "at", F.explode(met).alias("met"))
+    side = (F.col("met") < F.col("at")).cast("int").alias("side")
+    rows = rows.select("node", "block", "root", "shingles", F.least("at", "met").alias("x"), F.greatest("at", "met").alias("y"), side)
+    return rows.groupBy("block", "x", "y").applyInArrow(_compared(similarity), "a binary, b binary")
+
+
 def similar(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, similarity: float = 0.8
 ) -> DataFrame:
@@ -356,8 +433,7 @@ def similar(
 
     Texts whose distinct shingles have at least the given Jaccard similarity are linked, as far
     as their fingerprints share a bucket (see RECALL); a class is all that can be reached. Every
-    link is checked on the shingles, unless a text has no id in any row. Texts without a word
-    are alike. Null ids, repeated rows and other columns as in `near_duplicates`.
+    link is checked on the shingles. Texts without a word are alike. Null ids, repeated rows and other columns as in `near_duplicates`.
     """
     prints = stored(_prints(docs, id_column, text_column, size, WIDE))
     distinct = _distinct(prints, id_column)
@@ -367,15 +443,17 @@ def similar(
     ends = stored(ends)
     asked = distinct.join(ends, F.col("fp") == F.col("end"), "left_semi").select(F.col("least").alias("_least"))
     rows = docs.select(F.col(text_column).cast("binary").alias("_text"), F.col(id_column).alias("_id"))
-    texts = rows.join(asked, F.col("_id") == F.col("_least"), "left_semi").select("_text")
+    texts = rows.join(asked, F.col("_id") == F.col("_least"), "left_semi").union(rows.where("_id IS NULL")).select("_text")
     sets = texts.mapInArrow(lambda batches: _sets(batches, size), "fp binary, shingles binary")
+    sets = sets.join(ends, F.col("fp") == F.col("end"), "left_semi")
     sets = stored(sets.groupBy("fp").agg(F.min("shingles").alias("shingles")))
     left = sets.select(F.col("fp").alias("fa"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("fp").alias("fb"), F.col("shingles").alias("sb"))
-    with_left = lookup(pairs, left, {"a": "fa"}, "left", spread=["b"])
-    with_both = lookup(with_left, right, {"b": "fb"}, "left", spread=["a"])
-    checked = with_both.mapInArrow(_alike(similarity), "a binary, b binary")
-    return _classed(prints, distinct, checked, id_column)
+    with_left = lookup(pairs, left, {"a": "fa"}, "inner", spread=["b"])
+    with_both = lookup(with_left, right, {"b": "fb"}, "inner", spread=["a"])
+    checked = stored(with_both.mapInArrow(_alike(similarity), "a binary, b binary"))
+    links = stored(checked.union(_rest(pairs, checked, sets, similarity)))
+    return _classed(prints, distinct, links, id_column)
 
 
 def representatives(
