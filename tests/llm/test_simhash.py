@@ -3,6 +3,7 @@
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -139,6 +140,37 @@ def test_links_that_other_close_pairs_stand_in_for(spark, monkeypatch):
     assert [r.component_id for _, r in sorted(similar_classes(spark, texts).items())] == [0, 1, 0]
 
 
+def test_crowded_buckets_keep_close_pairs(spark, monkeypatch):
+    """Pairs in one crowded bucket, 15% of the bits apart, are still connected."""
+    random = np.random.default_rng(8)
+    ones = random.integers(0, 2, (600, simhash.WIDE), np.uint8)
+    ones[:, :8] = 0  # the only key finds one bucket
+    twos = ones.copy()
+    for row in twos:
+        row[random.choice(np.arange(8, simhash.WIDE), 38, replace=False)] ^= 1
+    fps = [np.packbits(x, bitorder="little").tobytes() for x in np.concatenate([ones, twos])]
+    monkeypatch.setattr(simhash, "CROWD", 200)
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 100)
+    monkeypatch.setattr(simhash, "keys_for", lambda similarity, rows: [np.arange(8)])
+    out = simhash.candidates(spark.createDataFrame([(bytearray(x),) for x in fps], "fp binary"), 0.8).collect()
+    found = {frozenset((bytes(r.a), bytes(r.b))) for r in out}
+    assert sum(frozenset(p) in found for p in zip(fps[:600], fps[600:])) >= 0.97 * 600
+
+
+def test_what_stays_crowded_is_one_block(monkeypatch):
+    """Rows of one part, further apart than a window, are connected; other parts are left alone."""
+    monkeypatch.setattr(simhash, "CROWD", 16)
+    random = np.random.default_rng(9)
+    part = np.repeat([0, 1, 2], [3, 150, 5])
+    fps = [random.integers(0, 256, simhash.WIDE // 8, np.uint8).tobytes() for _ in part]
+    columns = [pa.array(np.zeros(len(part), np.int32)), pa.array(np.zeros(len(part), np.int64)), pa.array(part), pa.array(fps, pa.binary())]
+    rows = pa.table(columns, ["choice", "key", "part", "fp"])
+    out = simhash._forests(53)(iter(rows.to_batches(max_chunksize=40)))
+    pairs = {p for batch in out for p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+    linked = classes(range(len(fps)), lambda a, b: (fps[a], fps[b]) in pairs)
+    assert linked == {k: 3 if 3 <= k < 153 else k for k in range(len(fps))}
+
+
 def test_the_rest_is_compared(spark, monkeypatch):
     """Close pairs that all fail, in a chain, say only which texts to compare."""
     monkeypatch.setattr(simhash, "SLICE_ROWS", 3)

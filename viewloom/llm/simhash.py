@@ -245,63 +245,111 @@ def keys_for(similarity: float, rows: int) -> list[np.ndarray]:
     width = min(63, max(8, math.ceil(math.log2(max(rows, 1) / BUCKET_ROWS))))
     found = (1 - _differing(similarity, FOUND_AT)) ** width
     random = np.random.default_rng(SEED)
-    count = math.ceil(math.log(1 - RECALL) / math.log(1 - found))
-    return [random.permutation(WIDE)[: width + 32] for _ in range(count)]
+    return [random.permutation(WIDE)[:width] for _ in range(_count(found))]
+
+
+def _count(found: float) -> int:
+    """How many keys find a pair with probability RECALL that one finds with probability `found`."""
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - found))
+
+
+def further_keys(similarity: float, rows: int, choice: int, taken: np.ndarray) -> list[np.ndarray]:
+    """The bits of each further key of a crowded bucket, none of which its own key has taken.
+
+    As many bits as would make parts of about BUCKET_ROWS, and so many keys that a pair of the
+    bucket shares a part with probability RECALL: all bits in which it differs are among the others.
+    """
+    width = min(40, max(1, math.ceil(math.log2(rows / BUCKET_ROWS))))
+    left = np.setdiff1d(np.arange(WIDE), taken)
+    found = (1 - _differing(similarity, FOUND_AT) * WIDE / len(left)) ** width
+    random = np.random.default_rng([SEED, choice, width])
+    return [random.permutation(left)[:width] for _ in range(_count(found))]
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.unpackbits(flat, axis=1, bitorder="little")[:, :WIDE].astype(np.int64)
+
+
+def _value(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return bits[:, key] @ (np.int64(1) << np.arange(len(key), dtype=np.int64))
 
 
 def _keyed(distinct: DataFrame, keys: list[np.ndarray]) -> DataFrame:
-    """A row per fingerprint and key: choice, key (its bits), more (32 further bits), fp."""
-    width = len(keys[0]) - 32
+    """A row per fingerprint and key: choice, key (its bits), fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = np.int64(1) << np.arange(width, dtype=np.int64)
-        further = np.int64(1) << np.arange(32, dtype=np.int64)
         for batch in batches:
             column = batch.column(0)
             if not len(column):
                 continue
-            flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-            bits = np.unpackbits(flat, axis=1, bitorder="little").astype(np.int64)
+            bits = _bits(column)
             for choice, some in enumerate(keys):
-                columns = [
-                    pa.array(np.full(len(column), choice, np.int32)), pa.array(bits[:, some[:width]] @ powers),
-                    pa.array(bits[:, some[width:]] @ further), column,
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["choice", "key", "more", "fp"])
+                columns = [pa.array(np.full(len(column), choice, np.int32)), pa.array(_value(bits, some)), column]
+                yield pa.RecordBatch.from_arrays(columns, ["choice", "key", "fp"])
+
+    return distinct.select("fp").mapInArrow(run, "choice int, key long, fp binary")
+
+
+def _parted(similarity: float, keys: list[np.ndarray]):
+    """Rows (choice, key, fp, n_rows) with their part: 0, or in a crowded bucket (n_rows given) one per further key."""
 
-    return distinct.select("fp").mapInArrow(run, "choice int, key long, more long, fp binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_rows = batch.column("n_rows").fill_null(0).to_numpy()
+            whole = batch.filter(pa.array(n_rows == 0)).select(["choice", "key", "fp"])
+            yield whole.append_column("part", pa.array(np.zeros(whole.num_rows, np.int64))).select(["choice", "key", "part", "fp"])
+            choices = batch.column("choice").to_numpy()
+            buckets = np.stack([choices, n_rows], axis=1)[n_rows > 0]
+            for choice, n in np.unique(buckets, axis=0).tolist():
+                rows = batch.filter(pa.array((choices == choice) & (n_rows == n)))
+                bits = _bits(rows.column("fp"))
+                for number, some in enumerate(further_keys(similarity, n, choice, keys[choice])):
+                    part = pa.array(_value(bits, some) + ((number + 1) << 40))
+                    columns = [rows.column("choice"), rows.column("key"), part, rows.column("fp")]
+                    yield pa.RecordBatch.from_arrays(columns, ["choice", "key", "part", "fp"])
+
+    return run
 
 
 def _forests(radius: int):
     """Connecting pairs per bucket of rows sorted by (choice, key, part).
 
-    A bucket of more than CROWD rows is compared in overlapping blocks of its order, in which
+    A part of more than 2 * CROWD rows is compared in overlapping blocks of its order, in which
     rows that agree in more leading bits are neighbours; so memory and time a row are bounded.
+    Rows further apart in it are not compared here: neighbours of its order are all emitted as
+    well, so the part becomes one block, in which `_rest` compares the shingles of all pairs
+    that are still apart.
     """
 
-    def compare(rows: pa.Table) -> pa.RecordBatch:
+    def compare(rows: pa.Table, crowded: bool) -> pa.RecordBatch:
         fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
         marks = [rows.column(c).to_numpy() for c in ("choice", "key", "part")]
         new = np.ones(len(fps), bool)
         new[1:] = np.any([m[1:] != m[:-1] for m in marks], axis=0)
         shared = _shared(new)
+        first = int(_ends(new)[0]) if crowded else 0  # the crowded part leads
+        chain = fps[:first]
         fps, new = fps[shared], new[shared]
         i, j = nearest_forest(fps, _ends(new), radius) if len(fps) else (np.zeros(0, int), np.zeros(0, int))
+        if first > 1:
+            i, j = (np.concatenate([x, len(fps) + y]) for x, y in ((i, np.arange(first - 1)), (j, np.arange(1, first))))
+            fps = np.concatenate([fps, chain])
         pair = [pa.array([f.tobytes() for f in fps[x]], pa.binary()) for x in (i, j)]
         return pa.RecordBatch.from_arrays(pair, ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, crowded = None, False
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             held = rows if held is None else pa.concat_tables([held, rows])
             while held.num_rows > 2 * CROWD:
                 last = np.all([m == m[-1] for m in map(np.asarray, (held.column(c) for c in ("choice", "key", "part")))], axis=0)
                 begun = 0 if last.all() else held.num_rows - int(np.argmin(last[::-1]))
-                yield compare(held.slice(0, begun or 2 * CROWD))
-                held = held.slice(begun or CROWD)
+                yield compare(held.slice(0, begun or 2 * CROWD), crowded or not begun)
+                held, crowded = held.slice(begun or CROWD), not begun
         if held is not None and held.num_rows:
-            yield compare(held)
+            yield compare(held, crowded)
 
     return run
 
@@ -311,16 +359,16 @@ def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
 
     Enough to connect all close pairs that share a bucket; a pair may come more than once.
     Buckets of more than CROWD rows, as a large group of near copies makes, are dealt over
-    tasks by 32 further bits.
+    tasks by several further keys each; what stays crowded is emitted as a chain.
     """
-    keyed = _keyed(distinct, keys_for(similarity, distinct.count()))
+    keys = keys_for(similarity, distinct.count())
+    keyed = _keyed(distinct, keys)
     crowded = stored(
         keyed.groupBy(F.col("choice").alias("c"), F.col("key").alias("k")).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > CROWD)
     )
     counts = crowded.select(F.col("c").alias("choice"), F.col("k").alias("key"), "n_rows")
     marked = lookup(keyed, crowded, {"choice": "c", "key": "k"}, "left", spread=["fp"], counts=counts)
-    part = F.when(F.col("n_rows").isNotNull(), F.col("more")).otherwise(0).alias("part")
-    rows = marked.select("choice", "key", part, "fp")
+    rows = marked.select("choice", "key", "fp", "n_rows").mapInArrow(_parted(similarity, keys), "choice int, key long, part long, fp binary")
     dealt = rows.repartition("choice", "key", "part").sortWithinPartitions("choice", "key", "part", "fp")
     return dealt.mapInArrow(_forests(radius_for(similarity)), "a binary, b binary")
 
