@@ -171,6 +171,20 @@ def test_what_stays_crowded_is_one_block(monkeypatch):
     assert linked == {k: 3 if 3 <= k < 153 else k for k in range(len(fps))}
 
 
+def test_repeated_and_few_shingles(spark):
+    """Repeats do not count, a shingle in majority does not stand for the text, short texts are found for certain."""
+    line = " " + " ".join(f"l{k}" for k in range(10))
+    texts = [prose(70, 300) + line, prose(70, 300) + line * 30]
+    texts += ["same word " * 60 + prose(71, 6), "same word " * 60 + prose(72, 6)]
+    for seed in range(100, 180):
+        base = prose(seed, 8 + seed % 20, 3000)
+        texts += [base, base + " more"]
+    got = similar_classes(spark, texts)
+    want = classes(range(len(texts)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    assert want[1] == 0 and want[3] == 3 and sum(want[i] != i for i in want) > 70
+    assert [i for i in want if got[i].component_id != want[i]] == []
+
+
 def test_the_rest_is_compared(spark, monkeypatch):
     """Close pairs that all fail, in a chain, say only which texts to compare."""
     monkeypatch.setattr(simhash, "SLICE_ROWS", 3)

@@ -12,12 +12,13 @@ Close fingerprints (`near_duplicates`), exactly:
 5. Links are joined to classes by distributed connected components.
 
 Similar texts (`similar`): texts that share a given part of their shingles are about ten of 64
-bits apart, where two bits find little. So these use 256 bits, the radius that belongs to the
+bits apart, where two bits find little. So these use 256 bits that count every distinct shingle once, the radius that belongs to the
 similarity, and buckets of agreeing bits drawn at random, as many as find a pair at the
 threshold with probability RECALL; each bucket emits the closest pairs that connect it, fewer
 than it has rows. The shingles of emitted pairs are then compared exactly. Where that leaves texts
 apart that close pairs connect, all pairs between their parts are compared on their shingles (`_rest`),
-so no pair is lost because another one was emitted in its place.
+so no pair is lost because another one was emitted in its place. Short texts, of whose bits too few
+shingles decide, meet through their shingles as well: texts that alike share one of the least few.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ WIDE, RECALL, BUCKET_ROWS, CROWD = 256, 0.99, 512, 4096
 #: A pair at the threshold may differ in so many standard deviations more bits than expected:
 #: buckets are laid out to find it there, and the radius lets it pass.
 FOUND_AT, RADIUS_AT = 1.5, 2.5
+#: Texts of fewer distinct shingles are found through their shingles, whatever their fingerprints.
+SHORT = 64
 #: Texts whose shingles are compared with each other come in slices of about so many rows and bytes.
 SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
 
@@ -78,41 +81,79 @@ def _hashes(shingles: list[bytes], seed: int = SEED) -> np.ndarray:
     return np.array([digest(s, seed) for s in shingles], np.uint64)
 
 
-def _fingerprint(raw: bytes | None, size: int, bits: int = 64) -> np.ndarray:
-    """`bits` // 64 words; a bit is 1 if it is set in over half of the shingles' hashes."""
-    votes, total = np.zeros((bits // 64, 64), np.int64), 0
+def _fingerprint(raw: bytes | None, size: int) -> np.ndarray:
+    """64 bits; a bit is 1 if it is set in over half of the shingles' hashes."""
+    votes, total = np.zeros(64, np.int64), 0
     for shingles in _shingles(raw, size):
-        for word in range(bits // 64):
-            hashes = _hashes(shingles, SEED + word)
-            for at in range(0, len(hashes), 1 << 16):
-                some = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
-                votes[word] += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        votes += _votes(_hashes(shingles))
         total += len(shingles)
-    return np.packbits(votes * 2 > total, axis=1, bitorder="little").view(np.uint64).ravel()
+    return np.packbits(votes * 2 > total, bitorder="little").view(np.uint64)
 
 
-def _fingerprinted(rows: DataFrame, size: int, bits: int = 64) -> DataFrame:
-    """Replace the first column, a text, by its fingerprint `fp`: a long, or bytes if it is wider."""
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """In how many hashes each bit is set."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        some = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return votes
+
+
+def _distinct_shingles(raw: bytes | None, size: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles, in order."""
+    hashes = [np.unique(_hashes(s)) for s in _shingles(raw, size)]
+    return np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]))
+
+
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Other hashes of the same, by the steps of SplitMix64."""
+    x = hashes + np.uint64((word + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _print(shingles: np.ndarray) -> bytes:
+    """The WIDE bits that distinct shingles vote for, then 128 bits that tell sets apart whose votes agree."""
+    votes = np.stack([_votes(_mixed(shingles, word)) for word in range(WIDE // 64)])
+    return np.packbits(votes * 2 > len(shingles), bitorder="little").tobytes() + xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
+
+
+def _least_shingles(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """Of a set that may be alike to one of fewer than SHORT shingles so many of the least that alike sets share one."""
+    n = len(shingles)
+    return shingles[: n - math.ceil(similarity * n - 1e-9) + 1 if n * similarity < SHORT else 0]
+
+
+def _fingerprinted(rows: DataFrame, size: int) -> DataFrame:
+    """Replace the first column, a text, by its fingerprint `fp`, a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_fingerprint(raw, size, bits) for raw in batch.column(0).to_pylist()]
-            if bits == 64:
-                fps = pa.array(np.array(found, np.uint64).view(np.int64).ravel())
-            else:
-                fps = pa.array([x.tobytes() for x in found], pa.binary())
+            found = [_fingerprint(raw, size) for raw in batch.column(0).to_pylist()]
+            fps = pa.array(np.array(found, np.uint64).view(np.int64).ravel())
             yield pa.RecordBatch.from_arrays([fps, *batch.columns[1:]], ["fp", *batch.schema.names[1:]])
 
-    text, *others = rows.columns
-    kind = F.lit(0).cast("long") if bits == 64 else F.lit(b"")
-    schema = StructType([rows.select(kind.alias("fp")).schema["fp"], *[rows.schema[c] for c in others]])
-    schema = StructType([StructField(f.name, f.dataType) for f in schema])
-    return rows.withColumn(text, F.col(text).cast("binary")).mapInArrow(run, schema)
+    return _with_text_replaced(rows, run, "fp long")
 
 
-def _prints(docs: DataFrame, id_column: str, text_column: str, size: int, bits: int) -> DataFrame:
-    rows = docs.select(F.col(text_column).alias("_text"), F.col(id_column).alias("_id"))
-    return _fingerprinted(rows, size, bits).select(F.col("_id").alias(id_column), "fp")
+def _printed(rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Replace the first column, a text, by `fp` (see `_print`) and `short`, the shingles by which a short text is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_distinct_shingles(raw, size) for raw in batch.column(0).to_pylist()]
+            short = [_least_shingles(x, similarity).view(np.int64) for x in sets]
+            columns = [pa.array([_print(x) for x in sets], pa.binary()), pa.array(short, pa.list_(pa.int64())), *batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays(columns, ["fp", "short", *batch.schema.names[1:]])
+
+    return _with_text_replaced(rows, run, "fp binary, short array<long>")
+
+
+def _with_text_replaced(rows: DataFrame, run, columns: str) -> DataFrame:
+    text, *others = rows.columns
+    schema = StructType([*StructType.fromDDL(columns), *[StructField(c, rows.schema[c].dataType) for c in others]])
+    return rows.withColumn(text, F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5) -> DataFrame:
@@ -122,7 +163,8 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     by spaces and counts as often as it occurs. Fewer words make one shingle; no word (null or
     empty text) gives 0.
     """
-    return _prints(docs, id_column, text_column, size, 64)
+    rows = docs.select(F.col(text_column).alias("_text"), F.col(id_column).alias("_id"))
+    return _fingerprinted(rows, size).select(F.col("_id").alias(id_column), "fp")
 
 
 def _owner() -> np.ndarray:
@@ -206,7 +248,8 @@ def _classed(prints: DataFrame, distinct: DataFrame, pairs: DataFrame, id_column
 
 
 def _distinct(prints: DataFrame, id_column: str) -> DataFrame:
-    return stored(prints.groupBy("fp").agg(F.min(id_column).alias("least"), F.count("*").alias("n_rows")))
+    more = [F.first(c).alias(c) for c in ("short",) if c in prints.columns]  # the same for equal fingerprints
+    return stored(prints.groupBy("fp").agg(F.min(id_column).alias("least"), F.count("*").alias("n_rows"), *more))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5) -> DataFrame:
@@ -317,25 +360,24 @@ def _forests(radius: int):
 
     A part of more than 2 * CROWD rows is compared in overlapping blocks of its order, in which
     rows that agree in more leading bits are neighbours; so memory and time a row are bounded.
-    Rows further apart in it are not compared here: neighbours of its order are all emitted as
-    well, so the part becomes one block, in which `_rest` compares the shingles of all pairs
+    Choice -1, the shingles of short texts, is emitted as chains alone. Rows further apart in a crowded part
+    are not compared here: neighbours of its order are all emitted as well, so the part becomes one block, in which `_rest` compares the shingles of all pairs
     that are still apart.
     """
 
     def compare(rows: pa.Table, crowded: bool) -> pa.RecordBatch:
-        fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        names = np.array(rows.column("fp").to_pylist(), object)
         marks = [rows.column(c).to_numpy() for c in ("choice", "key", "part")]
-        new = np.ones(len(fps), bool)
+        new = np.ones(len(names), bool)
         new[1:] = np.any([m[1:] != m[:-1] for m in marks], axis=0)
-        shared = _shared(new)
-        first = int(_ends(new)[0]) if crowded else 0  # the crowded part leads
-        chain = fps[:first]
-        fps, new = fps[shared], new[shared]
-        i, j = nearest_forest(fps, _ends(new), radius) if len(fps) else (np.zeros(0, int), np.zeros(0, int))
-        if first > 1:
-            i, j = (np.concatenate([x, len(fps) + y]) for x, y in ((i, np.arange(first - 1)), (j, np.arange(1, first))))
-            fps = np.concatenate([fps, chain])
-        pair = [pa.array([f.tobytes() for f in fps[x]], pa.binary()) for x in (i, j)]
+        chained = marks[0] < 0
+        if crowded:
+            chained[: _ends(new)[0]] = True  # the crowded part leads
+        nexts = np.flatnonzero(chained[1:] & ~new[1:])
+        shared = np.flatnonzero(_shared(new) & (marks[0] >= 0))
+        fps = np.frombuffer(b"".join(f[: WIDE // 8] for f in names[shared]), np.uint64).reshape(len(shared), -1)
+        i, j = nearest_forest(fps, _ends(new[shared]), radius) if len(fps) else (np.zeros(0, int), np.zeros(0, int))
+        pair = [pa.array(names[x], pa.binary()) for x in (np.concatenate([shared[i], nexts]), np.concatenate([shared[j], nexts + 1]))]
         return pa.RecordBatch.from_arrays(pair, ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +401,8 @@ def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
 
     Enough to connect all close pairs that share a bucket; a pair may come more than once.
     Buckets of more than CROWD rows, as a large group of near copies makes, are dealt over
-    tasks by several further keys each; what stays crowded is emitted as a chain.
+    tasks by several further keys each; what stays crowded is emitted as a chain, as are the texts
+    that a shingle in `short` (if there is that column) belongs to.
     """
     keys = keys_for(similarity, distinct.count())
     keyed = _keyed(distinct, keys)
@@ -368,7 +411,11 @@ def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
     )
     counts = crowded.select(F.col("c").alias("choice"), F.col("k").alias("key"), "n_rows")
     marked = lookup(keyed, crowded, {"choice": "c", "key": "k"}, "left", spread=["fp"], counts=counts)
-    rows = marked.select("choice", "key", "fp", "n_rows").mapInArrow(_parted(similarity, keys), "choice int, key long, part long, fp binary")
+    marked = marked.select("choice", "key", "fp", "n_rows")
+    rows = marked.mapInArrow(_parted(similarity, keys), "choice int, key long, part long, fp binary")
+    if "short" in distinct.columns:
+        short = distinct.select(F.lit(-1).alias("choice"), F.explode("short").alias("key"), F.lit(0).cast("long").alias("part"), "fp")
+        rows = rows.union(short)
     dealt = rows.repartition("choice", "key", "part").sortWithinPartitions("choice", "key", "part", "fp")
     return dealt.mapInArrow(_forests(radius_for(similarity)), "a binary, b binary")
 
@@ -376,12 +423,9 @@ def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Per text its wide fingerprint and its distinct shingles, as sorted hashes of 32 bits."""
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        prints = [_fingerprint(raw, size, WIDE).tobytes() for raw in texts]
-        sets = []
-        for raw in texts:
-            hashes = [np.unique(_hashes(s).astype(np.uint32)) for s in _shingles(raw, size)]
-            sets.append(np.unique(np.concatenate([*hashes, np.zeros(0, np.uint32)])).tobytes())
+        sets = [_distinct_shingles(raw, size) for raw in batch.column(0).to_pylist()]
+        prints = [_print(x) for x in sets]
+        sets = [np.unique(x.astype(np.uint32)).tobytes() for x in sets]
         yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(sets, pa.binary())], ["fp", "shingles"])
 
 
@@ -477,20 +521,21 @@ def _rest(pairs: DataFrame, checked: DataFrame, sets: DataFrame, similarity: flo
 def similar(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """Per row: id, `fp` (its wide fingerprint), `component_id`, the least id of its class, and `root`.
+    """Per row: id, `fp` (its wide fingerprint and a hash of its distinct shingles), `component_id`, the least id of its class, and `root`.
 
     Texts whose distinct shingles have at least the given Jaccard similarity are linked, as far
-    as their fingerprints share a bucket (see RECALL); a class is all that can be reached. Every
+    as their fingerprints share a bucket (see RECALL) or one of them has fewer than SHORT; a class is all that can be reached. Every
     link is checked on the shingles. Texts without a word are alike. Null ids, repeated rows and other columns as in `near_duplicates`.
     """
-    prints = stored(_prints(docs, id_column, text_column, size, WIDE))
+    rows = docs.select(F.col(text_column).cast("binary").alias("_text"), F.col(id_column).alias("_id"))
+    prints = stored(_printed(rows, size, similarity).select(F.col("_id").alias(id_column), "fp", "short"))
     distinct = _distinct(prints, id_column)
+    prints = prints.drop("short")
     pairs = candidates(distinct, similarity)
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).groupBy("end").agg(F.count("*").alias("n_rows"))
     ends = stored(ends)
     asked = distinct.join(ends, F.col("fp") == F.col("end"), "left_semi").select(F.col("least").alias("_least"))
-    rows = docs.select(F.col(text_column).cast("binary").alias("_text"), F.col(id_column).alias("_id"))
     texts = rows.join(asked, F.col("_id") == F.col("_least"), "left_semi").union(rows.where("_id IS NULL")).select("_text")
     sets = texts.mapInArrow(lambda batches: _sets(batches, size), "fp binary, shingles binary")
     sets = sets.join(ends, F.col("fp") == F.col("end"), "left_semi")
@@ -519,7 +564,7 @@ def representatives(
     named = rows.join(kept, F.col("_id") == F.col("component_id"), "left_semi").withColumn("_first", first)
 
     without = classes.where("component_id IS NULL").select(F.col("fp").alias("_print"), "root").distinct()
-    nameless = _fingerprinted(rows.where("_id IS NULL"), size, WIDE).join(without, F.col("fp") == F.col("_print"))
+    nameless = _printed(rows.where("_id IS NULL"), size, similarity).join(without, F.col("fp") == F.col("_print"))
     first = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("_row"))) == 1
     nameless = nameless.withColumn("_first", first)
     return named.where("_first").select("_row").union(nameless.where("_first").select("_row")).select("_row.*")
