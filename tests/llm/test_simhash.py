@@ -214,3 +214,18 @@ def test_representatives(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(docs).count() == 0 and simhash.representatives(docs).count() == 0
+
+
+def test_lone_rows_share_no_bucket():
+    """A task whose rows share no bucket emits no pair, whatever the choices."""
+    fps = [bytes([k]) * (simhash.WIDE // 8) + b"rest" for k in range(20)]
+    for n, choice in ((0, 0), (1, 0), (2, 0), (20, 0), (20, -1)):
+        columns = [pa.array(np.full(n, choice, np.int32)), pa.array(np.arange(n)), pa.array(np.zeros(n, np.int64)), pa.array(fps[:n], pa.binary())]
+        rows = pa.table(columns, ["choice", "key", "part", "fp"])
+        assert sum(batch.num_rows for batch in simhash._forests(53)(iter(rows.to_batches()))) == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 20])
+def test_unlike_texts_stay(spark, n):
+    docs = documents(spark, [prose(200 + k, 200, 3000) for k in range(n)])
+    assert simhash.representatives(docs).count() == n

@@ -375,7 +375,7 @@ def _forests(radius: int):
             chained[: _ends(new)[0]] = True  # the crowded part leads
         nexts = np.flatnonzero(chained[1:] & ~new[1:])
         shared = np.flatnonzero(_shared(new) & (marks[0] >= 0))
-        fps = np.frombuffer(b"".join(f[: WIDE // 8] for f in names[shared]), np.uint64).reshape(len(shared), -1)
+        fps = np.frombuffer(b"".join(f[: WIDE // 8] for f in names[shared]), np.uint64).reshape(len(shared), WIDE // 64)
         i, j = nearest_forest(fps, _ends(new[shared]), radius) if len(fps) else (np.zeros(0, int), np.zeros(0, int))
         pair = [pa.array(names[x], pa.binary()) for x in (np.concatenate([shared[i], nexts]), np.concatenate([shared[j], nexts + 1]))]
         return pa.RecordBatch.from_arrays(pair, ["a", "b"])
