@@ -120,3 +120,65 @@ SELECT page_id, parts.host, parts.path, rule,
 FROM parts LEFT JOIN ruled ON ruled.target = parts.url
     LEFT JOIN decided ON contains(parts.url, '://') AND decided.a = {_ADDRESS.format("parts.url")}
 """
+
+# CRC-32 of decimal text: `crc.steps` is the table of one byte's remainders, by their rule
+_CRC = """crc AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+)"""
+_CRC_OF = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)))"""
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_HEAD = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE {_CRC},
+leaves AS (
+    SELECT doc_id, coalesce('=' || source, '') AS key, sha256({_HEAD} || {_FIELD.format("text")}) AS leaf,
+        CASE WHEN {_CRC_OF.format("doc_id")} % 5 = 0 THEN sha256({_HEAD} || {_FIELD.format(_LOWER)}) END AS other
+    FROM documents, crc
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM leaves
+),
+tree(key, level, pos, h, n) AS (
+    SELECT key, 0, pos, leaf, n FROM placed
+    UNION ALL
+    SELECT key, level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM tree WHERE n > 1 GROUP BY key, level, pos // 16, n
+),
+subroots AS (SELECT key, h, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top(level, pos, h, n) AS (
+    SELECT 0, pos, h, n FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM top WHERE n > 1 GROUP BY level, pos // 16, n
+),
+beside AS (
+    SELECT a.key, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lefts,
+        coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS rights
+    FROM tree a JOIN tree b ON a.key = b.key AND a.level = b.level AND a.pos // 16 = b.pos // 16 WHERE a.n > 1 GROUP BY a.key, a.level, a.pos
+),
+top_beside AS (
+    SELECT a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lefts,
+        coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS rights
+    FROM top a JOIN top b ON a.level = b.level AND a.pos // 16 = b.pos // 16 WHERE a.n > 1 GROUP BY a.level, a.pos
+),
+steps AS (
+    SELECT key, pos, lefts, rights, row_number() OVER (PARTITION BY key, pos ORDER BY part, level) AS step
+    FROM (
+        SELECT p.key, p.pos, 0 AS part, b.level, lefts, rights FROM placed p JOIN beside b ON p.key = b.key AND b.pos = p.pos >> CAST(4 * b.level AS BIGINT)
+        UNION ALL
+        SELECT p.key, p.pos, 1, b.level, lefts, rights FROM placed p JOIN subroots s ON p.key = s.key JOIN top_beside b ON b.pos = s.pos >> CAST(4 * b.level AS BIGINT)
+    )
+),
+proofs AS (SELECT key, pos, string_agg(lefts || rights, '' ORDER BY step) AS proof, max(step) AS steps FROM steps GROUP BY key, pos),
+folded(key, pos, step, h) AS (
+    SELECT key, pos, 0, coalesce(other, leaf) FROM placed
+    UNION ALL
+    SELECT f.key, f.pos, f.step + 1, sha256(lefts || h || rights) FROM folded f JOIN steps s ON f.key = s.key AND f.pos = s.pos AND s.step = f.step + 1
+)
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM placed p JOIN subroots s ON p.key = s.key JOIN (SELECT h FROM top WHERE n = 1) r ON true
+    LEFT JOIN proofs ON p.key = proofs.key AND p.pos = proofs.pos
+    JOIN folded f ON p.key = f.key AND p.pos = f.pos AND f.step = coalesce(proofs.steps, 0)
+"""

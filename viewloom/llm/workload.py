@@ -1,4 +1,4 @@
-"""The ten operators bound to the test tables, with their production parameters."""
+"""The operators bound to the test tables, with their production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from viewloom.llm import (
-    bpe, exact_dedup, language_crf, neural_lm, packing, quality_crf, quality_rules, secret_scan, simhash, url_filter,
+    bpe, exact_dedup, language_crf, merkle, neural_lm, packing, quality_crf, quality_rules, secret_scan, simhash, url_filter,
 )
 from viewloom.llm.common import fold, table
 from viewloom.llm.vocabulary import Vocabulary
@@ -97,10 +97,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stored(packing.token_lengths(table(spark, sf_dir, "documents"), Vocabulary())))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = merkle.manifest(docs, tampered=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("tampered_leaf", "leaf"), F.col("proof")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_quality_rules, op3_quality_classifier, op4_language_id, op5_secret_scan,
-        op6_simhash, op7_url_filter, op8_bpe, op9_lm_score, op10_packing,
+        op6_simhash, op7_url_filter, op8_bpe, op9_lm_score, op10_packing, op12_merkle_manifest,
     )
 }
