@@ -182,3 +182,59 @@ FROM placed p JOIN subroots s ON p.key = s.key JOIN (SELECT h FROM top WHERE n =
     LEFT JOIN proofs ON p.key = proofs.key AND p.pos = proofs.pos
     JOIN folded f ON p.key = f.key AND p.pos = f.pos AND f.step = coalesce(proofs.steps, 0)
 """
+
+ORACLE["op11_prefix_trie"] = rf"""
+WITH RECURSIVE {_CRC},
+turns AS (
+    SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (SELECT conv, conv - conv % 20 AS base, {_CRC_OF.format("conv")} % 4 AS head FROM (SELECT DISTINCT conv FROM turns), crc),
+rebuilt AS (
+    SELECT c.conv, 0 AS part, pos, role, text FROM convs c JOIN turns t ON t.conv = c.base AND t.pos < c.head
+    UNION ALL
+    SELECT c.conv, 1, pos, role, text FROM convs c JOIN turns t ON t.conv = c.conv AND t.pos >= c.head
+),
+steps AS (
+    SELECT conv, row_number() OVER w AS depth, string_agg(strlen(role) || ':' || strlen(text) || ':' || role || text, '') OVER w AS prefix,
+        len(regexp_extract_all(text, '{_WORDS}')) AS words
+    FROM rebuilt WINDOW w AS (PARTITION BY conv ORDER BY part, pos ROWS UNBOUNDED PRECEDING)
+    UNION ALL
+    SELECT conv, 0, '', 0 FROM convs
+),
+marked AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv) AS ends FROM steps),
+nodes AS (
+    SELECT prefix, depth, min(conv) AS conv, count(*) AS n_convs, max(words) AS words,
+        sha256(coalesce(string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) FILTER (ends), '')) AS ends_sha256
+    FROM marked GROUP BY prefix, depth
+),
+placed AS (
+    SELECT n.*, p.prefix AS up, q.conv AS parent
+    FROM nodes n LEFT JOIN steps p ON p.conv = n.conv AND p.depth = n.depth - 1
+        LEFT JOIN nodes q ON q.prefix = p.prefix AND q.depth = p.depth
+),
+children AS (SELECT up, depth - 1 AS depth, count(*) AS n FROM placed WHERE up IS NOT NULL GROUP BY ALL),
+counted AS (SELECT placed.*, coalesce(children.n, 0) AS n_children FROM placed LEFT JOIN children ON children.up = placed.prefix AND children.depth = placed.depth),
+totals AS (
+    SELECT s.prefix, s.depth, count(*) FILTER (n.n_children = 0) AS n_leaves, CAST(sum((n.n_convs - 1) * n.words) AS BIGINT) AS saved_tokens
+    FROM counted n JOIN steps s ON s.conv = n.conv AND s.depth <= n.depth GROUP BY s.prefix, s.depth
+)
+SELECT conv AS conv_id, depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM counted JOIN totals USING (prefix, depth)
+"""
+
+ORACLE["op13_substring_dedup"] = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS words FROM documents),
+placed AS (SELECT doc_id, words, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs),
+windows AS (SELECT doc_id, pos, array_to_string(words[pos : pos + 19], ' ') AS passage FROM placed WHERE pos + 19 <= len(words)),
+later AS (SELECT doc_id, pos FROM windows QUALIFY row_number() OVER (PARTITION BY passage ORDER BY doc_id, pos) > 1),
+gone AS (SELECT DISTINCT doc_id, pos + step AS pos FROM later, (SELECT unnest(range(20)) AS step)),
+kept AS (
+    SELECT doc_id, count(gone.pos) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (gone.pos IS NULL), '') AS body
+    FROM placed LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""

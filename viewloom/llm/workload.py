@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from viewloom.llm import (
-    bpe, exact_dedup, language_crf, merkle, neural_lm, packing, quality_crf, quality_rules, secret_scan, simhash, url_filter,
+    bpe, exact_dedup, language_crf, merkle, neural_lm, packing, prefix_trie, quality_crf, quality_rules,
+    secret_scan, simhash, substring_dedup, url_filter,
 )
 from viewloom.llm.common import fold, table
 from viewloom.llm.vocabulary import Vocabulary
@@ -97,6 +98,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stored(packing.token_lengths(table(spark, sf_dir, "documents"), Vocabulary())))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    base, head = F.col("conv") - F.col("conv") % 20, fold("conv", 4)
+    rebuilt, plans = prefix_trie.with_shared_heads(turns, prefix_trie.lengths_of(turns), base, head, most=3)
+    return prefix_trie.trie(prefix_trie.prefixes(rebuilt, plans))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = merkle.manifest(docs, tampered=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
@@ -107,10 +115,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_quality_rules, op3_quality_classifier, op4_language_id, op5_secret_scan,
-        op6_simhash, op7_url_filter, op8_bpe, op9_lm_score, op10_packing, op12_merkle_manifest,
+        op6_simhash, op7_url_filter, op8_bpe, op9_lm_score, op10_packing,
+        op11_prefix_trie, op12_merkle_manifest, op13_substring_dedup,
     )
 }
