@@ -85,6 +85,9 @@ def falsy(value: Column, dtype: T.DataType) -> Column:
         empty = (value == 0) | F.isnan(value)
     elif isinstance(dtype, T.NumericType):
         empty = value == 0
+    elif is_key(dtype):
+        kind, text = value.getField("kind"), value.getField("value")
+        empty = (text == "") | ((kind == "number") & text.isin("0", "NaN")) | ((kind == "boolean") & (text == "false"))
     else:
         empty = F.lit(False)
     return value.isNull() | empty
@@ -124,6 +127,14 @@ def number_text(value: Column) -> Column:
     return F.call_function("format_number", F.round(value.cast("double"), 3), F.lit("#,##0.###"))
 
 
+#: A key of any kind, as rows of mixed records hold it: its kind and its text.
+KEY = T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
+
+
+def is_key(dtype: T.DataType) -> bool:
+    return isinstance(dtype, T.StructType) and [(f.name, f.dataType) for f in dtype] == [(f.name, f.dataType) for f in KEY]
+
+
 def kind_name(dtype: T.DataType) -> str:
     """Kind of a key; keys of different kinds are never equal."""
     if isinstance(dtype, T.StringType):
@@ -131,20 +142,79 @@ def kind_name(dtype: T.DataType) -> str:
     return "number" if isinstance(dtype, T.NumericType) else dtype.typeName()
 
 
+def key_kind(value: Column, dtype: T.DataType) -> Column:
+    return value.getField("kind") if is_key(dtype) else F.lit(kind_name(dtype))
+
+
+_EXPONENT = r"^[+]?(-?)([0-9]*)\.?([0-9]*)E([+-]?[0-9]+)$"
+
+
+def _written_out(text: Column) -> Column:
+    """A number's text with exponent, without it."""
+    part = lambda k: F.regexp_extract(text, _EXPONENT, k)
+    number = F.struct(part(1).alias("sign"), F.concat(part(2), part(3)).alias("digits"), (F.length(part(2)) + part(4).try_cast("int")).alias("point"))
+
+    def shown(n: Column) -> Column:
+        digits, point = n["digits"], n["point"]
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+        middle = F.concat(F.left(digits, point), F.lit("."), F.substring(digits, point + 1, F.length(digits)))
+        return F.concat(n["sign"], F.when(point <= 0, small).when(point >= F.length(digits), F.rpad(digits, point, F.lit("0"))).otherwise(middle))
+
+    return F.get(F.transform(F.array(number), shown), 0)
+
+
+def _trimmed(text: Column) -> Column:
+    """Without a plus, zeros on either side, a point behind, or the sign of zero."""
+    for pattern, instead in ((r"^[+]", ""), (r"(\.[0-9]*?)0+$", "$1"), (r"\.$", ""), (r"^(-?)0+(?=[0-9])", "$1"), (r"^(-?)\.", "$10."), ("^-0$", "0")):
+        text = F.regexp_replace(text, pattern, instead)
+    return text
+
+
+def plain_digits(text: Column) -> Column:
+    """A number's text written out: no exponent, no zeros around it, so equal numbers have equal texts."""
+    return (
+        F.when(text.rlike(r"^(0|-?[1-9][0-9]*)$"), text)
+        .when(text.rlike(r"^[+-]?[0-9]*\.?[0-9]*$"), _trimmed(text))
+        .when(text.rlike(_EXPONENT), _trimmed(_written_out(text)))
+        .otherwise(text)
+    )
+
+
 def key_text(value: Column, dtype: T.DataType) -> Column:
     """A key as text, such that keys of one kind are equal if and only if their texts are.
 
-    Whole numbers are printed alike in all number types: 2020, not 2020.0.
+    Numbers are printed alike in all number types and sizes: 2020, not 2020.0 or 2.02E3.
     """
+    if is_key(dtype):
+        return value.getField("value")
     shown = value.cast("string")
     if isinstance(dtype, FLOATING):
         whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
-        return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("double").cast("string"))
-    if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
-        return F.regexp_replace(shown, r"\.?0+$", "")
+        return F.when(whole, value.cast("bigint").cast("string")).otherwise(plain_digits(value.cast("double").cast("string")))
+    if isinstance(dtype, T.DecimalType):
+        return plain_digits(shown)
     return shown
 
 
+def key_of(value: Column, dtype: T.DataType) -> Column:
+    """Any plain column as a KEY; a null stays null."""
+    if is_key(dtype):
+        return value
+    return F.when(value.isNotNull(), F.struct(key_kind(value, dtype).alias("kind"), key_text(value, dtype).alias("value")))
+
+
+def key_literal(value: object) -> Column:
+    """A Python value as a KEY."""
+    if isinstance(value, bool):
+        kind, text = "boolean", str(value).lower()
+    elif isinstance(value, str):
+        kind, text = "text", value
+    else:
+        kind, text = "number", None
+    shown = F.lit(text) if text is not None else plain_digits(F.lit(str(value).upper()))
+    return F.struct(F.lit(kind).alias("kind"), shown.alias("value"))
+
+
 def path_text(path: Column) -> Column:
     """`root > A > B`; a missing name is printed empty."""
     return F.array_join(F.concat(F.array(F.lit("root")), path), " > ", "")
@@ -156,6 +226,8 @@ def shared_type(left: T.DataType, right: T.DataType) -> T.DataType | None:
     Decimals and whole numbers compare as a decimal that holds both; None if none is wide
     enough. Numbers compare as doubles only if one of them is floating.
     """
+    if is_key(left) and is_key(right):
+        return KEY
     if left == right:
         return left
     if isinstance(left, T.StringType) and isinstance(right, T.StringType):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from viewloom.functions.columns import falsy, measure, number_text, or_zero, order_key
+from viewloom.functions.columns import falsy, is_key, key_text, measure, number_text, or_zero, order_key, type_of
 from viewloom.operators.links import touching
 from viewloom.operators.skew import lookup, sum_before
 from viewloom.operators.staging import stored
@@ -97,7 +97,9 @@ def neighbour_text(node_rows: DataFrame, link_rows: DataFrame, part_size: int =
         neighbours(link_rows).select("node", "neighbour", F.struct("ord", "pos").alias("place"))
     )
     counted = sum_before(near, "place", {"rank": F.lit(1)}, by=["node"])
-    named = F.struct("rank", F.col("neighbour").cast("string").alias("name"))
+    kind = type_of(near, "neighbour")
+    shown = key_text(F.col("neighbour"), kind) if is_key(kind) else F.col("neighbour").cast("string")
+    named = F.struct("rank", shown.alias("name"))
     parts = (
         counted.withColumn("part", F.floor(F.col("rank") / part_size))
         .groupBy(F.col("node").alias("id"), "part")

@@ -3,6 +3,8 @@
 A node is named by its path, an array with one text per level. Arrays compare with NULL
 elements as equal, so a missing name is a node of its own and joins like any other. Beside
 it stand the kinds of the names (text, number, ...), one per level: 1 and "1" are two names.
+On a level of mixed records kinds differ by row; there the path holds `kind:name`, and the
+column `names` the names alone.
 """
 
 from __future__ import annotations
@@ -10,15 +12,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from viewloom.functions.columns import coerced_measure, key_text, kind_name, or_zero, order_key, path_text, type_of
+from viewloom.functions.columns import (
+    coerced_measure, is_key, key_literal, key_text, kind_name, or_zero, order_key, path_text, type_of,
+)
 from viewloom.operators.skew import lookup, sum_before
 from viewloom.operators.staging import stored
 from viewloom.plans.specs import HierarchySpec
 from viewloom.sources.records import in_order
 
 ROOT = "root"
+MIXED = "mixed"  # the kind of a level whose names have kinds of their own
 
 
 def leaves(df: DataFrame, spec: HierarchySpec) -> DataFrame:
@@ -37,13 +42,18 @@ def leaves(df: DataFrame, spec: HierarchySpec) -> DataFrame:
         .agg(F.max_by("value", "ord").alias("value"), F.min("ord").alias("first_seen"))
     )
     types = [type_of(df, level) for level in spec.levels]
-    path = F.array(*[key_text(F.col(n), t) for n, t in zip(names, types)])
+    path = F.array(*[_step_text(F.col(n), t) for n, t in zip(names, types)])
     return grouped.select(path.alias("path"), "value", "first_seen")
 
 
+def _step_text(name: Column, dtype: T.DataType) -> Column:
+    return F.concat(name.getField("kind"), F.lit(":"), name.getField("value")) if is_key(dtype) else key_text(name, dtype)
+
+
 def kinds(df: DataFrame, spec: HierarchySpec) -> list[str]:
     """The kind of the names on each level, from the schema."""
-    return [kind_name(type_of(df, level)) for level in spec.levels]
+    types = [type_of(df, level) for level in spec.levels]
+    return [MIXED if is_key(t) else kind_name(t) for t in types]
 
 
 def tree(leaf_rows: DataFrame, depth: int, level_kinds: Sequence[str] | None = None) -> DataFrame:
@@ -53,7 +63,12 @@ def tree(leaf_rows: DataFrame, depth: int, level_kinds: Sequence[str] | None = N
     so no node ever meets its children in one place. `level_kinds` are those of `kinds`; by
     default all names are text.
     """
-    told = F.array(*[F.lit(k) for k in level_kinds or ["text"] * depth])
+    level_kinds = list(level_kinds or ["text"] * depth)
+    step = [F.get("path", F.lit(i)) for i in range(depth)]
+    of_mixed = lambda i: F.substring_index(step[i], ":", 1)
+    bare = lambda i: F.substring(step[i], F.length(of_mixed(i)) + 2, F.length(step[i]))
+    told = F.array(*[of_mixed(i) if k == MIXED else F.lit(k) for i, k in enumerate(level_kinds)])
+    bared = F.array(*[bare(i) if k == MIXED else step[i] for i, k in enumerate(level_kinds)])
     names = [f"l{i}" for i in range(depth)]
     rolled = (
         leaf_rows.select(
@@ -89,9 +104,11 @@ def tree(leaf_rows: DataFrame, depth: int, level_kinds: Sequence[str] | None = N
     )
     size = F.size("path")
     parent = F.when(size > 0, F.slice("path", F.lit(1), F.greatest(size - 1, F.lit(0))))
-    name = F.when(size > 0, F.get("path", size - 1)).otherwise(F.lit(ROOT))
+    name = F.when(size > 0, F.get(bared, size - 1)).otherwise(F.lit(ROOT))
+    bare_names = [F.slice(bared, F.lit(1), size).alias("names")] if MIXED in level_kinds else []
     return whole.select(
         "path",
+        *bare_names,
         F.slice(told, F.lit(1), size).alias("kinds"),
         size.alias("depth"),
         name.alias("name"),
@@ -178,13 +195,17 @@ def layout(nodes: DataFrame, depth: int, top: int = 0) -> DataFrame:
 
 def labels(nodes: DataFrame) -> DataFrame:
     """`root > A > B` and value per node."""
-    return nodes.select("path", path_text(F.col("path")).alias("label"), "value")
+    return nodes.select("path", path_text(_names(nodes)).alias("label"), "value")
+
+
+def _names(nodes: DataFrame) -> Column:
+    return F.col("names" if "names" in nodes.columns else "path")
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
     """The chain from the root down to each node: one (path, step, ancestor, name) per link."""
-    chain = nodes.select("path", F.explode(F.sequence(F.lit(0), F.size("path"))).alias("step"))
-    name = F.when(F.col("step") > 0, F.get("path", F.col("step") - 1)).otherwise(F.lit(ROOT))
+    chain = nodes.select("path", _names(nodes).alias("names"), F.explode(F.sequence(F.lit(0), F.size("path"))).alias("step"))
+    name = F.when(F.col("step") > 0, F.get("names", F.col("step") - 1)).otherwise(F.lit(ROOT))
     return chain.select(
         "path", "step", F.slice("path", F.lit(1), F.col("step")).alias("ancestor"), name.alias("name")
     )
@@ -194,7 +215,8 @@ def below(df: DataFrame, spec: HierarchySpec, prefix: Sequence[object]) -> DataF
     """Records under one node. A filter on the level columns, so it reaches the scan."""
     kept = df
     for level, name in zip(spec.levels, prefix):
-        kept = kept.where(F.col(level).isNull() if name is None else F.col(level) == F.lit(name))
+        wanted = key_literal(name) if is_key(type_of(df, level)) else F.lit(name)
+        kept = kept.where(F.col(level).isNull() if name is None else F.col(level) == wanted)
     return kept
 
 
@@ -210,3 +232,82 @@ def subtree(df: DataFrame, spec: HierarchySpec, prefix: Sequence[object]) -> Dat
     kept = below(df, spec, prefix)
     nodes = stored(tree(leaves(kept, spec), depth, kinds(kept, spec)))
     return layout(nodes, depth, top=len(prefix))
+
+
+def intervals(nodes: DataFrame) -> DataFrame:
+    """The nodes with `enter` and `leave`, numbers from 0 by which a node holds all nodes that lie below it.
+
+    A node's interval is [enter, leave]: that of a node below lies inside, any other one apart. Siblings
+    come in order of first appearance. `nodes` is `tree` or `layout`, stored; nothing is read but it.
+    """
+    sized = nodes.select("path", F.explode(F.sequence(F.lit(0), F.size("path"))).alias("n"))
+    sized = sized.groupBy(F.slice("path", F.lit(1), F.col("n")).alias("path")).agg(F.count(F.lit(1)).alias("n_nodes"))
+    own = nodes.select("path", "parent", "first_seen", "n_children")
+    sized = stored(own.join(sized, "path"))
+    parents = sized.select(F.col("path").alias("parent"), F.col("n_children").alias("n_rows"))
+    ranked = sum_before(sized.where("parent IS NOT NULL").drop("n_children"), "first_seen", {"before": F.col("n_nodes")}, by=["parent"], counts=parents)
+    ranked = stored(ranked.select(F.col("path").alias("above"), "before", "n_nodes"))
+    steps = ranked.select("above", F.explode(F.sequence(F.lit(1), F.size("above"))).alias("n"))
+    steps = steps.select(F.col("above").alias("path"), F.slice("above", F.lit(1), F.col("n")).alias("prefix"))
+    met = lookup(steps, ranked.select("above", "before"), {"prefix": "above"}, "inner", spread=["path"])
+    # each step down adds the node itself and what its earlier siblings hold
+    entered = met.groupBy("path").agg(F.sum(F.col("before") + 1).alias("enter"))
+    sizes = sized.select("path", "n_nodes")
+    placed = sizes.join(entered, "path", "left").withColumn("enter", F.coalesce("enter", F.lit(0)).cast("bigint"))
+    placed = placed.select(F.col("path").alias("of"), "enter", (F.col("enter") + F.col("n_nodes") - 1).alias("leave"))
+    return nodes.join(placed, F.col("path") == F.col("of")).drop("of")
+
+
+def path_key(prefix: Sequence[object], level_kinds: Sequence[str]) -> Column:
+    """Names as the path that `tree` prints for them; None is a missing name."""
+    steps = []
+    for name, kind in zip(prefix, level_kinds):
+        key = key_literal(name)
+        text = F.concat(key["kind"], F.lit(":"), key["value"]) if kind == MIXED else key["value"]
+        steps.append(F.lit(None).cast("string") if name is None else text)
+    return F.array(*steps).cast("array<string>")
+
+
+def _interval_of(nodes: DataFrame, path: Column) -> tuple[int, int] | None:
+    found = nodes.where(F.col("path") == path).select("enter", "leave").first()
+    return (found["enter"], found["leave"]) if found else None
+
+
+def inside(nodes: DataFrame, path: Column) -> DataFrame:
+    """A node and all below it: one range of `enter`, from nodes with `intervals`. Nothing for an unknown path."""
+    interval = _interval_of(nodes, path)
+    return nodes.where(F.col("enter").between(*interval)) if interval else nodes.where(F.lit(False))
+
+
+def above(nodes: DataFrame, path: Column) -> DataFrame:
+    """A node and all that hold it, the root included: those whose interval holds its number."""
+    interval = _interval_of(nodes, path)
+    if interval is None:
+        return nodes.where(F.lit(False))
+    return nodes.where((F.col("enter") <= interval[0]) & (F.col("leave") >= interval[0]))
+
+
+def zoomed(nodes: DataFrame, path: Column, top: int, depth: int) -> DataFrame:
+    """As `subtree`, from the stored tree with `intervals`; no record is read. `top` is the length of `path`."""
+    below_it = inside(nodes, path)
+    value = below_it.where(F.col("depth") == top).select("value").scalar()
+    way = above(nodes, path).where(F.col("depth") < top)  # what leads there holds this node alone
+    way = way.withColumns({"value": value.cast(nodes.schema["value"].dataType), "n_children": F.lit(1).cast("bigint")})
+    return layout(stored(way.unionByName(below_it).drop("enter", "leave")), depth, top)
+
+
+def holding(nodes: DataFrame, marked: DataFrame) -> DataFrame:
+    """`nodes` (with `intervals`) with `holds`: whether the node or one below it is among `marked` (column enter).
+
+    A running count over the numbers tells how many marked nodes lie before each; the count at the end of a
+    node's interval less that at its begin is what it holds. So no node meets its ancestors.
+    """
+    marks = marked.select(F.col("enter").alias("_enter"), F.lit(1).alias("_mark")).distinct()
+    counted = nodes.select("enter").join(marks, F.col("enter") == F.col("_enter"), "left")
+    counted = stored(counted.select("enter", F.coalesce("_mark", F.lit(0)).alias("mark")))
+    upto = stored(sum_before(counted, "enter", {"before": F.col("mark")}))
+    first = upto.select(F.col("enter").alias("_first"), "before")
+    last = upto.select(F.col("enter").alias("_last"), (F.col("before") + F.col("mark")).alias("through"))
+    met = nodes.join(first, F.col("enter") == F.col("_first"))
+    met = lookup(met, last, {"leave": "_last"}, "inner", spread=["enter"])
+    return met.select(*nodes.columns, (F.col("through") > F.col("before")).alias("holds"))

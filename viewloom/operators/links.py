@@ -9,7 +9,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from viewloom.functions.columns import order_key, short_label
+from viewloom.functions.columns import is_key, key_literal, key_text, order_key, short_label, type_of
 from viewloom.operators.skew import is_small, lookup, numbered, sum_before
 from viewloom.operators.staging import stored
 from viewloom.plans.specs import LinkSpec
@@ -129,6 +129,7 @@ def arcs(paired: DataFrame, known: DataFrame, pad: float = PAD) -> DataFrame:
     scale = F.coalesce(F.try_divide(room, links), F.lit(0.0))
     gap = F.when(F.lit(pad) * n < 2 * math.pi, F.lit(pad)).otherwise(F.lit(2 * math.pi) / n)
     start = F.col("before") * F.col("scale") + F.col("index") * F.col("gap")
+    kind = type_of(known, "entity")
     return (
         placed.withColumn("scale", scale)
         .withColumn("gap", gap)
@@ -139,7 +140,7 @@ def arcs(paired: DataFrame, known: DataFrame, pad: float = PAD) -> DataFrame:
             start.alias("start"),
             (start + F.col("total") * F.col("scale")).alias("end"),
             "scale",
-            short_label(F.col("entity")).alias("label"),
+            short_label(key_text(F.col("entity"), kind) if is_key(kind) else F.col("entity")).alias("label"),
         )
     )
 
@@ -230,4 +231,5 @@ def ribbons(ribboned: DataFrame, arced: DataFrame) -> DataFrame:
 
 def touching(linked: DataFrame, entity: object) -> DataFrame:
     """Links with the entity at either end."""
-    return linked.where((F.col("source") == F.lit(entity)) | (F.col("target") == F.lit(entity)))
+    one = key_literal(entity) if is_key(type_of(linked, "source")) else F.lit(entity)
+    return linked.where((F.col("source") == one) | (F.col("target") == one))

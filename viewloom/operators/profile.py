@@ -83,29 +83,34 @@ def _coded_kind(value: Column, schema: Column) -> Column:
     )
 
 
-def variant_profile(df: DataFrame, record: str, order_by: Sequence[str]) -> DataFrame:
+def variant_profile(df: DataFrame, record: str, order_by: Sequence[str], text: str | None = None) -> DataFrame:
     """Profile of records held as VARIANT: the first non-null value of a key gives its kind.
 
     (key, kind, is_numeric, first_seen, position). Records of mixed shape need no common
-    schema. VARIANT keeps keys sorted, so keys first seen in one row come by name.
+    schema. VARIANT keeps keys sorted; with `text`, the column of the records' JSON text, `position`
+    is the key's place in the row that shows it first. Without, keys first seen in one row come by name.
     """
     # only objects have fields; any other record adds none, as does an empty object
     fields = F.map_entries(F.try_variant_get(F.col(record), "$", "map<string,variant>"))
-    entries = df.select(order_key(df, order_by).alias("ord"), F.explode(fields).alias("entry"))
+    names = F.json_object_keys(text) if text is not None else F.lit(None).cast("array<string>")
+    entries = df.select(order_key(df, order_by).alias("ord"), names.alias("names"), F.explode(fields).alias("entry"))
     # the schema text is a column of its own, and no filter depends on it, so that it is
     # made once per value
     told = entries.where(~F.is_variant_null("entry.value")).select(
-        "ord", "entry.key", "entry.value", F.schema_of_variant("entry.value").alias("schema")
+        "ord", "entry.key", "entry.value", F.schema_of_variant("entry.value").alias("schema"),
+        F.coalesce(F.array_position("names", F.col("entry.key")) - 1, F.lit(0)).cast("int").alias("position"),
+    )
+    coded = told.select("ord", "key", "position", _coded_kind(F.col("value"), F.col("schema")).alias("code"))
+    first = coded.groupBy("key").agg(
+        F.min_by("code", "ord").alias("code"), F.min("ord").alias("first_seen"), F.min_by("position", "ord").alias("position")
     )
-    coded = told.select("ord", "key", _coded_kind(F.col("value"), F.col("schema")).alias("code"))
-    first = coded.groupBy("key").agg(F.min_by("code", "ord").alias("code"), F.min("ord").alias("first_seen"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     return first.select(
         "key",
         F.get(kinds, F.shiftright("code", 1)).alias("kind"),
         (F.col("code") % 2 == 1).alias("is_numeric"),
         "first_seen",
-        F.lit(0).alias("position"),
+        "position",
     )
 
 

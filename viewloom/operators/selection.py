@@ -11,10 +11,10 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from viewloom.functions.columns import key_text, kind_name, shared_type, type_of
-from viewloom.operators.hierarchy import ROOT
+from viewloom.functions.columns import is_key, key_kind, key_of, key_text, kind_name, shared_type, type_of
+from viewloom.operators.hierarchy import ROOT, holding
 from viewloom.operators.skew import is_small, lookup, numbered
 from viewloom.operators.staging import stored
 
@@ -66,13 +66,17 @@ def picked(selected: DataFrame | Picked) -> Picked:
 
 
 def _marked(frame: DataFrame, column: str, keys: Picked, mark: str, spread: Sequence[str] | None) -> DataFrame:
-    common = shared_type(type_of(frame, column), keys.dtype)
-    if common is None:  # values of different kinds are never equal
-        return frame.withColumn(mark, F.lit(False))
-    # a key that the shared type cannot hold equals none of the column's values
-    typed = keys.table.select(F.col("key").try_cast(common).alias("_key")).where("_key is not null").distinct()
-    typed = typed.withColumn("_found", F.lit(True))
-    keyed = frame.withColumn("_value", F.col(column).cast(common))
+    own = type_of(frame, column)
+    if is_key(own) or is_key(keys.dtype):  # keys of several kinds on either side
+        typed, keyed = keys.table.select(key_of(F.col("key"), keys.dtype).alias("_key")), key_of(F.col(column), own)
+    else:
+        common = shared_type(own, keys.dtype)
+        if common is None:  # values of different kinds are never equal
+            return frame.withColumn(mark, F.lit(False))
+        # a key that the shared type cannot hold equals none of the column's values
+        typed, keyed = keys.table.select(F.col("key").try_cast(common).alias("_key")), F.col(column).cast(common)
+    typed = typed.where("_key is not null").distinct().withColumn("_found", F.lit(True))
+    keyed = frame.withColumn("_value", keyed)
     joined = lookup(keyed, typed, {"_value": "_key"}, "left", spread, small=keys.small)
     return joined.select(*frame.columns, F.coalesce("_found", F.lit(False)).alias(mark))
 
@@ -119,6 +123,10 @@ def flag_nodes(node_rows: DataFrame, selected: DataFrame | Picked) -> DataFrame:
     return flag(node_rows, ["id"], selected)
 
 
+def _bare(nodes: DataFrame) -> Column:
+    return F.col("names" if "names" in nodes.columns else "path")
+
+
 def flag_tree(laid_out: DataFrame, selected: DataFrame | Picked) -> DataFrame:
     """Light tree nodes, given `hierarchy.layout`.
 
@@ -130,31 +138,31 @@ def flag_tree(laid_out: DataFrame, selected: DataFrame | Picked) -> DataFrame:
     nodes = laid_out.where("depth > 0")
     if keys.empty:
         return nodes.withColumn("lit", F.lit(True))
-    kind = F.element_at("kinds", -1)
-    wanted = keys.table.select(key_text(F.col("key"), keys.dtype).alias("_key")).distinct()
-    named = stored(
-        lookup(
-            nodes.where(kind == kind_name(keys.dtype)).select("path", "kinds", "depth", "name", "place"),
-            wanted, {"name": "_key"}, "left_semi", ["path"], small=keys.small,
-        )
-    )
+    kind = F.get("kinds", F.size("kinds") - 1)
+    key = F.col("key")
+    wanted = keys.table.select(key_text(key, keys.dtype).alias("_key"), key_kind(key, keys.dtype).alias("_of")).distinct()
+    asked = nodes if is_key(keys.dtype) else nodes.where(kind == kind_name(keys.dtype))
+    numbers = [c for c in ("enter",) if c in nodes.columns]
+    asked = asked.select("path", _bare(nodes).alias("names"), "kinds", "depth", "name", kind.alias("_kind"), "place", *numbers)
+    named = stored(lookup(asked, wanted, {"name": "_key", "_kind": "_of"}, "left_semi", ["path"], small=keys.small))
     upward = named.select(F.explode(F.sequence(F.lit(0), "depth")).alias("k"), "path")
     paths = upward.select(F.slice("path", F.lit(1), F.col("k")).alias("_lit_path")).distinct()
-    way = F.struct("path", "kinds")
-    first = named.groupBy("name").agg(F.min_by(way, F.struct("depth", "place")).alias("way"))
-    root = F.array(F.struct(F.lit(ROOT).alias("path"), F.lit("text").alias("kinds")))
-    steps = F.explode(F.concat(root, F.arrays_zip("way.path", "way.kinds"))).alias("step")
-    names = first.select(steps).select(F.col("step.path").alias("_lit_name"), F.col("step.kinds").alias("_lit_kind")).distinct()
+    way = F.struct("names", "kinds")
+    first = named.groupBy("name", "_kind").agg(F.min_by(way, F.struct("depth", "place")).alias("way"))
+    root = F.array(F.struct(F.lit(ROOT).alias("names"), F.lit("text").alias("kinds")))
+    steps = F.explode(F.concat(root, F.arrays_zip("way.names", "way.kinds"))).alias("step")
+    names = first.select(steps).select(F.col("step.names").alias("_lit_name"), F.col("step.kinds").alias("_lit_kind")).distinct()
 
     # a path occurs once on either side, a name may occur in any number of nodes
-    by_path = nodes.join(
-        paths.withColumn("_p", F.lit(True)), F.col("path") == F.col("_lit_path"), "left"
-    ).drop("_lit_path")
+    if numbers:  # nodes with intervals hold what is lit without a row per ancestor
+        by_path = holding(stored(nodes), named).withColumnRenamed("holds", "_p")
+    else:
+        by_path = nodes.join(paths.withColumn("_p", F.lit(True)), F.col("path") == F.col("_lit_path"), "left").drop("_lit_path")
     told = by_path.withColumn("_kind", kind)
     by_name = lookup(
         told, names.withColumn("_n", F.lit(True)), {"name": "_lit_name", "_kind": "_lit_kind"}, "left", ["path"]
     )
-    lit = F.coalesce("_p", "_n", F.lit(False))
+    lit = F.coalesce("_p", F.lit(False)) | F.coalesce("_n", F.lit(False))
     return by_name.select(*nodes.columns, lit.alias("lit"))
 
 
@@ -176,10 +184,10 @@ def key_dictionary(
     for frame, key in [(categories, "category"), (known, "entity"), (node_rows, "id")]:
         if frame is not None:
             dtype = type_of(frame, key)
-            views.append((frame, key_text(F.col(key), dtype), F.lit(kind_name(dtype)), [F.col("first_seen")]))
+            views.append((frame, key_text(F.col(key), dtype), key_kind(F.col(key), dtype), [F.col("first_seen")]))
     if laid_out is not None:
         nodes = laid_out.where("depth > 0")
-        views.append((nodes, F.col("name"), F.element_at("kinds", -1), [F.col("depth"), F.col("place")]))
+        views.append((nodes, F.col("name"), F.get("kinds", F.size("kinds") - 1), [F.col("depth"), F.col("place")]))
     # each view's order has its own places in the sort key, which are empty in the others
     types = [[frame.select(c).schema.fields[0].dataType for c in order] for frame, _, _, order in views]
     listed = []
@@ -194,3 +202,18 @@ def key_dictionary(
     union = reduce(DataFrame.unionByName, listed)
     distinct = stored(union.where("key is not null").groupBy("key", "kind").agg(F.min("seen").alias("seen")))
     return numbered(distinct, "seen").select("key", "kind", "index", (F.col("index") % groups).alias("group"))
+
+
+def extended_dictionary(known: DataFrame, fresh: DataFrame, groups: int = 10) -> DataFrame:
+    """A dictionary that has grown: keys of `known` keep their numbers, the others of `fresh` follow in their order there.
+
+    Both are as `key_dictionary` gives them. Keys that no view shows any more stay, so no number is ever
+    given twice. An empty `known` gives `fresh` as it is.
+    """
+    stays = stored(known.select("key", "kind", "index", "group"))
+    used = stays.agg(F.coalesce(F.max("index") + 1, F.lit(0))).first()[0]
+    same = (F.col("key") == F.col("_key")) & (F.col("kind") == F.col("_kind"))
+    old = stays.select(F.col("key").alias("_key"), F.col("kind").alias("_kind"))
+    added = stored(fresh.join(old, same, "left_anti").select("key", "kind", F.col("index").alias("place")))
+    behind = numbered(added, "place").select("key", "kind", (F.col("index") + used).cast(stays.schema["index"].dataType).alias("index"))
+    return stays.unionByName(behind.withColumn("group", (F.col("index") % groups).cast(stays.schema["group"].dataType)))

@@ -6,8 +6,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from viewloom.operators import graph, hierarchy, links, selection, series
+from viewloom.operators import graph, hierarchy, incidence, links, selection, series
 from viewloom.operators.staging import stored
+from viewloom.plans import mixed
 from viewloom.plans.specs import GraphSpec, HierarchySpec, LinkSpec, SeriesSpec
 
 
@@ -32,6 +33,24 @@ class Dashboard:
             if spec is not None:
                 spec.check(df)
 
+    @classmethod
+    def over_variants(
+        cls,
+        records: DataFrame,
+        series: SeriesSpec | None = None,
+        links: LinkSpec | None = None,
+        graph: GraphSpec | None = None,
+        hierarchy: HierarchySpec | None = None,
+        record: str = "record",
+    ) -> Dashboard:
+        """The views of mixed records, held in a VARIANT column as `read_variants` gives them.
+
+        The specs name fields of the records. Categories, entities, nodes and names are keys of
+        kind and value (`columns.KEY`), each row's as it stands there; nothing is widened.
+        """
+        frame, bound = mixed.bind(records, record, {"series": series, "links": links, "graph": graph, "hierarchy": hierarchy})
+        return cls(frame, **bound)
+
     def _spec(self, view: str):
         spec = self.specs[view]
         if spec is None:
@@ -123,6 +142,36 @@ class Dashboard:
     def drill(self, prefix: list[object]) -> DataFrame:
         return hierarchy.subtree(self.df, self._spec("hierarchy"), prefix)
 
+    @cached_property
+    def tree_intervals(self) -> DataFrame:
+        """The tree with the numbers by which a node holds those below it."""
+        return stored(hierarchy.intervals(self.tree))
+
+    def _path(self, prefix: list[object]):
+        spec = self._spec("hierarchy")
+        if not 0 < len(prefix) <= len(spec.levels):
+            raise ValueError(f"prefix: one to {len(spec.levels)} names are needed")
+        return hierarchy.path_key(prefix, hierarchy.kinds(self.df, spec))
+
+    def zoom(self, prefix: list[object]) -> DataFrame:
+        """As `drill`, from the stored tree: the records are not read again."""
+        depth = len(self._spec("hierarchy").levels)
+        return hierarchy.zoomed(self.tree_intervals, self._path(prefix), len(prefix), depth)
+
+    def way_to(self, prefix: list[object]) -> DataFrame:
+        """The node at `prefix` and its ancestors, from the stored tree."""
+        return hierarchy.above(self.tree_intervals, self._path(prefix))
+
+    # links by their ends
+
+    @cached_property
+    def chord_index(self) -> incidence.LinkIndex:
+        return incidence.index(self.chords.select("source", "target", "value"))
+
+    @cached_property
+    def link_index(self) -> incidence.LinkIndex:
+        return incidence.index(self.graph_links)
+
     # shared selection
 
     def select(self, selected: DataFrame) -> dict[str, DataFrame]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, types as T
 
-from viewloom.functions.columns import COMPLEX, shared_type, type_of
+from viewloom.functions.columns import COMPLEX, is_key, shared_type, type_of
 
 
 class BindingError(ValueError):
@@ -20,7 +20,7 @@ def _names(value: str | Sequence[str]) -> tuple[str, ...]:
 
 def require_plain(df: DataFrame, field: str, part: str) -> T.DataType:
     dtype = type_of(df, field)
-    if isinstance(dtype, COMPLEX):
+    if isinstance(dtype, COMPLEX) and not is_key(dtype):
         raise BindingError(f"{part}: {field!r} is {dtype.simpleString()}, a plain value is needed")
     return dtype
 

@@ -1,5 +1,5 @@
-"""Readers for JSON records. For volume use JSON Lines or Parquet: one large JSON array
-cannot be split, and Spark reads it with one task."""
+"""Readers for JSON records. For volume use JSON Lines or Parquet, or for one large JSON array
+`sources.arrays`: Spark's own reader takes such a file with one task."""
 
 from __future__ import annotations
 
@@ -22,15 +22,31 @@ TASK_BITS = 33  # `monotonically_increasing_id` counts a task's rows in its low
 
 def packed_order(file: Column, block: Column) -> Column:
     """The order of a row of a file source, from the file's number and the block's start."""
+    return packed_place(file, block, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << TASK_BITS) - 1)))
+
+
+def packed_place(file: Column, block: Column, row: Column) -> Column:
     wide = "decimal(38,0)"
 
     def times(value: Column, digits: int) -> Column:
         return (value.cast(wide) * F.lit(str(10**digits)).cast(wide)).cast(wide)
 
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << TASK_BITS) - 1))
     return (times(file, BLOCK + ROW) + times(block, ROW) + row.cast(wide)).cast(wide)
 
 
+def plain_path(path: Column) -> Column:
+    """A path without a host is written with one slash or three; here with one."""
+    return F.regexp_replace(path, EMPTY_HOST, "$1:/")
+
+
+def file_numbers(df: DataFrame) -> DataFrame:
+    """(_path, _file): the files of a file source, numbered in the order of their paths."""
+    paths = [re.sub(EMPTY_HOST, r"\1:/", path) for path in sorted(df.inputFiles())]
+    numbered = pa.table({"_path": pa.array(paths, pa.string()), "_file": pa.array(range(len(paths)), pa.int64())})
+    files = df.sparkSession.createDataFrame(numbered)
+    return F.broadcast(files) if sum(map(len, paths)) <= SMALL_BYTES else files  # else left to Spark
+
+
 def with_row_order(df: DataFrame) -> DataFrame:
     """Add `row_order`: file, block of the file, and rising number within the block.
 
@@ -40,18 +56,12 @@ def with_row_order(df: DataFrame) -> DataFrame:
     """
     if ROW_ORDER in df.columns:
         return df
-    # a path without a host is written with one slash or three
-    paths = [re.sub(EMPTY_HOST, r"\1:/", path) for path in sorted(df.inputFiles())]
-    numbered = pa.table({"_path": pa.array(paths, pa.string()), "_file": pa.array(range(len(paths)), pa.int64())})
-    files = df.sparkSession.createDataFrame(numbered)
-    if sum(map(len, paths)) <= SMALL_BYTES:  # else left to Spark
-        files = F.broadcast(files)
     placed = df.select(
         "*",
-        F.regexp_replace("_metadata.file_path", EMPTY_HOST, "$1:/").alias("_of"),
+        plain_path(F.col("_metadata.file_path")).alias("_of"),
         packed_order(F.lit(0), F.col("_metadata.file_block_start")).alias(ROW_ORDER),
     )
-    found = placed.join(files, F.col("_of") == F.col("_path"), "left")
+    found = placed.join(file_numbers(df), F.col("_of") == F.col("_path"), "left")
     number = F.coalesce("_file", F.raise_error(F.concat(F.lit("not among the input files: "), "_of")).cast("bigint"))
     file = number.cast("decimal(38,0)") * F.lit(str(10 ** (BLOCK + ROW))).cast("decimal(38,0)")
     return found.select(*df.columns, (F.col(ROW_ORDER) + file).cast("decimal(38,0)").alias(ROW_ORDER))

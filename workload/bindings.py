@@ -18,7 +18,15 @@ OPEN_SUPPLY = GraphSpec("supplier", "others", "open_price", "o_orderkey")
 YEARS = SeriesSpec("year", "o_totalprice", "o_orderkey")
 YEAR_TREE = HierarchySpec(["year", "o_orderpriority", "customer_nation"], "o_totalprice", "o_orderkey")
 YEAR_TEXT_TREE = HierarchySpec(["year_text", "o_orderpriority"], "cents", "o_orderkey")
-TEXT_TREE = HierarchySpec(["r_name", "n_name", "c_mktsegment"], "balance_text", "c_custkey")
+TEXT_MIXED_SERIES = SeriesSpec("label", "strength", "event_id")
+MIXED_LINKS = LinkSpec("label", "near", "event_id")
+MIXED_GRAPH = GraphSpec("label", "near", "strength", "event_id")
+MIXED_TREE = HierarchySpec(["label", "type"], "strength", "event_id")
+TREE = HierarchySpec(["r_name", "n_name", "c_mktsegment"], "balance_text", "c_custkey")
+MIXED_SERIES = SeriesSpec("label", "strength", "event_id")
+MIXED_LINKS = LinkSpec("label", "near", "event_id")
+MIXED_GRAPH = GraphSpec("label", "near", "strength", "event_id")
+MIXED_TREE = HierarchySpec(["label", "type"], "strength", "event_id")
 TREE = HierarchySpec(["r_name", "n_name", "c_mktsegment"], "balance", "c_custkey")
 
 
@@ -115,6 +123,29 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def mixed_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as JSON text of mixed shape: `label` is text, a number, true or false, null or missing, `strength`
+    a number, text or missing, and `near` lists values of all kinds."""
+    text = lambda column: F.concat(F.lit('"'), column, F.lit('"'))
+    user = (F.col("user_id") % 7).cast("string")
+    label = (
+        F.when(F.col("event_id") % 6 == 0, text(F.col("event_type")))
+        .when(F.col("event_id") % 12 == 1, F.concat(user, F.lit(".0")))
+        .when(F.col("event_id") % 6 == 1, user)
+        .when(F.col("event_id") % 6 == 2, text(user))
+        .when(F.col("event_id") % 6 == 3, (F.col("event_id") % 4 == 1).cast("string"))
+        .when(F.col("event_id") % 6 == 4, "null")
+    )
+    cents = F.round(F.col("value") * 100).cast("bigint").cast("string")
+    strength = F.when(F.col("event_id") % 10 == 0, text(cents)).when(F.col("event_id") % 9 != 0, cents)
+    near = F.concat(text(F.col("event_type")), F.lit(","), user, F.lit(",null,true,"), text(user))
+    line = F.concat(
+        F.lit('{"near":['), near, F.lit('],"event_id":'), F.col("event_id").cast("string"), F.lit(',"type":'), text(F.col("event_type")),
+        F.coalesce(F.concat(F.lit(',"label":'), label), F.lit("")), F.coalesce(F.concat(F.lit(',"strength":'), strength), F.lit("")), F.lit("}"),
+    )
+    return table(spark, folder, "events").select(line.alias("line"))
+
+
 def series_board(spark: SparkSession, folder: str) -> Dashboard:
     return Dashboard(parts(spark, folder), series=SERIES)
 

@@ -587,3 +587,177 @@ WHERE first_seen IS NOT NULL AND key <> 'tags'
 """,
     FIELDS,
 )
+
+# The records of mixed shape, with keys as kind and text.
+_MIXED = """records AS (
+    SELECT event_id, event_type AS type, CAST(user_id % 7 AS VARCHAR) AS usr, CAST(round(value * 100) AS BIGINT) AS cents,
+        CASE event_id % 6 WHEN 0 THEN 'text:' || event_type WHEN 1 THEN 'number:' || usr WHEN 2 THEN 'text:' || usr
+            WHEN 3 THEN 'boolean:' || CASE WHEN event_id % 4 = 1 THEN 'true' ELSE 'false' END END AS label,
+        CASE WHEN event_id % 10 <> 0 AND event_id % 9 <> 0 THEN CAST(cents AS DOUBLE) END AS strength,
+        CASE WHEN event_id % 10 = 0 OR event_id % 9 <> 0 THEN CAST(cents AS DOUBLE) END AS sized,
+        ['text:' || event_type, 'number:' || usr, NULL, 'boolean:true', 'text:' || usr] AS near
+    FROM events
+),
+entities AS (SELECT label AS entity, min(event_id) AS seen FROM records WHERE label IS NOT NULL GROUP BY label),
+ends AS (SELECT label AS s, unnest(near) AS t FROM records WHERE label IS NOT NULL),
+kept AS (SELECT s, t FROM ends WHERE t IN (SELECT entity FROM entities)),
+matrix AS (SELECT source, target, count(*) AS value FROM (SELECT s AS source, t AS target FROM kept UNION ALL SELECT t, s FROM kept) GROUP BY source, target),
+nodes AS (SELECT label AS id, arg_min(coalesce(strength, 0), event_id) AS value FROM records GROUP BY label)
+"""
+
+ORACLE["mixed_series"] = f"""
+WITH {_MIXED},
+bands AS (SELECT label, row_number() OVER (ORDER BY min(event_id)) - 1 AS i, count(*) OVER () AS n FROM records GROUP BY label)
+SELECT event_id AS ord, coalesce(r.label, '') AS category, strength AS value,
+    round(sign(strength) * sqrt(abs(strength / (SELECT max(strength) FROM records))), 9) AS length,
+    round(2 * pi() / (n + 0.1) * (i + 0.1), 9) AS start_angle
+FROM records r JOIN bands b ON r.label IS NOT DISTINCT FROM b.label
+"""
+
+ORACLE["mixed_links"] = f"WITH {_MIXED} SELECT source, target, value FROM matrix"
+
+ORACLE["mixed_arcs"] = f"""
+WITH {_MIXED},
+sums AS (SELECT entity, seen, coalesce(sum(value), 0) AS total FROM entities LEFT JOIN matrix ON entity = source GROUP BY entity, seen),
+placed AS (
+    SELECT entity, total, row_number() OVER (ORDER BY seen) - 1 AS i, count(*) OVER () AS n, sum(total) OVER () AS links,
+        sum(total) OVER (ORDER BY seen) AS upto
+    FROM sums
+)
+SELECT entity, i AS "index", CAST(total AS BIGINT) AS total,
+    CASE WHEN length(substring(entity, strpos(entity, ':') + 1)) > 15 THEN substring(entity, strpos(entity, ':') + 1, 15) || '...'
+        ELSE substring(entity, strpos(entity, ':') + 1) END AS label,
+    round(upto * ((2 * pi() - 0.05 * n) / links) + i * 0.05, 9) AS end_angle
+FROM placed
+"""
+
+ORACLE["mixed_nodes"] = f"""
+WITH {_MIXED},
+spread AS (SELECT min(coalesce(strength, 0)) AS low, max(coalesce(strength, 0)) AS high FROM records)
+SELECT coalesce(id, '') AS id, value, round((value - low) / (high - low), 9) AS norm, round(10 + (value - low) / (high - low) * 20, 9) AS size
+FROM nodes, spread
+"""
+
+ORACLE["mixed_graph_links"] = f"""
+WITH {_MIXED},
+listed AS (SELECT event_id, label, unnest(near) AS target, generate_subscripts(near, 1) - 1 AS pos FROM records)
+SELECT event_id AS ord, CAST(pos AS INTEGER) AS pos, label AS source, target FROM listed
+WHERE label NOT IN ('number:0', 'boolean:false', 'text:') AND target NOT IN ('number:0', 'boolean:false', 'text:')
+    AND target IN (SELECT id FROM nodes WHERE id IS NOT NULL)
+"""
+
+ORACLE["mixed_tree"] = f"""
+WITH {_MIXED},
+leaves AS (SELECT label, type, arg_max(coalesce(sized, 0), event_id) AS value FROM records GROUP BY label, type),
+shown AS (SELECT *, coalesce(substring(label, strpos(label, ':') + 1), '-') AS name, coalesce(split_part(label, ':', 1), '-') AS kind FROM leaves)
+SELECT name || '/' || type AS names, kind || '/text' AS kinds, 2 AS depth, round(value, 9) AS value, 0 AS n_children FROM shown
+UNION ALL SELECT name, kind, 1, round(sum(value), 9), count(*) FROM shown GROUP BY label, name, kind
+UNION ALL SELECT '', '', 0, round(sum(value), 9), count(DISTINCT coalesce(label, '')) FROM shown
+"""
+
+ORACLE["mixed_select"] = f"""
+WITH {_MIXED},
+chosen(chosen, key) AS (VALUES ('number', 'number:3'), ('text', 'text:3')),
+chords AS (
+    SELECT CASE WHEN a.seen <= b.seen THEN source ELSE target END AS s, CASE WHEN a.seen <= b.seen THEN target ELSE source END AS t
+    FROM matrix JOIN entities a ON source = a.entity JOIN entities b ON target = b.entity WHERE source <= target
+)
+SELECT chosen, 'series' AS view, CAST(event_id AS VARCHAR) AS item FROM records JOIN chosen ON label = key
+UNION ALL SELECT chosen, 'entities', entity FROM entities JOIN chosen ON entity = key
+UNION ALL SELECT chosen, 'nodes', id FROM nodes JOIN chosen ON id = key
+UNION ALL SELECT chosen, 'chords', s || '/' || t FROM chords JOIN chosen ON s = key OR t = key
+"""
+
+ORACLE["ingest_array_file"] = "SELECT conv_id, turn, role, text FROM conversations"
+
+ORACLE["ingest_objects"] = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"
+
+ORACLE["ingest_versions"] = """
+SELECT step, version, event_id, event_type, value
+FROM events JOIN (VALUES (0, 1, 0), (1, 1, 0), (2, 3, 1), (3, 1, 0)) AS t(step, version, part) ON event_id % 2 = part
+"""
+
+ORACLE["link_incident_stored"] = ORACLE["link_incident"]
+ORACLE["graph_incident_stored"] = ORACLE["graph_incident"]
+
+sql("graph_empty", "SELECT count(DISTINCT coalesce(supplier, -1)) AS n_nodes, 0 AS n_shown, 0 AS n_links FROM deals", ORDERS)
+
+ORACLE["tree_zoom"] = ORACLE["tree_subtree"]
+
+sql(
+    "tree_way",
+    """
+SELECT concat_ws('/', l1, l2) AS path, depth, coalesce(name, 'root') AS name, round(value::DOUBLE, 9) AS value
+FROM (SELECT l1, l2, depth, name, value FROM nodes WHERE l3 IS NULL AND l1 = 'EUROPE' AND (l2 IS NULL OR l2 = 'NATION_3')
+      UNION ALL SELECT NULL, NULL, 0, NULL, sum(value) FROM nodes WHERE depth = 1)
+WHERE EXISTS (SELECT 1 FROM nodes WHERE l1 = 'EUROPE' AND l2 = 'NATION_3')
+""",
+    TREE,
+    NODES,
+)
+sql(
+    "tree_intervals",
+    """
+, numbered AS (
+  SELECT *, row_number() OVER (ORDER BY f1, coalesce(f2, -1), coalesce(f3, -1)) AS enter FROM nodes),
+held AS (
+  SELECT n.*, (SELECT count(*) FROM nodes b WHERE b.l1 = n.l1 AND (n.l2 IS NULL OR b.l2 = n.l2) AND (n.l3 IS NULL OR b.l3 = n.l3)) AS size
+  FROM numbered n)
+SELECT concat_ws('/', l1, l2, l3) AS path, enter, enter + size - 1 AS leave FROM held
+UNION ALL SELECT '', 0, count(*) FROM nodes
+""",
+    TREE,
+    NODES,
+)
+ORACLE["tree_intervals"] = ORACLE["tree_intervals"].replace("\n, numbered AS", ", numbered AS")
+ORACLE["select_tree_intervals"] = ORACLE["select_tree"]
+
+ORACLE["key_dictionary_grown"] = """
+WITH first AS (SELECT p_brand AS key, 'text' AS kind, row_number() OVER (ORDER BY min(p_partkey)) - 1 AS index FROM part WHERE p_retailprice > 990 GROUP BY p_brand),
+paths AS (SELECT p_brand AS l1, p_size AS l2, min(p_partkey) AS f2 FROM part GROUP BY ALL),
+brands AS (SELECT p_brand AS l1, min(p_partkey) AS f1 FROM part GROUP BY ALL),
+listed AS (
+    SELECT l1 AS key, 'text' AS kind, 0 AS view, f1, 0 AS f2 FROM brands
+    UNION ALL SELECT CAST(l2 AS VARCHAR), 'number', 1, f1, f2 FROM paths JOIN brands USING (l1)
+),
+later AS (SELECT key, kind, view, f1, f2 FROM listed QUALIFY row_number() OVER (PARTITION BY key, kind ORDER BY view, f1, f2) = 1),
+added AS (
+    SELECT key, kind, (SELECT count(*) FROM first) + row_number() OVER (ORDER BY view, f1, f2) - 1 AS index
+    FROM later WHERE NOT EXISTS (SELECT 1 FROM first WHERE first.key = later.key AND first.kind = later.kind)
+)
+SELECT key, kind, index, index % 10 AS "group" FROM (SELECT * FROM first UNION ALL SELECT * FROM added)
+"""
+
+ORACLE["key_numbers"] = """
+WITH keys AS (SELECT p_partkey AS k, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part)
+SELECT key, 'number' AS kind, index, index % 10 AS "group"
+FROM (
+    SELECT rtrim(rtrim((k // 1000000) || '.' || lpad(CAST(k % 1000000 AS VARCHAR), 6, '0'), '0'), '.') AS key, i AS index FROM keys
+    UNION ALL SELECT k || '000000000000000', n + row_number() OVER (ORDER BY k) - 1 FROM keys WHERE k > 0
+)
+"""
+
+_SELECTED = """
+WITH log AS (
+    SELECT CAST(user_id % 50 AS VARCHAR) AS session, event_id AS place, 'k' || event_id % 23 AS key,
+        CASE WHEN event_type = 'purchase' THEN 'remove' WHEN event_type = 'error' AND user_id % 5 = 0 THEN 'clear' ELSE 'add' END AS action
+    FROM events
+),
+cleared AS (SELECT session, max(place) AS since FROM log WHERE action = 'clear' GROUP BY session),
+last AS (SELECT session, key, place, action FROM log WHERE action <> 'clear' QUALIFY row_number() OVER (PARTITION BY session, key ORDER BY place DESC) = 1)
+SELECT session, key, place AS "at" FROM last LEFT JOIN cleared USING (session) WHERE action = 'add' AND (since IS NULL OR place > since)
+"""
+ORACLE["select_clicks"] = ORACLE["select_click_stream"] = _SELECTED
+
+ORACLE["profile_key_order"] = """
+WITH shown AS (
+    SELECT event_id, event_id % 6 < 4 AS labelled, event_id % 6 < 5 AS has_label, event_id % 10 = 0 OR event_id % 9 <> 0 AS has_strength FROM events
+),
+kinds AS (
+    SELECT 'label' AS key, CASE event_id % 6 WHEN 1 THEN 'number' WHEN 3 THEN 'boolean' ELSE 'string' END AS kind, event_id, 3 AS position FROM shown WHERE labelled
+    UNION ALL SELECT 'strength', CASE WHEN event_id % 10 = 0 THEN 'string' ELSE 'number' END, event_id, CASE WHEN has_label THEN 4 ELSE 3 END FROM shown WHERE has_strength
+    UNION ALL SELECT unnest(['near', 'event_id', 'type']), unnest(['array', 'number', 'string']), event_id, unnest([0, 1, 2]) FROM shown
+)
+SELECT key, kind, kind = 'number' AS is_numeric, event_id AS first_seen, position
+FROM kinds QUALIFY row_number() OVER (PARTITION BY key ORDER BY event_id) = 1
+"""

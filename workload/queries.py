@@ -8,11 +8,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from viewloom import Dashboard
+from viewloom import Dashboard, GraphSpec, HierarchySpec, SeriesSpec
 from viewloom.operators import graph, hierarchy, links, profile, selection, series
 from viewloom.operators.staging import scratch
 from viewloom.plans import specs
+from viewloom.sources.arrays import read_array
 from viewloom.sources.records import BAD_RECORD, parse_variants, read_records, read_variants
+from viewloom.sources.versions import Refused, Store
+from viewloom.streaming import clicks
 from workload import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -450,3 +453,225 @@ def bindings(spark, folder):
     present = profile.typed_profile(events, ["event_id"]).select("key", "first_seen")
     told = spark.createDataFrame(specs.accepted(events), "view string, part string, agg string, field string, accepted boolean")
     return told.join(present, F.col("field") == F.col("key")).select("view", "part", "agg", "field", "accepted", "first_seen")
+
+
+def _mixed_board(spark, folder) -> Dashboard:
+    """All four views over records of mixed shape, written as JSON Lines and read as VARIANT."""
+    records = read_variants(spark, _written(b.mixed_lines(spark, folder), "mixed"), lines=True)
+    records = records.withColumn("event_id", F.variant_get("record", "$.event_id", "bigint"))
+    return Dashboard.over_variants(records, series=b.MIXED_SERIES, links=b.MIXED_LINKS, graph=b.MIXED_GRAPH, hierarchy=b.MIXED_TREE)
+
+
+def _key(column: str, name: str) -> Column:
+    return F.concat_ws(":", F.col(column)["kind"], F.col(column)["value"]).alias(name)
+
+
+@query
+def mixed_series(spark, folder):
+    bars = _mixed_board(spark, folder).bars()
+    return bars.select("ord", _key("category", "category"), "value", r9("length"), r9("start", "start_angle"))
+
+
+@query
+def mixed_links(spark, folder):
+    matrix = _mixed_board(spark, folder).link_matrix()
+    return matrix.select(_key("source", "source"), _key("target", "target"), "value")
+
+
+@query
+def mixed_arcs(spark, folder):
+    return _mixed_board(spark, folder).arcs().select(_key("entity", "entity"), "index", "total", "label", r9("end", "end_angle"))
+
+
+@query
+def mixed_nodes(spark, folder):
+    return _mixed_board(spark, folder).nodes.select(_key("id", "id"), "value", r9("norm"), r9("size"))
+
+
+@query
+def mixed_graph_links(spark, folder):
+    found = _mixed_board(spark, folder).graph_links
+    return found.select("ord", "pos", _key("source", "source"), _key("target", "target"))
+
+
+@query
+def mixed_tree(spark, folder):
+    tree = _mixed_board(spark, folder).tree
+    names = F.array_join("names", "/", "-").alias("names")
+    return tree.select(names, F.array_join("kinds", "/", "-").alias("kinds"), "depth", r9("value"), "n_children")
+
+
+@query
+def mixed_select(spark, folder):
+    """The number 3, then the text "3", over all views but the tree."""
+    board = _mixed_board(spark, folder)
+    lit = []
+    for chosen, keys in (("number", selection.keys(spark, [3], "bigint")), ("text", selection.keys(spark, ["3"]))):
+        views = board.select(keys)
+        items = {"series": F.col("ord").cast("string"), "entities": _key("entity", "item"), "nodes": _key("id", "item"),
+                 "chords": F.concat(_key("source", "a"), F.lit("/"), _key("target", "b"))}
+        for view, item in items.items():
+            lit.append(views[view].where("lit").select(F.lit(chosen).alias("chosen"), F.lit(view).alias("view"), item.alias("item")))
+    return reduce(DataFrame.unionByName, lit)
+
+
+@query
+def ingest_array_file(spark, folder):
+    """The conversations as one file that holds one JSON array, read back range by range."""
+    turns = b.table(spark, folder, "conversations")
+    rows = turns.select("conv_id", "turn", F.to_json(F.struct("*")).alias("line"))
+    first = turns.agg(F.min(F.struct("conv_id", "turn")).alias("k")).first()["k"]
+    lead = F.when((F.col("conv_id") == first[0]) & (F.col("turn") == first[1]), "[").otherwise(",")
+    lines = rows.select(F.lit(0).alias("part"), "conv_id", "turn", F.concat(lead, "line").alias("line"))
+    end = spark.range(1).select(F.lit(1).alias("part"), F.lit(None).cast("bigint").alias("conv_id"), F.lit(None).cast("bigint").alias("turn"), F.lit("]").alias("line"))
+    one = lines.union(end).repartition(1).sortWithinPartitions("part", "conv_id", "turn")  # a file has one writer
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    return read_array(spark, _written(one.select("line"), "array"), schema).drop("row_order")
+
+
+@query
+def ingest_objects(spark, folder):
+    """Every supplier as a file of its own, which holds one object on several lines."""
+    path = scratch(spark, "objects")
+    suppliers = b.table(spark, folder, "supplier").withColumn("number", F.monotonically_increasing_id())
+    pretty = F.to_json(F.struct(*[c for c in suppliers.columns if c != "number"]), {"pretty": "true"})
+    suppliers.select("number", pretty.alias("line")).write.partitionBy("number").text(path)
+    found = read_records(spark, path, schema="s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double")
+    return found.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+
+
+@query
+def ingest_versions(spark, folder):
+    """Three loads: the even events, the odd ones cut short, the odd ones whole. What is current after each, and the
+    first version after all."""
+    store = Store(spark, scratch(spark, "versions"))
+    line, odd = F.to_json(F.struct("*")), F.col("event_id") % 2
+    cut = F.when(F.col("event_id") % 1000 == 1, F.substring(line, F.lit(1), F.length(line) - 3)).otherwise(line)
+    seen = []
+    for step, (part, text) in enumerate([(0, line), (1, cut), (1, line)]):
+        path = _written(_events(spark, folder).where(odd == part).select(text.alias("line")), "load")
+        try:
+            store.load(read_records(spark, path, lines=True, schema=EVENTS, keep_bad=True, numbered=False))
+        except Refused:
+            pass  # the version before it stays
+        seen.append((step, store.current()))
+    seen.append((3, store.versions()[0]))
+    shown = [
+        store.read(version).select(F.lit(step).alias("step"), F.lit(version).alias("version"), "event_id", "event_type", "value")
+        for step, version in seen
+    ]
+    return reduce(DataFrame.unionByName, shown)
+
+
+# links of one node, from links stored by their ends
+
+
+@query
+def link_incident_stored(spark, folder):
+    return b.link_board(spark, folder).chord_index.incident(ENTITY)
+
+
+@query
+def graph_incident_stored(spark, folder):
+    return b.graph_board(spark, folder).link_index.incident(NODE)
+
+
+@query
+def graph_empty(spark, folder):
+    """Links none of which names a node: nothing is drawn."""
+    records = b.orders(spark, folder).withColumn("nowhere", F.transform("others", lambda x: -x - 1))
+    board = Dashboard(records, graph=GraphSpec("supplier", "nowhere", "o_totalprice", "o_orderkey"))
+    nodes, found = graph.drawable(board.nodes, board.graph_links)
+    count = lambda frame, name: frame.agg(F.count(F.lit(1)).alias(name))
+    counts = [count(board.nodes, "n_nodes"), count(nodes, "n_shown"), count(found, "n_links")]
+    return spark.range(1).select(*[c.scalar().alias(c.columns[0]) for c in counts])
+
+
+# the stored tree, by intervals
+
+
+@query
+def tree_zoom(spark, folder):
+    """As `tree_subtree`, without reading the records again."""
+    below = b.tree_board(spark, folder).zoom(["EUROPE"])
+    return below.select(text(), "depth", r9("value"), r9("x0"), r9("x1"), r9("y0"), r9("y1"))
+
+
+@query
+def tree_way(spark, folder):
+    found = b.tree_board(spark, folder).way_to(["EUROPE", "NATION_3"])
+    return found.select(text(), "depth", "name", r9("value"))
+
+
+@query
+def tree_intervals(spark, folder):
+    return b.tree_board(spark, folder).tree_intervals.select(text(), "enter", "leave")
+
+
+@query
+def select_tree_intervals(spark, folder):
+    """As `select_tree`, with the lit branches found by ranges."""
+    board = b.tree_board(spark, folder)
+    laid = hierarchy.layout(board.tree_intervals, len(b.TREE.levels))
+    flagged = selection.flag_tree(laid, selection.keys(spark, ["BUILDING", "NATION_7"]))
+    return flagged.select(text(), "name", "lit")
+
+
+# keys over loads, clicks
+
+
+@query
+def key_dictionary_grown(spark, folder):
+    """The brands of the dear parts, then those of all parts by their first row: numbers once given stay."""
+    parts = b.parts(spark, folder)
+    first = Dashboard(parts.where("p_retailprice > 990"), series=b.SERIES).key_dictionary()
+    later = Dashboard(parts, series=b.SERIES, hierarchy=HierarchySpec(["p_brand", "p_size"], "p_retailprice", "p_partkey")).key_dictionary()
+    return selection.extended_dictionary(first, later)
+
+
+@query
+def key_numbers(spark, folder):
+    """Small and large numbers as keys: as doubles in the series, as decimals in the tree; equal ones are one key."""
+    key = F.col("p_partkey")
+    parts = b.parts(spark, folder).select(
+        "p_partkey", "p_retailprice", (key / F.lit(1000000.0)).alias("tiny"), (key.cast("decimal(18,6)") * F.lit("0.000001").cast("decimal(7,6)")).alias("tiny_exact"),
+        (key.cast("decimal(20,0)") * F.lit(10**15).cast("decimal(16,0)")).alias("huge"),
+    )
+    series_spec = SeriesSpec("tiny", "p_retailprice", "p_partkey")
+    return Dashboard(parts, series=series_spec, hierarchy=HierarchySpec(["tiny_exact", "huge"], "p_retailprice", "p_partkey")).key_dictionary()
+
+
+def _clicks(spark, folder) -> DataFrame:
+    """The events as a log of clicks: fifty sessions, keys that are added, taken out and cleared."""
+    kind = F.col("event_type")
+    action = F.when(kind == "purchase", "remove").when((kind == "error") & (F.col("user_id") % 5 == 0), "clear").otherwise("add")
+    events = b.table(spark, folder, "events")
+    return events.select(
+        (F.col("user_id") % 50).cast("string").alias("session"), F.col("event_id").alias("at"), action.alias("action"),
+        F.concat(F.lit("k"), (F.col("event_id") % 23).cast("string")).alias("key"),
+    )
+
+
+@query
+def select_clicks(spark, folder):
+    return clicks.selected(_clicks(spark, folder))
+
+
+@query
+def select_click_stream(spark, folder):
+    """As `select_clicks`, with the clicks arriving as files."""
+    log = _written(_clicks(spark, folder), "clicks")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, clicks.ROCKSDB)
+    table = scratch(spark, "selected")
+    arriving = spark.readStream.schema("session string, at bigint, action string, key string").json(log)
+    clicks.watch_clicks(arriving, table, scratch(spark, "progress"), once=True).awaitTermination()
+    return clicks.selected(spark.read.parquet(table)).select("session", "key", "at")
+
+
+@query
+def profile_key_order(spark, folder):
+    """Records of mixed shape whose fields are in no order of names: their place in the record."""
+    records = parse_variants(b.mixed_lines(spark, folder), "line")
+    records = records.withColumn("event_id", F.variant_get("record", "$.event_id", "bigint"))
+    return profile.variant_profile(records, "record", ["event_id"], text="line")
