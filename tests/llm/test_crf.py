@@ -119,3 +119,23 @@ def test_sample_is_bounded(spark):
     assert language_crf.sample(docs, 7).count() == 7
     labels = docs.select("id", (F.col("id") % 2).alias("good"))
     assert quality_crf.sample(docs.select("id", "text"), labels, 7).count() == 14
+
+
+def test_repeats_are_remembered_over_a_very_long_text():
+    """A line that comes again after 300,000 varied words still counts as repeated."""
+    line = b"one two three four five six".decode()
+    own, _ = quality_crf.line_features("\n".join([line, *(f"w{k} x{k} y{k} z{k} v{k} u{k}" for k in range(50_000)), line]))
+    assert own[0, 11] == 0 and own[-1, 11] == 1 and own[-1, 12] > 0.7
+
+
+def test_long_sequences_in_blocks():
+    """Blocks give the marginals that one step after the other gives."""
+    random = np.random.default_rng(5)
+    for states, lengths in ((2, [1, 2, 7, 8, 9, 40, 33, 5]), (4, [100]), (3, [16, 17, 1])):
+        lengths = np.array(lengths)
+        scores, trans, start = random.normal(0, 3, (lengths.sum(), states)), random.normal(0, 2, (states, states)), random.normal(0, 1, states)
+        want = crf.marginals(scores, trans, start, crf.Steps.of(lengths))
+        assert np.allclose(crf.sequence_marginals(scores, trans, start, lengths, block=4), want, atol=1e-9)
+    long = np.array([300_000])
+    found = crf.sequence_marginals(random.normal(0, 1, (300_000, 2)), np.eye(2), np.zeros(2), long)
+    assert np.allclose(found.sum(axis=1), 1)

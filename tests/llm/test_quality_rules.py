@@ -58,6 +58,15 @@ def test_ablations(spark):
         assert counts == (sum(m & bit > 0 for m in masks), sum(m & policy == bit for m in masks), sum(m & policy > 0 for m in masks))
 
 
+def test_what_alone_rejects(spark):
+    names = list(rules.rules())
+    for r in rules.ablated(rules.ledger(documents(spark, TEXTS))).collect():
+        for version, some in rules.POLICIES.items():
+            failed = [n for k, n in enumerate(names) if r.failed >> k & 1 and n in some]
+            assert r[f"kept_{version}"] == (not failed)
+            assert r[f"only_{version}"] == (failed[0] if len(failed) == 1 else None)
+
+
 def test_empty(spark):
     ledger = rules.ledger(spark.createDataFrame([], SCHEMA))
     assert rules.verdicts(ledger).count() == 0 and rules.ablations(ledger).count() == 0

@@ -32,7 +32,11 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     pages = [(i, url, None) for i, url in enumerate(URLS)]
     pages += [(100, "http://q.info/a", "<link rel='canonical' href='http://q.example.com/de/'>"), (101, "http://r.info/", "x"),
-              (102, "http://r.info/b#t", '<meta http-equiv="refresh" content="1;url=/c">'), (103, "http://r.info/c", "<link href=//w.org/fr/ rel=canonical>")]
+              (102, "http://r.info/b#t", '<meta http-equiv="refresh" content="1;url=/c">'), (103, "http://r.info/c", "<link href=//w.org/fr/ rel=canonical>"),
+              (104, "http://rel.info/x/a", "<link rel='canonical' href='../y/2'>"), (105, "http://rel.info/y/2", '<link rel="alternate canonical" href="http://q.example.com/de/k">'),
+              (106, "http://amp.info/p?a=1", "<link rel=canonical href='?a=1&amp;b=2'>"), (107, "http://amp.info/p?a=1&b=2", "<link rel=canonical href='http://z.net/'>"),
+              (108, "http://dots.info/a/./b/../c", "x"), (109, "http://dots.info/z", "<link rel=canonical href=a/c>"), (110, "http://dots.info/a/c", "<link rel=canonical href='http://z.net'>"),
+              (111, "http://own.info", "<link rel=canonical href='#top'><link rel=canonical href='mailto:a@b.net'><link rel=noncanonical href='http://z.net/'>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     return str(folder)
 

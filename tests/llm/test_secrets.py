@@ -1,6 +1,8 @@
 """Secret spans against plain patterns, and the token test on planted strings."""
 
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +79,38 @@ def test_redacted(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert secret_scan.scan(docs, Vocabulary()).count() == 0 and secret_scan.redacted(docs, Vocabulary()).count() == 0
+
+
+ALPHABETS = {"lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "base32": string.ascii_uppercase + "234567", "all": string.ascii_letters + string.digits}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_keys_of_one_case_are_found(name):
+    """Keys of 20, 32 and 40 letters of any alphabet: at least 95 of 100."""
+    draw, tokens = random.Random(3), secret_scan.tokens_in(Vocabulary())
+    for size in (20, 32, 40):
+        keys = ["".join(draw.choices(ALPHABETS[name], k=size)) for _ in range(100)]
+        found = [secret_scan.spans_of(f"the key {k} is", tokens) for k in keys]
+        assert sum((8, 3, 8 + size) in spans for spans in found) >= 95
+
+
+def test_identifiers_stay():
+    tokens = secret_scan.tokens_in(Vocabulary())
+    for text in ("INTERNATIONALIZATION_OF_SOFTWARE", "getElementsByClassNameAndMore", "CONSTANT_VALUE_OF_THE_THING", "/some/longer/path/of/words/", "Donaudampfschifffahrtsgesellschaft"):
+        assert secret_scan.spans_of(text, tokens) == []
+
+
+def test_both_sides_of_a_base_span_go():
+    tokens, digits = secret_scan.tokens_in(Vocabulary()), "0123456789abcdef01234567"
+    text = "key " + RANDOM + digits + "Xk29sQpLw8ZtVb71Rm" + " end"
+    spans = secret_scan.spans_of(text, tokens)
+    assert spans == [(4, 3, 28), (28, 2, 52), (52, 3, 70)]
+    assert secret_scan.redact(text, spans, "*").replace("*", "") == "key  end"
+    assert secret_scan.spans_of("plain_name_" + digits + "_other_name", tokens) == [(11, 2, 35)]
+
+
+def test_a_very_long_text():
+    tokens = secret_scan.tokens_in(Vocabulary())
+    text = prose(3, 300_000) + " " + RANDOM + " " + prose(4, 300_000)
+    spans = secret_scan.spans_of(text, tokens)
+    assert [text[a:b] for a, _, b in spans] == [RANDOM]

@@ -58,6 +58,22 @@ def test_aliases(spark):
     assert got[5] == got[7] == ("allow", "alias") and got[8] == got[11] == ("allow", "default")
 
 
+# The reference resolution examples of RFC 3986, 5.4, for http://a/b/c/d;p?q
+RESOLVED = {
+    "http://g/h": "http://g/h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g/",
+    "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "g#s": "http://a/b/c/g", ";x": "http://a/b/c/;x", ".": "http://a/b/c/", "./": "http://a/b/c/",
+    "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g",
+    "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "g/./h": "http://a/b/c/g/h",
+    "g/../h": "http://a/b/c/h", "g?y/./x": "http://a/b/c/g?y/./x", "x&amp;amp;y": "http://a/b/c/x&amp;y", "": None, "#s": None, "mailto:x": None,
+}
+
+
+def test_relative_targets(spark):
+    rows = spark.createDataFrame(list(RESOLVED.items()), "target string, want string")
+    found = url_filter.address(url_filter.resolved(F.col("target"), F.lit("http://a/b/c/d;p?q")))
+    assert rows.select("target", "want", found.alias("got")).where("NOT want <=> got").collect() == []
+
+
 def test_empty(spark):
     assert url_filter.judge(spark.createDataFrame([], SCHEMA)).count() == 0
     assert url_filter.judge(spark.createDataFrame([(1, "http://a.net/", None)], SCHEMA), url_filter.rule_table(spark, [])).first().verdict == "allow"

@@ -62,6 +62,61 @@ def marginals(scores: np.ndarray, trans: np.ndarray, start: np.ndarray, steps: S
     return nodes, log_norm, moves * (forward[before].T @ ahead)
 
 
+BLOCK = 1024  # items of a long sequence that are gone through one after the other
+
+
+def sequence_marginals(scores: np.ndarray, trans: np.ndarray, start: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """As `marginals`, for sequences of any length: one of n items takes about n / block + block steps, not n.
+
+    Steps compose: what a block does to the states is a small matrix, and the blocks' matrices are found
+    side by side. The product of those before (behind) a block tells how it begins (ends).
+    """
+    if not len(lengths) or lengths.max() <= 2 * block:
+        return marginals(scores, trans, start, Steps.of(lengths))
+    n_blocks = -(-lengths // block)
+    first_of = np.cumsum(n_blocks) - n_blocks
+    sizes = np.full(int(n_blocks.sum()), block, np.int64)
+    sizes[first_of + n_blocks - 1] = lengths - (n_blocks - 1) * block
+    steps = Steps.of(sizes)
+    local, moves = np.exp(scores - scores.max(axis=1, keepdims=True)), np.exp(trans)
+    states = scores.shape[1]
+
+    # blocks by falling size, as `steps` has them; `at` is where each stands there
+    order = np.argsort(-sizes, kind="stable")
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    through = np.tile(np.eye(states), (len(sizes), 1, 1))
+    for t, items in enumerate(steps.at):
+        now = through[: len(items)]
+        now = (now @ moves if t else now) * local[items][:, None, :]
+        through[: len(items)] = now / now.max(axis=(1, 2), keepdims=True)
+
+    begin, end = np.empty((len(sizes), states)), np.ones((len(sizes), states))
+    begin[at[first_of]] = np.exp(start)
+    for k in range(1, int(n_blocks.max())):
+        now = first_of[n_blocks > k] + k
+        ahead = np.einsum("ij,ijk->ik", begin[at[now - 1]], through[at[now - 1]]) @ moves
+        begin[at[now]] = ahead / ahead.sum(axis=1, keepdims=True)
+    for k in range(int(n_blocks.max()) - 2, -1, -1):
+        now = first_of[n_blocks > k + 1] + k
+        back = np.einsum("ijk,ik->ij", through[at[now + 1]], end[at[now + 1]]) @ moves.T
+        end[at[now]] = back / back.sum(axis=1, keepdims=True)
+
+    forward, backward = np.empty_like(local), np.empty_like(local)
+    for t, items in enumerate(steps.at):
+        here = (forward[steps.at[t - 1][: len(items)]] @ moves if t else begin) * local[items]
+        forward[items] = here / here.sum(axis=1, keepdims=True)
+    for t in range(len(steps.at) - 1, -1, -1):
+        items, n_later = steps.at[t], len(steps.at[t + 1]) if t + 1 < len(steps.at) else 0
+        backward[items] = end[: len(items)]
+        if n_later:
+            later = steps.at[t + 1]
+            ahead = (local[later] * backward[later]) @ moves.T
+            backward[items[:n_later]] = ahead / ahead.sum(axis=1, keepdims=True)
+    nodes = forward * backward
+    return nodes / np.maximum(nodes.sum(axis=1, keepdims=True), 1e-30)
+
+
 def fit(
     score: Callable[[np.ndarray], np.ndarray],
     backprop: Callable[[np.ndarray], np.ndarray],

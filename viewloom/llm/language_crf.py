@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from viewloom.llm.crf import Steps, fit, marginals
+from viewloom.llm.crf import fit, sequence_marginals
+from viewloom.operators.skew import lookup
+from viewloom.operators.staging import stored
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (1, 2, 3, 4)
@@ -89,7 +91,7 @@ class LanguageModel:
             return np.zeros((0, len(self.languages)))
         scores = _scores(self.weights, *_features(list(index), self.lexicon))[flat]
         lengths = np.array([len(t) for t in texts], np.int64)
-        return marginals(scores, self.trans, self.start, Steps.of(lengths[lengths > 0]))
+        return sequence_marginals(scores, self.trans, self.start, lengths[lengths > 0])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and its share of the letters; a text without a letter is unknown with share 0."""
@@ -128,7 +130,8 @@ def sample(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     pool = docs.where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("id", "lang")
     pick = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     few = pool.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= most).select("id", "lang").distinct()
-    return docs.select("id", "text").join(few, "id", "inner")
+    # a few rows per language: measured, and broadcast to the texts
+    return lookup(docs.select("id", "text"), stored(few.withColumnRenamed("id", "_id")), {"id": "_id"}, "inner")
 
 
 def _sequences(texts: list[list[str]], gold: list[int]) -> tuple[list[str], np.ndarray, np.ndarray]:

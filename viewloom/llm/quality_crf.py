@@ -14,13 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from viewloom.llm.crf import Steps, fit, marginals
+from viewloom.llm.crf import fit, sequence_marginals
 
 SYMBOLS = b"#*$%&<>~^"
 UPPER, LOWER, DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 OWN = 15
 FEATURES = 3 * OWN + 1
-GRAM, REMEMBERED = 4, 1 << 18
+GRAM = 4
 #: The classifier is fitted on so many labelled documents of each class, and lines of each, at most.
 SAMPLE, SAMPLE_LINES = 1500, 256
 ROUNDS, RATE, PENALTY = 250, 0.05, 1e-4
@@ -34,19 +34,18 @@ def _counts(raw: bytes, some: bytes) -> int:
 def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """OWN features per line, and the weight (length) per line; a text has at least one line.
 
-    Repetition looks back over the last REMEMBERED word groups, so memory stays bounded.
+    Repetition looks back over the whole text: its lines and word groups are remembered as 64-bit hashes,
+    so memory follows the one text in hand.
     """
     rows, weights, lines, grams = [], [], set(), set()
     for raw in (text or "").encode().split(b"\n"):
         words = raw.split()
         n, size = len(words), len(raw)
-        groups = list(zip(*(words[i:] for i in range(GRAM))))
+        groups = list(map(hash, zip(*(words[i:] for i in range(GRAM)))))
         known = sum(map(grams.__contains__, groups))
         inside = len(groups) - len(set(groups))
         grams.update(groups)
-        if len(grams) > REMEMBERED:
-            grams.clear()
-            lines.clear()
+        line = hash(raw)
         upper, lower = _counts(raw, UPPER), _counts(raw, LOWER)
         joined = sum(a == b for a, b in zip(words, words[1:]))
         rows.append((
@@ -61,12 +60,12 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             len(set(words)) / (n + 1),
             n >= 30 and len(set(words)) < 0.55 * n,
             raw.rstrip().endswith((b".", b"?")),
-            n > 0 and raw in lines,
+            n > 0 and line in lines,
             known / (len(groups) + 1),
             inside / (len(groups) + 1),
             n == 0,
         ))
-        lines.add(raw)
+        lines.add(line)
         weights.append(size + 1)
     return np.array(rows, np.float32), np.array(weights, np.float64)
 
@@ -94,7 +93,7 @@ class QualityModel:
 
     def line_marginals(self, own: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         scores = in_context(own, lengths).astype(np.float64) @ self.weights
-        return marginals(scores, self.trans, self.start, Steps.of(lengths))[:, 1]
+        return sequence_marginals(scores, self.trans, self.start, lengths)[:, 1]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         out, own, weights = [], [], []

@@ -152,6 +152,19 @@ def verdicts(ledger: DataFrame, version: str = CURRENT, policies: Mapping[str, S
     return ledger.withColumns({"base_failed": base, "kept": ~base & ~fails(policies[version])})
 
 
+def ablated(ledger: DataFrame, policies: Mapping[str, Sequence[str]] = POLICIES) -> DataFrame:
+    """The ledger with, per version of the policy, `kept_<version>` and `only_<version>`: the one rule that alone
+    rejects the row, null if none or several do."""
+    names = list(rules())
+    columns = {}
+    for version, some in policies.items():
+        hit = F.col("failed").bitwiseAND(F.lit(mask_of(some)))
+        columns[f"kept_{version}"] = hit == 0
+        only = F.get(F.array(*[F.lit(n) for n in names]), F.round(F.log2(hit)).cast("int"))
+        columns[f"only_{version}"] = F.when(F.bit_count(hit) == 1, only)
+    return ledger.withColumns(columns)
+
+
 def ablations(ledger: DataFrame, policies: Mapping[str, Sequence[str]] = POLICIES) -> DataFrame:
     """Per version and rule: documents that fail the rule, and those only this rule rejects.
 

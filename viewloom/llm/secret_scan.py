@@ -26,11 +26,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Runs that may be keys, at least this long, with at most so many characters a token.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 RATIO = 2.2
+#: What is left of such a run beside a base span is tested from this length on.
+REST = 8
 #: Not secrets: hex digests of the usual lengths, UUIDs, numbers and dates, words joined by marks.
 DIGEST = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 NUMBER = re.compile(r"[0-9+/_=-]+")
 WORDS = re.compile(r"(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+(?![0-9])|[+/_=-]++)*+")
+#: The words of an identifier are shorter; a longer one, or a long code, is judged by its tokens.
+LONG_WORD = re.compile(r"[A-Z]?[a-z]{12,}|[A-Z]{12,}|[A-Z0-9]{18,}")
 
 
 def tokens_in(vocabulary: Vocabulary) -> Callable[[str], int]:
@@ -55,28 +59,47 @@ def _case_changes(run: str) -> int:
 def looks_random(run: str, tokens: Callable[[str], int], ratio: float = RATIO) -> bool:
     """Few characters per token, and neither digest nor identifier.
 
-    An identifier is made of whole words and short numbers: its kinds of character change
-    seldom, less than once in six characters.
+    An identifier is made of words of ordinary length and short numbers: its kinds of character
+    change seldom, less than once in six characters. A long run of letters is none, whatever its case.
     """
     if DIGEST.fullmatch(run) or UUID.fullmatch(run) or NUMBER.fullmatch(run):
         return False
-    if WORDS.fullmatch(run) and _case_changes(run) * 6 < len(run):
+    if WORDS.fullmatch(run) and not LONG_WORD.search(run) and _case_changes(run) * 6 < len(run):
         return False
     return len(run) <= ratio * tokens(run)
 
 
+def _outside(start: int, end: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of [start, end) that no base span covers; `base` are those that may touch it, by start."""
+    for begin, _, stop in base:
+        if begin > start:
+            yield start, min(begin, end)
+        start = max(start, stop)
+        if start >= end:
+            return
+    if start < end:
+        yield start, end
+
+
 def spans_of(text: str, tokens: Callable[[str], int], ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of all secrets, by start and kind. Random runs that touch others are left to them."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGNED]
-    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    found.sort()
-    base, at, reach = found, 0, 0
+    """(start, kind, end) of all secrets, by start and kind.
+
+    Where base spans cover parts of a run, what is left of it on any side is tested by itself.
+    """
+    base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGNED]
+    base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
+    base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    base.sort()
+    found, at = list(base), 0
     for m in RUN.finditer(text):
-        while at < len(base) and base[at][0] < m.end():
-            reach, at = max(reach, base[at][2]), at + 1
-        if m.start() >= reach and looks_random(m[0], tokens, ratio):
-            found = found + [(m.start(), 3, m.end())]
+        while at < len(base) and base[at][2] <= m.start():
+            at += 1
+        end = at
+        while end < len(base) and base[end][0] < m.end():
+            end += 1
+        for a, b in _outside(m.start(), m.end(), base[at:end]):
+            if b - a >= REST and looks_random(text[a:b], tokens, ratio):
+                found.append((a, 3, b))
     return sorted(found)
 
 

@@ -16,8 +16,8 @@ bits apart, where two bits find little. So these use 256 bits that count every d
 similarity, and buckets of agreeing bits drawn at random, as many as find a pair at the
 threshold with probability RECALL; each bucket emits the closest pairs that connect it, fewer
 than it has rows. The shingles of emitted pairs are then compared exactly. Where that leaves texts
-apart that close pairs connect, all pairs between their parts are compared on their shingles (`_rest`),
-so no pair is lost because another one was emitted in its place. Short texts, of whose bits too few
+apart that close pairs connect, a prefix filter on their shingles, rarest first, finds all alike pairs
+among them (`_rest`), so no pair is lost because another one was emitted in its place. Short texts, of whose bits too few
 shingles decide, meet through their shingles as well: texts that alike share one of the least few.
 """
 
@@ -36,7 +36,8 @@ from pyspark.sql.types import StructField, StructType
 from viewloom.llm.bitslice import close_pairs, nearest_forest
 from viewloom.llm.common import raw_words
 from viewloom.llm.components import components
-from viewloom.operators.skew import lookup
+from viewloom.llm.word_blocks import squeeze, unsqueeze
+from viewloom.operators.skew import hinted, hot_keys, lookup
 from viewloom.operators.staging import stored
 
 RADIUS = 2
@@ -234,9 +235,16 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "a long, b long")
 
 
-def _classed(prints: DataFrame, distinct: DataFrame, pairs: DataFrame, id_column: str) -> DataFrame:
-    """The rows of `prints` with component_id, the least id of the class, and its root."""
+def _classed(prints: DataFrame, distinct: DataFrame, pairs: DataFrame, id_column: str, numbers: DataFrame | None = None) -> DataFrame:
+    """The rows of `prints` with component_id, the least id of the class, and its root.
+
+    `pairs` are of fingerprints; or of their numbers, given with them: a fingerprint without number is alone.
+    """
     roots = components(pairs)
+    if numbers is not None:
+        roots = numbers.join(roots, F.col("number") == F.col("node")).select(F.col("fp").alias("node"), "root")
+        least = roots.groupBy("root").agg(F.min("node").alias("least_print"))  # its class then goes by a fingerprint
+        roots = stored(roots.join(least, "root").select("node", F.col("least_print").alias("root")))
     classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     least = stored(
         classes.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"), F.count("*").alias("n_rows"))
@@ -442,80 +450,147 @@ def _alike(similarity: float):
     return run
 
 
-def _compared(similarity: float):
-    """Links between rows of different roots in one tile, enough to connect what the tile's links connect.
+def _least_overlap(similarity: float, size):
+    """How many shingles a set of that size shares at least with an alike one that is no smaller, and with one no larger."""
+    ceil = lambda x: np.ceil(np.asarray(x) - 1e-9).astype(np.int64)
+    return ceil(2 * similarity / (1 + similarity) * size), ceil(similarity * size)
+
+
+def _slice_sets(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of a slice one behind the other, their sizes, its distinct shingles, and each one's number among them."""
+    sets = [np.frombuffer(x, np.uint32) for x in rows.column("shingles").to_pylist()]
+    flat = np.concatenate([*sets, np.zeros(0, np.uint32)])
+    distinct, number = np.unique(flat, return_inverse=True)
+    return flat, np.array([len(x) for x in sets], np.int64), distinct, number
+
+
+def _asked_counts(rows: pa.Table) -> pa.Table:
+    """A slice's distinct shingles with their counts, dealt over as many buckets as its block has slices."""
+    _, _, distinct, number = _slice_sets(rows)
+    counts = np.bincount(number, minlength=len(distinct)).astype(np.uint32)
+    n, block, at = (rows.column(c)[0].as_py() for c in ("n_slices", "block", "at"))
+    bucket_of = (distinct % np.uint32(n)).astype(np.int64)
+    dealt = np.argsort(bucket_of, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket_of[dealt])) + 1
+    out = [
+        (block, at, int(bucket_of[own[0]]), squeeze(distinct[own]), squeeze(counts[own]))
+        for own in (np.split(dealt, cuts) if len(dealt) else [])
+    ]
+    kinds = [rows.schema.field("block").type, pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)]
+    return pa.table(columns, ["block", "at", "bucket", "hashes", "counts"])
+
+
+def _whole_counts(rows: pa.Table) -> pa.Table:
+    """For each slice that asks: in how many texts of the whole block its shingles are."""
+    hashes = [unsqueeze(x, np.uint32) for x in rows.column("hashes").to_pylist()]
+    counts = [unsqueeze(x, np.uint32) for x in rows.column("counts").to_pylist()]
+    number = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+    whole = np.bincount(number, weights=np.concatenate(counts))[number].astype(np.uint64)
+    parts = np.split(whole, np.cumsum([len(h) for h in hashes])[:-1])
+    return rows.drop_columns(["counts"]).append_column("counts", pa.array([squeeze(p) for p in parts], pa.binary()))
+
+
+_POSTING = ["block", "shingle", "node", "root", "size", "place", "indexed"]
+
 
-    Rows of one slice (side 0) meet each other, rows of two slices (sides 0 and 1) those of the other side.
+def _postings(similarity: float):
+    """The shingles by which a text may meet an alike one: the rarest of its block first, so few texts share one.
+
+    Of two alike texts the larger has a shingle among its first `size - overlap + 1` that the smaller has
+    among its own; the smaller one needs fewer of them, which are marked as `indexed`.
     """
 
-    def run(rows: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x, np.uint32) for x in rows.column("shingles").to_pylist()]
-        order = np.argsort([len(x) for x in sets], kind="stable")
-        sets = [sets[k] for k in order]
-        sizes = np.array([len(x) for x in sets])
-        side = rows.column("side").to_numpy()[order]
-        nodes = [rows.column("node")[int(k)].as_py() for k in order]
-        names = {x: k for k, x in enumerate(set(rows.column("root").to_pylist()))}
-        root = np.array([names[x] for x in rows.column("root").to_pylist()])[order]
-        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        starts = np.cumsum(sizes) - sizes
-        marked = np.zeros(int(flat.max(initial=0)) + 1, bool)
-        two, found = side.any(), []
-        for i in np.flatnonzero(sizes):
-            # a larger text is no more than 1 / similarity times as large
-            mates = np.arange(i + 1, np.searchsorted(sizes, sizes[i] / similarity + 1, "right"))
-            mates = mates[root[mates] != root[i]]
-            mates = mates[side[mates] != side[i]] if two else mates
-            if not len(mates):
-                continue
-            own = flat[starts[i] : starts[i] + sizes[i]]
-            marked[own] = True
-            hits = marked[np.concatenate([flat[starts[j] : starts[j] + sizes[j]] for j in mates])]
-            both = np.add.reduceat(hits, np.cumsum(sizes[mates]) - sizes[mates], dtype=np.int64)
-            marked[own] = False
-            mates = mates[both >= similarity * (sizes[i] + sizes[mates] - both)]
-            mates = mates[np.unique(root[mates], return_index=True)[1]]
-            found += [(nodes[i], nodes[j]) for j in mates]
-            root[np.isin(root, root[mates])] = root[i]
-        return pa.table([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+    def run(key, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        flat, sizes, distinct, number = _slice_sets(rows)
+        found = answers.to_pylist()
+        known = np.concatenate([*[unsqueeze(a["hashes"], np.uint32) for a in found], np.zeros(0, np.uint32)])
+        counts = np.concatenate([*[unsqueeze(a["counts"], np.uint64) for a in found], np.zeros(0, np.uint64)])
+        count = counts[np.argsort(known)][number]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((flat, count, owner))
+        owner, flat, count = owner[order], flat[order], count[order]
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        no_smaller, no_larger = _least_overlap(similarity, sizes)
+        keep = (place < (sizes - no_larger + 1)[owner]) & (count > 1)
+        at = owner[keep]
+        columns = [
+            rows.column("block").take(pa.array(at)), pa.array(flat[keep].view(np.int32)), rows.column("node").take(pa.array(at)),
+            rows.column("root").take(pa.array(at)), pa.array(sizes[at].astype(np.int32)), pa.array(place[keep].astype(np.int32)),
+            pa.array((place < (sizes - no_smaller + 1)[owner])[keep]),
+        ]
+        return pa.table(columns, _POSTING)
 
     return run
 
 
+def _met(postings: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different roots that a shingle brings together, as far as its places leave enough others to share.
+
+    A shingle of many texts is dealt over tasks by its larger texts; the smaller ones are repeated there.
+    """
+    keys = ["block", "shingle"]
+    probes = postings.drop("indexed").select(*keys, *[F.col(c).alias(f"p_{c}") for c in ("node", "root", "size", "place")])
+    indexed = postings.where("indexed").select(*[F.col(c).alias(f"i_{c}") for c in ("block", "shingle", "node", "root", "size", "place")])
+    hot = hot_keys(probes, keys, ["h_block", "h_shingle"])
+    one = F.lit(0)
+    probes, indexed = probes.withColumn("slot", one), indexed.withColumn("copy", one)
+    if hot is not None:
+        hot = hinted(hot.drop("_rows"))
+        of = lambda side: (F.col(f"{side}block") == F.col("h_block")) & (F.col(f"{side}shingle") == F.col("h_shingle"))
+        slot = F.coalesce(F.pmod(F.xxhash64("p_node"), F.col("_slots").cast("bigint")).cast("int"), one)
+        probes = probes.join(hot, of(""), "left").withColumn("slot", slot).drop(*hot.columns)
+        copies = F.explode(F.sequence(one, F.coalesce(F.col("_slots"), F.lit(1)) - 1))
+        indexed = indexed.join(hot, of("i_"), "left").withColumn("copy", copies).drop(*hot.columns)
+    sizes = F.col("p_size") + F.col("i_size")
+    overlap = F.ceil(F.lit(similarity / (1 + similarity)) * sizes - 1e-9)
+    most = 1 + F.least(F.col("p_size") - F.col("p_place"), F.col("i_size") - F.col("i_place")) - 1
+    fits = (F.col("block") == F.col("i_block")) & (F.col("shingle") == F.col("i_shingle")) & (F.col("slot") == F.col("copy"))
+    fits = fits & (F.col("p_root") != F.col("i_root")) & (F.col("i_size") <= F.col("p_size")) & (most >= overlap)
+    pairs = probes.join(indexed, fits).select(F.least("p_node", "i_node").alias("a"), F.greatest("p_node", "i_node").alias("b"))
+    return pairs.distinct()
+
+
 def _rest(pairs: DataFrame, checked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that `checked` lacks among the texts that `pairs` connect: all pairs are compared.
+    """Links (a, b) that `checked` lacks among the texts that `pairs` connect, all of them.
 
-    A block is what `pairs` connect; texts that `checked` connects need no more links. In a block the
-    largest part is set against all others, and these against each other, in tiles of two slices.
+    A block is what `pairs` connect; texts that `checked` connects need no more links. In a block a prefix
+    filter finds the pairs that may be alike: shingles ordered by how many texts of the block have them, of
+    which alike texts share one of the first. These pairs are compared on their shingles.
     """
     blocks = components(pairs).select("node", F.col("root").alias("block"))
     roots = components(checked).select(F.col("node").alias("of"), F.col("root").alias("to"))
     members = blocks.join(roots, F.col("node") == F.col("of"), "left")
     members = stored(members.select("node", "block", F.coalesce("to", "node").alias("root")))
     parts = members.groupBy("block", "root").agg(F.count("*").alias("n"))
-    parts = parts.groupBy(F.col("block").alias("of")).agg(
-        F.max_by("root", F.struct("n", "root")).alias("home"), F.sum("n").alias("n_rows"), F.count("*").alias("n_parts")
-    )
+    parts = parts.groupBy(F.col("block").alias("of")).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_parts"))
     # both of a block of two have been compared
     left_open = stored(parts.where("n_parts > 1 AND n_rows > 2").drop("n_parts"))
     counts = left_open.select(F.col("of").alias("block"), "n_rows")
-    rows = lookup(members, left_open.select("of", "home"), {"block": "of"}, "inner", spread=["node"], counts=counts)
-    rows = rows.join(sets, F.col("node") == F.col("fp")).select("node", "block", "root", (F.col("root") == F.col("home")).alias("main"), "shingles")
-    rows = stored(rows)
-    slices = F.ceil(F.greatest(F.lit(1), F.count("*") / SLICE_ROWS, F.sum(F.length("shingles")) / SLICE_BYTES)).cast("int")
-    slices = rows.groupBy("block", "main").agg(slices.alias("n"), F.count("*").alias("n_rows"))
-    n = lambda main: F.coalesce(F.max(F.when(F.col("main") == F.lit(main), F.col("n"))), F.lit(1))
-    slices = stored(slices.groupBy(F.col("block").alias("of")).agg(n(False).alias("others"), n(True).alias("mains"), F.sum("n_rows").alias("n_rows")))
-    counts = slices.select(F.col("of").alias("block"), "n_rows")
-    rows = lookup(rows, slices.drop("n_rows"), {"block": "of"}, "inner", spread=["node"], counts=counts)
-    others, mains = F.col("others"), F.col("mains")
-    at = F.pmod(F.xxhash64("node"), F.when(F.col("main"), mains).otherwise(others)).cast("int")
-    rows = rows.withColumn("at", F.when(F.col("main"), others + at).otherwise(at))
-    met = F.sequence(F.lit(0), F.when(F.col("main"), others).otherwise(others + mains) - 1)
-    rows = rows.select("node", "block", "root", "shingles", "at", F.explode(met).alias("met"))
-    side = (F.col("met") < F.col("at")).cast("int").alias("side")
-    rows = rows.select("node", "block", "root", "shingles", F.least("at", "met").alias("x"), F.greatest("at", "met").alias("y"), side)
-    return rows.groupBy("block", "x", "y").applyInArrow(_compared(similarity), "a binary, b binary")
+    rows = lookup(members, left_open.select("of"), {"block": "of"}, "left_semi", spread=["node"], counts=counts)
+    rows = stored(rows.join(sets, F.col("node") == F.col("fp")).select("node", "block", "root", "shingles"))
+    n_slices = F.ceil(F.greatest(F.lit(1), F.count("*") / SLICE_ROWS, F.sum(F.length("shingles")) / SLICE_BYTES)).cast("int")
+    slices = stored(rows.groupBy(F.col("block").alias("of")).agg(n_slices.alias("n_slices")))
+    rows = lookup(rows, slices, {"block": "of"}, "inner", spread=["node"], counts=counts)
+    rows = stored(rows.withColumn("at", F.pmod(F.xxhash64("node"), F.col("n_slices")).cast("int")))
+    kind = rows.schema["block"].dataType.simpleString()
+    asked = rows.groupBy("block", "at").applyInArrow(_asked_counts, f"block {kind}, at int, bucket int, hashes binary, counts binary")
+    counted = asked.groupBy("block", "bucket").applyInArrow(_whole_counts, f"block {kind}, at int, bucket int, hashes binary, counts binary")
+    schema = f"block {kind}, shingle int, node {kind}, root {kind}, size int, place int, indexed boolean"
+    postings = rows.groupBy("block", "at").cogroup(counted.groupBy("block", "at")).applyInArrow(_postings(similarity), schema)
+    met = stored(_met(stored(postings), similarity))
+    return _checked(met, rows.select("node", "shingles"), similarity)
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are alike; `sets` has a node and its shingles."""
+    node, shingles = sets.columns
+    left = sets.select(F.col(node).alias("fa"), F.col(shingles).alias("sa"))
+    right = sets.select(F.col(node).alias("fb"), F.col(shingles).alias("sb"))
+    with_left = lookup(pairs, left, {"a": "fa"}, "inner", spread=["b"])
+    with_both = lookup(with_left, right, {"b": "fb"}, "inner", spread=["a"])
+    kind = pairs.schema["a"].dataType.simpleString()
+    return with_both.mapInArrow(_alike(similarity), f"a {kind}, b {kind}")
 
 
 def similar(
@@ -533,20 +608,22 @@ def similar(
     prints = prints.drop("short")
     pairs = candidates(distinct, similarity)
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).groupBy("end").agg(F.count("*").alias("n_rows"))
-    ends = stored(ends)
-    asked = distinct.join(ends, F.col("fp") == F.col("end"), "left_semi").select(F.col("least").alias("_least"))
+    ends = stored(pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct())
+    # from here on a fingerprint goes by a number
+    numbers = distinct.join(ends, F.col("fp") == F.col("end"), "left_semi").select("fp", "least")
+    numbers = stored(numbers.withColumn("node", F.monotonically_increasing_id()))
+    number = numbers.select(F.col("fp").alias("of"), "node")
+    for end in ("a", "b"):
+        pairs = lookup(pairs, number.withColumnRenamed("node", "number"), {end: "of"}, "inner").drop(end).withColumnRenamed("number", end)
+    pairs = stored(pairs.select("a", "b"))
+    asked = numbers.select(F.col("least").alias("_least"))
     texts = rows.join(asked, F.col("_id") == F.col("_least"), "left_semi").union(rows.where("_id IS NULL")).select("_text")
     sets = texts.mapInArrow(lambda batches: _sets(batches, size), "fp binary, shingles binary")
-    sets = sets.join(ends, F.col("fp") == F.col("end"), "left_semi")
-    sets = stored(sets.groupBy("fp").agg(F.min("shingles").alias("shingles")))
-    left = sets.select(F.col("fp").alias("fa"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("fp").alias("fb"), F.col("shingles").alias("sb"))
-    with_left = lookup(pairs, left, {"a": "fa"}, "inner", spread=["b"])
-    with_both = lookup(with_left, right, {"b": "fb"}, "inner", spread=["a"])
-    checked = stored(with_both.mapInArrow(_alike(similarity), "a binary, b binary"))
-    links = stored(checked.union(_rest(pairs, checked, sets, similarity)))
-    return _classed(prints, distinct, links, id_column)
+    sets = sets.withColumnRenamed("fp", "_print").join(number, F.col("_print") == F.col("of")).select("node", "shingles")
+    sets = stored(sets.groupBy("node").agg(F.min("shingles").alias("shingles")))
+    checked = stored(_checked(pairs, sets, similarity))
+    links = stored(checked.union(_rest(pairs, checked, sets.withColumnRenamed("node", "fp"), similarity)))
+    return _classed(prints, distinct, links, id_column, numbers.select("fp", F.col("node").alias("number")))
 
 
 def representatives(

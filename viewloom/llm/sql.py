@@ -14,6 +14,12 @@ FROM (
 )
 """
 
+_RULES = "['few_words', 'repeated_words', 'short_words', 'long_words', 'many_symbols', 'repeated_lines', 'few_letters', 'mostly_upper']"
+_POLICIES = ", ".join(
+    f"failed & {mask} = 0 AS kept_{version}, CASE WHEN bit_count(failed & {mask}) = 1 THEN {_RULES}[bit_count((failed & {mask}) - 1) + 1] END AS only_{version}"
+    for version, mask in (("base", 3), ("v1", 31), ("v2", 223), ("strict", 255))
+)
+
 ORACLE["op2_quality_rules"] = rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS words FROM documents),
 placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs),
@@ -55,13 +61,25 @@ ruled AS (
         + CASE WHEN n_letters > 0 AND n_upper > 0.7 * n_letters THEN 128 ELSE 0 END AS failed
     FROM measured
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_lines, n_letters, n_upper,
-    CAST(failed AS BIGINT) AS failed, failed & 3 <> 0 AS base_failed, failed & 223 = 0 AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+    failed & 3 <> 0 AS base_failed, failed & 223 = 0 AS kept, n_lines, n_letters, n_upper, CAST(failed AS BIGINT) AS failed,
+    {_POLICIES}
 FROM ruled
 """
 
-_ADDRESS = r"""translate(regexp_extract({0}, '^(.*?)://', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' || translate(regexp_extract({0}, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-    || CASE WHEN regexp_extract({0}, '://[^/?#]*([^#]*)', 1) LIKE '/%' THEN '' ELSE '/' END || regexp_extract({0}, '://[^/?#]*([^#]*)', 1)"""
+_LOWERED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HOST = _LOWERED.format("regexp_extract({0}, '://([^/?#]*)', 1)")
+_PATH = "regexp_extract({0}, '://[^/?#]*([^?#]*)', 1)"
+_SEGMENTS = "string_split(" + _PATH + ", '/')"
+_WALKED = (
+    "list_reduce(list_prepend('', " + _SEGMENTS + "[2:]), lambda b, x: CASE x WHEN '..' THEN regexp_replace(b, '/[^/]*$', '') WHEN '.' THEN b ELSE b || '/' || x END)"
+    " || CASE WHEN " + _SEGMENTS + "[-1] IN ('.', '..') THEN '/' ELSE '' END"
+)
+_ADDRESS = (
+    _LOWERED.format("regexp_extract({0}, '^(.*?)://', 1, 's')") + " || '://' || " + _HOST
+    + " || CASE WHEN " + _PATH + " = '' THEN '/' WHEN contains(" + _PATH + ", '/.') THEN " + _WALKED + " ELSE " + _PATH + " END"
+    + " || regexp_extract({0}, '://[^/?#]*[^?#]*([^#]*)', 1)"
+)
 
 ORACLE["op7_url_filter"] = rf"""
 WITH RECURSIVE rules(verdict, host, path) AS (
@@ -81,17 +99,26 @@ metas AS (
     SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')) AS tag FROM pages WHERE contains(url, '://')
 ),
 found AS (
-    SELECT url, target FROM tags WHERE regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b')
+    SELECT url, target FROM tags WHERE regexp_matches(tag, '(?is)\brel\s*=\s*("([^"]*\s)?canonical(\s[^"]*)?"|''([^'']*\s)?canonical(\s[^'']*)?''|canonical([\s/>]|$))')
     UNION ALL
     SELECT url, regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?\burl\s*=\s*["'']?([^"''\s>]+)', 1)
     FROM metas WHERE regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')
 ),
-targets AS (
-    SELECT url, CASE WHEN contains(target, '://') THEN target
-        WHEN target LIKE '//%' THEN regexp_extract(url, '^(.*?)://', 1) || ':' || target
-        WHEN target LIKE '/%' THEN regexp_extract(url, '^(.*?)://', 1) || '://' || translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || target END AS target
+decoded AS (
+    SELECT url, replace(replace(replace(replace(replace(replace(replace(replace(replace(target, '&quot;', '"'), '&#34;', '"'), '&apos;', chr(39)), '&#39;', chr(39)),
+        '&lt;', '<'), '&gt;', '>'), '&#47;', '/'), '&#38;', '&'), '&amp;', '&') AS target,
+        regexp_extract(url, '^(.*?)://', 1, 's') AS scheme, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path
     FROM found
 ),
+targets AS (
+    SELECT url, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+        WHEN regexp_matches(target, '^([A-Za-z][A-Za-z0-9+.-]*:|#|$)') THEN NULL
+        WHEN target LIKE '//%' THEN scheme || ':' || target
+        WHEN target LIKE '/%' THEN scheme || '://' || host || target
+        WHEN target LIKE '?%' THEN scheme || '://' || host || path || target
+        ELSE scheme || '://' || host || CASE WHEN contains(path, '/') THEN regexp_replace(path, '[^/]*$', '') ELSE '/' END || target END AS target
+    FROM decoded
+),
 edges AS (
     SELECT {_ADDRESS.format("url")} AS a, {_ADDRESS.format("target")} AS b FROM targets WHERE target IS NOT NULL
 ),

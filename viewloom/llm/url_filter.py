@@ -20,12 +20,15 @@ from viewloom.operators.staging import stored
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 _LINK = r"(?is)<link\b[^>]*>"
-_CANONICAL = r"""(?is)\brel\s*=\s*["']?canonical\b"""
+_CANONICAL = r"""(?is)\brel\s*=\s*("([^"]*\s)?canonical(\s[^"]*)?"|'([^']*\s)?canonical(\s[^']*)?'|canonical([\s/>]|$))"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _META = r"(?is)<meta\b[^>]*>"
 _REFRESH = r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b"""
 _TARGET = r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
 
+# The entities that stand in addresses; & comes last, so that nothing is decoded twice.
+_ENTITIES = {"&quot;": '"', "&#34;": '"', "&apos;": "'", "&#39;": "'", "&lt;": "<", "&gt;": ">", "&#47;": "/", "&#38;": "&", "&amp;": "&"}
+
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     return spark.createDataFrame(list(rules), "verdict string, host string, path string")
@@ -52,8 +55,21 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its . and .. segments (RFC 3986, 5.2.4)."""
+
+    def step(before: Column, segment: Column) -> Column:
+        up = F.regexp_replace(before, r"(?s)/[^/]*$", "")
+        return F.when(segment == "..", up).when(segment == ".", before).otherwise(F.concat(before, F.lit("/"), segment))
+
+    segments = F.split(path, "/")
+    walked = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), F.lit(""), step)
+    open_end = F.element_at(segments, -1).isin(".", "..")
+    return F.when(F.contains(path, F.lit("/.")), F.concat(walked, F.when(open_end, "/").otherwise(""))).otherwise(path)
+
+
 def address(url: Column) -> Column:
-    """What two spellings of one address share: scheme and host in lower case, no fragment.
+    """What spellings of one address share: scheme and host in lower case, no dot segments, no fragment.
 
     Null if there is no ://.
     """
@@ -63,17 +79,49 @@ def address(url: Column) -> Column:
             F.regexp_extract(plain, r"(?s)^(.*?://[^/?]*)", 1),
             lambda head: F.concat(
                 ascii_lower(head),
-                _let(F.substring(plain, F.length(head) + 1, F.length(plain)), lambda t: F.when(t.startswith("/"), t).otherwise(F.concat(F.lit("/"), t))),
+                _let(
+                    F.substring(plain, F.length(head) + 1, F.length(plain)),
+                    lambda tail: _let(
+                        F.regexp_extract(tail, r"(?s)^([^?]*)", 1),
+                        lambda path: F.concat(
+                            F.when(path == "", "/").otherwise(_without_dots(path)),
+                            F.substring(tail, F.length(path) + 1, F.length(tail)),
+                        ),
+                    ),
+                ),
             ),
         )
 
     return F.when(F.contains(url, F.lit("://")), _let(F.regexp_replace(url, r"(?s)#.*$", ""), joined))
 
 
+def resolved(target: Column, page: Column) -> Column:
+    """A link's target against the page it stands on (RFC 3986, 5.2), entities decoded.
+
+    Null for a target without address of its own: empty, a fragment, or of a scheme without //.
+    """
+    to = target
+    for entity, character in _ENTITIES.items():
+        to = F.replace(to, F.lit(entity), F.lit(character))
+    scheme = F.regexp_extract(page, r"(?s)^(.*?)://", 1)
+    site = F.concat(scheme, F.lit("://"), host_of(page))
+    folder = F.regexp_replace(path_of(page), r"(?s)[^/]*$", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+    return _let(
+        to,
+        lambda t: F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+        .when(t.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|#|$)"), F.lit(None).cast("string"))
+        .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+        .when(t.startswith("/"), F.concat(site, t))
+        .when(t.startswith("?"), F.concat(site, path_of(page), t))
+        .otherwise(F.concat(site, folder, t)),
+    )
+
+
 def html_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): page and target of canonical links and of refresh redirects in the page's HTML.
 
-    Targets are absolute, or start with // (same scheme) or / (same host). Others are left out.
+    A target may be relative, and `canonical` any word of `rel`. Targets of other schemes, such as mailto, are left out.
     """
     tags = F.concat(
         F.transform(
@@ -87,13 +135,7 @@ def html_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     )
     found = pages.where(F.col(html).isNotNull() & F.col(url).contains("://"))
     found = found.select(F.col(url).alias("_url"), F.explode(tags).alias("_to"))
-    scheme = F.regexp_extract("_url", r"(?s)^(.*?)://", 1)
-    to = F.col("_to")
-    target = (
-        F.when(to.contains("://"), to)
-        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
-        .when(to.startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("_url")), to))
-    )
+    target = resolved(F.col("_to"), F.col("_url"))
     return found.select(address(F.col("_url")).alias("a"), address(target).alias("b")).where("b IS NOT NULL")
 
 

@@ -22,7 +22,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.verdicts(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    judged = quality_rules.verdicts(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    found = quality_rules.ablated(judged)
+    return found.select(*first, *[c for c in found.columns if c not in first])
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality_crf.QualityModel:
@@ -56,9 +59,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.array_size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
     return found.select(
         "doc_id",
-        *counts,
+        *counts[:3],
         F.sha2(secret_scan.digest_text(base), 256).alias("base_sha256"),
         secret_scan.digest_text(F.col("spans")).alias("spans"),
+        *counts[3:],
     )
 
 
