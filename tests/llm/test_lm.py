@@ -13,7 +13,7 @@ from viewloom.llm import neural_lm
 TEXTS = AWKWARD + [prose(s, 80, 30) for s in range(20)] + ["Word word WORD Ärger ärger", "never seen before"]
 
 
-def fitted(spark, texts, classes=neural_lm.CLASSES, rounds=1):
+def fitted(spark, texts, classes=None, rounds=1):
     learn = documents(spark, texts).select("text")
     counts = neural_lm.count(learn, classes)
     return counts, neural_lm.train(learn, counts, rounds)
@@ -38,15 +38,18 @@ def test_base_score(spark, monkeypatch, block):
 
 
 def plain_score(words, model, counts, c):
-    """Word by word, normalised over all classes."""
+    """Word by word, normalised over all sections and over the classes of one."""
     total, before = 0.0, [len(model.context) - 1] * neural_lm.CONTEXT
+    log_share = lambda scores, k: scores[k] - np.log(np.exp(scores - scores.max()).sum()) - scores.max()
     for w in words:
-        k = model.index.get(w, 0)
+        k = model.classes([w])[0]
         vector = sum(model.context[b] * model.position[i] for i, b in enumerate(before))
-        scores = np.float64(model.output @ vector + model.bias)
-        total += (scores[k] - np.log(np.exp(scores - scores.max()).sum()) - scores.max()) / math.log(10)
-        if not k:
-            total += math.log10((c[w] + neural_lm.ALPHA) / counts.rare_norm)
+        one = int(model.section[k])
+        lo, hi = model.cuts[one], model.cuts[one + 1]
+        total += log_share(np.float64(model.top @ vector + model.top_bias), one) / math.log(10)
+        total += log_share(np.float64(model.output[lo:hi] @ vector + model.bias[lo:hi]), k - lo) / math.log(10)
+        if k >= len(model.index):
+            total += math.log10((c[w] + neural_lm.ALPHA) / counts.group_norms()[k - len(model.index)])
         before = [*before[1:], k]
     return total
 
@@ -57,8 +60,20 @@ def test_probabilities_sum_to_one(spark):
     for context in ([0, 3], [len(model.context) - 1] * 2):
         assert math.isclose((10 ** model.log10(np.tile(context, (len(classes), 1)), classes)).sum(), 1, rel_tol=1e-5)
     known = {bytes(r.word): r.c for r in counts.words.collect()}
-    rare = [n for w, n in known.items() if w not in model.index]
-    assert math.isclose((sum(rare) + 0.1 * (len(rare) + 1)) / counts.rare_norm, 1)
+    for g, norm in enumerate(counts.group_norms()):
+        rare = [n for w, n in known.items() if model.classes([w]) == [len(model.index) + g]]
+        assert math.isclose((sum(rare) + 0.1 * (len(rare) + 1)) / norm, 1)
+
+
+def test_classes_grow_with_the_words(spark):
+    """Twice the square root of the distinct words are classes of their own, long ones too; the others share by ending."""
+    long = "l" * 500
+    texts = [f"{long} " * 50] + [" ".join(f"w{k}x{s}" for k in range(100)) for s in range(40)]
+    counts = neural_lm.count(documents(spark, texts).select("text"))
+    assert counts.distinct == 4002 and len(counts.frequent) == 127 and len(counts.grouped) == 32
+    model = neural_lm.initial(counts)
+    assert max(map(len, model.index)) <= neural_lm.LONGEST and model.classes([long.encode()])[0] < 2
+    assert model.classes([b"qq3x7", b"zzzx7"])[0] == model.classes([b"zzzx7"])[0] >= 127
 
 
 def test_context_helps_on_unseen_text(spark):

@@ -38,6 +38,9 @@ def folder(spark, tmp_path_factory):
               (108, "http://dots.info/a/./b/../c", "x"), (109, "http://dots.info/z", "<link rel=canonical href=a/c>"), (110, "http://dots.info/a/c", "<link rel=canonical href='http://z.net'>"),
               (111, "http://own.info", "<link rel=canonical href='#top'><link rel=canonical href='mailto:a@b.net'><link rel=noncanonical href='http://z.net/'>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    turns = [(c, t, "user" if t % 2 else None, f"turn {t} of {c % 3 if t > 1 else 'all'}") for c in range(18, 64) for t in range(c % 6)]
+    turns += [(100, None, "user", None), (100, 0, "", "a b"), (101, 3, "user", "x"), (111, 0, "user", "lost base")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return str(folder)
 
 
@@ -48,7 +51,7 @@ def ids(i, parts):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_as_sql(spark, folder, name):
     con = duckdb.connect()
-    for table in ("documents", "labels", "pages"):
+    for table in ("documents", "labels", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
     cursor = con.execute(ORACLE[name])
     columns = [d[0] for d in cursor.description]

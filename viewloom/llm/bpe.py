@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from viewloom.llm.vocabulary import Vocabulary
 from viewloom.llm.word_blocks import (
-    BLOCK_BYTES, Block, block_number, default_buckets, gather, meet, schema_of, squeeze, texts_of, unsqueeze,
+    BLOCK_BYTES, Block, block_number, buckets_for, gather, meet, schema_of, squeeze, texts_of, unsqueeze,
     unsqueeze_words, words_by_bucket,
 )
 
@@ -123,7 +123,9 @@ def encode(
     A null or empty text has no tokens. Repeated rows stay repeated; other columns are not
     looked at. `docs` should come from a table (see word_blocks).
     """
-    buckets = buckets or default_buckets(docs.sparkSession)
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+        buckets = buckets_for(docs.sparkSession, size)
     dealt = meet(_pack(docs, id_column, text_column, vocabulary, buckets))
     answers = words_by_bucket(dealt).mapInArrow(
         _encode_words(vocabulary), "block long, places binary, sizes binary, tokens binary"

@@ -1,20 +1,25 @@
 """Scoring by a log-bilinear language model, trained with noise-contrastive estimation.
 
 1. All words of the training texts are counted (a row per task and word in the shuffle).
-2. The most frequent words are the model's classes; all others share one class, inside which
-   a word has its smoothed share of the counts. So text of any words has a probability.
-3. Every training partition trains a copy of the model in numpy, on the counts of its own
-   (context, word) triples; the copies are averaged by Spark, weighted by their tokens.
-4. Scoring normalises over all classes by matrix products, once per distinct context of a
-   block of texts. Counts of the words outside the model come through the shuffle of
-   distinct words per block (word_blocks).
+2. Words form classes, whose number grows with the square root of the distinct words: the most
+   frequent words are classes by themselves, all others are dealt over classes by their endings.
+   Inside its class a word has its smoothed share of the counts. So text of any words has a probability.
+3. Classes lie in sections. A context, the vectors of the two words' classes before, first predicts
+   the section and then the class in it: two small matrix products normalise a probability.
+4. Every training partition trains a copy of the model in numpy, on the counts of its own
+   (context, class) triples; the copies are averaged by Spark, weighted by their tokens.
+5. Scoring goes through distinct contexts of a block of texts. Counts of the words that are no class of their own
+   come through the shuffle of distinct words per block (word_blocks).
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,42 +29,62 @@ from pyspark.sql import DataFrame, functions as F
 
 from viewloom.llm.common import raw_words
 from viewloom.llm.word_blocks import (
-    BLOCK_BYTES, Block, block_number, default_buckets, meet, schema_of, squeeze, texts_of, unsqueeze,
+    BLOCK_BYTES, Block, block_number, buckets_for, meet, schema_of, squeeze, texts_of, unsqueeze,
     unsqueeze_words, words_by_bucket,
 )
 from viewloom.operators.staging import stored
 
 END = b""  # counted as a word; no word is empty
 ALPHA = 0.1
-CLASSES, WIDTH, CONTEXT = 511, 16, 2
-LONGEST = 64  # longer words are not made classes, so the model's size is bounded
-NOISE, NOISE_WEIGHT, BATCH, RATE, ROUNDS, SEED = 64, 10.0, 512, 0.05, 2, 11
+WIDTH, CONTEXT = 16, 2
+SINGLES, GROUPS = 2.0, 0.5  # classes of one word, and of many, per square root of the distinct words
+ENDING = 2  # bytes by which words are dealt over classes
+LONGEST = 64  # a longer word is known by its digest, so the model's size does not follow it
+NOISE, NOISE_WEIGHT, BATCH, RATE, ROUNDS, SEED = 32, 10.0, 1024, 0.1, 1, 11
 LEAST_STEPS = 200  # a block of few triples is gone through again
 SHARES = 200_000  # a triple's count is cut into parts of at most this share of all tokens
 TRIPLES_BYTES = 16 << 20
+WORD_BYTES = 8  # of text a word, about
+REMEMBERED = 1 << 20  # words whose class a task looks up without computing it anew
 
 
 @dataclass
 class Counts:
-    """What all words of the training texts come to. `words` is the stored table (word, c)."""
+    """What all words of the training texts come to. `words` is the stored table (word, c).
+
+    `frequent` are the words that are classes, by `known_as`; `grouped` holds per class of many words their
+    tokens and how many distinct words they are.
+    """
 
     words: DataFrame
     tokens: int
     distinct: int
     frequent: list[tuple[bytes, int]]
+    grouped: np.ndarray
 
     @property
     def base_norm(self) -> float:
         return self.tokens + ALPHA * (self.distinct + 1)
 
-    @property
-    def rare_norm(self) -> float:
-        rest = self.tokens - sum(n for _, n in self.frequent)
-        return rest + ALPHA * (self.distinct - len(self.frequent) + 1)
+    def group_norms(self) -> np.ndarray:
+        """Each class of many words has room for one word more that was never seen."""
+        return self.grouped[:, 0] + ALPHA * (self.grouped[:, 1] + 1)
+
+
+def known_as(word: bytes) -> bytes:
+    return word if len(word) <= LONGEST else b" " + hashlib.md5(word).digest()
+
+
+def group_of(word: bytes, groups: int) -> int:
+    return zlib.crc32(word[-ENDING:]) % groups
+
 
+def count(docs: DataFrame, classes: int | None = None) -> Counts:
+    """Count all words of the column `text`, an end after each text included.
 
-def count(docs: DataFrame, classes: int = CLASSES) -> Counts:
-    """Count all words of the column `text`, an end after each text included."""
+    `classes` overrides how many words are classes of their own. A null or empty text is one end; no texts give
+    no words, and one class for all that may come. Repeated rows count as often as they stand there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = Counter(), 0
@@ -83,50 +108,92 @@ def count(docs: DataFrame, classes: int = CLASSES) -> Counts:
     rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, c long")
     words = stored(rows.groupBy("word").agg(F.sum("c").alias("c")))
     total = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    most = words.where(F.length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(classes).collect()
-    return Counts(words, int(total[1]), int(total[0]), [(bytes(r["word"]), int(r["c"])) for r in most])
+    tokens, distinct = int(total[1]), int(total[0])
+    singles = math.ceil(SINGLES * math.sqrt(distinct)) if classes is None else classes
+    groups = max(1, math.ceil(GROUPS * math.sqrt(distinct)))
+    ending = F.when(F.length("word") > ENDING, F.substring("word", -ENDING, ENDING)).otherwise(F.col("word"))
+    words_in = words.withColumn("g", F.crc32(ending) % groups)
+    name = F.when(F.length("word") <= LONGEST, F.col("word")).otherwise(F.concat(F.lit(b" "), F.unhex(F.md5("word"))))
+    most = words_in.orderBy(F.desc("c"), "word").limit(singles).select(name.alias("name"), "c", "g").collect()
+    grouped = np.zeros((groups, 2))
+    for r in words_in.groupBy("g").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # a row per class
+        grouped[r["g"]] = r["c"], r["n"]
+    for r in most:
+        grouped[r["g"]] -= r["c"], 1
+    return Counts(words, tokens, distinct, [(bytes(r["name"]), int(r["c"])) for r in most], grouped)
 
 
 @dataclass
 class Model:
-    """Class 0 is all words outside the model, class i the i-th frequent word; the last row of
-    `context` stands for a place before the text."""
+    """Classes 0 to len(index) - 1 are words, those behind them groups of words; the last row of `context`
+    stands for a place before the text. `cuts` are the classes at which sections begin, and the end."""
 
     index: dict[bytes, int]
-    context: np.ndarray  # (classes + 2, width)
-    output: np.ndarray  # (classes + 1, width)
+    groups: int
+    cuts: np.ndarray
+    context: np.ndarray  # (classes + 1, width)
+    top: np.ndarray  # (sections, width)
+    top_bias: np.ndarray
+    output: np.ndarray  # (classes, width)
     bias: np.ndarray
     position: np.ndarray  # (CONTEXT, width): how each place of the context is weighted
+    held: dict = field(default_factory=dict, repr=False)
+
+    @property
+    def section(self) -> np.ndarray:
+        """Of each class the section."""
+        return np.repeat(np.arange(len(self.cuts) - 1), np.diff(self.cuts))
+
+    def _miss(self, word: bytes) -> int:
+        found = self.index.get(known_as(word))
+        if found is None:
+            found = len(self.index) + group_of(word, self.groups)
+        if len(self.held) >= REMEMBERED:
+            self.held.clear()
+        if len(word) <= LONGEST:
+            self.held[word] = found
+        return found
 
     def classes(self, words: list[bytes]) -> list[int]:
-        get = self.index.get
-        return [get(w, 0) for w in words]
+        get, miss = self.held.get, self._miss
+        return [c if (c := get(w)) is not None else miss(w) for w in words]
+
+    @property
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.context, self.top, self.top_bias, self.output, self.bias, self.position
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.output, self.bias, self.position)])
+        return np.concatenate([x.ravel() for x in self.parts])
 
     def with_flat(self, flat: np.ndarray) -> Model:
         parts, at = [], 0
-        for x in (self.context, self.output, self.bias, self.position):
+        for x in self.parts:
             parts.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
-        return Model(self.index, *parts)
+        return Model(self.index, self.groups, self.cuts, *parts)
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         """The vector a context predicts: its words' vectors, weighted by place."""
         return sum(self.context[contexts[:, i]] * self.position[i] for i in range(CONTEXT))
 
-    def log10(self, contexts: np.ndarray, targets: np.ndarray, step: int = 4096) -> np.ndarray:
-        """Normalised log10 probability of each target after its context."""
-        rows = len(self.context)
-        keys = contexts[:, 0] * rows + contexts[:, 1]
-        distinct, which = np.unique(keys, return_inverse=True)
-        norms = np.empty(len(distinct))
-        for at in range(0, len(distinct), step):
-            some = distinct[at : at + step]
-            scores = self.predicted(np.stack([some // rows, some % rows], axis=1)) @ self.output.T + self.bias
-            top = scores.max(axis=1)
-            norms[at : at + step] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+    def log10(self, contexts: np.ndarray, targets: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        """Normalised log10 probability of each target after its context: that of its section, then of the class in it."""
+        rows, sections, section = len(self.context), len(self.cuts) - 1, self.section[targets]
+        keys = (contexts[:, 0] * rows + contexts[:, 1]) * sections + section
+        distinct, which = np.unique(keys, return_inverse=True)  # (context, section), each once
+        order = np.argsort(distinct % sections, kind="stable")
+        ends = np.searchsorted((distinct % sections)[order], np.arange(sections), side="right")
+        norms = np.empty(len(distinct))  # of the class's score, to be taken off, with the section's own
+        begin = 0
+        for one, end in enumerate(ends.tolist()):
+            lo, hi = self.cuts[one], self.cuts[one + 1]
+            for at in range(begin, end, step):
+                some = order[at : min(at + step, end)]
+                pair = distinct[some] // sections
+                vectors = self.predicted(np.stack([pair // rows, pair % rows], axis=1))
+                top = vectors @ self.top.T + self.top_bias
+                norms[some] = _log_sum(top) - top[:, one] + _log_sum(vectors @ self.output[lo:hi].T + self.bias[lo:hi])
+            begin = end
         out = np.empty(len(targets))
         for at in range(0, len(targets), 1 << 18):
             part = slice(at, at + (1 << 18))
@@ -136,6 +203,11 @@ class Model:
         return out
 
 
+def _log_sum(scores: np.ndarray) -> np.ndarray:
+    most = scores.max(axis=1)
+    return most + np.log(np.exp(scores - most[:, None]).sum(axis=1))
+
+
 def contexts_of(classes: np.ndarray, starts: np.ndarray, before: int) -> np.ndarray:
     """The CONTEXT classes before each item; `starts` are the first items of the texts."""
     out = np.full((len(classes), CONTEXT), before, np.int64)
@@ -150,91 +222,128 @@ def contexts_of(classes: np.ndarray, starts: np.ndarray, before: int) -> np.ndar
 def initial(counts: Counts) -> Model:
     """Vectors near zero and biases at the classes' frequencies: at first a unigram model."""
     random = np.random.default_rng(SEED)
-    n = len(counts.frequent)
-    rest = counts.tokens - sum(c for _, c in counts.frequent)
-    bias = np.log((np.array([rest, *[c for _, c in counts.frequent]]) + ALPHA) / (counts.tokens + ALPHA * (n + 1)))
+    share = np.array([*[c for _, c in counts.frequent], *counts.grouped[:, 0]]) + ALPHA
+    n = len(share)
+    cuts = np.unique(np.linspace(0, n, math.ceil(math.sqrt(n)) + 1).astype(np.int64))
     small = lambda rows: random.normal(0, 0.1, (rows, WIDTH)).astype(np.float32)
-    index = {w: i + 1 for i, (w, _) in enumerate(counts.frequent)}
-    return Model(index, small(n + 2), small(n + 1), bias.astype(np.float32), np.ones((CONTEXT, WIDTH), np.float32))
+    logs = lambda x: np.log(x / share.sum()).astype(np.float32)
+    index = {w: i for i, (w, _) in enumerate(counts.frequent)}
+    tops = logs(np.add.reduceat(share, cuts[:-1]))
+    return Model(index, len(counts.grouped), cuts, small(n + 1), small(len(cuts) - 1), tops, small(n), logs(share), np.ones((CONTEXT, WIDTH), np.float32))
 
 
 class Trainer:
-    """Noise-contrastive estimation by Adagrad on weighted (context, word) triples."""
+    """Noise-contrastive estimation by Adagrad on weighted (context, class) triples, of sections and of the classes in each."""
 
-    def __init__(self, model: Model, noise: np.ndarray, seed: int):
+    def __init__(self, model: Model, seed: int):
         self.m = model.with_flat(model.flat())
-        self.log_noise = np.log(noise)
-        self.cumulated = np.cumsum(noise)
         self.random = np.random.default_rng(seed)
-        self.squares = [np.full(x.shape, 1e-8, np.float32) for x in (self.m.context, self.m.output, self.m.bias, self.m.position)]
+        self.squares = [np.full(x.shape, 1e-8, np.float32) for x in self.m.parts]
+        self.section = self.m.section
+        shares = np.exp(model.bias.astype(np.float64))
+        #: per task, the sections (-1) and each section's classes: the first row, log share and cumulated share of what may be noise
+        self.noise = {-1: self._noise(0, np.add.reduceat(shares, model.cuts[:-1]))}
+        for one, (lo, hi) in enumerate(zip(model.cuts[:-1], model.cuts[1:])):
+            self.noise[one] = self._noise(int(lo), shares[lo:hi])
+
+    @staticmethod
+    def _noise(first: int, shares: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        shares = shares / shares.sum()
+        return first, np.log(shares).astype(np.float32), np.cumsum(shares)
 
     def _step(self, k: int, rows, grad: np.ndarray) -> None:
-        x = (self.m.context, self.m.output, self.m.bias, self.m.position)[k]
+        x = self.m.parts[k]
         if rows is None:
-            total = grad
-            self.squares[k] += total * total
-            x += RATE * total / np.sqrt(self.squares[k])
+            self.squares[k] += grad * grad
+            x += RATE * grad / np.sqrt(self.squares[k])
             return
-        distinct, which = np.unique(rows, return_inverse=True)
-        order = np.argsort(which, kind="stable")
-        firsts = np.searchsorted(which[order], np.arange(len(distinct)))
-        total = np.add.reduceat(grad[order], firsts, axis=0)
+        order = np.argsort(rows, kind="stable")
+        firsts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        distinct, total = rows[order][firsts], np.add.reduceat(grad[order], firsts, axis=0)
         self.squares[k][distinct] += total * total
         x[distinct] += RATE * total / np.sqrt(self.squares[k][distinct])
 
     def train(self, contexts: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> None:
-        """Go through triples with their counts; a frequent triple is dealt over many batches."""
+        """Go through triples (by context) with their counts: all sections together, and the classes of each section."""
+        section = self.section[targets]
+        rows = len(self.m.context)
+        # what comes to one section after the same context is one triple there
+        keys = (contexts[:, 0] * rows + contexts[:, 1]) * len(self.noise) + section
+        first, number = np.unique(keys, return_index=True, return_inverse=True)[1:]
+        deals = [
+            self._deal(contexts[first], section[first], np.bincount(number, weights=counts).astype(np.int64)),
+            self._deal(contexts, targets, counts),
+        ]
+        for _ in range(max(1, LEAST_STEPS * BATCH // max(BATCH, len(deals[1][2])))):
+            batches = []
+            for sections, (_, aims, order, _) in zip((True, False), deals):
+                order = self.random.permutation(order)
+                if sections:
+                    batches += [(-1, order[at : at + BATCH]) for at in range(0, len(order), BATCH)]
+                    continue
+                order = order[np.argsort(section[order], kind="stable")]
+                ends = np.searchsorted(section[order], np.arange(len(self.noise) - 1), side="right")
+                for one, (begin, end) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                    batches += [(one, order[at : min(at + BATCH, end)]) for at in range(begin, end, BATCH)]
+            for k in self.random.permutation(len(batches)).tolist():
+                task, some = batches[k]
+                seen, aims, _, weights = deals[task >= 0]
+                if len(self.noise[task][1]) > 1:
+                    self._batch(task, seen[some], aims[some], weights[some])
+
+    @staticmethod
+    def _deal(contexts: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Triples, the rows to go through, and each triple's weight in one; a frequent triple is dealt over many batches."""
         share = max(1, -(-int(counts.sum()) // SHARES))
         parts = -(-counts // share)
         rows = np.repeat(np.arange(len(targets)), parts)
         weights = (counts / parts).astype(np.float32)
-        weights /= weights[rows].mean()
-        for _ in range(max(1, LEAST_STEPS * BATCH // max(BATCH, len(rows)))):
-            order = self.random.permutation(rows)
-            for at in range(0, len(order), BATCH):
-                some = order[at : at + BATCH]
-                self._batch(contexts[some], targets[some], weights[some])
-
-    def _batch(self, contexts: np.ndarray, targets: np.ndarray, weights: np.ndarray) -> None:
-        m = self.m
-        draws = np.searchsorted(self.cumulated, self.random.random(NOISE) * self.cumulated[-1])
-        noise = np.minimum(draws, len(self.log_noise) - 1)
-        log_k = np.log(NOISE_WEIGHT)
+        return contexts, targets, rows, weights / weights[rows].mean()
+
+    def _batch(self, task: int, contexts: np.ndarray, targets: np.ndarray, weights: np.ndarray) -> None:
+        m, (first, log_noise, cumulated) = self.m, self.noise[task]
+        output, bias = (m.output, m.bias) if task >= 0 else (m.top, m.top_bias)
+        draws = np.searchsorted(cumulated, self.random.random(NOISE) * cumulated[-1])
+        noise = np.minimum(draws, len(log_noise) - 1)
+        log_weight = math.log(NOISE_WEIGHT)
+        log_true, log_false = log_noise[targets - first] + log_weight, log_noise[noise] + log_weight
+        noise = noise + first
         vectors = m.predicted(contexts)
-        true = np.einsum("ij,ij->i", vectors, m.output[targets]) + m.bias[targets] - log_k - self.log_noise[targets]
-        false = vectors @ m.output[noise].T + m.bias[noise] - log_k - self.log_noise[noise]
-        scale = weights / len(targets)
+        # a section's biases are those of its classes among all; among themselves they differ by a constant
+        level = 0.0 if task < 0 else m.top_bias[task]
+        true = np.einsum("ij,ij->i", vectors, output[targets]) + bias[targets] - level - log_true
+        false = vectors @ output[noise].T + bias[noise] - level - log_false
+        scale = weights / BATCH
         up = (scale / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32)
-        down = (scale[:, None] * (NOISE_WEIGHT / NOISE) / (1 + np.exp(np.clip(-false, -30, 30)))).astype(np.float32)
-        by_vector = up[:, None] * m.output[targets] - down @ m.output[noise]
+        down = (scale * (NOISE_WEIGHT / NOISE))[:, None] / (1 + np.exp(np.clip(-false, -30, 30)))
+        by_vector = up[:, None] * output[targets] - down @ output[noise]
         places = [by_vector * m.context[contexts[:, i]] for i in range(CONTEXT)]
         by_context = np.concatenate([by_vector * m.position[i] for i in range(CONTEXT)])
-        words = np.concatenate([targets, noise])
-        by_word = np.concatenate([up[:, None] * vectors, -(down.T @ vectors)])
+        rows = np.concatenate([targets, noise])
+        by_row = np.concatenate([up[:, None] * vectors, -(down.T @ vectors)])
         by_bias = np.concatenate([up, -down.sum(axis=0)])
         self._step(0, np.concatenate([contexts[:, i] for i in range(CONTEXT)]), by_context)
-        self._step(1, words, by_word)
-        self._step(2, words, by_bias)
-        self._step(3, None, np.stack([p.sum(axis=0) for p in places]))
+        self._step(3 if task >= 0 else 1, rows, by_row)
+        self._step(4 if task >= 0 else 2, rows, by_bias)
+        self._step(5, None, np.stack([p.sum(axis=0) for p in places]))
 
 
 def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
     """Train on all rows of the column `text`, in `rounds` rounds of averaged copies.
 
-    What comes to the driver is the averaged model, whose size is a parameter. Texts are read
-    whole; a task trains on one block of triple counts after the other.
+    What comes to the driver is the averaged model, some numbers per class. Texts are read
+    whole; a task trains on one block of triple counts after the other. The more tasks, the less each copy
+    sees before they are averaged. Null and empty texts are one end; no text at all leaves the model as it began.
     """
     model = initial(counts)
     if not counts.frequent:
         return model
-    bias = np.exp(model.bias.astype(np.float64))
-    noise = bias / bias.sum()
     for number in range(rounds):
         now = model
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = len(now.context)
-            trainer = Trainer(now, noise, SEED + 1000 * number + TaskContext.get().partitionId())
+            trainer = Trainer(now, SEED + 1000 * number + TaskContext.get().partitionId())
             codes, starts, held, size, tokens = [], [], 0, 0, 0
 
             def learn() -> None:
@@ -276,8 +385,10 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
 
 
 def _score_blocks(docs: DataFrame, id_column: str, text_column: str, model: Model, counts: Counts, buckets: int) -> DataFrame:
-    """Blocks whose words are those outside the model; `more` holds per text what the model says."""
-    base = np.log10((np.array([0, *[c for _, c in counts.frequent]]) + ALPHA) / counts.base_norm)
+    """Blocks whose words are those that share a class; `more` holds per text what the model says of the classes."""
+    singles, norms = len(counts.frequent), np.log10(counts.group_norms())
+    base = np.log10((np.array([*[c for _, c in counts.frequent], *np.zeros(len(norms))]) + ALPHA) / counts.base_norm)
+    inside = np.concatenate([np.zeros(singles), norms])  # what a word's smoothed count is divided by in its class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, number, held, id_type = TaskContext.get().partitionId(), 0, 0, None
@@ -287,8 +398,8 @@ def _score_blocks(docs: DataFrame, id_column: str, text_column: str, model: Mode
             flat = np.concatenate(codes).astype(np.int64)
             first = np.array(starts, np.int64)
             said = model.log10(contexts_of(flat, first, len(model.context) - 1), flat)
-            known = flat > 0
-            columns = [said, np.where(known, base[flat], 0.0), known.astype(float), np.ones(len(flat))]
+            known = flat < singles
+            columns = [said - inside[flat], np.where(known, base[flat], 0.0), known.astype(float), np.ones(len(flat))]
             more = np.stack([np.add.reduceat(c, first) for c in columns])
             yield from block.batches(block_number(partition, number), buckets, id_type, more.tobytes())
 
@@ -306,7 +417,7 @@ def _score_blocks(docs: DataFrame, id_column: str, text_column: str, model: Mode
                     found = model.classes(words)
                     codes.append(np.array(found, np.int32))
                     items += len(words)
-                    rare.append([w for w, c in zip(words, found) if not c])
+                    rare.append([w for w, c in zip(words, found) if c >= singles])
                 block.add(key, rare)
                 held += len(raw) + 1
         if held:
@@ -328,7 +439,7 @@ def _look_up(key, words: pa.Table, counted: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(columns, names=["block", "places", "counts"])
 
 
-def _total(base_norm: float, rare_norm: float):
+def _total(base_norm: float):
     def run(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
         row, parts = texts_of(texts), answers.to_pylist()
         places = np.concatenate([unsqueeze(p["places"], np.uint32) for p in parts] or [np.zeros(0, np.uint32)])
@@ -342,7 +453,7 @@ def _total(base_norm: float, rare_norm: float):
         said, base, known, tokens = np.frombuffer(row["more"], np.float64).reshape(4, -1)
         columns = [
             pa.array(tokens.astype(np.int64)), pa.array((known + seen).astype(np.int64)),
-            pa.array(base + logs - sizes * np.log10(base_norm)), pa.array(said + logs - sizes * np.log10(rare_norm)),
+            pa.array(base + logs - sizes * np.log10(base_norm)), pa.array(said + logs),
         ]
         ids = texts.column("ids").combine_chunks().filter(pa.compute.less(texts.column("bucket"), 0).combine_chunks())
         return pa.table([ids.flatten(), *columns], names=["id", "n_tokens", "n_known", "base_score", "score"])
@@ -364,7 +475,7 @@ def score(
     a null or empty text is one end. Repeated rows stay repeated; other columns are not looked
     at. Without any training text the base gives every token probability 1.
     """
-    buckets = buckets or default_buckets(docs.sparkSession)
+    buckets = buckets or buckets_for(docs.sparkSession, WORD_BYTES * counts.tokens)
     dealt = meet(_score_blocks(docs, id_column, text_column, model, counts, buckets))
     asked = words_by_bucket(dealt)
     crc = F.crc32("word") % buckets
@@ -374,5 +485,5 @@ def score(
     )
     kind = docs.schema[id_column].dataType.simpleString()
     out = f"id {kind}, n_tokens long, n_known long, base_score double, score double"
-    found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_total(counts.base_norm, counts.rare_norm), out)
+    found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_total(counts.base_norm), out)
     return found.select(F.col("id").alias(id_column), "n_tokens", "n_known", "base_score", "score")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 BLOCK_BYTES = 12 << 20
+BUCKET_BYTES = 24 << 20
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -61,8 +62,9 @@ def gather(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return flat[np.repeat(starts[at] - first, taken) + np.arange(int(taken.sum()))], taken
 
 
-def default_buckets(spark: SparkSession) -> int:
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def buckets_for(spark: SparkSession, text_bytes: int) -> int:
+    """Enough buckets that the words of BUCKET_BYTES of text meet in each, about; so a bucket does not grow with the input."""
+    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // BUCKET_BYTES))
 
 
 def schema_of(id_field: StructField) -> StructType:
