@@ -152,7 +152,11 @@ def _sequences(texts: list[list[str]], gold: list[int]) -> tuple[list[str], np.n
 
 
 def train(docs: DataFrame, most: int = SAMPLE) -> LanguageModel:
-    """Fit on a bounded sample of `docs` (id, text, lang); the sampled words come to the driver."""
+    """Fit on a bounded sample of `docs` (id, text, lang); the sampled words come to the driver.
+
+    Rows with a null id, text or language are not learned from; empty texts add no words, and of a very
+    long text the first SAMPLE_WORDS words are taken. Without any row every text is `und`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -135,7 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> QualityMode
     """Fit on a bounded sample. `docs` has `id` and `text`, `labels` has `id` and `good` (1 or 0).
 
     Every line of a document has the document's label. The features of the sampled lines
-    come to the driver: 2 * most documents of at most SAMPLE_LINES lines.
+    come to the driver: 2 * most documents of at most SAMPLE_LINES lines. Rows without id or label are not
+    learned from, a null text is one empty line, repeated rows are learned from as often as they come.
+    Other columns are not looked at. Without any labelled row every score is 0.5.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +177,10 @@ def score(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_
 
 
 def accepted(docs: DataFrame, model: QualityModel, least: float, text_column: str = "text") -> DataFrame:
-    """The rows of `docs` whose score is at least `least`, all columns kept."""
+    """The rows of `docs` whose score is at least `least`, all columns kept, whatever their names.
+
+    A null or empty text is scored as one empty line. Repeated rows go or stay together; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
