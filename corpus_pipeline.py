@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
+
+Null texts count as empty in every stage; null ids, sources and languages are fine, and so are empty tables
+and further columns. Texts are always read whole, however long they are.
 """
 
 from __future__ import annotations
@@ -18,27 +21,35 @@ from viewloom.operators.staging import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores below 0.7 go."""
+    """Documents that the quality classifier scores below 0.7 go; a null or empty text is scored as one empty line.
+
+    Repeated rows get the same score, so they go or stay together."""
     return quality_crf.accepted(docs, quality_model(spark, sf_dir), LEAST_QUALITY)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays."""
+    """Of equal texts the document with the smallest id stays; null and empty texts are equal to each other.
+
+    A null id stays only where no copy has one; of rows repeated as a whole one stays."""
     return exact_dedup.survivors(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays; texts without a word are alike.
+
+    A group without any id keeps one row."""
     return simhash.representatives(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret is replaced by a mark; no document goes."""
+    """Every secret is replaced by a mark, and n_chars set anew; no document goes, and null texts stay null."""
     return secret_scan.redacted(docs, Vocabulary())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of the permitted lengths."""
+    """The pieces of all documents in sequences of the permitted lengths; a null or empty text is its end alone.
+
+    Repeated rows are packed as often as they come."""
     return packing.pack(stored(packing.token_lengths(docs, Vocabulary())))
 
 
