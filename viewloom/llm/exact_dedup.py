@@ -1,9 +1,9 @@
 """Exact dedup: group by a 128-bit content hash and compare the bytes inside each group.
 
-Grouping by (hash, text) is the byte comparison: Spark probes by the key's hash and then
-compares the text bytes, and it combines on the map side, so a group of copies reaches the
-shuffle at most once per task however large it is. Afterwards only hashes travel; the text
-joins again only if one hash was found with two texts.
+Rows are counted by hash. Grouping those found more than once by (hash, text) is the byte
+comparison: Spark probes by the key's hash and then compares the text bytes, and it combines on
+the map side, so a group of copies reaches the shuffle at most once per task however large it is.
+Otherwise only hashes travel; the text joins again only if one hash was found with two texts.
 """
 
 from __future__ import annotations
@@ -40,6 +40,20 @@ def _classes(rows: DataFrame, keep: str) -> tuple[DataFrame, list[str]]:
     return stored(by_bytes.select(*sizes, "_text")), ["_hash", "_text"]
 
 
+def _compared(rows: DataFrame, keep: str) -> tuple[DataFrame, list[str]]:
+    """As `_classes`, without the digest of the text, where a text travels only if its hash was found more than once."""
+    best = {"smallest": F.min, "largest": F.max}[keep]
+    sizes = [F.count(F.lit(1)).alias("group_size"), best("_id").alias("keep_id")]
+    hashes = stored(rows.groupBy("_hash").agg(*sizes))
+    many = stored(hashes.where("group_size > 1").select("_hash", F.col("group_size").alias("n_rows")))
+    suspects = lookup(rows.select("_hash", "_text"), many.select(F.col("_hash").alias("_of")), {"_hash": "_of"}, "left_semi", counts=many)
+    # copies meet on the map side: a text reaches the shuffle once per task at most
+    texts = suspects.groupBy("_hash", "_text").agg(F.count(F.lit(1)).alias("n")).groupBy("_hash").agg(F.count(F.lit(1)).alias("n"))
+    if texts.where("n > 1").isEmpty():
+        return hashes, ["_hash"]
+    return stored(rows.groupBy("_hash", "_text").agg(*sizes)), ["_hash", "_text"]
+
+
 def ledger(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -56,23 +70,23 @@ def ledger(
     A different `digest` changes the cost, never the result.
     """
     rows = _rows(docs, id_column, text_column, digest)
-    classes, key = _classes(rows, keep)
+    classes, key = _compared(rows, keep)
     found = lookup(
-        rows.select("_id", *key),
+        rows.select("_id", F.unhex(F.sha2("_text", 256)).alias("_sha"), *key),
         classes,
         {k: k for k in key},
         "inner",
         spread=["_id"],
         counts=classes.select(*key, F.col("group_size").alias("n_rows")),
     )
-    alike = Window.partitionBy("_id", "keep_id", "text_sha256").orderBy("group_size")
+    alike = Window.partitionBy("_id", "keep_id", "_sha").orderBy("group_size")
     first = F.row_number().over(alike) == 1
     return found.select(
         F.col("_id").alias(id_column),
         "keep_id",
         "group_size",
         (F.col("_id").eqNullSafe(F.col("keep_id")) & first).alias("kept"),
-        "text_sha256",
+        F.lower(F.hex("_sha")).alias("text_sha256"),
     )
 
 
