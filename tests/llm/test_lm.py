@@ -65,8 +65,9 @@ def test_probabilities_sum_to_one(spark):
         assert math.isclose((sum(rare) + 0.1 * (len(rare) + 1)) / norm, 1)
 
 
-def test_classes_grow_with_the_words(spark):
+def test_classes_grow_with_the_words(spark, monkeypatch):
     """Twice the square root of the distinct words are classes of their own, long ones too; the others share by ending."""
+    monkeypatch.setattr(neural_lm, "LEAST_SINGLES", 1)
     long = "l" * 500
     texts = [f"{long} " * 50] + [" ".join(f"w{k}x{s}" for k in range(100)) for s in range(40)]
     counts = neural_lm.count(documents(spark, texts).select("text"))

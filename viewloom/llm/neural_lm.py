@@ -38,6 +38,7 @@ END = b""  # counted as a word; no word is empty
 ALPHA = 0.1
 WIDTH, CONTEXT = 16, 2
 SINGLES, GROUPS = 2.0, 0.5  # classes of one word, and of many, per square root of the distinct words
+LEAST_SINGLES = 256  # a small vocabulary has so many classes of one word all the same
 ENDING = 2  # bytes by which words are dealt over classes
 LONGEST = 64  # a longer word is known by its digest, so the model's size does not follow it
 NOISE, NOISE_WEIGHT, BATCH, RATE, ROUNDS, SEED = 32, 10.0, 1024, 0.1, 1, 11
@@ -109,7 +110,7 @@ def count(docs: DataFrame, classes: int | None = None) -> Counts:
     words = stored(rows.groupBy("word").agg(F.sum("c").alias("c")))
     total = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     tokens, distinct = int(total[1]), int(total[0])
-    singles = math.ceil(SINGLES * math.sqrt(distinct)) if classes is None else classes
+    singles = max(LEAST_SINGLES, math.ceil(SINGLES * math.sqrt(distinct))) if classes is None else classes
     groups = max(1, math.ceil(GROUPS * math.sqrt(distinct)))
     ending = F.when(F.length("word") > ENDING, F.substring("word", -ENDING, ENDING)).otherwise(F.col("word"))
     words_in = words.withColumn("g", F.crc32(ending) % groups)
