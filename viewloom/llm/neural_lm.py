@@ -41,7 +41,7 @@ SINGLES, GROUPS = 2.0, 0.5  # classes of one word, and of many, per square root
 LEAST_SINGLES = 256  # a small vocabulary has so many classes of one word all the same
 ENDING = 2  # bytes by which words are dealt over classes
 LONGEST = 64  # a longer word is known by its digest, so the model's size does not follow it
-NOISE, NOISE_WEIGHT, BATCH, RATE, ROUNDS, SEED = 32, 10.0, 1024, 0.1, 1, 11
+NOISE, NOISE_WEIGHT, BATCH, RATE, ROUNDS, SEED = 32, 10.0, 2048, 0.1, 1, 11
 LEAST_STEPS = 200  # a block of few triples is gone through again
 SHARES = 200_000  # a triple's count is cut into parts of at most this share of all tokens
 TRIPLES_BYTES = 16 << 20
@@ -156,8 +156,8 @@ class Model:
         return found
 
     def classes(self, words: list[bytes]) -> list[int]:
-        get, miss = self.held.get, self._miss
-        return [c if (c := get(w)) is not None else miss(w) for w in words]
+        found = list(map(self.held.get, words))
+        return [self._miss(w) if c is None else c for w, c in zip(words, found)] if None in found else found
 
     @property
     def parts(self) -> tuple[np.ndarray, ...]:
@@ -204,6 +204,11 @@ class Model:
         return out
 
 
+def _short(numbers: np.ndarray, below: int) -> np.ndarray:
+    """Numbers of few bits, which sort faster."""
+    return numbers.astype(np.uint16) if below <= 1 << 16 else numbers
+
+
 def _log_sum(scores: np.ndarray) -> np.ndarray:
     most = scores.max(axis=1)
     return most + np.log(np.exp(scores - most[:, None]).sum(axis=1))
@@ -258,21 +263,23 @@ class Trainer:
             self.squares[k] += grad * grad
             x += RATE * grad / np.sqrt(self.squares[k])
             return
-        order = np.argsort(rows, kind="stable")
-        firsts = np.flatnonzero(np.diff(rows[order], prepend=-1))
-        distinct, total = rows[order][firsts], np.add.reduceat(grad[order], firsts, axis=0)
-        self.squares[k][distinct] += total * total
-        x[distinct] += RATE * total / np.sqrt(self.squares[k][distinct])
+        order = np.argsort(_short(rows, len(x)), kind="stable")
+        ordered = rows[order]
+        firsts = np.flatnonzero(np.diff(ordered, prepend=-1))
+        distinct, total = ordered[firsts], np.add.reduceat(grad[order], firsts, axis=0)
+        square = self.squares[k][distinct] + total * total
+        self.squares[k][distinct] = square
+        x[distinct] += RATE * total / np.sqrt(square)
 
     def train(self, contexts: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> None:
-        """Go through triples (by context) with their counts: all sections together, and the classes of each section."""
+        """Go through ascending triples with their counts: all sections together, and the classes of each section."""
         section = self.section[targets]
         rows = len(self.m.context)
         # what comes to one section after the same context is one triple there
         keys = (contexts[:, 0] * rows + contexts[:, 1]) * len(self.noise) + section
-        first, number = np.unique(keys, return_index=True, return_inverse=True)[1:]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))  # triples ascend, and so do these
         deals = [
-            self._deal(contexts[first], section[first], np.bincount(number, weights=counts).astype(np.int64)),
+            self._deal(contexts[first], section[first], np.add.reduceat(counts, first)),
             self._deal(contexts, targets, counts),
         ]
         for _ in range(max(1, LEAST_STEPS * BATCH // max(BATCH, len(deals[1][2])))):
@@ -282,7 +289,7 @@ class Trainer:
                 if sections:
                     batches += [(-1, order[at : at + BATCH]) for at in range(0, len(order), BATCH)]
                     continue
-                order = order[np.argsort(section[order], kind="stable")]
+                order = order[np.argsort(_short(section, len(self.noise))[order], kind="stable")]
                 ends = np.searchsorted(section[order], np.arange(len(self.noise) - 1), side="right")
                 for one, (begin, end) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
                     batches += [(one, order[at : min(at + BATCH, end)]) for at in range(begin, end, BATCH)]
@@ -309,16 +316,18 @@ class Trainer:
         log_weight = math.log(NOISE_WEIGHT)
         log_true, log_false = log_noise[targets - first] + log_weight, log_noise[noise] + log_weight
         noise = noise + first
-        vectors = m.predicted(contexts)
+        seen = [m.context[contexts[:, i]] for i in range(CONTEXT)]
+        vectors = sum(x * p for x, p in zip(seen, m.position))
+        aims, others = output[targets], output[noise]
         # a section's biases are those of its classes among all; among themselves they differ by a constant
         level = 0.0 if task < 0 else m.top_bias[task]
-        true = np.einsum("ij,ij->i", vectors, output[targets]) + bias[targets] - level - log_true
-        false = vectors @ output[noise].T + bias[noise] - level - log_false
+        true = np.einsum("ij,ij->i", vectors, aims) + (bias[targets] - level - log_true)
+        false = vectors @ others.T + (bias[noise] - level - log_false)
         scale = weights / BATCH
         up = (scale / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32)
         down = (scale * (NOISE_WEIGHT / NOISE))[:, None] / (1 + np.exp(np.clip(-false, -30, 30)))
-        by_vector = up[:, None] * output[targets] - down @ output[noise]
-        places = [by_vector * m.context[contexts[:, i]] for i in range(CONTEXT)]
+        by_vector = up[:, None] * aims - down @ others
+        places = [np.einsum("ij,ij->j", by_vector, x) for x in seen]
         by_context = np.concatenate([by_vector * m.position[i] for i in range(CONTEXT)])
         rows = np.concatenate([targets, noise])
         by_row = np.concatenate([up[:, None] * vectors, -(down.T @ vectors)])
@@ -326,7 +335,7 @@ class Trainer:
         self._step(0, np.concatenate([contexts[:, i] for i in range(CONTEXT)]), by_context)
         self._step(3 if task >= 0 else 1, rows, by_row)
         self._step(4 if task >= 0 else 2, rows, by_bias)
-        self._step(5, None, np.stack([p.sum(axis=0) for p in places]))
+        self._step(5, None, np.stack(places))
 
 
 def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
