@@ -5,6 +5,7 @@ import json
 import pytest
 
 from viewloom.sources import arrays
+from workload import queries
 
 AWKWARD = [
     {"a": 1}, {"a": "}{][\",\\", "b": {"c": [{"d": 1}, {"e": "\\\\"}]}}, {}, {"a": "\\\"{"}, {"t": "ä é\U0001f600{"}, {"n": [[[{"x": []}]]]}, {"long": "{" * 300},
@@ -58,3 +59,16 @@ def test_typed_and_variant(spark, ranges, tmp_path):
     assert [(r.a, len(r.s)) for r in typed] == [(i, i) for i in range(30)]
     variants = arrays.read_array(spark, str(tmp_path)).selectExpr("variant_get(record, '$.a', 'int') AS a", "row_order").orderBy("row_order")
     assert [r.a for r in variants.collect()] == list(range(30))
+
+
+def test_single_objects_share_a_folder(spark, tmp_path, monkeypatch):
+    """A file per supplier, without a folder each, written by several tasks; null fields and repeated rows are kept."""
+    rows = [(1, "a", 3, 1.5), (1, "a", 3, 1.5), (2, None, None, None), (None, "b", 4, 2.0), (None, None, None, None)]
+    names = "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double"
+    spark.createDataFrame(rows, names).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(queries, "scratch", lambda spark, name: str(tmp_path / name))
+    found = queries.ingest_objects(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(rows, key=repr)
+    written = [p for p in (tmp_path / "objects").rglob("*") if not p.name.startswith((".", "_"))]
+    assert len(written) == len(rows) and all(p.is_file() and p.parent == tmp_path / "objects" for p in written)
+    assert len({p.name[: len("part-00000")] for p in written}) > 1

@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {}
 
 ENTITY, NODE, BRAND = "NATION_3", "la", "Brand#7"
 YEAR, YEAR_TEXT = 1995, "1995"
+FILES_PER_TASK = 5_000  # a task writes its files one after the other
 
 
 def query(function: Query) -> Query:
@@ -533,9 +534,12 @@ def ingest_array_file(spark, folder):
 def ingest_objects(spark, folder):
     """Every supplier as a file of its own, which holds one object on several lines."""
     path = scratch(spark, "objects")
-    suppliers = b.table(spark, folder, "supplier").withColumn("number", F.monotonically_increasing_id())
-    pretty = F.to_json(F.struct(*[c for c in suppliers.columns if c != "number"]), {"pretty": "true"})
-    suppliers.select("number", pretty.alias("line")).write.partitionBy("number").text(path)
+    suppliers = b.table(spark, folder, "supplier")
+    pretty = F.to_json(F.struct("*"), {"pretty": "true"})
+    tasks = max(spark.sparkContext.defaultParallelism, suppliers.count() // FILES_PER_TASK)
+    one_each = suppliers.select(pretty.alias("line")).repartition(tasks).write.option("maxRecordsPerFile", 1)
+    # each task moves its own files to their place, instead of the driver all of them; nobody reads the folder before
+    one_each.option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
     found = read_records(spark, path, schema="s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double")
     return found.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
 
