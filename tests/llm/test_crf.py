@@ -3,10 +3,13 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.frames import AWKWARD, SCHEMA, by_id, documents, prose
-from viewloom.llm import crf, language_crf, quality_crf
+from viewloom.llm import crf, language_crf, quality_crf, secret_scan
+from viewloom.llm.common import slices
+from viewloom.llm.vocabulary import Vocabulary
 
 
 def enumerated(scores, trans, start):
@@ -139,3 +142,18 @@ def test_long_sequences_in_blocks():
     long = np.array([300_000])
     found = crf.sequence_marginals(random.normal(0, 1, (300_000, 2)), np.eye(2), np.zeros(2), long)
     assert np.allclose(found.sum(axis=1), 1)
+
+
+def test_a_text_travels_once_and_in_slices(spark):
+    """What a worker holds does not grow by a second copy of each text, nor with the session's rows per batch."""
+    docs = documents(spark, [*AWKWARD, prose(1, 50)])
+    model = quality_crf.QualityModel(np.zeros((quality_crf.FEATURES, 2)), np.zeros((2, 2)), np.zeros(2))
+    for found in (quality_crf.accepted(docs, model, 0.5), secret_scan.redacted(docs, Vocabulary())):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        sent = next(line for line in plan.split("MapInArrow", 1)[1].split("\n")[1:] if "Project" in line)
+        assert sent.count("text") == 2, sent  # a field's name and its value
+        assert sorted(r.doc_id for r in found.collect()) == list(range(len(AWKWARD) + 1)) and found.columns == docs.columns
+    batch = pa.RecordBatch.from_pydict({"n": list(range(1000)), "text": ["x" * 90] * 1000})
+    some = list(slices(iter([batch]), 5000))
+    assert len(some) > 15 and max(b.nbytes for b in some) <= 5000 and pa.Table.from_batches(some).equals(pa.Table.from_batches([batch]))
+    assert [b.num_rows for b in slices(iter([batch.slice(0, 3), batch.slice(0, 0)]), 1)] == [1, 1, 1]

@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from viewloom.llm.common import slices
 from viewloom.llm.vocabulary import Vocabulary
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -72,7 +73,7 @@ def token_lengths(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = vocabulary.encoding()
-        for batch in batches:
+        for batch in slices(batches):
             n = [len(encoding.encode_ordinary(t)) + 1 if t else 1 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["id", "n_tokens"])
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from viewloom.llm.common import position, slices
 from viewloom.llm.crf import fit, sequence_marginals
 
 SYMBOLS = b"#*$%&<>~^"
@@ -24,7 +25,7 @@ GRAM = 4
 #: The classifier is fitted on so many labelled documents of each class, and lines of each, at most.
 SAMPLE, SAMPLE_LINES = 1500, 256
 ROUNDS, RATE, PENALTY = 250, 0.05, 1e-4
-BLOCK_LINES = 100_000
+BLOCK_LINES, BLOCK_TEXTS = 20_000, 2000
 
 
 def _counts(raw: bytes, some: bytes) -> int:
@@ -96,7 +97,7 @@ class QualityModel:
         return sequence_marginals(scores, self.trans, self.start, lengths)[:, 1]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        out, own, weights = [], [], []
+        out, own, weights, held = [], [], [], 0
 
         def flush() -> None:
             lengths = np.array([len(x) for x in own])
@@ -110,8 +111,10 @@ class QualityModel:
             features, sizes = line_features(text)
             own.append(features)
             weights.append(sizes)
-            if sum(map(len, own)) > BLOCK_LINES or len(own) >= 2000:
+            held += len(features)
+            if held > BLOCK_LINES or len(own) >= BLOCK_TEXTS:
                 flush()
+                held = 0
         if own:
             flush()
         return np.clip(np.concatenate(out), 0.0, 1.0) if out else np.zeros(0)
@@ -141,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> QualityMode
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own = [line_features(text)[0][:SAMPLE_LINES] for text in batch.column(1).to_pylist()]
             packed = pa.array([x.tobytes() for x in own], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), packed], ["id", "good", "own"])
@@ -167,7 +170,7 @@ def score(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = pa.array(model.score(batch.column(1).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], ["id", "score"])
 
@@ -183,9 +186,10 @@ def accepted(docs: DataFrame, model: QualityModel, least: float, text_column: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = model.score(batch.column(0).to_pylist()) >= least
+        for batch in slices(batches):
+            keep = model.score(batch.column(0).field(text).to_pylist()) >= least
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    rows = docs.select(F.col(text_column).alias("_text"), F.struct("*").alias("_row"))
+    text = position(docs, text_column)  # read from the row, so that a text travels once
+    rows = docs.select(F.struct("*").alias("_row"))
     return rows.mapInArrow(run, rows.schema).select("_row.*")

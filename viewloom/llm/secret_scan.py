@@ -12,7 +12,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from viewloom.llm.common import position, slices
 from viewloom.llm.vocabulary import Vocabulary
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -130,7 +132,7 @@ def scan(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_in(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             found = [
                 [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans_of(t, tokens, ratio)]
                 for t in batch.column(1).to_pylist()
@@ -164,15 +166,16 @@ def redacted(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_in(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0).field(at).to_pylist():
                 spans = spans_of(text or "", tokens, ratio)
                 out.append(redact(text, spans, mark) if spans else None)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[1:]], ["_new", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(0)], ["_new", "_row"])
 
-    rows = docs.select(F.col(text_column).alias("_new"), F.struct("*").alias("_row"))
-    rows = rows.mapInArrow(run, rows.schema)
+    at = position(docs, text_column)  # read from the row, so that a text travels once
+    rows = docs.select(F.struct("*").alias("_row"))
+    rows = rows.mapInArrow(run, StructType([StructField("_new", StringType()), rows.schema["_row"]]))
     new, columns = F.col("_new"), []
     for c in docs.columns:
         old = F.col("_row").getField(c)

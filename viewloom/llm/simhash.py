@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from viewloom.llm.bitslice import close_pairs, nearest_forest
-from viewloom.llm.common import raw_words
+from viewloom.llm.common import raw_words, slices
 from viewloom.llm.components import components
 from viewloom.llm.word_blocks import squeeze, unsqueeze
 from viewloom.operators.skew import hinted, hot_keys, lookup
@@ -130,7 +130,7 @@ def _fingerprinted(rows: DataFrame, size: int) -> DataFrame:
     """Replace the first column, a text, by its fingerprint `fp`, a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [_fingerprint(raw, size) for raw in batch.column(0).to_pylist()]
             fps = pa.array(np.array(found, np.uint64).view(np.int64).ravel())
             yield pa.RecordBatch.from_arrays([fps, *batch.columns[1:]], ["fp", *batch.schema.names[1:]])
@@ -142,7 +142,7 @@ def _printed(rows: DataFrame, size: int, similarity: float) -> DataFrame:
     """Replace the first column, a text, by `fp` (see `_print`) and `short`, the shingles by which a short text is found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [_distinct_shingles(raw, size) for raw in batch.column(0).to_pylist()]
             short = [_least_shingles(x, similarity).view(np.int64) for x in sets]
             columns = [pa.array([_print(x) for x in sets], pa.binary()), pa.array(short, pa.list_(pa.int64())), *batch.columns[1:]]
@@ -430,7 +430,7 @@ def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Per text its wide fingerprint and its distinct shingles, as sorted hashes of 32 bits."""
-    for batch in batches:
+    for batch in slices(batches):
         sets = [_distinct_shingles(raw, size) for raw in batch.column(0).to_pylist()]
         prints = [_print(x) for x in sets]
         sets = [np.unique(x.astype(np.uint32)).tobytes() for x in sets]
@@ -439,7 +439,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 
 def _alike(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for left, right in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
                 a, b = np.frombuffer(left, np.uint32), np.frombuffer(right, np.uint32)
