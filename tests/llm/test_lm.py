@@ -100,3 +100,20 @@ def test_nothing_to_learn_from(spark):
     got = neural_lm.score(documents(spark, ["a b", None]), counts, model).collect()
     assert all(abs(r.base_score) < 1e-9 and abs(r.score) < 1e-5 and r.n_known == 0 for r in got) and len(got) == 2
     assert neural_lm.score(empty, counts, model).count() == 0
+
+
+def test_a_context_is_predicted_once(spark, monkeypatch):
+    """However many words and sections follow a context; and steps of any size say the same."""
+    counts, model = fitted(spark, TEXTS, classes=20)
+    contexts = np.array([[0, 1], [3, 2], [0, 1]]).repeat(len(model.output), axis=0)
+    targets = np.tile(np.arange(len(model.output)), 3)
+    seen, predicted = [], neural_lm.Model.predicted
+    monkeypatch.setattr(neural_lm.Model, "predicted", lambda self, some: seen.append(len(some)) or predicted(self, some))
+    found = model.log10(contexts, targets)
+    assert sum(seen) == 2 and np.allclose(np.power(10, found).reshape(3, -1).sum(axis=1), 1, atol=1e-5)
+    assert np.allclose(found, model.log10(contexts, targets, step=1), rtol=1e-5)
+
+
+def test_contexts_of_short_texts():
+    classes, starts = np.array([5, 6, 7, 8, 9]), np.array([0, 1, 2])
+    assert neural_lm.contexts_of(classes, starts, 99).tolist() == [[99, 99], [99, 99], [99, 99], [99, 7], [7, 8]]

@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -76,10 +77,6 @@ def known_as(word: bytes) -> bytes:
     return word if len(word) <= LONGEST else b" " + hashlib.md5(word).digest()
 
 
-def group_of(word: bytes, groups: int) -> int:
-    return zlib.crc32(word[-ENDING:]) % groups
-
-
 def count(docs: DataFrame, classes: int | None = None) -> Counts:
     """Count all words of the column `text`, an end after each text included.
 
@@ -100,7 +97,7 @@ def count(docs: DataFrame, classes: int | None = None) -> Counts:
                     found.update(words)
                 found[END] += 1
                 held += len(raw or b"")
-                if held > BLOCK_BYTES:
+                if held > 2 * BLOCK_BYTES:
                     yield batch_of(found)
                     found, held = Counter(), 0
         if found:
@@ -124,6 +121,28 @@ def count(docs: DataFrame, classes: int | None = None) -> Counts:
     return Counts(words, tokens, distinct, [(bytes(r["name"]), int(r["c"])) for r in most], grouped)
 
 
+class Known(dict):
+    """The classes of words, found when first asked for; of at most REMEMBERED words at a time."""
+
+    def __init__(self, index: dict[bytes, int], groups: int):
+        super().__init__()
+        self.index, self.groups = index, groups
+
+    def __missing__(self, word: bytes) -> int:
+        short = len(word) <= LONGEST
+        found = self.index.get(word if short else known_as(word))
+        if found is None:
+            found = len(self.index) + zlib.crc32(word[-ENDING:]) % self.groups
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if short:
+            self[word] = found
+        return found
+
+    def __reduce__(self):
+        return Known, (self.index, self.groups)  # a task begins with none
+
+
 @dataclass
 class Model:
     """Classes 0 to len(index) - 1 are words, those behind them groups of words; the last row of `context`
@@ -138,26 +157,18 @@ class Model:
     output: np.ndarray  # (classes, width)
     bias: np.ndarray
     position: np.ndarray  # (CONTEXT, width): how each place of the context is weighted
-    held: dict = field(default_factory=dict, repr=False)
+    known: Known = field(init=False, repr=False)
+
+    def __post_init__(self) -> None:
+        self.known = Known(self.index, self.groups)
 
     @property
     def section(self) -> np.ndarray:
         """Of each class the section."""
         return np.repeat(np.arange(len(self.cuts) - 1), np.diff(self.cuts))
 
-    def _miss(self, word: bytes) -> int:
-        found = self.index.get(known_as(word))
-        if found is None:
-            found = len(self.index) + group_of(word, self.groups)
-        if len(self.held) >= REMEMBERED:
-            self.held.clear()
-        if len(word) <= LONGEST:
-            self.held[word] = found
-        return found
-
-    def classes(self, words: list[bytes]) -> list[int]:
-        found = list(map(self.held.get, words))
-        return [self._miss(w) if c is None else c for w, c in zip(words, found)] if None in found else found
+    def classes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
 
     @property
     def parts(self) -> tuple[np.ndarray, ...]:
@@ -177,31 +188,44 @@ class Model:
         """The vector a context predicts: its words' vectors, weighted by place."""
         return sum(self.context[contexts[:, i]] * self.position[i] for i in range(CONTEXT))
 
-    def log10(self, contexts: np.ndarray, targets: np.ndarray, step: int = 1 << 16) -> np.ndarray:
-        """Normalised log10 probability of each target after its context: that of its section, then of the class in it."""
-        rows, sections, section = len(self.context), len(self.cuts) - 1, self.section[targets]
-        keys = (contexts[:, 0] * rows + contexts[:, 1]) * sections + section
-        distinct, which = np.unique(keys, return_inverse=True)  # (context, section), each once
-        order = np.argsort(distinct % sections, kind="stable")
-        ends = np.searchsorted((distinct % sections)[order], np.arange(sections), side="right")
-        norms = np.empty(len(distinct))  # of the class's score, to be taken off, with the section's own
+    def log10(self, contexts: np.ndarray, targets: np.ndarray, step: int = 1 << 13) -> np.ndarray:
+        """Normalised log10 probability of each target after its context: that of its section, then of the class in it.
+
+        `step` rows at a time, few enough to stay in a processor's cache."""
+        rows, sections = len(self.context), len(self.cuts) - 1
+        triples = (contexts[:, 0] * rows + contexts[:, 1]) * rows + targets
+        distinct, which = np.unique(triples, return_inverse=True)  # (context, class), each once
+        pairs, aims = np.divmod(distinct, rows)
+        first = _firsts(pairs)  # they ascend: each context once
+        context = np.cumsum(first) - 1
+        alone = pairs[first]
+        vectors, tops = np.empty((len(alone), WIDTH), np.float32), np.empty(len(alone), np.float32)
+        for at in range(0, len(alone), step):
+            some = slice(at, at + step)
+            vectors[some] = self.predicted(np.stack(np.divmod(alone[some], rows), axis=1))
+            tops[some] = _log_sum(vectors[some] @ self.top.T + self.top_bias)
+        section = self.section[aims]
+        begins = np.flatnonzero(_firsts(context * sections + section))  # classes of a section follow each other too
+        of_context, of_section = context[begins], section[begins]
+        order = np.argsort(_short(of_section, sections), kind="stable")
+        ends = np.searchsorted(of_section[order], np.arange(sections), side="right")
+        norms = np.empty(len(begins))  # of the class's score, to be taken off, with the section's own
         begin = 0
         for one, end in enumerate(ends.tolist()):
             lo, hi = self.cuts[one], self.cuts[one + 1]
             for at in range(begin, end, step):
                 some = order[at : min(at + step, end)]
-                pair = distinct[some] // sections
-                vectors = self.predicted(np.stack([pair // rows, pair % rows], axis=1))
-                top = vectors @ self.top.T + self.top_bias
-                norms[some] = _log_sum(top) - top[:, one] + _log_sum(vectors @ self.output[lo:hi].T + self.bias[lo:hi])
+                seen = vectors[of_context[some]]
+                own = seen @ self.top[one] + self.top_bias[one]
+                norms[some] = tops[of_context[some]] - own + _log_sum(seen @ self.output[lo:hi].T + self.bias[lo:hi])
             begin = end
-        out = np.empty(len(targets))
-        for at in range(0, len(targets), 1 << 18):
-            part = slice(at, at + (1 << 18))
-            vectors = self.predicted(contexts[part])
-            score = np.einsum("ij,ij->i", vectors, self.output[targets[part]]) + self.bias[targets[part]]
-            out[part] = (score - norms[which[part]]) / np.log(10)
-        return out
+        norms = np.repeat(norms, np.diff(np.append(begins, len(distinct))))
+        out = np.empty(len(distinct))
+        for at in range(0, len(distinct), step):
+            part = slice(at, at + step)
+            score = np.einsum("ij,ij->i", vectors[context[part]], self.output[aims[part]]) + self.bias[aims[part]]
+            out[part] = (score - norms[part]) / np.log(10)
+        return out[which]
 
 
 def _short(numbers: np.ndarray, below: int) -> np.ndarray:
@@ -209,19 +233,28 @@ def _short(numbers: np.ndarray, below: int) -> np.ndarray:
     return numbers.astype(np.uint16) if below <= 1 << 16 else numbers
 
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Whether each of ascending numbers differs from the one before."""
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return new
+
+
 def _log_sum(scores: np.ndarray) -> np.ndarray:
+    """Per row the logarithm of the sum of exponentials; `scores` are overwritten."""
     most = scores.max(axis=1)
-    return most + np.log(np.exp(scores - most[:, None]).sum(axis=1))
+    scores -= most[:, None]
+    return most + np.log(np.exp(scores, out=scores).sum(axis=1))
 
 
 def contexts_of(classes: np.ndarray, starts: np.ndarray, before: int) -> np.ndarray:
     """The CONTEXT classes before each item; `starts` are the first items of the texts."""
     out = np.full((len(classes), CONTEXT), before, np.int64)
-    place = np.arange(len(classes)) - np.repeat(starts, np.diff(np.append(starts, len(classes))))
-    for i in range(CONTEXT):
-        back = CONTEXT - i
-        has = np.flatnonzero(place >= back)
-        out[has, i] = classes[has - back]
+    for back in range(1, CONTEXT + 1):
+        column = out[:, CONTEXT - back]
+        column[back:] = classes[:-back]
+        for place in range(back):  # behind a shorter text, these are among the first of the next one
+            column[starts[starts < len(classes) - place] + place] = before
     return out
 
 
@@ -257,23 +290,33 @@ class Trainer:
         shares = shares / shares.sum()
         return first, np.log(shares).astype(np.float32), np.cumsum(shares)
 
-    def _step(self, k: int, rows, grad: np.ndarray) -> None:
+    def _step(self, k: int, together, grad: np.ndarray) -> None:
+        """An Adagrad step of part `k`: of all of it, or of the rows that `_together` sorted."""
         x = self.m.parts[k]
-        if rows is None:
+        if together is None:
             self.squares[k] += grad * grad
             x += RATE * grad / np.sqrt(self.squares[k])
             return
-        order = np.argsort(_short(rows, len(x)), kind="stable")
-        ordered = rows[order]
-        firsts = np.flatnonzero(np.diff(ordered, prepend=-1))
-        distinct, total = ordered[firsts], np.add.reduceat(grad[order], firsts, axis=0)
+        order, firsts, distinct = together
+        total = np.add.reduceat(grad[order], firsts, axis=0)
         square = self.squares[k][distinct] + total * total
         self.squares[k][distinct] = square
-        x[distinct] += RATE * total / np.sqrt(square)
+        total *= RATE
+        total /= np.sqrt(square, out=square)
+        x[distinct] += total
+
+    @staticmethod
+    def _together(rows: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows in ascending order, where each distinct one begins there, and the distinct ones."""
+        order = np.argsort(_short(rows, below), kind="stable")
+        ordered = rows[order]
+        firsts = np.flatnonzero(_firsts(ordered))
+        return order, firsts, ordered[firsts]
 
     def train(self, contexts: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> None:
         """Go through ascending triples with their counts: all sections together, and the classes of each section."""
         section = self.section[targets]
+        few = _short(section, len(self.noise))
         rows = len(self.m.context)
         # what comes to one section after the same context is one triple there
         keys = (contexts[:, 0] * rows + contexts[:, 1]) * len(self.noise) + section
@@ -289,8 +332,8 @@ class Trainer:
                 if sections:
                     batches += [(-1, order[at : at + BATCH]) for at in range(0, len(order), BATCH)]
                     continue
-                order = order[np.argsort(_short(section, len(self.noise))[order], kind="stable")]
-                ends = np.searchsorted(section[order], np.arange(len(self.noise) - 1), side="right")
+                order = order[np.argsort(few[order], kind="stable")]
+                ends = np.cumsum(np.bincount(few[order], minlength=len(self.noise) - 1))
                 for one, (begin, end) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
                     batches += [(one, order[at : min(at + BATCH, end)]) for at in range(begin, end, BATCH)]
             for k in self.random.permutation(len(batches)).tolist():
@@ -322,19 +365,24 @@ class Trainer:
         # a section's biases are those of its classes among all; among themselves they differ by a constant
         level = 0.0 if task < 0 else m.top_bias[task]
         true = np.einsum("ij,ij->i", vectors, aims) + (bias[targets] - level - log_true)
-        false = vectors @ others.T + (bias[noise] - level - log_false)
+        false = vectors @ others.T
+        false += bias[noise] - level - log_false
         scale = weights / BATCH
         up = (scale / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32)
-        down = (scale * (NOISE_WEIGHT / NOISE))[:, None] / (1 + np.exp(np.clip(-false, -30, 30)))
+        np.clip(np.negative(false, out=false), -30, 30, out=false)
+        np.exp(false, out=false)
+        false += 1
+        down = np.divide((scale * (NOISE_WEIGHT / NOISE))[:, None], false, out=false)
         by_vector = up[:, None] * aims - down @ others
         places = [np.einsum("ij,ij->j", by_vector, x) for x in seen]
         by_context = np.concatenate([by_vector * m.position[i] for i in range(CONTEXT)])
         rows = np.concatenate([targets, noise])
         by_row = np.concatenate([up[:, None] * vectors, -(down.T @ vectors)])
         by_bias = np.concatenate([up, -down.sum(axis=0)])
-        self._step(0, np.concatenate([contexts[:, i] for i in range(CONTEXT)]), by_context)
-        self._step(3 if task >= 0 else 1, rows, by_row)
-        self._step(4 if task >= 0 else 2, rows, by_bias)
+        self._step(0, self._together(contexts.T.ravel(), len(m.context)), by_context)
+        together = self._together(rows, len(output))
+        self._step(3 if task >= 0 else 1, together, by_row)
+        self._step(4 if task >= 0 else 2, together, by_bias)
         self._step(5, None, np.stack(places))
 
 
@@ -355,6 +403,7 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
             rows = len(now.context)
             trainer = Trainer(now, SEED + 1000 * number + TaskContext.get().partitionId())
             codes, starts, held, size, tokens = [], [], 0, 0, 0
+            end = now.classes([END])
 
             def learn() -> None:
                 flat = np.concatenate(codes).astype(np.int64)
@@ -368,9 +417,9 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
                 for raw in batch.column(0).to_pylist():
                     starts.append(held)
                     for words in raw_words((raw or b"").lower()):
-                        codes.append(np.array(now.classes(words), np.int32))
+                        codes.append(now.classes(words))
                         held += len(words)
-                    codes.append(np.array(now.classes([END]), np.int32))
+                    codes.append(end)
                     held += 1
                     size += len(raw or b"")
                     if size > TRIPLES_BYTES:
@@ -425,9 +474,9 @@ def _score_blocks(docs: DataFrame, id_column: str, text_column: str, model: Mode
                 rare = []
                 for words in [*raw_words(raw), [END]]:
                     found = model.classes(words)
-                    codes.append(np.array(found, np.int32))
+                    codes.append(found)
                     items += len(words)
-                    rare.append([w for w, c in zip(words, found) if c >= singles])
+                    rare.append(list(compress(words, (found >= singles).tolist())))
                 block.add(key, rare)
                 held += len(raw) + 1
         if held:

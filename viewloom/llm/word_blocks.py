@@ -76,20 +76,28 @@ def schema_of(id_field: StructField) -> StructType:
     ])
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Block:
     """Texts as lists of numbers of their distinct words."""
 
     def __init__(self) -> None:
-        self.index: dict = {}
+        self.index = Numbers()
         self.ids: list = []
         self.sizes: list[int] = []
         self.codes: list[np.ndarray] = []
 
     def add(self, key, words: Iterable[list]) -> None:
         """One text; its words come in lists, so that a long text needs no list of all."""
-        index, size = self.index, 0
+        number, size = self.index.__getitem__, 0
         for some in words:
-            self.codes.append(np.array([index.setdefault(w, len(index)) for w in some], np.uint32))
+            self.codes.append(np.fromiter(map(number, some), np.uint32, len(some)))
             size += len(some)
         self.ids.append(key)
         self.sizes.append(size)
