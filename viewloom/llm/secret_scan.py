@@ -28,6 +28,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Runs that may be keys, at least this long, with at most so many characters a token.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 RATIO = 2.2
+#: Of fewer different characters it is no key but a rule or filler, such as one letter repeated.
+DISTINCT = 5
 #: What is left of such a run beside a base span is tested from this length on.
 REST = 8
 #: Not secrets: hex digests of the usual lengths, UUIDs, numbers and dates, words joined by marks.
@@ -66,6 +68,8 @@ def looks_random(run: str, tokens: Callable[[str], int], ratio: float = RATIO) -
     """
     if DIGEST.fullmatch(run) or UUID.fullmatch(run) or NUMBER.fullmatch(run):
         return False
+    if len(set(run)) < DISTINCT:
+        return False
     if WORDS.fullmatch(run) and not LONG_WORD.search(run) and _case_changes(run) * 6 < len(run):
         return False
     return len(run) <= ratio * tokens(run)
