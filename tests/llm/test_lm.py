@@ -1,6 +1,7 @@
 """Scores against plain counts, normalisation, and held-out gain where context tells something."""
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.frames import AWKWARD, SCHEMA, by_id, documents, prose
-from viewloom.llm import neural_lm
+from viewloom.llm import neural_lm, word_blocks
 
 TEXTS = AWKWARD + [prose(s, 80, 30) for s in range(20)] + ["Word word WORD Ärger ärger", "never seen before"]
 
@@ -117,3 +118,32 @@ def test_a_context_is_predicted_once(spark, monkeypatch):
 def test_contexts_of_short_texts():
     classes, starts = np.array([5, 6, 7, 8, 9]), np.array([0, 1, 2])
     assert neural_lm.contexts_of(classes, starts, 99).tolist() == [[99, 99], [99, 99], [99, 99], [99, 7], [7, 8]]
+
+
+@pytest.mark.parametrize("size, cut", [(1, 8), (40, 5), (None, 1 << 20)])
+def test_words_are_numbered_once(size, cut):
+    """Whatever the slabs and however a text is cut, all its words come in order; a slab holds each distinct one once."""
+    texts = [*(t if t is None else t.encode() for t in TEXTS), b"\x85a\xa0 \xff\x1cB\x0bc\x00\n", b"a b " * 50, b" " * 30, b" x" + b" " * 30]
+    items = []
+    for numbers, words in word_blocks.numbered_words(texts, size, cut):
+        listed = word_blocks.words_of(words)
+        assert listed == words.to_pylist() and len(set(listed)) == len(listed)
+        items += [listed[n] for n in numbers]
+    assert items == [w for t in texts for w in [*(t or b"").lower().split(), b""]]
+
+
+def test_classes_are_found_for_distinct_words(spark, monkeypatch):
+    """Not once per word of the texts, and as word by word: frequent, long, shared and unknown ones."""
+    long = b"l" * 500
+    counts, _ = fitted(spark, [long.decode() + " a b c"] * 3 + TEXTS, classes=10)
+    model, asked = neural_lm.initial(counts), []
+    classes = neural_lm.Model.classes
+    monkeypatch.setattr(neural_lm.Model, "classes", lambda self, words: asked.append(len(words)) or classes(self, words))
+    texts = [long + b" the the x"] * 40 + [None, b"", "Ärger ä y".encode()]
+    found, starts = neural_lm._classes_of(texts, model)
+    words = [w for t in texts for w in [*(t or b"").lower().split(), b""]]
+    assert asked == [len(set(words))]
+    known = {neural_lm.known_as(w): i for i, (w, _) in enumerate(counts.frequent)}
+    group = lambda w: len(known) + zlib.crc32(w[-neural_lm.ENDING :]) % model.groups
+    assert found.tolist() == [known.get(neural_lm.known_as(w), group(w)) for w in words]
+    assert starts.tolist() == [0, *[i + 1 for i, w in enumerate(words) if not w][:-1]]

@@ -17,10 +17,8 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import compress
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +26,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from viewloom.llm.common import raw_words
 from viewloom.llm.word_blocks import (
-    BLOCK_BYTES, Block, block_number, buckets_for, meet, schema_of, squeeze, texts_of, unsqueeze,
-    unsqueeze_words, words_by_bucket,
+    BLOCK_BYTES, Block, block_number, buckets_for, meet, numbered_words, schema_of, squeeze, texts_of, unsqueeze,
+    unsqueeze_words, words_by_bucket, words_of,
 )
 from viewloom.operators.staging import stored
 
@@ -47,7 +44,6 @@ LEAST_STEPS = 200  # a block of few triples is gone through again
 SHARES = 200_000  # a triple's count is cut into parts of at most this share of all tokens
 TRIPLES_BYTES = 16 << 20
 WORD_BYTES = 8  # of text a word, about
-REMEMBERED = 1 << 20  # words whose class a task looks up without computing it anew
 
 
 @dataclass
@@ -85,21 +81,20 @@ def count(docs: DataFrame, classes: int | None = None) -> Counts:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = Counter(), 0
-
-        def batch_of(found: Counter) -> pa.RecordBatch:
-            columns = [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["word", "c"])
-
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                for words in raw_words((raw or b"").lower()):
-                    found.update(words)
-                found[END] += 1
-                held += len(raw or b"")
-                if held > 2 * BLOCK_BYTES:
-                    yield batch_of(found)
-                    found, held = Counter(), 0
+        found, held = [], 0
+
+        def batch_of(found: list[tuple[pa.Array, np.ndarray]]) -> pa.RecordBatch:
+            words, c = zip(*found)
+            met = pa.concat_arrays(words).dictionary_encode()
+            sums = np.bincount(met.indices.to_numpy(), np.concatenate(c), len(met.dictionary)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([met.dictionary.cast(pa.binary()), pa.array(sums)], ["word", "c"])
+
+        for numbers, words in numbered_words(raw for batch in batches for raw in batch.column(0).to_pylist()):
+            found.append((words, np.bincount(numbers, minlength=len(words))))
+            held += words.nbytes
+            if held > 2 * BLOCK_BYTES:
+                yield batch_of(found)
+                found, held = [], 0
         if found:
             yield batch_of(found)
 
@@ -121,28 +116,6 @@ def count(docs: DataFrame, classes: int | None = None) -> Counts:
     return Counts(words, tokens, distinct, [(bytes(r["name"]), int(r["c"])) for r in most], grouped)
 
 
-class Known(dict):
-    """The classes of words, found when first asked for; of at most REMEMBERED words at a time."""
-
-    def __init__(self, index: dict[bytes, int], groups: int):
-        super().__init__()
-        self.index, self.groups = index, groups
-
-    def __missing__(self, word: bytes) -> int:
-        short = len(word) <= LONGEST
-        found = self.index.get(word if short else known_as(word))
-        if found is None:
-            found = len(self.index) + zlib.crc32(word[-ENDING:]) % self.groups
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if short:
-            self[word] = found
-        return found
-
-    def __reduce__(self):
-        return Known, (self.index, self.groups)  # a task begins with none
-
-
 @dataclass
 class Model:
     """Classes 0 to len(index) - 1 are words, those behind them groups of words; the last row of `context`
@@ -157,18 +130,22 @@ class Model:
     output: np.ndarray  # (classes, width)
     bias: np.ndarray
     position: np.ndarray  # (CONTEXT, width): how each place of the context is weighted
-    known: Known = field(init=False, repr=False)
-
-    def __post_init__(self) -> None:
-        self.known = Known(self.index, self.groups)
 
     @property
     def section(self) -> np.ndarray:
         """Of each class the section."""
         return np.repeat(np.arange(len(self.cuts) - 1), np.diff(self.cuts))
 
-    def classes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+    def classes(self, words: list[bytes] | pa.Array) -> np.ndarray:
+        if isinstance(words, list):
+            words = pa.array(words, pa.large_binary())
+        names = pa.array(list(self.index), words.type)
+        found = pa.compute.index_in(words, value_set=names).fill_null(-1).to_numpy().astype(np.int32)
+        for at in np.flatnonzero(pa.compute.binary_length(words).to_numpy() > LONGEST).tolist():
+            found[at] = self.index.get(known_as(words[at].as_py()), -1)
+        endings = pa.compute.binary_slice(words, -ENDING).dictionary_encode()
+        group = np.array([zlib.crc32(e) % self.groups for e in endings.dictionary.to_pylist()], np.int32)
+        return np.where(found >= 0, found, len(self.index) + group[endings.indices.to_numpy()])
 
     @property
     def parts(self) -> tuple[np.ndarray, ...]:
@@ -186,9 +163,9 @@ class Model:
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         """The vector a context predicts: its words' vectors, weighted by place."""
-        return sum(self.context[contexts[:, i]] * self.position[i] for i in range(CONTEXT))
+        return sum(self.context.take(contexts[:, i], axis=0) * self.position[i] for i in range(CONTEXT))
 
-    def log10(self, contexts: np.ndarray, targets: np.ndarray, step: int = 1 << 13) -> np.ndarray:
+    def log10(self, contexts: np.ndarray, targets: np.ndarray, step: int = 1 << 11) -> np.ndarray:
         """Normalised log10 probability of each target after its context: that of its section, then of the class in it.
 
         `step` rows at a time, few enough to stay in a processor's cache."""
@@ -215,15 +192,15 @@ class Model:
             lo, hi = self.cuts[one], self.cuts[one + 1]
             for at in range(begin, end, step):
                 some = order[at : min(at + step, end)]
-                seen = vectors[of_context[some]]
+                seen = vectors.take(of_context.take(some), axis=0)
                 own = seen @ self.top[one] + self.top_bias[one]
-                norms[some] = tops[of_context[some]] - own + _log_sum(seen @ self.output[lo:hi].T + self.bias[lo:hi])
+                norms[some] = tops.take(of_context.take(some)) - own + _log_sum(seen @ self.output[lo:hi].T + self.bias[lo:hi])
             begin = end
         norms = np.repeat(norms, np.diff(np.append(begins, len(distinct))))
         out = np.empty(len(distinct))
         for at in range(0, len(distinct), step):
             part = slice(at, at + step)
-            score = np.einsum("ij,ij->i", vectors[context[part]], self.output[aims[part]]) + self.bias[aims[part]]
+            score = np.einsum("ij,ij->i", vectors.take(context[part], axis=0), self.output.take(aims[part], axis=0)) + self.bias.take(aims[part])
             out[part] = (score - norms[part]) / np.log(10)
         return out[which]
 
@@ -298,18 +275,20 @@ class Trainer:
             x += RATE * grad / np.sqrt(self.squares[k])
             return
         order, firsts, distinct = together
-        total = np.add.reduceat(grad[order], firsts, axis=0)
-        square = self.squares[k][distinct] + total * total
+        total = np.add.reduceat(grad.take(order, axis=0), firsts, axis=0)
+        square = self.squares[k].take(distinct, axis=0)
+        square += total * total
         self.squares[k][distinct] = square
         total *= RATE
         total /= np.sqrt(square, out=square)
-        x[distinct] += total
+        total += x.take(distinct, axis=0)
+        x[distinct] = total
 
     @staticmethod
     def _together(rows: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows in ascending order, where each distinct one begins there, and the distinct ones."""
         order = np.argsort(_short(rows, below), kind="stable")
-        ordered = rows[order]
+        ordered = rows.take(order)
         firsts = np.flatnonzero(_firsts(ordered))
         return order, firsts, ordered[firsts]
 
@@ -340,16 +319,17 @@ class Trainer:
                 task, some = batches[k]
                 seen, aims, _, weights = deals[task >= 0]
                 if len(self.noise[task][1]) > 1:
-                    self._batch(task, seen[some], aims[some], weights[some])
+                    self._batch(task, seen.take(some, axis=1), aims.take(some), weights.take(some))
 
     @staticmethod
     def _deal(contexts: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Triples, the rows to go through, and each triple's weight in one; a frequent triple is dealt over many batches."""
+        """Triples (contexts by place), the rows to go through, and each triple's weight in one; a frequent triple is dealt over many batches."""
         share = max(1, -(-int(counts.sum()) // SHARES))
         parts = -(-counts // share)
         rows = np.repeat(np.arange(len(targets)), parts)
         weights = (counts / parts).astype(np.float32)
-        return contexts, targets, rows, weights / weights[rows].mean()
+        below = int(max(contexts.max(), targets.max())) + 1
+        return _short(contexts.T.copy(), below), _short(targets, below), rows, weights / weights[rows].mean()
 
     def _batch(self, task: int, contexts: np.ndarray, targets: np.ndarray, weights: np.ndarray) -> None:
         m, (first, log_noise, cumulated) = self.m, self.noise[task]
@@ -359,9 +339,9 @@ class Trainer:
         log_weight = math.log(NOISE_WEIGHT)
         log_true, log_false = log_noise[targets - first] + log_weight, log_noise[noise] + log_weight
         noise = noise + first
-        seen = [m.context[contexts[:, i]] for i in range(CONTEXT)]
+        seen = [m.context.take(place, axis=0) for place in contexts]
         vectors = sum(x * p for x, p in zip(seen, m.position))
-        aims, others = output[targets], output[noise]
+        aims, others = output.take(targets, axis=0), output.take(noise, axis=0)
         # a section's biases are those of its classes among all; among themselves they differ by a constant
         level = 0.0 if task < 0 else m.top_bias[task]
         true = np.einsum("ij,ij->i", vectors, aims) + (bias[targets] - level - log_true)
@@ -376,16 +356,30 @@ class Trainer:
         by_vector = up[:, None] * aims - down @ others
         places = [np.einsum("ij,ij->j", by_vector, x) for x in seen]
         by_context = np.concatenate([by_vector * m.position[i] for i in range(CONTEXT)])
-        rows = np.concatenate([targets, noise])
+        rows = np.concatenate([targets, noise.astype(targets.dtype)])
         by_row = np.concatenate([up[:, None] * vectors, -(down.T @ vectors)])
         by_bias = np.concatenate([up, -down.sum(axis=0)])
-        self._step(0, self._together(contexts.T.ravel(), len(m.context)), by_context)
+        self._step(0, self._together(contexts.ravel(), len(m.context)), by_context)
         together = self._together(rows, len(output))
         self._step(3 if task >= 0 else 1, together, by_row)
         self._step(4 if task >= 0 else 2, together, by_bias)
         self._step(5, None, np.stack(places))
 
 
+def _classes_of(texts: list[bytes | None], model: Model, block: Block | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all items of texts, an end after each, and where each text begins. `block` gets those that share a class."""
+    codes, ends = [], []
+    for numbers, words in numbered_words(texts):
+        kind = model.classes(words)
+        codes.append(kind[numbers])
+        ends.append(numbers == pa.compute.index(words, END).as_py())
+        if block is not None:
+            shared = kind >= len(model.index)
+            place = np.cumsum(shared) - 1
+            block.add_numbered(words_of(words.filter(pa.array(shared))), place[numbers[shared[numbers]]])
+    return np.concatenate(codes).astype(np.int64), np.flatnonzero(np.concatenate([[True], *ends])[:-1])
+
+
 def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
     """Train on all rows of the column `text`, in `rounds` rounds of averaged copies.
 
@@ -402,33 +396,26 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = len(now.context)
             trainer = Trainer(now, SEED + 1000 * number + TaskContext.get().partitionId())
-            codes, starts, held, size, tokens = [], [], 0, 0, 0
-            end = now.classes([END])
+            texts, size, tokens = [], 0, 0
 
-            def learn() -> None:
-                flat = np.concatenate(codes).astype(np.int64)
-                context = contexts_of(flat, np.array(starts, np.int64), rows - 1)
+            def learn() -> int:
+                flat, starts = _classes_of(texts, now)
+                context = contexts_of(flat, starts, rows - 1)
                 triples = (context[:, 0] * rows + context[:, 1]) * rows + flat
                 distinct, n = np.unique(triples, return_counts=True)
                 pairs = distinct // rows
                 trainer.train(np.stack([pairs // rows, pairs % rows], axis=1), distinct % rows, n)
+                return len(flat)
 
             for batch in batches:
                 for raw in batch.column(0).to_pylist():
-                    starts.append(held)
-                    for words in raw_words((raw or b"").lower()):
-                        codes.append(now.classes(words))
-                        held += len(words)
-                    codes.append(end)
-                    held += 1
+                    texts.append(raw)
                     size += len(raw or b"")
                     if size > TRIPLES_BYTES:
-                        learn()
-                        tokens += held
-                        codes, starts, held, size = [], [], 0, 0
-            if held:
-                learn()
-                tokens += held
+                        tokens += learn()
+                        texts, size = [], 0
+            if texts:
+                tokens += learn()
             if tokens:
                 flat = trainer.m.flat().astype(np.float64)
                 columns = [pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat), pa.array(np.full(len(flat), float(tokens)))]
@@ -451,34 +438,28 @@ def _score_blocks(docs: DataFrame, id_column: str, text_column: str, model: Mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, number, held, id_type = TaskContext.get().partitionId(), 0, 0, None
-        block, codes, starts = Block(), [], []
+        keys, texts = [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            flat = np.concatenate(codes).astype(np.int64)
-            first = np.array(starts, np.int64)
+            block = Block()
+            flat, first = _classes_of(texts, model, block)
             said = model.log10(contexts_of(flat, first, len(model.context) - 1), flat)
             known = flat < singles
             columns = [said - inside[flat], np.where(known, base[flat], 0.0), known.astype(float), np.ones(len(flat))]
             more = np.stack([np.add.reduceat(c, first) for c in columns])
+            block.ids, block.sizes = keys, np.add.reduceat(~known, first, dtype=np.int64)
             yield from block.batches(block_number(partition, number), buckets, id_type, more.tobytes())
 
-        items = 0
         for batch in batches:
             id_type = batch.column(0).type
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = (raw or b"").lower()
-                if held and held + len(raw) > BLOCK_BYTES:
+                size = len(raw or b"")
+                if held and held + size > BLOCK_BYTES:
                     yield from flush()
-                    block, codes, starts, held, items, number = Block(), [], [], 0, 0, number + 1
-                starts.append(items)
-                rare = []
-                for words in [*raw_words(raw), [END]]:
-                    found = model.classes(words)
-                    codes.append(found)
-                    items += len(words)
-                    rare.append(list(compress(words, (found >= singles).tolist())))
-                block.add(key, rare)
-                held += len(raw) + 1
+                    keys, texts, held, number = [], [], 0, number + 1
+                keys.append(key)
+                texts.append(raw)
+                held += size + 1
         if held:
             yield from flush()
 
